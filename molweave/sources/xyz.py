@@ -9,20 +9,17 @@ from molweave.functions.chem import element_of_type, vdw_radius
 from molweave.functions.text import lines, words
 
 
-def read_xyz(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Atoms of XYZ files, one molecule per file. Residue is ``LIG``, serial and charge are 0."""
-    files = spark.read.option("wholetext", True).text(path)
+def parse_xyz(files: DataFrame, text: str = "value") -> DataFrame:
+    """Atoms of rows that hold one XYZ text each. Residue is ``LIG``, serial and charge are 0."""
+    keep = [c for c in files.columns if c != text]
     kind = F.get("t", F.lit(0))
     coordinates = {c: F.get("t", F.lit(i)).try_cast("double") for i, c in enumerate("xyz", 1)}
     return (
-        files.select(
-            F.col("_metadata.file_path").alias("src_file"),
-            F.posexplode(lines(F.col("value"))).alias("line_no", "line"),
-        )
+        files.select(*keep, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
         .where(F.col("line_no") >= 2)
         .withColumn("t", words(F.col("line")))
         .select(
-            "src_file",
+            *keep,
             "line_no",
             F.lit(0).alias("serial"),
             kind.alias("atom_name"),
@@ -36,3 +33,9 @@ def read_xyz(spark: SparkSession, path: str | list[str]) -> DataFrame:
         )
         .dropna(subset=["x", "y", "z"])
     )
+
+
+def read_xyz(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Atoms of XYZ files, one molecule per file."""
+    files = spark.read.option("wholetext", True).text(path)
+    return parse_xyz(files.select(F.col("_metadata.file_path").alias("src_file"), "value"))

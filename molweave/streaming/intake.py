@@ -53,10 +53,10 @@ def append_first_logs(logs: DataFrame, path: str, checkpoint: str, once: bool =
         spark = batch.sparkSession
         order = [F.asc("arrived"), F.asc("ok")]
         first = docking_summary(first_per_group(batch, ["ligand"], order, 1))
-        stored = spark.read.schema(first.schema).option("basePath", path).parquet(path) if number else None
-        if stored is not None:
-            # earlier batches only: a retry must not see its own rows
-            stored = stored.where(F.col("_metadata.file_path").rlike(f"/batch={number}/") == F.lit(False))
+        if number:
+            # earlier batches only: a batch that is run again must not see its own rows
+            earlier = [f"{path}/batch={n}" for n in range(number)]
+            stored = spark.read.schema(first.schema).parquet(*earlier)
             first = first.join(stored.select("Name"), "Name", "left_anti")
         first.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
