@@ -30,7 +30,8 @@ _NUMBER = r"^[^0-9-]*(-?)([0-9]*)[.,]?([0-9]*)"
 def lenient_double(text: Column) -> Column:
     """First number in the text; ``.`` or ``,`` is the decimal mark, no exponent, nothing found is 0."""
     sign, whole, part = (F.regexp_extract(text, _NUMBER, group) for group in (1, 2, 3))
-    return F.concat(sign, F.lit("0"), whole, F.lit("."), part, F.lit("0")).cast("double")
+    # adding zero turns a negative zero into a plain one
+    return F.concat(sign, F.lit("0"), whole, F.lit("."), part, F.lit("0")).cast("double") + F.lit(0.0)
 
 
 def lenient_int(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from molweave.constants import SUMMARY_MODES
 from molweave.operators.ranking import first_per_group
 
 
-def docking_summary(logs: DataFrame, modes: int = SUMMARY_MODES) -> DataFrame:
+def docking_summary(
+    logs: DataFrame, modes: int = SUMMARY_MODES, keep: Sequence[str] = ()
+) -> DataFrame:
     """One wide row per ligand: the best energy, then energy and both RMSD of the further modes.
 
     The modes of a ligand are one array in one row, so the table is a projection without a shuffle; a
@@ -23,7 +27,7 @@ def docking_summary(logs: DataFrame, modes: int = SUMMARY_MODES) -> DataFrame:
             mode(i)["rmsd_lb"].alias(f"{i}_RMSDLB"),
             mode(i)["rmsd_ub"].alias(f"{i}_RMSDRB"),
         ]
-    return logs.select(*columns)
+    return logs.select(*columns, *keep)
 
 
 def first_pose(models: DataFrame, by: str = "ligand", order: str = "model_no") -> DataFrame:

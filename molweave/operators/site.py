@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from molweave.constants import CAVITY_GAPS, CORNER_PENALTY, GRID_STEP, SITE_PERCENT
-from molweave.functions.geometry import AXES, Box, crosses_line
+from molweave.functions.geometry import AXES, Box
 from molweave.operators.contacts import box_atoms
 from molweave.operators.ranking import exact_rank
 from molweave.session import materialise
@@ -40,116 +40,151 @@ def grid(low: float, high: float, step: float, forward: bool = True) -> list[flo
     return values
 
 
-def _steps(axis_low: float, step: float, value: Column, reach: Column) -> Column:
+def _steps(start: Column, step: float, value: Column, reach: Column) -> Column:
     """Grid numbers that can lie within ``reach`` of ``value``, one to spare on both sides."""
-    first = F.floor((value - reach - axis_low) / step).cast("int") - 1
-    last = F.ceil((value + reach - axis_low) / step).cast("int") + 1
+    first = F.floor((value - reach - start) / step).cast("int") - 1
+    last = F.ceil((value + reach - start) / step).cast("int") + 1
     return F.sequence(first, last)
 
 
-def _axis_hits(atoms: DataFrame, box: Box, axis: str, step: float) -> DataFrame:
-    """Atoms on the lines they cross: ``sub, outer, line`` per atom.
+def _hits(atoms: DataFrame, box: Box, step: float) -> DataFrame:
+    """Atoms on the lines they cross: ``axis, sub, outer, line, lines, here``.
 
     Each atom is put on the few grid numbers around it and the exact test decides, instead of testing
-    every atom against every line. Grid coordinates come from small arrays of repeated sums.
+    every atom against every line. Grid coordinates come from arrays of repeated sums.
     """
-    outer_grid = grid(box.low(axis), box.high(axis), step)
-    pick = lambda values, i: F.get(F.lit(values), i)
-    hits = None
-    for walk, (inner, _along) in enumerate(WALKS[axis]):
-        for direction, forward in enumerate((True, False)):
-            inner_grid = grid(box.low(inner), box.high(inner), step, forward)
-            if not outer_grid or not inner_grid:
-                continue
-            place = F.col(inner) if forward else -F.col(inner)
-            start = box.low(inner) if forward else -box.high(inner)
-            part = (
-                atoms.withColumn(
-                    "outer", F.explode(_steps(box.low(axis), step, F.col(axis), F.col("radius")))
-                )
-                .where(F.col("outer").between(0, len(outer_grid) - 1))
-                .withColumn("line", F.explode(_steps(start, step, place, F.col("radius"))))
-                .where(F.col("line").between(0, len(inner_grid) - 1))
-                .where(
-                    crosses_line(
-                        axis, inner, pick(outer_grid, F.col("outer")), pick(inner_grid, F.col("line"))
+    outer_grids = [grid(box.low(a), box.high(a), step) for a in AXES]
+    walk_grids = [grid(box.low(a), box.high(a), step, forward) for a in AXES for forward in (True, False)]
+    walks = []
+    for number, axis in enumerate(AXES):
+        place = [*SORTS[axis], *[None] * (3 - len(SORTS[axis]))]
+        for pair, (inner, _along) in enumerate(WALKS[axis]):
+            for turned, forward in enumerate((True, False)):
+                start = box.low(inner) if forward else -box.high(inner)
+                walks.append(
+                    F.struct(
+                        F.lit(number).alias("axis"),
+                        F.lit(pair * 2 + turned).alias("sub"),
+                        F.lit(AXES.index(inner) * 2 + turned).alias("walk"),
+                        F.col(axis).alias("outer_at"),
+                        F.lit(box.low(axis)).alias("outer_start"),
+                        F.col(inner).alias("inner_at"),
+                        F.lit(1.0 if forward else -1.0).alias("way"),
+                        F.lit(start).alias("inner_start"),
+                        F.struct(
+                            *((F.col(c) if c else F.lit(0.0)).alias(f"k{i}") for i, c in enumerate(place)),
+                            F.col("atom_id").alias("k3"),
+                        ).alias("place"),
                     )
                 )
-                .withColumn("sub", F.lit(walk * 2 + direction))
-                .withColumn("lines", F.lit(len(inner_grid)))
-            )
-            hits = part if hits is None else hits.unionByName(part)
-    return hits
+    outer_grid, walk_grid = F.get(F.lit(outer_grids), F.col("w.axis")), F.get(F.lit(walk_grids), F.col("w.walk"))
+    reach = F.col("radius")
+    near = lambda at, line: line.between(at - reach, at + reach)
+    return (
+        atoms.select("*", F.explode(F.array(*walks)).alias("w"))
+        .withColumn("outer", F.explode(_steps(F.col("w.outer_start"), step, F.col("w.outer_at"), reach)))
+        .where((F.col("outer") >= 0) & near(F.col("w.outer_at"), F.get(outer_grid, F.col("outer"))))
+        .withColumn(
+            "line",
+            F.explode(_steps(F.col("w.inner_start"), step, F.col("w.inner_at") * F.col("w.way"), reach)),
+        )
+        .where((F.col("line") >= 0) & near(F.col("w.inner_at"), F.get(walk_grid, F.col("line"))))
+        .select(
+            "w.axis",
+            "w.sub",
+            "outer",
+            "line",
+            F.size(walk_grid).alias("lines"),
+            F.struct(*AXES, "radius", "atom_id", "w.place").alias("here"),
+        )
+    )
 
 
 def _gap(here: str, there: str) -> Column:
-    squares = [
-        F.pow(F.col(f"{here}.{c}") - F.col(f"{there}.{c}"), F.lit(2.0)) for c in AXES
-    ]
+    squares = [F.pow(F.col(f"{here}.{c}") - F.col(f"{there}.{c}"), F.lit(2.0)) for c in AXES]
     between = F.sqrt(squares[0] + squares[1] + squares[2])
     return between - F.col(f"{here}.radius") - F.col(f"{there}.radius")
 
 
-def _axis_changes(
-    atoms: DataFrame, box: Box, axis: str, step: float, gap: float, mode: str, ends: Row
+def _meeting(gaps: Sequence[float]) -> Column:
+    """Changes when ``here`` is met after ``before``: the corner penalty or a gain for both."""
+    change = lambda atom, points: F.struct(atom.alias("atom_id"), points.alias("change"))
+    one, penalty = F.lit(1), F.lit(-CORNER_PENALTY)
+    gap = F.get(F.lit([float(g) for g in gaps]), F.col("axis"))
+    here, before = F.col("here.atom_id"), F.col("before.atom_id")
+    return (
+        F.when(before.isNull(), F.array(change(here, penalty)))
+        .when(_gap("here", "before") >= gap, F.array(change(here, one), change(before, one)))
+        .otherwise(F.array().cast("array<struct<atom_id: bigint, change: int>>"))
+    )
+
+
+def _changes(
+    atoms: DataFrame, box: Box, step: float, gaps: Sequence[float], mode: str, ends: Row
 ) -> DataFrame:
-    """Score changes ``atom_id, change`` of one swept axis."""
+    """Score changes ``atom_id, change`` of all sweeps."""
     reference = mode == "reference"
-    hits = _axis_hits(atoms, box, axis, step)
-    place = F.struct(*SORTS[axis], "atom_id")
-    me = F.struct(*AXES, "radius", "atom_id", place.alias("place"))
-    hits = hits.select("sub", "outer", "line", "lines", me.alias("here"))
-    on_line = Window.partitionBy("sub", "outer", "line").orderBy("here.place")
-    walked = hits.withColumn("before", F.lag("here").over(on_line))
-    # per line its first and last atom, then per walk the neighbouring lines that have any
-    per_line = hits.groupBy("sub", "outer", "line", "lines").agg(
-        F.min_by("here", "here.place").alias("first"), F.max_by("here", "here.place").alias("last")
+    line_keys = ["axis", "sub", "outer", "line"]
+    on_line = Window.partitionBy(*line_keys).orderBy("here.place")
+    walked = _hits(atoms, box, step).withColumns(
+        {"before": F.lag("here").over(on_line), "after": F.lead("here").over(on_line)}
+    )
+    # first and last atom of every line; the rows already sit together
+    per_line = (
+        walked.where("before is null or after is null")
+        .groupBy(*line_keys, "lines")
+        .agg(
+            F.max(F.when(F.col("before").isNull(), F.col("here"))).alias("here"),
+            F.max(F.when(F.col("after").isNull(), F.col("here"))).alias("last"),
+        )
     )
-    walk = Window.partitionBy("sub", "outer").orderBy("line")
+    walk = Window.partitionBy("axis", "sub", "outer").orderBy("line")
+    no_one = F.when(F.lit(False), F.col("last"))
     per_line = per_line.withColumns(
         {
-            "previous": F.lag("last").over(walk) if reference else F.when(F.lit(False), F.col("last")),
+            "before": F.lag("last").over(walk) if reference else no_one,
             "next_line": F.lead("line").over(walk),
             "earlier_line": F.lag("line").over(walk),
         }
     )
-    inside = walked.where("before is not null").select("here", "before")
-    linked = per_line.select(F.col("first").alias("here"), F.col("previous").alias("before"))
-    met = inside.unionByName(linked)
-    if reference and axis in ("x", "z"):
-        # here the atom that is first in sort order does not count as a predecessor
-        counts = F.col("before.atom_id") != ends[f"first_{axis}"]
-        met = met.withColumn("before", F.when(counts, F.col("before")))
-    alone = met.where("before is null").select(
-        F.col("here.atom_id").alias("atom_id"), F.lit(-CORNER_PENALTY).alias("change")
-    )
-    apart = met.where(F.col("before").isNotNull() & (_gap("here", "before") >= gap))
-    gains = apart.select(
-        F.explode(F.array("here.atom_id", "before.atom_id")).alias("atom_id"), F.lit(1).alias("change")
+    met = walked.where("before is not null").select("axis", "here", "before").unionByName(
+        per_line.select("axis", "here", "before")
     )
+    if reference:
+        # on the x and z sweeps the atom that is first in sort order does not count as a predecessor
+        ignored = F.get(F.array(F.lit(ends["first_x"]), F.lit(None), F.lit(ends["first_z"])), F.col("axis"))
+        counts = ignored.isNull() | (F.col("before.atom_id") != ignored)
+        met = met.withColumn("before", F.when(counts, F.col("before")))
+    changes = met.select(F.inline(_meeting(gaps)))
     # the last atom met pays once for its line and, in reference mode, for the empty lines after it
     stays = F.coalesce("next_line", "lines") - F.col("line") if reference else F.lit(1)
-    paid = per_line.select(
-        F.col("last.atom_id").alias("atom_id"), (-CORNER_PENALTY * stays).alias("change")
-    )
-    changes = alone.unionByName(gains).unionByName(paid)
+    paid = per_line.select(F.col("last.atom_id").alias("atom_id"), (-CORNER_PENALTY * stays).alias("change"))
+    changes = changes.unionByName(paid)
     if reference:
         # lines before the first hit of a walk charge the atom that is last in sort order: charge it
         # for every line, then give back the lines from each walk's first hit on
-        last = F.lit(ends[f"last_{axis}"]).alias("atom_id")
-        total = len(grid(box.low(axis), box.high(axis), step)) * sum(
-            len(grid(box.low(inner), box.high(inner), step, forward))
-            for inner, _ in WALKS[axis]
-            for forward in (True, False)
-        )
+        last = [F.lit(ends[f"last_{a}"]) for a in AXES]
+        total = [
+            len(grid(box.low(a), box.high(a), step))
+            * sum(len(grid(box.low(i), box.high(i), step, f)) for i, _ in WALKS[a] for f in (True, False))
+            for a in AXES
+        ]
         charged = atoms.sparkSession.range(1).select(
-            last, F.lit(-CORNER_PENALTY * total).alias("change")
+            F.inline(
+                F.array(
+                    *(
+                        F.struct(a.alias("atom_id"), F.lit(-CORNER_PENALTY * t).alias("change"))
+                        for a, t in zip(last, total)
+                    )
+                )
+            )
         )
         given_back = per_line.where("earlier_line is null").select(
-            last, (CORNER_PENALTY * (F.col("lines") - F.col("line"))).alias("change")
+            F.get(F.array(*last), F.col("axis")).alias("atom_id"),
+            (CORNER_PENALTY * (F.col("lines") - F.col("line"))).alias("change"),
         )
         changes = changes.unionByName(charged).unionByName(given_back)
-    return changes.groupBy("atom_id").agg(F.sum("change").alias("change"))
+    return changes
 
 
 def sweep_scores(
@@ -177,10 +212,7 @@ def sweep_scores(
     if ends["first_x"] is None:
         return inside.withColumn("score", F.lit(0).cast("long"))
     slim = inside.select("atom_id", *AXES, "radius")
-    changes = None
-    for axis, gap in zip(AXES, gaps):
-        part = _axis_changes(slim, box, axis, step, gap, mode, ends)
-        changes = part if changes is None else changes.unionByName(part)
+    changes = _changes(slim, box, step, gaps, mode, ends)
     total = changes.groupBy("atom_id").agg(F.sum("change").alias("score"))
     return inside.join(total, "atom_id", "left").withColumn(
         "score", F.coalesce("score", F.lit(0)).cast("long")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from molweave.functions import text as tx
 from molweave.functions.chem import element_of_type, vdw_radius
-from molweave.functions.geometry import AXES, Box
+from molweave.functions.geometry import AXES, Box, crosses_line, distance, surface_gap
 from molweave.functions.labels import compound_type, external_id, label_of
 from molweave.functions.report import percent
 from molweave.operators import clustering, contacts, docking, fingerprints, mass, patterns
@@ -156,7 +156,7 @@ def pdbqt_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One docking log per event; its type decides how complete the log is."""
-    energy = lambda i: F.round(-F.col("value") / i, 2)
+    energy = lambda i: F.round(F.lit(0.25 * (i - 1)) - F.col("value"), 2)
     row = lambda i, tail="": F.concat_ws(
         "   ", F.lit(f"  {i}"), energy(i).cast("string"), F.lit(f"{i - 1}.500"), F.lit(f"{i}.250{tail}")
     )
@@ -316,6 +316,27 @@ def xyz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms.select("name", "line_no", "element", "radius", "resname", *(F.round(c, 6).alias(c) for c in AXES))
 
 
+def atom_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First two atoms of every molecule: distance, surface gap, and whether the first one's shadow
+    covers the axis-parallel lines through the second."""
+    atoms = F.col("atoms")
+    with_radius = lambda i: atoms[i].withField(
+        "radius", vdw_radius(element_of_type(atoms[i]["sybyl_type"]))
+    )
+    pairs = molecule_atoms(spark, sf_dir).select("mol_id", with_radius(0).alias("p"), with_radius(1).alias("q"))
+    near = pairs.select("mol_id", "p", "q", "p.*")
+    crossing = {
+        f"crosses_{axis}": crosses_line(a, b, F.col(f"q.{a}") / 4, F.col(f"q.{b}") / 4)
+        for axis, a, b in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))
+    }
+    return near.select(
+        "mol_id",
+        F.round(distance("p", "q"), 6).alias("distance"),
+        F.round(surface_gap("p", "q"), 6).alias("gap"),
+        *(value.alias(name) for name, value in crossing.items()),
+    )
+
+
 def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atoms of the labelled compounds inside the box, numbered."""
     inside = contacts.box_atoms(points(spark, sf_dir).where("label <= 1"), BOX)
@@ -535,9 +556,7 @@ def unknown_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docking_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = docking_log.parse_logs(log_texts(spark, sf_dir))
-    return docking.docking_summary(logs.select("*"), 3).join(
-        logs.select(F.col("ligand").alias("Name"), "finished", "ok"), "Name"
-    )
+    return docking.docking_summary(logs, keep=("finished", "ok"))
 
 
 def docking_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -691,6 +710,7 @@ QUERIES: dict[str, Query] = {
     "box_quality": box_quality,
     "box_xyz_lines": box_xyz_lines,
     "xyz_parse": xyz_parse,
+    "atom_geometry": atom_geometry,
     "contact_join": contact_join,
     "contact_fingerprint": contact_fingerprint,
     "cavity_sweep_scores": _sweep("reference"),

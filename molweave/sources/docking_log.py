@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molweave.functions.text import lenient_double, lines, path_parts, tokens
+from molweave.functions.text import lenient_double, path_parts, tokens
 
 LOG_SUFFIX = "_out"
 
 
-def _parse(text: Column) -> Column:
-    all_lines = F.transform(
-        lines(text), lambda line, i: F.struct(i.alias("pos"), line.alias("line"), tokens(line).alias("t"))
-    )
-    return all_lines
+# fixed patterns of the log format; words are separated by blanks only
+_AFTER_HEADER = r"(?s)(?:^|\n)mode[^\n]*\n(.*)"
+# a line whose first word starts with a digit but that has not exactly four words, and all after it
+_FROM_BAD_ROW = r"(?s)(?:^|\n) *[0-9][^ \n]*(?:(?: +[^ \n]+){4}[^\n]*|(?: +[^ \n]+){0,2} *(?=\n|$)).*"
+_ROW = r"(?m)^ *[0-9][^ \n]*(?: +[^ \n]+){3} *$"
+_DONE = r"(?m)^ *(?![0-9 \n])[^\n]*done"
 
 
 def parse_logs(df: DataFrame, text: str = "value") -> DataFrame:
@@ -24,36 +25,25 @@ def parse_logs(df: DataFrame, text: str = "value") -> DataFrame:
     a digit is a result row and must have four words; the first one that has not ends the reading and
     puts the log in error, rows before it are kept. ``done`` on any other line marks a finished run.
     """
-    number = lambda line: F.get(line.t, F.lit(0)).rlike("^[0-9]")
-    header = F.array_min(
-        F.transform(F.filter("_lines", lambda l: l.line.startswith("mode")), lambda l: l.pos)
-    )
-    table = F.filter(
-        "_lines", lambda l: (l.pos > F.coalesce(F.col("_header"), F.size("_lines"))) & (F.size(l.t) > 0)
-    )
-    bad = F.array_min(
-        F.transform(F.filter("_table", lambda l: number(l) & (F.size(l.t) != 4)), lambda l: l.pos)
-    )
-    rows = F.filter("_read", number)
-    modes = F.transform(
-        rows,
-        lambda l, i: F.struct(
+    table = F.regexp_extract(F.replace(text, F.lit("\r\n"), F.lit("\n")), _AFTER_HEADER, 1)
+    read = F.regexp_replace(table, _FROM_BAD_ROW, "")
+    rows = F.regexp_extract_all(read, F.lit(_ROW), F.lit(0))
+
+    def mode(row: Column, i: Column) -> Column:
+        t = tokens(row)
+        return F.struct(
             (i + 1).alias("mode"),
-            lenient_double(F.get(l.t, F.lit(1))).alias("energy"),
-            lenient_double(F.get(l.t, F.lit(2))).alias("rmsd_lb"),
-            lenient_double(F.get(l.t, F.lit(3))).alias("rmsd_ub"),
-        ),
-    )
-    return (
-        df.withColumn("_lines", _parse(F.col(text)))
-        .withColumn("_header", header)
-        .withColumn("_table", table)
-        .withColumn("_bad", bad)
-        .withColumn("_read", F.filter("_table", lambda l: F.col("_bad").isNull() | (l.pos < F.col("_bad"))))
-        .withColumn("modes", modes)
-        .withColumn("finished", F.exists("_read", lambda l: ~number(l) & l.line.contains("done")))
-        .withColumn("ok", F.col("_bad").isNull() & (F.size("modes") > 0))
-        .drop("_lines", "_header", "_table", "_bad", "_read")
+            lenient_double(F.get(t, F.lit(1))).alias("energy"),
+            lenient_double(F.get(t, F.lit(2))).alias("rmsd_lb"),
+            lenient_double(F.get(t, F.lit(3))).alias("rmsd_ub"),
+        )
+
+    return df.withColumns(
+        {
+            "modes": F.transform(rows, mode),
+            "finished": read.rlike(_DONE),
+            "ok": (read == table) & (F.size(rows) > 0),
+        }
     )
 
 
