@@ -24,20 +24,20 @@ def lines(text: Column) -> Column:
     return F.split(text, r"\r?\n", -1)
 
 
-_NUMBER = r"^[^0-9-]*(-?)([0-9]*)[.,]?([0-9]*)"
+_NUMBER = r"^[^0-9-]*(-?[0-9]*[.,]?[0-9]*)"
+_WHOLE = r"^[^0-9-]*(-?[0-9]*)"
 
 
 def lenient_double(text: Column) -> Column:
     """First number in the text; ``.`` or ``,`` is the decimal mark, no exponent, nothing found is 0."""
-    sign, whole, part = (F.regexp_extract(text, _NUMBER, group) for group in (1, 2, 3))
+    found = F.replace(F.regexp_extract(text, _NUMBER, 1), F.lit(","), F.lit("."))
     # adding zero turns a negative zero into a plain one
-    return F.concat(sign, F.lit("0"), whole, F.lit("."), part, F.lit("0")).cast("double") + F.lit(0.0)
+    return F.coalesce(found.try_cast("double"), F.lit(0.0)) + F.lit(0.0)
 
 
 def lenient_int(text: Column) -> Column:
     """First whole number in the text, nothing found is 0."""
-    sign, whole = (F.regexp_extract(text, _NUMBER, group) for group in (1, 2))
-    return F.concat(sign, F.lit("0"), whole).cast("int")
+    return F.coalesce(F.regexp_extract(text, _WHOLE, 1).try_cast("int"), F.lit(0))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -105,7 +105,9 @@ def block_apply_self(
     """
     small = small_side(df, block_rows)
     if small is not None:
-        return block_apply(df, df, kernel, schema, block_rows)
+        # few rows but many pairs: give every core some of them
+        spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+        return block_apply(spread, df, kernel, schema, block_rows)
     n = _chunks(df, block_rows)
     rows = _numbered(df, n, "_c")
     left = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_c"))))

@@ -147,69 +147,96 @@ def bond_code(btype: Column) -> Column:
     return code.otherwise(6).cast("long")
 
 
+def _adjacency(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Atoms with their bonds: ``mol_id, serial, element, near`` (``to, code, bond``)."""
+    low, high = F.least("a", "b").cast("bigint"), F.greatest("a", "b").cast("bigint")
+    ends = F.array(
+        F.struct(F.col("a").alias("serial"), F.col("b").alias("to")),
+        F.struct(F.col("b").alias("serial"), F.col("a").alias("to")),
+    )
+    edges = (
+        bonds.where("a <> b")
+        .select("mol_id", bond_code(F.col("btype")).alias("code"), _mix(low, high).alias("bond"), F.inline(ends))
+        .select(
+            "mol_id",
+            F.col("serial").cast("int").alias("serial"),
+            F.lit(None).cast("string").alias("element"),
+            F.struct(F.col("to").cast("int").alias("to"), "code", "bond").alias("near"),
+        )
+    )
+    alone = F.lit(None).cast("struct<to: int, code: bigint, bond: bigint>").alias("near")
+    rows = atoms.select("mol_id", F.col("serial").cast("int").alias("serial"), "element", alone)
+    grouped = rows.unionByName(edges).groupBy("mol_id", "serial")
+    found = grouped.agg(F.max("element").alias("element"), F.collect_list("near").alias("near"))
+    return found.where("element is not null")
+
+
+def _sent(state: DataFrame) -> DataFrame:
+    """Every atom's row once per bond, addressed to the other end, and once to itself (no ``code``)."""
+    none = F.lit(None).cast("bigint")
+    itself = F.struct(F.col("serial").alias("to"), none.alias("code"), none.alias("bond"))
+    return state.select("*", F.explode(F.array_append("near", itself)).alias("m"))
+
+
+def _own(*columns: str) -> list[Column]:
+    return [F.first(F.when(F.col("m.code").isNull(), F.col(c)), ignorenulls=True).alias(c) for c in columns]
+
+
 def circular_environments(atoms: DataFrame, bonds: DataFrame, radius: int = CHEM_RADIUS) -> DataFrame:
     """Hashed atom environments ``mol_id, serial, round, hash`` up to ``radius`` bonds.
 
-    An atom starts from its element, its degree and its hydrogen count. Each round mixes in the bond
-    types and hashes of its neighbours; their sum is order-free and pre-aggregates before the shuffle.
-    An environment that covers the same bonds as one already listed (an earlier round, or a smaller hash
-    of the same round) is the same piece of the molecule and is dropped.
+    An atom starts from its element, its degree and its hydrogen count. In each round the atoms send
+    their hash along their bonds and mix in what they receive; the received values are summed, so their
+    order does not matter. One aggregation per round does it, keyed by atom, so that a large molecule is
+    spread like many small ones. An environment that covers the same bonds as one already listed (an
+    earlier round, or a smaller hash of the same round) is the same piece of the molecule and is dropped.
     """
-    edge = bonds.where("a <> b").select("mol_id", "a", "b", bond_code(F.col("btype")).alias("code"))
-    edges = edge.select("mol_id", F.col("a").alias("serial"), F.col("b").alias("to"), "code").union(
-        edge.select("mol_id", F.col("b"), F.col("a"), "code")
+    near_message = F.col("m.code").isNotNull()
+    to = F.col("m.to").alias("serial")
+    counted = _sent(_adjacency(atoms, bonds)).groupBy("mol_id", to).agg(
+        *_own("element", "near"),
+        F.count_if(near_message).alias("degree"),
+        F.count_if(near_message & (F.col("element") == "H")).alias("hydrogens"),
     )
-    # both ends must exist
-    symbol = atoms.select("mol_id", F.col("serial").alias("to"), "element")
-    edges = edges.join(symbol, ["mol_id", "to"])
-    around = edges.groupBy("mol_id", "serial").agg(
-        F.count("*").alias("degree"), F.count_if(F.col("element") == "H").alias("hydrogens")
+    start = _mix(_mix(element_code(F.col("element")), F.col("degree")), F.col("hydrogens"))
+    none = F.array().cast("array<bigint>")
+    # an atom by itself covers no bond; a negative number of its own keeps it listed
+    itself = F.array((-1 - F.col("serial")).cast("bigint"))
+    entry = lambda number, cover: F.struct(
+        F.lit(number).alias("round"), "hash", cover.alias("cover")
     )
-    zero = F.lit(0).cast("long")
-    start = atoms.join(around, ["mol_id", "serial"], "left").select(
-        "mol_id",
-        "serial",
-        _mix(
-            _mix(element_code(F.col("element")), F.coalesce("degree", zero)),
-            F.coalesce("hydrogens", zero),
-        ).alias("hash"),
+    state = (
+        counted.where("element is not null")
+        .select("mol_id", "serial", "near", start.alias("hash"), none.alias("cover"))
+        .withColumn("listed", F.array(entry(0, itself)))
     )
-    low = F.least("serial", "to").cast("long")
-    high = F.greatest("serial", "to").cast("long")
-    edges = edges.select("mol_id", "serial", "to", "code", _mix(low, high).alias("bond"))
-    rounds = [start.select("*", F.lit(0).alias("round"), F.array().cast("array<bigint>").alias("cover"))]
     for number in range(1, radius + 1):
-        before = rounds[-1]
-        neighbour = before.select(
-            "mol_id", F.col("serial").alias("to"), F.col("hash").alias("h2"), F.col("cover").alias("c2")
+        received = _sent(state).groupBy("mol_id", to).agg(
+            *_own("near", "hash", "cover", "listed"),
+            (F.sum(F.when(near_message, _mix(F.col("m.code"), F.col("hash")))) % _PRIME).alias("total"),
+            # an atom has few bonds, so these lists are short
+            F.collect_list(F.when(near_message, F.array_append("cover", F.col("m.bond")))).alias("reach"),
         )
-        reached = (
-            edges.join(neighbour, ["mol_id", "to"])
-            .groupBy("mol_id", "serial")
-            .agg(
-                (F.sum(_mix(F.col("code"), F.col("h2"))) % _PRIME).alias("sum"),
-                # an atom has few bonds, so these sets are small
-                F.flatten(F.collect_list(F.concat(F.array("bond"), "c2"))).alias("reach"),
+        state = (
+            received.where("hash is not null")
+            .withColumn("cover", F.sort_array(F.array_union("cover", F.flatten("reach"))))
+            .withColumn(
+                "hash",
+                F.when(F.col("total").isNull(), F.col("hash")).otherwise(
+                    _mix(F.col("hash") + number, F.col("total"))
+                ),
             )
-        )
-        rounds.append(
-            before.join(reached, ["mol_id", "serial"]).select(
-                "mol_id",
-                "serial",
-                _mix(F.col("hash") + number, F.col("sum")).alias("hash"),
-                F.lit(number).alias("round"),
-                F.array_sort(F.array_union("cover", "reach")).alias("cover"),
+            .withColumn(
+                "listed",
+                F.when(F.col("total").isNull(), F.col("listed")).otherwise(
+                    F.array_append("listed", entry(number, F.col("cover")))
+                ),
             )
+            .select("mol_id", "serial", "near", "hash", "cover", "listed")
         )
-    # an atom's own start has no bonds and is always listed
-    grown = rounds[1]
-    for later in rounds[2:]:
-        grown = grown.unionByName(later)
-    kept = grown.groupBy("mol_id", "cover").agg(
-        F.min(F.struct("round", "hash", "serial")).alias("first")
-    )
-    listed = kept.select("mol_id", "first.serial", "first.round", "first.hash")
-    return rounds[0].select("mol_id", "serial", "round", "hash").unionByName(listed)
+    found = state.select("mol_id", "serial", F.inline("listed"))
+    first = found.groupBy("mol_id", "cover").agg(F.min(F.struct("round", "hash", "serial")).alias("first"))
+    return first.select("mol_id", "first.serial", "first.round", "first.hash")
 
 
 def circular_bits(

@@ -274,12 +274,9 @@ def lower_triangle_lines(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     One line holds one distance per earlier compound by definition of the format; use the pair table
     itself where that is too wide.
     """
-    cells = pairs.groupBy(F.col("a_ord").alias("ord")).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("b_ord").alias("o"), fixed4(F.col("dist")).alias("d")))
-        ).alias("cells")
-    )
-    values = F.transform(F.coalesce("cells", F.array().cast("array<struct<o: bigint, d: string>>")), lambda c: c.d)
+    cell = F.struct(F.col("b_ord").alias("o"), fixed4(F.col("dist")).alias("d"))
+    cells = pairs.groupBy(F.col("a_ord").alias("ord")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    values = F.coalesce(F.col("cells.d"), F.array().cast("array<string>"))
     return (
         vectors.select("name", "ord")
         .join(cells, "ord", "left")

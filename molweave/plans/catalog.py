@@ -31,6 +31,7 @@ WIDTH = 32
 BOX = Box((0.0, 0.0, 0.0), (30.0, 30.0, 30.0))
 SITE_STEP = 0.5
 ATOMS = 21
+ELEMENT_KINDS = ("C", "N", "O", "S", "H", "F", "P", "Cl", "Br", "Zn")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -46,8 +47,8 @@ def _value(i: int) -> Column:
 
 
 def _sign_word(first: int) -> Column:
-    bits = [F.when(_value(first + i) > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(WIDTH)]
-    return F.array(reduce(lambda a, b: a.bitwiseOR(b), [b.cast("bigint") for b in bits]))
+    bits = (f"if(embedding[{first + i}] > 0, {1 << i}L, 0L)" for i in range(WIDTH))
+    return F.expr(f"array({' | '.join(bits)})")
 
 
 def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +77,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _element(label: Column) -> Column:
-    kinds = ("C", "N", "O", "S", "H", "F", "P", "Cl", "Br", "Zn")
-    return F.element_at(F.array(*(F.lit(k) for k in kinds)), label + 1)
+    return F.element_at(F.lit(list(ELEMENT_KINDS)), label + 1)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,22 +94,25 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def molecule_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """21 atoms per embedding as an array of atom lines, one row per molecule."""
-    def atom(j: int) -> Column:
-        kind = _element((F.col("label") + j) % 10)
-        return F.struct(
-            F.lit(j + 1).alias("serial"),
-            F.concat(kind, F.lit(str(j + 1))).alias("atom_name"),
-            *((_value(3 * j + i) * 100).alias(c) for i, c in enumerate(AXES)),
-            F.concat(kind, F.lit(".3" if j % 2 else "")).alias("sybyl_type"),
-            F.lit(j // 7 + 1).alias("resnum"),
-            F.lit(f"RES{j // 7 + 1}").alias("resname"),
-            F.lit(0.25).alias("charge"),
-        )
+    kinds = ",".join(f"'{k}'" for k in ELEMENT_KINDS)
+
+    def atom(j: int) -> str:
+        kind = f"array({kinds})[(label + {j}) % 10]"
+        fields = {
+            "serial": str(j + 1),
+            "atom_name": f"concat({kind}, '{j + 1}')",
+            **{c: f"cast(embedding[{3 * j + i}] as double) * 100" for i, c in enumerate(AXES)},
+            "sybyl_type": f"concat({kind}, '{'.3' if j % 2 else ''}')",
+            "resnum": str(j // 7 + 1),
+            "resname": f"'RES{j // 7 + 1}'",
+            "charge": "0.25D",
+        }
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("mol_id"),
         F.concat(F.lit("mol_"), F.col("vec_id").cast("string")).alias("name"),
-        F.array(*(atom(j) for j in range(ATOMS))).alias("atoms"),
+        F.expr(f"array({', '.join(atom(j) for j in range(ATOMS))})").alias("atoms"),
     )
 
 
