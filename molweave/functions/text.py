@@ -16,8 +16,8 @@ def tokens(text: Column, separators: str = " ") -> Column:
 
 
 def words(text: Column) -> Column:
-    """Whitespace-separated words of a line."""
-    return F.filter(F.split(text, r"\s+", -1), lambda piece: piece != "")
+    """Whitespace-separated words of a line; a blank line gives one empty word."""
+    return F.split(F.btrim(text, F.lit(" \t\r\n")), r"\s+", -1)
 
 
 def lines(text: Column) -> Column:

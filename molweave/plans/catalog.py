@@ -145,7 +145,7 @@ def pdbqt_models(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lpad(a["serial"].cast("string"), 5, " "),
             F.lit(" "),
             F.rpad(a["atom_name"], 4, " "),
-            F.lit(" UNK A  0    "),
+            F.lit(" UNK A  0     "),
             F.format_string("%8.3f%8.3f%8.3f", a["x"], a["y"], a["z"]),
             F.lit("  0.00  0.00    +0.000 "),
             F.rpad(F.substring(a["atom_name"], 1, 2), 2, " "),

@@ -58,8 +58,7 @@ def ligand_of_path(path: Column) -> Column:
 def read_docking_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``ligand, modes, finished, ok`` for a folder of logs, one ligand per file."""
     files = (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(ligand_of_path(F.col("_metadata.file_path")).alias("ligand"), "value")
     )
     return parse_logs(files).drop("value")

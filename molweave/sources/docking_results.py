@@ -33,6 +33,6 @@ def read_docking_results(spark: SparkSession, path: str) -> DataFrame:
             decimal_comma(F.get("t", F.lit(header.index(ENERGY_HEADER)))).alias("energy"),
             F.struct("src_file", "block_start", "rec_id").alias("ord"),
         )
-        .where(F.col("ligand").isNotNull())
+        .where(F.col("ligand") != "")
     )
     return last_by_name(rows, "ligand").select("ligand", "energy")

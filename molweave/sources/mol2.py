@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molweave.functions.chem import element_of_type, vdw_radius
 from molweave.functions.labels import with_label
-from molweave.functions.text import lines, words
+from molweave.functions.text import lines
 from molweave.sources.records import file_order, read_records
 
 MOLECULE = "@<TRIPOS>MOLECULE"
@@ -39,12 +39,15 @@ def with_file_order(molecules: DataFrame) -> DataFrame:
 
 
 def _section_lines(molecules: DataFrame, start: str, end: str) -> DataFrame:
-    text = F.substring_index(F.split_part("block", F.lit(start), F.lit(2)), end, 1)
+    """Lines of one section as word arrays: ``mol_id, line_no, t``."""
+    section = F.substring_index(F.split_part("block", F.lit(start), F.lit(2)), end, 1)
+    spaced = F.split(F.regexp_replace(section, r"[ \t\r]+", " "), "\n")
+    # lines are cut into words before they become rows, so that later filters do not cut them again
+    cut = F.transform(spaced, lambda line: F.split(F.trim(line), " "))
     return (
-        molecules.select("mol_id", F.posexplode(lines(text)).alias("line_no", "line"))
+        molecules.select("mol_id", F.posexplode(cut).alias("line_no", "t"))
         # position 0 is the rest of the marker line
-        .where((F.col("line_no") > 0) & (F.trim("line") != ""))
-        .withColumn("t", words(F.col("line")))
+        .where((F.col("line_no") > 0) & (F.get("t", F.lit(0)) != ""))
     )
 
 
@@ -57,7 +60,7 @@ def _atom_lines(molecules: DataFrame) -> DataFrame:
     parsed = _section_lines(molecules, ATOM, BOND).select(
         "mol_id",
         "line_no",
-        "line",
+        F.array_join("t", " ").alias("line"),
         _item(0, "int").alias("serial"),
         _item(1).alias("atom_name"),
         _item(2, "double").alias("x"),

@@ -37,5 +37,5 @@ def parse_xyz(files: DataFrame, text: str = "value") -> DataFrame:
 
 def read_xyz(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Atoms of XYZ files, one molecule per file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_xyz(files.select(F.col("_metadata.file_path").alias("src_file"), "value"))
