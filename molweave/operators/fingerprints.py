@@ -97,18 +97,16 @@ def concat_by_containment(
     """
     wanted = chem.withColumn("_short", short_id(F.col("name")))
     sizes = [r[0] for r in wanted.select(F.length("_short")).distinct().collect()]
-    pieces = [
-        F.when(
-            F.length("name") >= size,
-            F.transform(
-                F.sequence(F.lit(1), F.length("name") - size + 1),
-                lambda start, size=size: F.substring(F.col("name"), start, F.lit(size)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for size in sizes
-    ] or [F.array().cast("array<string>")]
+    none = F.array().cast("array<string>")
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("name") - size + 1)
+        cut = F.transform(starts, lambda start: F.substring(F.col("name"), start, F.lit(size)))
+        return F.when(F.length("name") >= size, cut).otherwise(none)
+
+    every = F.concat(none, *(pieces(size) for size in sizes))
     parts = box.select(
-        F.explode(F.array_distinct(F.concat(*pieces))).alias("_short"), "ord", "words"
+        F.explode(F.array_distinct(every)).alias("_short"), "ord", "words"
     )
     first = parts.groupBy("_short").agg(F.min(F.struct("ord", "words")).alias("_box"))
     pairs = wanted.join(first, "_short").select(
