@@ -5,7 +5,7 @@ avoided is turning every pair into a row. Here a block of left rows meets a bloc
 bit matrices, one matrix product gives all their shared-bit counts, and only what the caller needs
 (best k, sums, kept pairs) leaves the block.
 
-* Right side within ``BLOCK_ROWS`` (counted, not assumed): it is sent to the tasks once and the left
+* Right side within ``BLOCK_ROWS`` and ``BLOCK_BYTES`` (measured, not assumed): it is sent to the tasks once and the left
   side is not shuffled at all.
 * Otherwise both sides are cut into hashed chunks and every pair of chunks is one cogroup. Chunk sizes
   depend on row counts only, never on key values, so there are no hot groups.
@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+BLOCK_BYTES = 64 << 20
+# a left chunk is worked through in steps, so it may be larger than a right one
+LEFT_BLOCKS = 16
 STEP_ROWS = 1024
 
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
@@ -59,9 +62,9 @@ def _stepped(kernel: Kernel, left: pa.Table, right: pa.Table):
 
 
 def small_side(df: DataFrame, limit: int = BLOCK_ROWS) -> pa.Table | None:
-    """The rows of ``df`` if there are at most ``limit`` of them, else None."""
+    """The rows of ``df`` if they are at most ``limit`` and ``BLOCK_BYTES``, else None."""
     table = df.limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit else None
+    return table if table.num_rows <= limit and table.nbytes <= BLOCK_BYTES else None
 
 
 def block_apply(
@@ -88,7 +91,7 @@ def block_apply(
 
         return left.mapInArrow(against_small, schema)
 
-    n_left, n_right = _chunks(left, block_rows), _chunks(right, block_rows)
+    n_left, n_right = _chunks(left, LEFT_BLOCKS * block_rows), _chunks(right, block_rows)
     left = _numbered(left, n_left, "_l").withColumn("_r", F.explode(_numbers(n_right)))
     right = _numbered(right, n_right, "_r").withColumn("_l", F.explode(_numbers(n_left)))
     parts = _cogrouped(left, right, kernel, schema)

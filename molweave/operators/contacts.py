@@ -44,9 +44,12 @@ def contact_pairs(
     cutoff: float = CONTACT_CUTOFF,
     keep: tuple[str, ...] = ("mol_id",),
     broadcast_rows: int = SITE_BROADCAST_ROWS,
+    with_free: bool = False,
 ) -> DataFrame:
     """Atom pairs closer than ``cutoff`` as ``keep columns, bit`` (a bit repeats per touching atom).
 
+    ``with_free`` also keeps the atoms that touch nothing, with a null bit.
+
     Space is cut into cubes of the cutoff's size; a site atom is listed in its own cube and the 26
     around it, which makes the distance join an equi-join on the cube. The site is small and is sent to
     every task. If it is not, its rows are repeated over ``SPREAD`` salts instead, because docked
@@ -70,24 +73,26 @@ def contact_pairs(
             "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
         )
         on = [*cells, "_salt"]
-    joined = placed.alias("m").join(listed.alias("s"), on)
-    return joined.where(distance("m", "s") < cutoff).select(*keep, "bit")
+    near = distance("m", "s") < cutoff
+    for column in on:
+        near = near & (F.col(f"m.{column}") == F.col(f"s.{column}"))
+    joined = placed.alias("m").join(listed.alias("s"), near, "left" if with_free else "inner")
+    return joined.select(*(f"m.{c}" for c in keep), "s.bit")
 
 
 def contact_fingerprints(
-    molecules: DataFrame,
     atoms: DataFrame,
     site: DataFrame,
     width: int,
     cutoff: float = CONTACT_CUTOFF,
+    by: tuple[str, ...] = ("mol_id",),
     **options,
 ) -> DataFrame:
-    """Packed contact fingerprint of every molecule; a molecule without contacts keeps an empty one.
+    """Packed contact fingerprint ``by columns, words`` of every molecule that has atoms.
 
     Touching atoms collapse into words before the shuffle, so each task sends one short row per
-    molecule. Molecules enter through the same aggregation as rows without a bit, which saves a join.
+    molecule. A molecule without contacts keeps an empty fingerprint, as its free atoms stay in the join;
+    that needs neither a second look at the molecules nor a join back to them.
     """
-    pairs = contact_pairs(atoms, site, cutoff, **options)
-    none = molecules.select("mol_id", F.lit(None).cast("int").alias("bit"))
-    packed = pack_bits(pairs.unionByName(none), ["mol_id"], width)
-    return molecules.join(packed, "mol_id")
+    pairs = contact_pairs(atoms, site, cutoff, by, with_free=True, **options)
+    return pack_bits(pairs, by, width)

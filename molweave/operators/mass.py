@@ -35,29 +35,34 @@ def masses(atoms: DataFrame, elements: DataFrame, by: Sequence[str] = ("mol_id",
 TYPE_COLUMN = 77
 
 
-def _atom_lines(models: DataFrame) -> DataFrame:
+def _lines(models: DataFrame) -> DataFrame:
     keep = [c for c in models.columns if c != "lines"]
-    rows = models.select(*keep, F.posexplode("lines").alias("line_no", "line"))
-    return rows.where(F.col("line").startswith("ATOM"))
+    return models.select(*keep, F.posexplode("lines").alias("line_no", "line"))
 
 
 def pdbqt_atoms(models: DataFrame) -> DataFrame:
     """Atom lines of PDBQT models with their element. ``HETATM`` lines are no atoms here."""
-    whole = _atom_lines(models).where(F.length("line") >= TYPE_COLUMN)
-    return whole.withColumn("element", element_of_pdbqt(F.col("line")))
+    line = F.col("line")
+    whole = line.startswith("ATOM") & (F.length(line) >= TYPE_COLUMN)
+    return _lines(models).where(whole).withColumn("element", element_of_pdbqt(line))
 
 
 def short_atom_lines(models: DataFrame) -> DataFrame:
     """Atom lines that end before the type columns: malformed, and no atoms."""
-    return _atom_lines(models).where(F.length("line") < TYPE_COLUMN)
+    line = F.col("line")
+    return _lines(models).where(line.startswith("ATOM") & (F.length(line) < TYPE_COLUMN))
 
 
 def pdbqt_masses(models: DataFrame, elements: DataFrame) -> DataFrame:
     """``ligand, mass`` of every model; a model without atom lines weighs 0.
 
-    The atoms of a model sum up inside the task that read it, so one row per model is shuffled. Models
-    enter the sum as rows without an element, which keeps models without atoms and saves a join.
+    The lines of a model sum up inside the task that read it, so one row per model is shuffled. Other
+    lines enter the sum without an element: that keeps models without atoms and needs no second read.
     """
     keys = ["src_file", "block_start", "rec_id", "ligand"]
-    atoms = pdbqt_atoms(models).select(*keys, "element")
-    return masses(atoms.unionByName(models.select(*keys, F.lit("").alias("element"))), elements, keys)
+    line = F.col("line")
+    whole = line.startswith("ATOM") & (F.length(line) >= TYPE_COLUMN)
+    parts = _lines(models.select(*keys, "lines")).select(
+        *keys, F.when(whole, element_of_pdbqt(line)).otherwise("").alias("element")
+    )
+    return masses(parts, elements, keys)

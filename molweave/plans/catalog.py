@@ -352,10 +352,10 @@ def contact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    molecules = molecule_atoms(spark, sf_dir)
+    atoms = molecule_atoms(spark, sf_dir).select("name", F.inline("atoms"))
     where = _site(spark, sf_dir)
     width = max(1, where.count())
-    packed = contacts.contact_fingerprints(molecules.select("mol_id", "name"), _exploded(molecules), where, width)
+    packed = contacts.contact_fingerprints(atoms, where, width, by=("name",))
     return packed.select("name", _bit_text(width=width).alias("bits"))
 
 

@@ -3,7 +3,6 @@ import random
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from molweave.functions.geometry import Box
 from molweave.operators import contacts, site
@@ -96,8 +95,9 @@ def test_contacts_equal_brute_force(spark):
         found = contacts.contact_pairs(ligand, where, cutoff, broadcast_rows=limit).distinct()
         assert sorted(map(tuple, found.collect())) == want
     assert (50, 60) not in want
-    molecules = ligand.select("mol_id").distinct().withColumn("name", F.col("mol_id").cast("string"))
-    packed = contacts.contact_fingerprints(molecules, ligand, where, 61, cutoff)
+    packed = contacts.contact_fingerprints(ligand, where, 61, cutoff)
+    salted = contacts.contact_fingerprints(ligand, where, 61, cutoff, broadcast_rows=5)
+    assert rows(packed) == rows(salted)
     assert packed.count() == 14
     assert packed.where("mol_id = 51").first()["words"] == [0]
     assert sorted(map(tuple, unpack_bits(packed, 61, ["mol_id"]).collect())) == want
