@@ -176,12 +176,19 @@ def _sent(state: DataFrame) -> DataFrame:
     return state.select("*", F.explode(F.array_append("near", itself)).alias("m"))
 
 
-def _own(*columns: str) -> list[Column]:
-    return [F.first(F.when(F.col("m.code").isNull(), F.col(c)), ignorenulls=True).alias(c) for c in columns]
+def _received(state: DataFrame, *parts: Column) -> DataFrame:
+    """What arrives at every atom: its own row (if there is such an atom) and sums over its bonds."""
+    # a list of one, as lists aggregate by hashing where a plain "first" of arrays would sort
+    own = F.when(F.col("m.code").isNull(), F.struct(*(c for c in state.columns if c not in ("mol_id", "serial"))))
+    found = _sent(state).groupBy("mol_id", F.col("m.to").alias("serial")).agg(
+        F.collect_list(own).alias("own"), *parts
+    )
+    named = [c for c in found.columns if c != "own"]
+    return found.where(F.size("own") > 0).select(*named, F.col("own")[0].alias("own")).select(*named, "own.*")
 
 
 def circular_environments(atoms: DataFrame, bonds: DataFrame, radius: int = CHEM_RADIUS) -> DataFrame:
-    """Hashed atom environments ``mol_id, serial, round, hash`` up to ``radius`` bonds.
+    """Hashed atom environments ``mol_id, round, hash`` up to ``radius`` bonds.
 
     An atom starts from its element, its degree and its hydrogen count. In each round the atoms send
     their hash along their bonds and mix in what they receive; the received values are summed, so their
@@ -190,9 +197,8 @@ def circular_environments(atoms: DataFrame, bonds: DataFrame, radius: int = CHEM
     earlier round, or a smaller hash of the same round) is the same piece of the molecule and is dropped.
     """
     near_message = F.col("m.code").isNotNull()
-    to = F.col("m.to").alias("serial")
-    counted = _sent(_adjacency(atoms, bonds)).groupBy("mol_id", to).agg(
-        *_own("element", "near"),
+    counted = _received(
+        _adjacency(atoms, bonds),
         F.count_if(near_message).alias("degree"),
         F.count_if(near_message & (F.col("element") == "H")).alias("hydrogens"),
     )
@@ -204,20 +210,18 @@ def circular_environments(atoms: DataFrame, bonds: DataFrame, radius: int = CHEM
         F.lit(number).alias("round"), "hash", cover.alias("cover")
     )
     state = (
-        counted.where("element is not null")
-        .select("mol_id", "serial", "near", start.alias("hash"), none.alias("cover"))
+        counted.select("mol_id", "serial", "near", start.alias("hash"), none.alias("cover"))
         .withColumn("listed", F.array(entry(0, itself)))
     )
     for number in range(1, radius + 1):
-        received = _sent(state).groupBy("mol_id", to).agg(
-            *_own("near", "hash", "cover", "listed"),
+        received = _received(
+            state,
             (F.sum(F.when(near_message, _mix(F.col("m.code"), F.col("hash")))) % _PRIME).alias("total"),
             # an atom has few bonds, so these lists are short
             F.collect_list(F.when(near_message, F.array_append("cover", F.col("m.bond")))).alias("reach"),
         )
         state = (
-            received.where("hash is not null")
-            .withColumn("cover", F.sort_array(F.array_union("cover", F.flatten("reach"))))
+            received.withColumn("cover", F.sort_array(F.array_union("cover", F.flatten("reach"))))
             .withColumn(
                 "hash",
                 F.when(F.col("total").isNull(), F.col("hash")).otherwise(
@@ -232,9 +236,15 @@ def circular_environments(atoms: DataFrame, bonds: DataFrame, radius: int = CHEM
             )
             .select("mol_id", "serial", "near", "hash", "cover", "listed")
         )
-    found = state.select("mol_id", "serial", F.inline("listed"))
-    first = found.groupBy("mol_id", "cover").agg(F.min(F.struct("round", "hash", "serial")).alias("first"))
-    return first.select("mol_id", "first.serial", "first.round", "first.hash")
+    # round and hash as one number, so that the smallest is found by hash aggregation
+    number = F.col("round").cast("bigint") * (_PRIME + 1) + F.col("hash")
+    found = state.select("mol_id", F.inline("listed")).select("mol_id", "cover", number.alias("number"))
+    first = found.groupBy("mol_id", "cover").agg(F.min("number").alias("number"))
+    return first.select(
+        "mol_id",
+        F.shiftright("number", 31).cast("int").alias("round"),
+        F.col("number").bitwiseAND(F.lit(_PRIME).cast("bigint")).alias("hash"),
+    )
 
 
 def circular_bits(
