@@ -11,6 +11,7 @@ from molweave.constants import CHEM_RADIUS, CHEM_WIDTH
 from molweave.functions.text import short_id
 
 WORD = 64
+MAX_COLUMNS = 64
 
 
 def words_for(width: int) -> int:
@@ -21,6 +22,8 @@ def pack_bits(df: DataFrame, by: Sequence[str], width: int, bit: str = "bit") ->
     """Long form to packed form. Repeated bits collapse before the shuffle; a null bit sets nothing."""
     mask = F.expr(f"shiftleft(1L, cast(`{bit}` % {WORD} as int))")
     word = F.floor(F.col(bit) / WORD)
+    if words_for(width) > MAX_COLUMNS:
+        return _pack_wide(df, by, width, word, mask)
     parts = [
         F.coalesce(F.bit_or(F.when(word == i, mask)), F.lit(0).cast("long")).alias(f"_w{i}")
         for i in range(words_for(width))
@@ -29,19 +32,14 @@ def pack_bits(df: DataFrame, by: Sequence[str], width: int, bit: str = "bit") ->
     return packed.select(*by, F.array(*(f"_w{i}" for i in range(words_for(width)))).alias("words"))
 
 
-def pack_array(bits: Column, width: int) -> Column:
-    """Packed words of an ``array<int>`` of bit numbers inside one row."""
-    one = F.lit(1).cast("long")
-
-    def word(i: int) -> Column:
-        mine = F.filter(bits, lambda b: F.floor(b / WORD) == i)
-        return F.aggregate(
-            mine,
-            F.lit(0).cast("long"),
-            lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, (b % WORD).cast("int"))),
-        )
-
-    return F.array(*(word(i) for i in range(words_for(width))))
+def _pack_wide(df: DataFrame, by: Sequence[str], width: int, word: Column, mask: Column) -> DataFrame:
+    """Packing by word number first, where one column per word would be too many."""
+    parts = df.groupBy(*by, word.alias("_word")).agg(F.bit_or(mask).alias("_value"))
+    entry = F.when(F.col("_word").isNotNull(), F.struct("_word", "_value"))
+    grouped = parts.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_words"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(words_for(width) - 1).cast("bigint"))
+    value = lambda i: F.coalesce(F.try_element_at("_words", i), F.lit(0).cast("bigint"))
+    return grouped.select(*by, F.transform(places, value).alias("words"))
 
 
 def unpack_bits(df: DataFrame, width: int, keep: Sequence[str]) -> DataFrame:

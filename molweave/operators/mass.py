@@ -12,15 +12,18 @@ from molweave.functions.text import ascii_lower
 
 
 def with_mass(atoms: DataFrame, elements: DataFrame) -> DataFrame:
-    """Add ``mass`` by element; an unknown element weighs 0. The element table has 109 rows."""
-    table = F.broadcast(elements.select(F.col("symbol").alias("_symbol"), F.col("mass")))
+    """Add ``mass`` by element; an unknown element weighs 0.
+
+    The built-in element table has 109 rows, which Spark broadcasts by its known size.
+    """
+    table = elements.select(F.col("symbol").alias("_symbol"), F.col("mass"))
     joined = atoms.join(table, ascii_lower(F.col("element")) == F.col("_symbol"), "left")
     return joined.withColumn("mass", F.coalesce("mass", F.lit(0.0))).drop("_symbol")
 
 
 def unknown_elements(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """Elements that are not in the table, with their number of atoms."""
-    table = F.broadcast(elements.select("symbol"))
+    table = elements.select("symbol")
     counted = atoms.groupBy(ascii_lower(F.col("element")).alias("symbol")).agg(
         F.count("*").alias("atoms")
     )

@@ -388,7 +388,7 @@ def _class_pattern(kind: int) -> Query:
 
 def _net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _space(base(spark, sf_dir), "contacts")
-    return patterns.net_scores(patterns.pattern_scores(vectors, _pattern(spark, sf_dir), WIDTH))
+    return patterns.net_scores(patterns.pattern_scores(vectors, _pattern(spark, sf_dir)))
 
 
 def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,9 @@ def get_spark(app: str = "molweave", cores: str | int = "*", **conf: str) -> Spa
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -42,14 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="molweave-")
-    spark.conf.set(CHECKPOINT_KEY, named)
-    return named
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="molweave-")
+    return _LOCAL_DIRS[context.applicationId]
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This session's own folder inside the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/molweave-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the session's folder."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the session's intermediate tables. Call it when no result that reads them is needed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -128,6 +128,8 @@ def test_pack_and_unpack(spark, left):
     none = left.select("name", F.lit(None).cast("int").alias("bit"))
     again = fp.pack_bits(long.unionByName(none), ["name"], 128)
     assert rows(again) == rows(left, "name", "words")
+    wide = fp.pack_bits(long.unionByName(none), ["name"], 64 * 70)
+    assert rows(wide) == sorted(((a[1], a[2] + [0] * 68) for a in LEFT), key=str)
 
 
 @pytest.mark.parametrize("chem_width", [128, 70])
