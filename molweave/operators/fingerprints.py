@@ -57,14 +57,10 @@ def bit_count(words: Column) -> Column:
 # --- concatenation of two fingerprints of one compound
 
 
-def _join_words(left: Column, right: Column) -> Column:
-    return F.concat(left, right)
-
-
 def _concatenated(pairs: DataFrame, left_width: int, right_width: int) -> DataFrame:
     """``pairs`` holds ``name, ord, words, words2``; the second vector is shifted by the first width."""
     if left_width % WORD == 0:
-        return pairs.select("name", "ord", _join_words(F.col("words"), F.col("words2")).alias("words"))
+        return pairs.select("name", "ord", F.concat("words", "words2").alias("words"))
     first = unpack_bits(pairs, left_width, ["name", "ord"])
     second = unpack_bits(
         pairs.select("name", "ord", F.col("words2").alias("words")), right_width, ["name", "ord"]

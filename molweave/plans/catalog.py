@@ -9,7 +9,6 @@ texts made from events, bonded molecules are orders with their lines as atoms.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -513,8 +512,8 @@ def _similar_text(column: str) -> Column:
 
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report over all base compounds: the 150 best energies with their 3 most similar in each space."""
-    records_ = _records(spark, sf_dir, base(spark, sf_dir).select("name", "energy"), 3)
-    out = screening.report_table(records_)
+    chosen = screening.first_by_energy(base(spark, sf_dir).select("name", "energy"))
+    out = screening.report_table(_records(spark, sf_dir, materialise(chosen, "chosen"), 3))
     return out.select(
         "id", "energy", F.round("score", 6).alias("score"), "band", "image",
         _similar_text("similarContacts"), _similar_text("similarChem"),

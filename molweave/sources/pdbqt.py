@@ -26,7 +26,9 @@ def _model_lines(value: Column) -> Column:
 def read_pdbqt(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per model: place columns, ``ligand`` and ``lines``. Empty models are dropped."""
     # a file may begin with the end mark, hence the second filter below
-    records = read_records(spark, path, "\n" + END_MARK)
+    records = read_records(spark, path, "\n" + END_MARK).withColumn(
+        "value", F.replace("value", F.lit("\r"), F.lit(""))
+    )
     named = F.filter("lines", lambda line: line.startswith(NAME_MARK) & (F.length(line) > len(NAME_MARK)))
     name = F.substring(F.try_element_at(named, F.lit(-1)), len(NAME_MARK) + 1, 2147483647)
     return (

@@ -115,5 +115,13 @@ def test_box_edges_and_quality(spark):
     atoms = spark.createDataFrame([(0, 1.5, 1.0, -1.0, 1.0), (1, 1.5001, 0.0, 0.0, 1.0)], POINT)
     assert [r["atom_id"] for r in contacts.box_atoms(atoms, box).collect()] == [0]
     assert tuple(contacts.box_quality(atoms, box).first()) == (2, 1, True)
-    plan = contacts.box_atoms(atoms, box)._jdf.queryExecution().optimizedPlan().toString()
-    assert "1.5" in plan
+
+
+def test_box_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "atoms")
+    spark.createDataFrame(random_atoms(20, 5, 1), POINT).write.parquet(path)
+    inside = contacts.box_atoms(spark.read.parquet(path), Box((0.0, 0.0, 0.0), (3.0, 2.0, 2.0)))
+    plan = inside.select("atom_id")._jdf.queryExecution().executedPlan().toString()
+    # the plan text cuts the list of pushed filters short
+    assert "PushedFilters" in plan and "LessThanOrEqual(x,1.5)" in plan
+    assert "radius" not in plan

@@ -129,6 +129,24 @@ def test_pdbqt(spark, tmp_path):
     assert short_atom_lines(models).count() == 1
 
 
+def test_pdbqt_split_size_does_not_matter(spark, tmp_path):
+    text = "".join(
+        f"MODEL {i}\r\nREMARK  Name = lig_{i}\r\n{_pdbqt_line('ATOM', ' C', 'C')}\r\nENDMDL\r\n" for i in range(200)
+    )
+    (tmp_path / "m.pdbqt").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        models = pdbqt.read_pdbqt(spark, str(tmp_path))
+        assert models.rdd.getNumPartitions() > 5
+        found = rows(models, "ligand", F.size("lines"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == sorted(((f"lig_{i}", 2) for i in range(200)), key=str)
+
+
 def test_models_written_and_read_again(spark, tmp_path):
     models = spark.createDataFrame(
         [(i, f"lig_{i % 3}", [f"REMARK  Name = lig_{i % 3}", f"ROOT {i}"]) for i in range(7)],
