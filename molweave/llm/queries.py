@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .decontaminate import OP9_SQL, op9_decontaminate
+from .embeddings import op3_embeddings
+from .simhash import op6_simhash
 from .token_file import op2_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
+    "op3_embeddings": op3_embeddings,
     "op4_bpe": op4_bpe,
+    "op6_simhash": op6_simhash,
+    "op9_decontaminate": op9_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
