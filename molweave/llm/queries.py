@@ -9,15 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .embeddings import op3_embeddings
+from .language import op5_language
+from .pii import op10_pii
+from .sharding import op8_shards
 from .simhash import op6_simhash
 from .token_file import op2_token_file
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_file": op2_token_file,
     "op3_embeddings": op3_embeddings,
     "op4_bpe": op4_bpe,
+    "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op8_shards": op8_shards,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
