@@ -15,6 +15,7 @@ from .sharding import op8_shards
 from .simhash import op6_simhash
 from .token_file import op2_token_file
 from .toxicity import op1_toxicity
+from .wrappers import op7_main_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op7_main_text": op7_main_text,
     "op8_shards": op8_shards,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
