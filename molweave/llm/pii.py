@@ -49,26 +49,30 @@ NAMES = {
     },
 }
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+INITIALS = "".join(sorted({word[0] for word in f"{MALE}|{FEMALE}|{NEUTRAL}".split("|")}))
+
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+ACCESS_KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
-NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?"
-#: earlier alternatives win at the same place
-PATTERN = "|".join([EMAIL, ACCESS_KEY, IBAN, IP, SSN, PHONE, CARD, NAME])
-#: texts without any of these hold no entity
-HINT = rf"[0-9@]|AKIA|ASIA|{MALE}|{FEMALE}|{NEUTRAL}"
+NAME = rf"(?=[{INITIALS}])(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?"
+#: an entity begins where no Latin letter or digit stands before it, which settles most places at once; earlier
+#: alternatives win at the same place
+PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join([EMAIL, ACCESS_KEY, IBAN, IP, SSN, PHONE, CARD, NAME]) + ")"
 
 
 def kind_of(value: Column) -> Column:
+    """The type of a match; null for a number that only looks like a card."""
+    plain = F.regexp_replace(value, "[^0-9]", "")
+    card = luhn_digit(F.substring(plain, F.lit(1), F.length(plain) - 1)) == F.substring(plain, -1, 1)
     full = lambda p: value.rlike(f"^(?:{p})$")
     return (
         F.when(value.contains("@"), "email").when(value.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "key").when(value.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
         .when(value.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").when(value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(full(PHONE), "phone").when(value.rlike("^[0-9]"), "card").otherwise("name")
+        .when(full(PHONE), "phone").when(value.rlike("^[0-9]"), F.when(card, "card")).otherwise("name")
     )
 
 
@@ -88,6 +92,7 @@ def _number(stream: Column, at: Column) -> Column:
     return F.conv(F.substring(stream, at * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
+#: fixed values: what may stand for a character
 ALPHABETS = [("0", "9", "0123456789"), ("a", "z", "abcdefghijklmnopqrstuvwxyz"), ("A", "Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
 
 
@@ -164,34 +169,39 @@ def _name(value: Column, stream: Column) -> Column:
     def pick(kind: str | None, at: int) -> Column:
         out = F.lit(None).cast("string")
         for s, lists in NAMES.items():
-            for g in ("m", "f", "n"):
-                pool = F.array(*map(F.lit, lists[kind or g]))
-                out = F.when((script == s) & (gender == g), pool[F.pmod(_number(stream, F.lit(at)), F.size(pool))]).otherwise(out)
+            for g in ("m", "f", "n") if kind is None else (kind,):
+                here = (script == s) & (gender == g) if kind is None else script == s
+                pool = F.split(F.lit(",".join(lists[g])), ",")
+                out = F.when(here, pool[F.pmod(_number(stream, F.lit(at)), F.lit(len(lists[g])))]).otherwise(out)
         return out
 
-    # the family name is followed by letters of the stream, so that distinct persons can stay distinct
+    # letters follow the family name, so that distinct persons can stay distinct
     alone = F.size(names) == 1
-    tail = lambda at: F.when(script == "latin", F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + 3)), lambda i: F.substring(F.lit("aeiounrst"), F.pmod(_number(stream, i), F.lit(9)) + 1, F.lit(1))), "")).when(
-        script == "cyrillic", F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + 3)), lambda i: F.substring(F.lit("аеионрст"), F.pmod(_number(stream, i), F.lit(8)) + 1, F.lit(1))), "")
-    ).otherwise(F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + 3)), lambda i: F.substring(F.lit("αεινορστ"), F.pmod(_number(stream, i), F.lit(8)) + 1, F.lit(1))), ""))
+    letters = F.when(script == "latin", "aeiounrst").when(script == "cyrillic", "аеионрсту").otherwise("αεινορστυ")
+    tail = lambda at: F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + 3)), lambda i: F.substring(letters, F.pmod(_number(stream, i), F.lit(9)) + 1, F.lit(1))), "")
     last = F.concat(pick("last", 1), tail(2))
     return F.when(alone, F.concat_ws(" ", title, last)).otherwise(F.concat_ws(" ", title, pick(None, 0), last))
 
 
 def surrogate(value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity at a draw."""
-    stream = _stream(key, value, attempt, F.length(value) + 8)
+    """The surrogate of an entity at a draw. A card number whose check digit is wrong is none and stays."""
     kind = kind_of(value)
-    return (
-        F.when(kind == "email", _email(value, stream)).when(kind == "key", F.concat(F.substring(value, 1, 4), _shaped(F.substring(value, 5, 16), stream)))
-        .when(kind == "iban", _iban(value, stream)).when(kind == "ip", _ip(stream)).when(kind == "card", _card(value, stream))
-        .when(kind == "name", _name(value, stream))
-        .when(kind == "phone", F.concat(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])|^", 0), _shaped(F.regexp_replace(value, r"^\+[0-9]{1,3}(?=[ .(-])", ""), stream))).otherwise(_shaped(value, stream))
-    )
+
+    def drawn(stream: Column) -> Column:
+        prefix = r"^\+[0-9]{1,3}(?=[ .(-])"
+        phone = F.concat(F.regexp_extract(value, prefix + "|^", 0), _shaped(F.regexp_replace(value, prefix, ""), stream))
+        return (
+            F.when(kind == "email", _email(value, stream)).when(kind == "key", F.concat(F.substring(value, 1, 4), _shaped(F.substring(value, 5, 16), stream)))
+            .when(kind == "iban", _iban(value, stream)).when(kind == "ip", _ip(stream)).when(kind == "card", _card(value, stream))
+            .when(kind == "name", _name(value, stream)).when(kind == "phone", phone).when(kind == "ssn", _shaped(value, stream)).otherwise(value)
+        )
+
+    # a one-element transform binds the stream, so that it is computed once and not at every use
+    return F.transform(F.array(_stream(key, value, attempt, F.length(value) + 8)), drawn)[0]
 
 
 def entities_of(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), 0), F.array().cast("array<string>"))
 
 
 def replacements(values: DataFrame, key: str) -> DataFrame:
@@ -216,8 +226,9 @@ def replace_pii(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     rows get equal results; an empty table gives an empty one; input columns named like an added one are replaced.
     """
     kept = [c for c in df.columns if c not in ("n_entities", "kinds")]
-    found = df.select(*kept, F.coalesce(entities_of(F.col(text)), F.array().cast("array<string>")).alias("__found"))
-    values = found.select(F.explode("__found").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    # written once: the pattern runs over every text a single time, and the draws below read the entities alone
+    found = materialise(df.select(*kept, entities_of(F.col(text)).alias("__found")), "entities")
+    values = found.select(F.explode("__found").alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(kind_of(F.col("value")).isNotNull())
     redrawn = replacements(values, key).where("attempt > 0").select("value", "replacement")
     if redrawn.isEmpty():
         rewritten = F.transform("__found", lambda v: surrogate(v, F.lit(0), key))
@@ -231,8 +242,9 @@ def replace_pii(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     pieces = F.split(F.col(text), PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("__new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     new = F.when(F.size("__found") > 0, joined).otherwise(F.col(text)).alias(text)
-    kinds = F.array_sort(F.array_distinct(F.transform("__found", kind_of)))
-    return found.select(*(new if c == text else F.col(c) for c in kept), F.size("__found").cast("long").alias("n_entities"), kinds.alias("kinds"))
+    types = F.filter(F.transform("__found", kind_of), lambda k: k.isNotNull())
+    found = found.withColumn("__types", types)
+    return found.select(*(new if c == text else F.col(c) for c in kept), F.size("__types").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("__types")).alias("kinds"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
