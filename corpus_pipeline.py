@@ -1,13 +1,85 @@
-"""A pipeline over the documents table, stage by stage. Counted as part of the llm subpackage."""
+"""A training-data pipeline over the documents table. Counted as part of the llm subpackage.
+
+Every stage takes all that its predecessor kept and is written as Parquet before the next one reads it. All but the
+last return the columns they got. Rows with null ids or texts and repeated rows pass through the same rules: a null
+text has no language and leaves in the first stage, of repeated rows one stays in the second. An empty table gives
+an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from molweave.llm.bpe import bpe_roundtrip
+from molweave.llm.decontaminate import decontaminate
+from molweave.llm.language import NO_LANGUAGE, fit, predict
+from molweave.llm.pii import replace_pii
+from molweave.llm.simhash import fingerprints, near_fingerprints
 from molweave.session import materialise
 
-STAGES = [("byte_bpe", lambda spark, docs, sf_dir: bpe_roundtrip(docs))]
+#: row numbers (8 bytes each) that are sent to every task at most; more meet the documents in a shuffle join
+SEND_ROWS = 4_000_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in the one-column table ``dropped``."""
+    few = dropped.count() <= SEND_ROWS
+    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language stay; a missing ``lang`` is filled in. Texts that are null or have no letter go."""
+    model = fit(docs.select("doc_id", "text", "lang"))
+    found = predict(docs.withColumns({"__text": F.col("text")}), model, "__text", docs.columns)
+    lang = F.coalesce("lang", "lang_pred").alias("lang")
+    return found.where(F.col("lang_pred") != NO_LANGUAGE).select(*(lang if c == "lang" else c for c in docs.columns))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates the row of the smallest id stays (null ids last, then any one of equal rows)."""
+    coded = fingerprints(docs.withColumns({"__text": F.col("text")}), "__text", docs.columns)
+    # rows are numbered in the written table, so that every later read sees the same numbers
+    coded = materialise(coded.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = coded.select("__row", "simhash", "doc_id")
+    near = near_fingerprints(rows.select(F.col("simhash").alias("fp")).distinct())
+    first = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("__row").alias("row"))
+    # copies are combined by fingerprint before groups are
+    least = rows.groupBy(F.col("simhash").alias("fp")).agg(F.min(first).alias("first")).join(near, "fp")
+    kept = least.groupBy("component").agg(F.min("first").alias("first"))
+    dropped = rows.select("__row").join(kept.select(F.col("first.row").alias("__row")), "__row", "left_anti")
+    return _without(coded, materialise(dropped, "dropped"), "__row").select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go; equal rows share the decision."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    hit = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__key").where("n_hit > 0").select("__key").distinct()
+    return _without(keyed, materialise(hit, "contaminated"), "__key").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts becomes surrogates; ``n_chars`` follows the new text."""
+    clean = replace_pii(docs)
+    return clean.select(*(F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document (little-endian unsigned 32-bit) and whether they decode to its text."""
+    kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded", "exact")]
+    coded = bpe_roundtrip(docs.withColumn("__utf8", F.col("text").cast("binary")), keep=[*kept, "__utf8"])
+    return coded.select(*kept, "n_tokens", "ids", (F.coalesce("__utf8", F.lit(b"")) == F.col("decoded")).alias("exact"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("simhash_dedup", simhash_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("pii_surrogates", pii_stage),
+    ("byte_bpe", bpe_stage),
+]
+
+#: fingerprints, surrogates and token ids have no SQL form; tests compare with brute force
 ORACLE_SQL = None
 
 
