@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ DISTANCE = 3
 SAMPLE = 20_000
 #: shingles hashed at once
 CHUNK = 1 << 15
-#: partition counts among which the cheapest is taken
-PARTS = (2, 3, 4)
+#: partitions of the full distance: about 21 bits each, so value lists stay short up to many millions of fingerprints
+PARTS = 3
+#: values of the largest ball that a fingerprint may probe in one partition
+BALL = 64
 SPACES = bytes(range(9, 14)) + b" "
 
 
@@ -126,10 +129,10 @@ class Plan:
         for i, group in enumerate(self.groups):
             own, (keys, counts) = values(fps, group), self.seen[i]
             for t in range(top + 1):
+                if sum(comb(len(group), r) for r in range(t + 1)) > BALL:
+                    cost[:, i, t + 1 :] = np.inf
+                    break
                 ball = masks(len(group), t)
-                if len(ball) > 2_000:  # larger balls never pay
-                    cost[:, i, t + 1] = np.inf
-                    continue
                 near = np.zeros(len(fps))
                 for mask in ball if len(keys) else []:
                     at = np.minimum(np.searchsorted(keys, own ^ mask), len(keys) - 1)
@@ -139,8 +142,8 @@ class Plan:
                 cost[:, i, t + 1] = len(ball) + np.maximum(near * self.scale, floor)
         return cost
 
-    def thresholds(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(t of every partition, total cost) by dynamic programming over partitions and the units spent."""
+    def thresholds(self, fps: np.ndarray) -> np.ndarray:
+        """t[fingerprint, partition], by dynamic programming over partitions and the units spent."""
         cost, units = self.estimates(fps), self.distance + 1
         n, parts = len(fps), len(self.groups)
         best = np.full((n, units + 1), np.inf)
@@ -158,7 +161,7 @@ class Plan:
         for i in reversed(range(parts)):
             out[:, i] = choice[i, np.arange(n), left] - 1
             left -= out[:, i] + 1
-        return out, best[:, units]
+        return out
 
 
 KEYS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("grp", T.LongType())])
@@ -173,7 +176,7 @@ def _rows(nodes: DataFrame, plan: Plan, probe: bool) -> DataFrame:
                 continue
             fp, grp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             unsigned = fp.view(np.uint64)
-            t = plan.thresholds(unsigned)[0] if probe else np.zeros((len(fp), len(plan.groups)), np.int64)
+            t = plan.thresholds(unsigned) if probe else np.zeros((len(fp), len(plan.groups)), np.int64)
             for i, group in enumerate(plan.groups):
                 own = values(unsigned, group)
                 for radius in range(plan.distance + 1):
@@ -187,7 +190,8 @@ def _rows(nodes: DataFrame, plan: Plan, probe: bool) -> DataFrame:
                             names=KEYS.names,
                         )
 
-    return nodes.select("fp", "grp").mapInArrow(run, KEYS)
+    dealt = nodes.select("fp", "grp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return dealt.mapInArrow(run, KEYS)
 
 
 def _links(nodes: DataFrame, plan: Plan) -> DataFrame:
@@ -213,9 +217,8 @@ def near_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     sample = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) < cut).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     nodes = fps.select("fp", F.col("fp").alias("grp"))
     for level in dict.fromkeys((1, distance)):
-        scale = n / max(len(sample), 1)
-        plans = [Plan(sample, scale, m, level) for m in PARTS if m <= level + 1]
-        plan = min(plans, key=lambda p: p.thresholds(sample[:2_000])[1].sum() + len(p.groups) * len(sample[:2_000]))
+        # more partitions than level + 1 would leave some without a probe
+        plan = Plan(sample, n / max(len(sample), 1), min(PARTS, level + 1), level)
         linked = materialise(_links(nodes, plan), "simhash_links")
         groups = nodes.select(F.col("fp").alias("a"), F.col("grp").alias("b")).where("a != b")
         joined = connected_components(linked.unionByName(groups))
