@@ -18,24 +18,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_text, table
-from .words import WordTable
+from .words import PieceTable, per_process
 
 #: contractions in one recursive query; longer words go on in the next one, so its rows stay bounded
 DEPTH = 48
 #: bytes of words in one recursive query
-QUERY_BYTES = 2_000_000
+QUERY_BYTES = 250_000
 #: token rows in one decoding query
 DECODE_TOKENS = 4_000_000
 
-#: Rows link to the next position, so a step is two hash joins and one aggregation. One pair a step.
+#: Rows link to the next position, so a step is two hash joins and one aggregation. One pair of a word a step.
 CONTRACT = f"""
 WITH RECURSIVE steps AS (
-  SELECT word, pos, id, lead(pos) OVER (PARTITION BY word ORDER BY pos) AS next, 0 AS step FROM tokens
+  SELECT word, pos, id, next, 0 AS step FROM tokens
   UNION ALL
   (WITH pairs AS MATERIALIZED (
      SELECT l.word, l.pos, l.id, l.next, r.next AS after, l.step, m.rank
-     FROM steps l LEFT JOIN steps r ON r.word = l.word AND r.pos = l.next
-     LEFT JOIN merges m ON m.a = l.id AND m.b = r.id WHERE l.step < {DEPTH}),
+     FROM steps l LEFT JOIN steps r ON r.pos = l.next
+     LEFT JOIN merges m ON m.pair = (l.id::BIGINT << 32) | r.id WHERE l.step < {DEPTH}),
    best AS (
      SELECT word, min((rank::BIGINT << 32) | pos) AS first, arg_min(next, (rank::BIGINT << 32) | pos) AS gone
      FROM pairs WHERE rank IS NOT NULL GROUP BY word)
@@ -44,7 +44,7 @@ WITH RECURSIVE steps AS (
    FROM pairs JOIN best USING (word) WHERE pos <> gone)
 )
 SELECT word, pos, id, step FROM steps JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step)
-ORDER BY word, pos
+ORDER BY pos
 """
 
 #: The same for long words: a step contracts every pair of the smallest rank, leftmost first and without overlap.
@@ -57,7 +57,7 @@ WITH RECURSIVE steps AS (
      SELECT word, pos, id, step, lead(id) OVER (PARTITION BY word ORDER BY pos) AS id2 FROM steps),
    pairs AS MATERIALIZED (
      SELECT h.word, h.pos, h.id, h.step, m.rank, min(m.rank) OVER (PARTITION BY h.word) AS best
-     FROM here h LEFT JOIN merges m ON m.a = h.id AND m.b = h.id2),
+     FROM here h LEFT JOIN merges m ON m.pair = (h.id::BIGINT << 32) | h.id2),
    busy AS MATERIALIZED (
      SELECT *, rank IS NOT NULL AND rank = best AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS n
      FROM pairs WHERE best IS NOT NULL AND step < {DEPTH}),
@@ -92,54 +92,52 @@ class DuckBpe:
         self.con.register("v", vocabulary)
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         cuts = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        a, b, r = (pa.array(x, pa.int32()) for x in zip(*cuts, strict=True))
-        self.con.register("m", pa.table({"a": a, "b": b, "rank": r}))
+        self.con.register("m", pa.table({"pair": pa.array([a << 32 | b for a, b, _ in cuts], pa.int64()), "rank": pa.array([r for *_, r in cuts], pa.int32())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.single = np.zeros(256, np.int32)
         for byte in range(256):
             self.single[byte] = ranks[bytes([byte])]
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """One id array for each word."""
-        out: list = [None] * len(words)
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of every word, and all ids in a row."""
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
-        begin = 0
-        while begin < len(coded):
-            end, size = begin, 0
-            while end < len(coded) and (end == begin or size + len(coded[end]) <= QUERY_BYTES):
-                size += len(coded[end])
-                end += 1
-            for i, ids in self._encode(coded[begin:end]):
-                out[begin + i] = ids
-            begin = end
-        return out
-
-    def _encode(self, coded: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        self.con.register("w", pa.table({"word": pa.array(range(len(coded)), pa.int32()), "token": pa.array(coded, pa.binary())}))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        if not coded:
+            return sizes, np.zeros(0, np.int32)
+        cuts, size = [0], 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > QUERY_BYTES:
+                cuts.append(i)
+                size = 0
+            size += n
+        parts = [self._encode(coded[a:b], sizes[a:b]) for a, b in zip(cuts, [*cuts[1:], len(coded)], strict=True)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, coded: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.con.register("w", pa.table({"word": pa.array(np.arange(len(coded), dtype=np.int32)), "token": pa.array(coded, pa.binary())}))
         known = self.con.execute("SELECT word, id FROM w JOIN vocabulary USING (token)").fetchnumpy()
         whole = np.zeros(len(coded), bool)
         whole[known["word"]] = True
-        for i, one in zip(known["word"].tolist(), known["id"], strict=True):
-            yield i, np.array([one], np.int32)
-        long = np.fromiter((len(c) >= LONG for c in coded), bool, len(coded))
-        yield from self._contract(coded, np.flatnonzero(~whole & ~long), CONTRACT)
-        yield from self._contract(coded, np.flatnonzero(~whole & long), CONTRACT_LONG)
-
-    def _contract(self, coded: list[bytes], rest: np.ndarray, query: str) -> Iterator[tuple[int, np.ndarray]]:
+        found = [(known["word"], known["id"])]
+        for rest, query in ((~whole & (sizes < LONG), CONTRACT), (~whole & (sizes >= LONG), CONTRACT_LONG)):
+            found += self._contract(coded, sizes, np.flatnonzero(rest), query)
+        word, ids = (np.concatenate([np.asarray(f[k]) for f in found]) for k in (0, 1))
+        return np.bincount(word, minlength=len(coded)), ids[np.argsort(word, kind="stable")].astype(np.int32)
+
+    def _contract(self, coded: list[bytes], sizes: np.ndarray, rest: np.ndarray, query: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, id) arrays of finished words, tokens of a word in their order."""
         if not len(rest):
             return
-        sizes = np.fromiter((len(coded[i]) for i in rest), np.int64, len(rest))
-        ids = self.single[np.frombuffer(b"".join(coded[i] for i in rest), np.uint8)]
-        word = np.repeat(rest.astype(np.int32), sizes)
-        pos = (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        n = sizes[rest]
+        ids = self.single[np.frombuffer(b"".join([coded[i] for i in rest.tolist()]), np.uint8)]
+        word, pos = np.repeat(rest.astype(np.int32), n), np.arange(len(ids), dtype=np.int32)
         while len(word):
-            self.con.register("tokens", pa.table({"word": word, "pos": pos, "id": ids}))
+            following = pa.array(np.append(pos[1:], 0), mask=np.append(word[1:] != word[:-1], True))
+            self.con.register("tokens", pa.table({"word": word, "pos": pos, "id": ids, "next": following}))
             got = self.con.execute(query).fetchnumpy()
             word, pos, ids, step = (np.asarray(got[c]) for c in ("word", "pos", "id", "step"))
             done = step < DEPTH
-            at = np.flatnonzero(np.diff(word[done], prepend=-1))
-            for i, part in zip(word[done][at].tolist(), np.split(ids[done], at[1:]), strict=True):
-                yield i, part
+            yield word[done], ids[done]
             word, pos, ids = word[~done], pos[~done], ids[~done]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -175,6 +173,26 @@ class DuckBpe:
                 out[piece[k][0]].append(bytes(data[ends[i] : ends[j]]))
 
 
+class WordCutter:
+    """Cuts strings into words, encodes every distinct word once and puts the strings together."""
+
+    def __init__(self, pattern, engine: DuckBpe):
+        self.find, self.engine = pattern.findall, engine
+
+    def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [self.find(s) for s in strings]
+        words = [w for x in cut for w in x]
+        index = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        sizes, flat = self.engine.encode(list(index))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        of = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        size = sizes[of]
+        after = np.cumsum(size)
+        ids = flat[np.arange(int(after[-1]) if len(after) else 0) - np.repeat(after - size - starts[of], size)]
+        counts = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        return np.diff(np.concatenate([[0], after])[counts], prepend=0), ids
+
+
 def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (bytes of the decoded ids).
 
@@ -188,12 +206,16 @@ def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pa
         import public_tokenizers
         import regex
 
-        words = regex.compile(pattern or public_tokenizers.PATTERN)
-        engine = DuckBpe(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-        known = WordTable(engine.encode)
+        file, cut = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+
+        def load():
+            engine = DuckBpe(file)
+            return engine, PieceTable(WordCutter(regex.compile(cut), engine).encode)
+
+        engine, known = per_process(("duckdb", file, cut), load)
 
         def run(texts: list[str | None]) -> list[pa.Array]:
-            ids = known.texts([words.findall(t or "") for t in texts])
+            ids = known.texts([t or "" for t in texts])
             decoded = engine.decode(ids)
             return [
                 pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from molweave.session import materialise, scratch_path
 
 from .common import local_path, table
-from .words import WordTable, lots
+from .words import PieceTable, lots, per_process, rows_of
 
 MAGIC = b"MWDAC1"
 WIDTH = 8
@@ -124,6 +124,42 @@ class TokenFile:
             yield doc, ids[self.starts[k] : self.starts[k + 1]]
 
 
+def encode_strings(model, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of strings by the tokenizers library.
+
+    Strings that begin with a space and hold no carriage return are joined by one, which the byte-level pattern makes
+    a token of its own before a space and a letter, so that many share a call; others are encoded one by one.
+    """
+    mark = model.encode("\r", add_special_tokens=False).ids
+    fit = [k for k, s in enumerate(strings) if s[:1] == " " and "\r" not in s and s[1:] == s.strip()]
+    sizes = np.zeros(len(strings), np.int64)
+    parts: dict[int, np.ndarray] = {}
+    if len(mark) == 1:
+        lists = [fit[k : k + 4096] for k in range(0, len(fit), 4096)]
+        for own, found in zip(lists, model.encode_batch_fast(["\r".join([strings[k] for k in own]) for own in lists], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int32)
+            ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
+            if len(ends) == len(own):
+                size = np.diff(ends, prepend=-1) - 1
+                sizes[own] = size
+                parts[own[0]] = ids[ids != mark[0]]
+            else:
+                fit = [k for k in fit if k not in set(own)]
+    else:
+        fit = []
+    rest = np.setdiff1d(np.arange(len(strings)), fit)
+    n, flat = rows_of([e.ids for e in model.encode_batch_fast([strings[k] for k in rest.tolist()], add_special_tokens=False)])
+    sizes[rest] = n
+    out = np.zeros(int(sizes.sum()), np.int32)
+    after = np.cumsum(sizes)
+    joined = np.concatenate([*parts.values(), flat]) if parts else flat
+    order = np.concatenate([np.array(fit, np.int64), rest])
+    size = sizes[order]
+    at = np.arange(len(joined)) - np.repeat(np.cumsum(size) - size, size) + np.repeat((after - sizes)[order], size)
+    out[at] = joined
+    return sizes, out
+
+
 MANIFEST = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
@@ -135,6 +171,8 @@ MANIFEST = T.StructType(
 )
 #: tokens of one file; a document is never cut, so a longer one is a file of its own
 FILE_TOKENS = 16_000_000
+#: characters that are encoded at once
+LOT_CHARS = 4_000_000
 
 
 def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, partitions: int | None = None) -> DataFrame:
@@ -154,17 +192,19 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
 
         import public_tokenizers
         import pyarrow as pa
-        import regex
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+
+        def load():
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_file(path)
+            model.encode_special_tokens = True
+            return PieceTable(lambda new: encode_strings(model, new))
 
-        model = Tokenizer.from_file(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-        model.encode_special_tokens = True
-        # the file's own byte-level step cuts texts by this pattern, so words can be encoded one by one
-        words = regex.compile(public_tokenizers.PATTERN)
-        known = WordTable(lambda new: [e.ids for e in model.encode_batch_fast(new, add_special_tokens=False)])
+        known = per_process(("tokenizers", path), load)
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int] = []
@@ -186,8 +226,8 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
         for batch in batches:
             keys = [-(2**63) if k is None else k for k in batch.column(0).to_pylist()]
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lot in lots(texts):
-                for key, x in zip(keys[lot], known.texts([words.findall(t) for t in texts[lot]]), strict=True):
+            for lot in lots(texts, LOT_CHARS):
+                for key, x in zip(keys[lot], known.texts(texts[lot]), strict=True):
                     x = np.append(x, end_id).astype(np.uint32)
                     if names and size + len(x) > FILE_TOKENS:
                         yield flush()

@@ -1,63 +1,110 @@
-"""Byte-level pre-tokenisation and a bounded word table, shared by the token operators.
+"""Texts put together from a bounded table of encoded pieces, shared by the token operators.
 
-A text is cut by the public pattern into words; every distinct word of a task is encoded once and texts are then
-put together from the table by array operations, so memory follows the batch and the bounded table.
+A single space between two visible characters is always a word boundary of the byte-level pattern, and the space
+belongs to the word after it. So a text is cut at its spaces and every distinct piece of a process is encoded once;
+texts are then put together from the table by array operations. A text in which a space has another white space
+beside it (or an end of the text) is encoded as a whole. Memory follows the batch and the bounded table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
-#: distinct words a task keeps before the table starts anew
-TABLE_WORDS = 400_000
-#: characters of text that are put together at once
-BATCH_CHARS = 4_000_000
+#: distinct pieces a process keeps before the table starts anew
+TABLE_PIECES = 900_000
 
 
-class WordTable:
-    """Ids of words. ``encode`` gets a list of new words and returns one id list for each."""
+class PieceTable:
+    """Ids of pieces. ``encode`` gets a list of strings and returns how many ids each has, and all ids in a row."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = TABLE_WORDS):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = TABLE_PIECES):
         self.encode, self.limit = encode, limit
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.after_space: dict[str, int] = {}
+        self.alone: dict[str, int] = {}
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def add(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if len(self.index) + len(new) > self.limit:
-            self.reset()
-            new = list(dict.fromkeys(words))
-        if not new:
+    def add(self, spaced: set[str], alone: set[str]) -> None:
+        """Make new pieces known; a piece at which a text may not be cut gets the number -1."""
+        good = [p for p in spaced if p and p == p.strip()]
+        self.after_space.update(dict.fromkeys(spaced, -1))
+        raw = list(alone)
+        if not good and not raw:
             return
-        lists = self.encode(new)
-        base = len(self.index)
-        self.index.update(zip(new, range(base, base + len(new)), strict=True))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
+        sizes, flat = self.encode([" " + p for p in good] + raw)
+        base = len(self.starts) - 1
+        self.after_space.update(zip(good, range(base, base + len(good)), strict=True))
+        self.alone.update(zip(raw, range(base + len(good), base + len(sizes)), strict=True))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat])
 
-    def texts(self, cut: list[list[str]]) -> list[np.ndarray]:
-        """The ids of every text, given as its words."""
-        words = [w for x in cut for w in x]
-        self.add(words)
-        index = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+    def numbers(self, spaced: list[str], alone: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of pieces after a space and of pieces at the front of a text."""
+        look = lambda known, pieces: np.fromiter(map(known.get, pieces, repeat(-2)), np.int64, len(pieces))
+        index, front = look(self.after_space, spaced), look(self.alone, alone)
+        at, at_front = np.flatnonzero(index == -2), np.flatnonzero(front == -2)
+        new, raw = {spaced[i] for i in at.tolist()}, {alone[i] for i in at_front.tolist()}
+        if len(self.after_space) + len(self.alone) + len(new) + len(raw) > self.limit:
+            self.reset()
+            new, raw = set(spaced), set(alone)
+            at, at_front = np.arange(len(spaced)), np.arange(len(alone))
+        if new or raw:
+            self.add(new, raw)
+            index[at] = look(self.after_space, [spaced[i] for i in at.tolist()])
+            front[at_front] = look(self.alone, [alone[i] for i in at_front.tolist()])
+        return index, front
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        if not texts:
+            return []
+        cut = [t.split(" ") for t in texts]
+        firsts = [c[0] if c[0] == c[0].strip() else "" for c in cut]
+        for c in cut:
+            c[0] = "."
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        index, front = self.numbers(list(chain.from_iterable(cut)), firsts)
+        heads = np.cumsum(counts) - counts
+        index[heads] = front
+        bad = np.fromiter((not f for f in firsts), bool, len(cut)) | (np.minimum.reduceat(index, heads) < 0)
+        index[index < 0] = 0
         begin, size = self.starts[index], self.starts[index + 1] - self.starts[index]
         after = np.cumsum(size)
-        total = int(after[-1]) if len(words) else 0
-        flat = self.ids[np.arange(total) - np.repeat(after - size - begin, size)]
-        per_text = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        ends = np.concatenate([[0], after])[per_text]
-        return np.split(flat, ends[:-1]) if cut else []
+        flat = self.ids[np.arange(int(after[-1])) - np.repeat(after - size - begin, size)]
+        out = np.split(flat, after[heads + counts - 1][:-1])
+        whole = np.flatnonzero(bad)
+        if len(whole):
+            sizes, flat = self.encode([texts[i] for i in whole])
+            for i, ids in zip(whole.tolist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+                out[i] = ids
+        return out
+
+
+def rows_of(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and all values in a row of a list of lists."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return sizes, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+
+
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """``make()``, kept by the Python worker for its later tasks. Only for values that depend on ``key`` alone."""
+    import sys
+    from types import ModuleType
+
+    kept = sys.modules.setdefault("_molweave_worker", ModuleType("_molweave_worker")).__dict__
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
-def lots(texts: list[str], limit: int = BATCH_CHARS) -> list[slice]:
+def lots(texts: list[str], limit: int) -> list[slice]:
     """Slices of ``texts`` of about ``limit`` characters each; a longer text is a slice of its own."""
     out, begin, size = [], 0, 0
     for i, text in enumerate(texts):
