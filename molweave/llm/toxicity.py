@@ -109,9 +109,9 @@ def features(folded: str, machine) -> tuple[float, float]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a logistic curve, by Newton steps with a small penalty and equal weight for both classes."""
+    """Weights of a logistic curve, by Newton steps with a small penalty."""
     x = np.column_stack([np.ones(len(x)), x])
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    share = np.full(len(y), 1 / max(len(y), 1))
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -146,7 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         total = Counter()
         for batch in batches:
             for one, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(terms_of(fold(one, folding)))
+                folded = fold(one, folding)
+                for phrase in exceptions or []:
+                    folded = folded.replace(f" {phrase} ", " ")
+                seen[y].update(terms_of(folded))
                 total[y] += 1
         for y, n in total.items():
             items = [("", n), *seen[y].items()]
