@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
@@ -56,6 +57,18 @@ def tanimoto(left: np.ndarray, right: np.ndarray, empty: float) -> np.ndarray:
     return np.divide(shared, union, out=np.full_like(shared, empty), where=union > 0)
 
 
+def once(prepare: Callable[[pa.Table], object]) -> Callable[[pa.Table], object]:
+    """``prepare`` for right sides: run once for a right side, however many left steps meet it."""
+    last: list = [None, None]
+
+    def prepared(right: pa.Table) -> object:
+        if last[0] is not right:
+            last[:] = right, prepare(right)
+        return last[1]
+
+    return prepared
+
+
 def _stepped(kernel: Kernel, left: pa.Table, right: pa.Table):
     for start in range(0, left.num_rows, STEP_ROWS):
         yield kernel(left.slice(start, STEP_ROWS), right)
@@ -63,6 +76,12 @@ def _stepped(kernel: Kernel, left: pa.Table, right: pa.Table):
 
 def small_side(df: DataFrame, limit: int = BLOCK_ROWS) -> pa.Table | None:
     """The rows of ``df`` if they are at most ``limit`` and ``BLOCK_BYTES``, else None."""
+    # sizes are measured before anything is pulled: a list column may make few rows large
+    sizes = [F.octet_length(F.to_json(F.struct(c))) if "<" in t else F.lit(16) for c, t in df.dtypes]
+    rows = df.limit(limit + 1).select(reduce(Column.__add__, sizes).cast("long").alias("_bytes"))
+    count, size = rows.agg(F.count("*"), F.sum("_bytes")).first()
+    if count > limit or (size or 0) > 2 * BLOCK_BYTES:
+        return None
     table = df.limit(limit + 1).toArrow()
     return table if table.num_rows <= limit and table.nbytes <= BLOCK_BYTES else None
 
@@ -74,11 +93,13 @@ def block_apply(
     schema: str,
     block_rows: int = BLOCK_ROWS,
     merge: Callable[[DataFrame], DataFrame] | None = None,
+    left_blocks: int = LEFT_BLOCKS,
 ) -> DataFrame:
     """``kernel(left block, right block)`` over all pairs of blocks of two sets.
 
     ``merge`` puts the results of several right blocks together; with one right block every left row
-    has its whole result already and ``merge`` is left out.
+    has its whole result already and ``merge`` is left out. A cogroup returns its result as one table:
+    where pairs themselves are the output, ``left_blocks`` 1 and a small ``block_rows`` keep it bounded.
     """
     small = small_side(right, block_rows)
     if small is not None:
@@ -91,7 +112,7 @@ def block_apply(
 
         return left.mapInArrow(against_small, schema)
 
-    n_left, n_right = _chunks(left, LEFT_BLOCKS * block_rows), _chunks(right, block_rows)
+    n_left, n_right = _chunks(left, left_blocks * block_rows), _chunks(right, block_rows)
     left = _numbered(left, n_left, "_l").withColumn("_r", F.explode(_numbers(n_right)))
     right = _numbered(right, n_right, "_r").withColumn("_l", F.explode(_numbers(n_left)))
     parts = _cogrouped(left, right, kernel, schema)

@@ -9,8 +9,8 @@ Trees up to ``LOCAL_LEAVES`` compounds (counted first) are built many at a time,
 tree grows in rounds over its pair table: every pair that is nearest for both of its clusters merges in
 the same round. Both ways give the same tree: two clusters that are nearest to each other stay so
 whatever merges around them, because a merged cluster is never closer than both of its parts were, and
-it inherits a slot of one of them for ties. (Distances that agree only up to the last binary digit may be
-ordered differently, as averages are summed in a different order.)
+it inherits a slot of one of them for ties. Distances are compared on a grid of 2**-40, so that averages
+which differ only in their last binary digits tie in both ways.
 
 The result is one table ``tree, node, kept, left, right, distance, size, ord, name`` with a row per
 inner node and leaf below it. Leaves are numbered ``-1 - ord`` in ``left`` and ``right``.
@@ -29,6 +29,7 @@ from molweave.operators.similarity import EMPTY_SIMILARITY, distance_pairs
 from molweave.session import materialise
 
 LOCAL_LEAVES = 1024
+GRID = 2.0**40
 LINKAGES = ("weighted", "average")
 CLADES = (
     "tree bigint, node bigint, kept bigint, left bigint, right bigint, distance double, "
@@ -40,14 +41,16 @@ def merge_order(distances: np.ndarray, linkage: str) -> list[tuple[int, int, flo
     """Merges (upper, lower, distance) of one square distance matrix, closest pair first."""
     n = len(distances)
     table = np.full((n, n), np.inf)
+    on_grid = lambda x: np.floor(x * GRID + 0.5)
     below = np.tril_indices(n, -1)
     table[below] = distances[below]
+    order = on_grid(table)
     sizes = np.ones(n)
     alive = np.ones(n, dtype=bool)
     merges = []
     for _ in range(n - 1):
         # the last of the smallest entries, row by row
-        upper, lower = divmod(n * n - 1 - int(np.argmin(table.ravel()[::-1])), n)
+        upper, lower = divmod(n * n - 1 - int(np.argmin(order.ravel()[::-1])), n)
         merges.append((upper, lower, float(table[upper, lower])))
         a = np.concatenate([table[upper, :upper], [np.inf], table[upper + 1 :, upper]])
         b = np.concatenate([table[lower, :lower], [np.inf], table[lower + 1 :, lower]])
@@ -63,6 +66,8 @@ def merge_order(distances: np.ndarray, linkage: str) -> list[tuple[int, int, flo
         table[lower + 1 :, lower] = mixed[lower + 1 :]
         table[upper, :] = np.inf
         table[:, upper] = np.inf
+        for place in (np.s_[lower, :], np.s_[:, lower], np.s_[upper, :], np.s_[:, upper]):
+            order[place] = on_grid(table[place])
     return merges
 
 
@@ -139,14 +144,14 @@ def cluster_vectors(
 
     small, large, any_large = _split_by_size(leaves, local_leaves)
     if not any_large:
-        return leaves.groupBy("tree").applyInArrow(one_tree, CLADES)
+        return _rounded(leaves.groupBy("tree").applyInArrow(one_tree, CLADES))
     # the same compound has the same ord in every tree, so its distances are computed once
     vectors = large.groupBy("ord").agg(F.first("name").alias("name"), F.first("words").alias("words"))
     pairs = distance_pairs(vectors, empty, block_rows)
     in_tree = lambda side: large.select("tree", F.col("ord").alias(side))
     pairs = pairs.join(in_tree("a_ord"), "a_ord").join(in_tree("b_ord"), ["tree", "b_ord"])
     grown = _grow(large.drop("words"), pairs, linkage)
-    return small.groupBy("tree").applyInArrow(one_tree, CLADES).unionByName(grown)
+    return _rounded(small.groupBy("tree").applyInArrow(one_tree, CLADES).unionByName(grown))
 
 
 def cluster_pairs(
@@ -157,7 +162,7 @@ def cluster_pairs(
     count = leaves.count()
     if count > local_leaves:
         tree = F.lit(0).cast("bigint").alias("tree")
-        return _grow(leaves.select(tree, "ord", "name"), pairs.select(tree, "*"), linkage)
+        return _rounded(_grow(leaves.select(tree, "ord", "name"), pairs.select(tree, "*"), linkage))
 
     def one_tree(leaf: pa.Table, pair: pa.Table) -> pa.Table:
         leaf = leaf.sort_by("ord").combine_chunks()
@@ -170,7 +175,7 @@ def cluster_pairs(
     zero = F.lit(0).alias("tree")
     left = leaves.select(F.col("ord").cast("bigint").alias("ord"), "name", zero).groupBy("tree")
     right = pairs.select("a_ord", "b_ord", "dist", zero).groupBy("tree")
-    return left.cogroup(right).applyInArrow(one_tree, CLADES)
+    return _rounded(left.cogroup(right).applyInArrow(one_tree, CLADES))
 
 
 def _check(linkage: str) -> None:
@@ -210,11 +215,21 @@ def _grow(leaves: DataFrame, pairs: DataFrame, linkage: str) -> DataFrame:
     return clades
 
 
+def _on_grid(distance: Column) -> Column:
+    return F.floor(distance * GRID + 0.5)
+
+
+def _rounded(clades: DataFrame) -> DataFrame:
+    """Distances on the grid they are compared on, so that both ways give equal numbers."""
+    return clades.withColumn("distance", _on_grid(F.col("distance")) / GRID)
+
+
 def _mutual(pairs: DataFrame) -> DataFrame:
     """Pairs that are the nearest for both of their clusters: ``tree, hi, lo, dist``."""
-    key = F.struct("dist", (-F.col("hi")).alias("hi"), (-F.col("lo")).alias("lo"))
+    key = F.struct(_on_grid(F.col("dist")).alias("grid"), (-F.col("hi")).alias("hi"), (-F.col("lo")).alias("lo"), "dist")
     ends = pairs.select("tree", F.explode(F.array("hi", "lo")).alias("slot"), key.alias("pair"))
     nearest = ends.groupBy("tree", "slot").agg(F.min("pair").alias("pair"))
+    # the distance itself rides at the end of the key, where it decides nothing
     both = nearest.groupBy("tree", "pair").agg(F.count("*").alias("ends")).where("ends = 2")
     return both.select(
         "tree",
@@ -273,7 +288,7 @@ def _contract(pairs: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
         F.col("lo").alias("into"),
         F.col("hi").alias("other"),
         F.struct(
-            "dist",
+            _on_grid(F.col("dist")).alias("grid"),
             (-F.col("hi")).alias("h"),
             (-F.col("lo")).alias("l"),
             F.col("upper_size").alias("u"),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from molweave.constants import CHEM_RADIUS, CHEM_WIDTH
 from molweave.functions.text import short_id
@@ -99,13 +102,12 @@ def concat_by_containment(
         return F.when(F.length("name") >= size, cut).otherwise(none)
 
     every = F.concat(none, *(pieces(size) for size in sizes))
-    parts = box.select(
-        F.explode(F.array_distinct(every)).alias("_short"), "ord", "words"
-    )
-    first = parts.groupBy("_short").agg(F.min(F.struct("ord", "words")).alias("_box"))
-    pairs = wanted.join(first, "_short").select(
-        "name", "ord", "words", F.col("_box.words").alias("words2")
-    )
+    # only the pieces that are asked for, and their first box compound, go on; vectors follow at the end
+    pieces_of = box.select(F.explode(F.array_distinct(every)).alias("_short"), F.col("ord").alias("_box"))
+    asked = pieces_of.join(wanted.select("_short").distinct(), "_short", "left_semi")
+    first = asked.groupBy("_short").agg(F.min("_box").alias("_box"))
+    chosen = box.select(F.col("ord").alias("_box"), F.col("words").alias("words2"))
+    pairs = wanted.join(first, "_short").join(chosen, "_box").select("name", "ord", "words", "words2")
     return _concatenated(pairs, chem_width, box_width)
 
 
@@ -241,6 +243,76 @@ def circular_environments(atoms: DataFrame, bonds: DataFrame, radius: int = CHEM
     )
 
 
+# --- the same inside one record
+
+
+def _mix_number(left: int, right: int) -> int:
+    """:func:`_mix` of plain numbers."""
+    t = (left * 1000003 + right) % _PRIME
+    return ((t * t) % _PRIME * 48271 + t * 16807 + 1) % _PRIME
+
+
+def record_environments(atoms: dict[int, str], bonds: list[tuple[int, int, int]], radius: int) -> list[int]:
+    """Hashes of one molecule's environments: :func:`circular_environments` over ``serial: element`` and
+    bonds ``(a, b, code)``."""
+    near: dict[int, list[tuple[int, int, int]]] = {s: [] for s in atoms}
+    for a, b, code in bonds:
+        if a != b:
+            bond = _mix_number(min(a, b), max(a, b))
+            for end, other in ((a, b), (b, a)):
+                if end in near and other in near:
+                    near[end].append((other, code, bond))
+    state = {}
+    for serial, element in atoms.items():
+        code = ord(element[0]) * 256 + (ord(element[1]) if len(element) > 1 else 0) if element else 0
+        hydrogens = sum(atoms[other] == "H" for other, *_ in near[serial])
+        state[serial] = _mix_number(_mix_number(code, len(near[serial])), hydrogens), frozenset()
+    listed = [h for h, _ in state.values()]
+    found: dict[frozenset, tuple[int, int]] = {}
+    for number in range(1, radius + 1):
+        after = {}
+        for serial, (value, cover) in state.items():
+            if near[serial]:
+                total = sum(_mix_number(code, state[other][0]) for other, code, _ in near[serial]) % _PRIME
+                cover = cover.union(*(state[other][1] | {bond} for other, _, bond in near[serial]))
+                value = _mix_number(value + number, total)
+                found[cover] = min(found.get(cover, (number, value)), (number, value))
+            after[serial] = value, cover
+        state = after
+    return listed + [value for _, value in found.values()]
+
+
+def record_fingerprints(
+    records: DataFrame, keep: Sequence[str], radius: int = CHEM_RADIUS, width: int = CHEM_WIDTH
+) -> DataFrame:
+    """Packed circular fingerprints of molecules that are one row each, without a shuffle.
+
+    ``records`` holds ``atoms array<struct<serial, element>>`` and ``bonds array<struct<a, b, btype>>``;
+    ``keep`` names the columns that stay. Gives what :func:`circular_fingerprints` gives for long tables.
+    """
+    code = lambda b: F.struct(b["a"].cast("int").alias("a"), b["b"].cast("int").alias("b"), bond_code(b["btype"]).alias("code"))
+    atom = lambda a: F.struct(a["serial"].cast("int").alias("serial"), a["element"].alias("element"))
+    source = records.select(*keep, F.transform("atoms", atom).alias("_atoms"), F.transform("bonds", code).alias("_bonds"))
+    schema = StructType([*(source.schema[c] for c in keep), StructField("words", ArrayType(LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            packed = []
+            for atoms, bonds in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
+                elements: dict[int, str] = {}
+                for a in atoms or []:
+                    if a["serial"] is not None and a["element"] is not None:
+                        elements[a["serial"]] = max(elements.get(a["serial"], ""), a["element"])
+                pairs = [(b["a"], b["b"], b["code"]) for b in bonds or [] if b["a"] is not None and b["b"] is not None]
+                bits = np.zeros(words_for(width) * WORD, np.uint8)
+                bits[[h % width for h in record_environments(elements, pairs, radius)]] = 1
+                packed.append(np.packbits(bits, bitorder="little").view(np.int64))
+            words = pa.array(packed, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), words], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def circular_bits(
     atoms: DataFrame, bonds: DataFrame, radius: int = CHEM_RADIUS, width: int = CHEM_WIDTH
 ) -> DataFrame:

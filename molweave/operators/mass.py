@@ -11,14 +11,23 @@ from molweave.functions.chem import element_of_pdbqt
 from molweave.functions.text import ascii_lower
 
 
+#: rows of an element table at most
+MAX_ELEMENTS = 1000
+
+
 def with_mass(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """Add ``mass`` by element; an unknown element weighs 0.
 
-    The built-in element table has 109 rows, which Spark broadcasts by its known size.
+    The masses become a literal map, so atoms stay where they are. An element table has one row per symbol
+    (``MAX_ELEMENTS`` at most); a larger one is refused.
     """
-    table = elements.select(F.col("symbol").alias("_symbol"), F.col("mass"))
-    joined = atoms.join(table, ascii_lower(F.col("element")) == F.col("_symbol"), "left")
-    return joined.withColumn("mass", F.coalesce("mass", F.lit(0.0))).drop("_symbol")
+    known = elements.select("symbol", "mass").limit(MAX_ELEMENTS + 1).collect()
+    if len(known) > MAX_ELEMENTS:
+        raise ValueError(f"an element table has at most {MAX_ELEMENTS} rows")
+    if not known:
+        return atoms.withColumn("mass", F.lit(0.0))
+    by_symbol = F.map_from_arrays(F.lit([r["symbol"] for r in known]), F.lit([r["mass"] for r in known]))
+    return atoms.withColumn("mass", F.coalesce(F.try_element_at(by_symbol, ascii_lower(F.col("element"))), F.lit(0.0)))
 
 
 def unknown_elements(atoms: DataFrame, elements: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molweave.constants import MIN_ISOLATED
@@ -19,13 +19,16 @@ from molweave.operators.blocks import (
     bit_matrix,
     block_apply,
     block_apply_self,
+    once,
     same_block,
     tanimoto,
 )
-from molweave.operators.ranking import GROUP_LIMIT, first_per_group, percent_cut, top_by_score
+from molweave.operators.ranking import first_per_group, percent_cut, top_by_score
 
 EMPTY_SIMILARITY = 1.0
 MEAN_DIGITS = 9
+#: rows of a block where every pair is a row of the result: at most about a million rows per cogroup
+PAIR_ROWS = 1024
 
 
 def _similarity(left: pa.Table, right: pa.Table, empty: float, words: str = "words") -> np.ndarray:
@@ -37,7 +40,7 @@ def similarity_pairs(
     right: DataFrame,
     empty: float = EMPTY_SIMILARITY,
     keep_zero: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = PAIR_ROWS,
 ) -> DataFrame:
     """``left_name, right_name, sim`` of two sets; pairs without a shared bit are left out by default."""
 
@@ -50,11 +53,13 @@ def similarity_pairs(
 
     schema = "left_name string, right_name string, sim double"
     columns = ["name", "words"]
-    return block_apply(left.select(*columns), right.select(*columns), kernel, schema, block_rows)
+    return block_apply(
+        left.select(*columns), right.select(*columns), kernel, schema, block_rows, left_blocks=1
+    )
 
 
 def distance_pairs(
-    vectors: DataFrame, empty: float = EMPTY_SIMILARITY, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, empty: float = EMPTY_SIMILARITY, block_rows: int = PAIR_ROWS
 ) -> DataFrame:
     """Lower triangle of the distance matrix: ``a, b, a_ord, b_ord, sim, dist`` with ``a_ord > b_ord``.
 
@@ -102,15 +107,19 @@ def most_similar(
     Each block hands on ``k`` rows per compound; ties go to the smaller name.
     """
 
+    order_of = once(lambda r: pc.sort_indices(r["name"]).to_numpy())
+
     def kernel(l: pa.Table, r: pa.Table) -> pa.Table:
-        r = r.sort_by("name")
         sim = _similarity(l, r, empty)
         if k < sim.shape[1]:
             edge = np.partition(sim, -k, axis=1)[:, -k][:, None]
             above = sim > edge
             tied = sim == edge
             room = k - above.sum(axis=1)[:, None]
-            keep = above | (tied & (np.cumsum(tied, axis=1) <= room))
+            # ties go to the smaller name
+            by_name = order_of(r)
+            keep = above.copy()
+            keep[:, by_name] |= tied[:, by_name] & (np.cumsum(tied[:, by_name], axis=1) <= room)
         else:
             keep = np.ones(sim.shape, dtype=bool)
         i, j = np.nonzero(keep)
@@ -124,6 +133,23 @@ def most_similar(
     return first_per_group(best, ["name"], [F.desc("sim"), F.asc("other")], k)
 
 
+def _memberships(right: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The subsets of a right side (``scope, subset, size``) and a matrix: which row is in which subset."""
+    lists = right["groups"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    table = pa.table({n: flat.field(n) for n in ("scope", "subset", "size")})
+    unique = table.group_by(["scope", "subset", "size"]).aggregate([])
+    keys = zip(unique["scope"].to_pylist(), unique["subset"].to_pylist(), strict=True)
+    index = {key: i for i, key in enumerate(keys)}
+    place = [index[k] for k in zip(table["scope"].to_pylist(), table["subset"].to_pylist(), strict=True)]
+    member = np.zeros((right.num_rows, len(index)))
+    member[owner, place] = 1.0
+    return unique, member
+
+
 def mean_similarity(
     base: DataFrame,
     labelled: DataFrame,
@@ -154,22 +180,11 @@ def mean_similarity(
     right = labelled.select("name", "words").join(groups, "name")
     left = base.select("name", "words", *(["scopes"] if scoped else []))
 
+    memberships = once(_memberships)
+
     def kernel(l: pa.Table, r: pa.Table) -> pa.Table:
         sim = _similarity(l, r, empty)
-        lists = r["groups"].combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks)
-        owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-        flat = lists.flatten()
-        table = pa.table({n: flat.field(n) for n in ("scope", "subset", "size")})
-        unique = table.group_by(["scope", "subset", "size"]).aggregate([])
-        index = {
-            key: i
-            for i, key in enumerate(zip(unique["scope"].to_pylist(), unique["subset"].to_pylist()))
-        }
-        place = [index[k] for k in zip(table["scope"].to_pylist(), table["subset"].to_pylist())]
-        member = np.zeros((r.num_rows, len(index)))
-        member[owner, place] = 1.0
+        unique, member = memberships(r)
         part = (sim @ member) / unique["size"].to_numpy()
         if scoped:
             scopes = l["scopes"].combine_chunks()
@@ -213,43 +228,92 @@ def top_similar(means: DataFrame, rows: int | DataFrame, percent: float) -> Data
     return top_by_score(counted, by, "avg_sim", "name").drop("cut")
 
 
-def isolated_top(pairs: DataFrame, members: DataFrame, amount: int) -> DataFrame:
-    """Union over the members of a subset of each member's own ``amount`` (10 or more) best matches.
+def isolated_top(
+    labelled: DataFrame,
+    base: DataFrame,
+    members: DataFrame,
+    percent: float,
+    rows: int,
+    empty: float = EMPTY_SIMILARITY,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Union over the members of a subset of each member's own best base compounds: ``subset, name``.
 
-    ``pairs`` holds ``left_name`` (labelled), ``right_name`` (base), ``sim``; the result is
-    ``subset, name``. The pick per labelled compound does not depend on the subset, so it is made once.
+    A subset of m members takes ``percent`` of the ``rows`` base compounds divided by m from each, 10 at
+    least. The amounts of a member's subsets differ only in where one ranking is cut, so the ranking is
+    made once, as deep as the largest amount; a block hands on that many rows per member.
     """
-    amount = max(amount, MIN_ISOLATED)
-    if amount <= GROUP_LIMIT:
-        order = [F.desc("sim"), F.asc("right_name")]
-        best = first_per_group(pairs, ["left_name"], order, amount)
-    else:
-        counted = pairs.withColumn("cut", F.lit(amount))
-        best = top_by_score(counted, ["left_name"], "sim", "right_name")
-    return (
-        members.join(best, members["name"] == best["left_name"])
-        .select("subset", F.col("right_name").alias("name"))
-        .distinct()
-    )
+    sizes = members.groupBy("subset").agg(F.count("*").alias("_size"))
+    share = F.floor(F.lit(percent / 100.0 * rows) / F.col("_size")).cast("long")
+    sizes = sizes.select("subset", F.greatest(share, F.lit(MIN_ISOLATED)).alias("_amount"))
+    wanted = members.join(sizes, "subset")
+    deepest = wanted.agg(F.max("_amount")).first()[0] or MIN_ISOLATED
+    compared = labelled.join(members.select("name").distinct(), "name", "left_semi")
+    best = most_similar(compared, base, int(deepest), empty, block_rows)
+    found = wanted.join(best, "name").where(F.col("rank") <= F.col("_amount"))
+    return found.select("subset", F.col("other").alias("name")).distinct()
+
+
+def blended_pairs(
+    vectors: DataFrame,
+    coefficient: float,
+    empty: float = EMPTY_SIMILARITY,
+    block_rows: int = PAIR_ROWS,
+) -> DataFrame:
+    """Lower triangle of the blended distances of two spaces: ``a, b, a_ord, b_ord, dist``.
 
+    ``vectors`` holds ``name, ord, words, words2``. Both similarities of a pair are made and blended in
+    the block where its rows meet.
+    """
 
-def combined(first: Column, second: Column, coefficient: float) -> Column:
-    return (first + second * coefficient) / (1 + coefficient)
+    def kernel(l: pa.Table, r: pa.Table) -> pa.Table:
+        first, second = (1.0 - _similarity(l, r, empty, w) for w in ("words", "words2"))
+        dist = (first + second * coefficient) / (1 + coefficient)
+        lo, ro = l["ord"].to_numpy(), r["ord"].to_numpy()
+        sides = [(l, r, dist, lo[:, None] > ro[None, :])]
+        if not same_block(l):
+            sides.append((r, l, dist.T, ro[:, None] > lo[None, :]))
+        parts = []
+        for a, b, d, after in sides:
+            i, j = np.nonzero(after)
+            columns = {"a": a["name"].take(i), "b": b["name"].take(j)}
+            columns |= {"a_ord": a["ord"].take(i), "b_ord": b["ord"].take(j), "dist": pa.array(d[i, j])}
+            parts.append(pa.table(columns))
+        return pa.concat_tables(parts)
+
+    schema = "a string, b string, a_ord bigint, b_ord bigint, dist double"
+    rows = vectors.select("name", F.col("ord").cast("bigint").alias("ord"), "words", "words2")
+    return block_apply_self(rows, kernel, schema, block_rows)
 
 
-def combine_similarity(first: DataFrame, second: DataFrame, coefficient: float) -> DataFrame:
-    """Blend two pair tables ``a, b, dist``: ``(first + c * second) / (1 + c)``."""
-    other = second.select("a", "b", F.col("dist").alias("_dist2"))
-    return first.join(other, ["a", "b"]).withColumn(
-        "dist", combined(F.col("dist"), F.col("_dist2"), coefficient)
-    ).drop("_dist2")
+def similarity_stats(
+    compounds: DataFrame,
+    labelled: DataFrame,
+    empty: float = EMPTY_SIMILARITY,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Largest and mean similarity of every compound to the labelled ones, 0 where there are none.
+
+    A block hands on one row per compound: maximum, sum and count.
+    """
 
+    def kernel(l: pa.Table, r: pa.Table) -> pa.Table:
+        sim = _similarity(l, r, empty)
+        some = sim.shape[1] > 0
+        return pa.table(
+            {
+                "name": l["name"],
+                "max_sim": sim.max(axis=1) if some else np.zeros(len(sim)),
+                "total": sim.sum(axis=1),
+                "n": np.full(len(sim), sim.shape[1], dtype=np.int64),
+            }
+        )
 
-def similarity_stats(pairs: DataFrame, compounds: DataFrame) -> DataFrame:
-    """Largest and mean similarity per compound, 0 where it has no pairs."""
-    stats = pairs.groupBy(F.col("left_name").alias("name")).agg(
-        F.max("sim").alias("max_sim"), F.avg("sim").alias("avg_sim")
-    )
+    schema = "name string, max_sim double, total double, n bigint"
+    columns = ["name", "words"]
+    parts = block_apply(compounds.select(*columns), labelled.select(*columns), kernel, schema, block_rows)
+    mean = F.try_divide(F.sum("total"), F.sum("n")).alias("avg_sim")
+    stats = parts.groupBy("name").agg(F.max("max_sim").alias("max_sim"), mean)
     zero = F.lit(0.0)
     return compounds.select("name").join(stats, "name", "left").select(
         "name",

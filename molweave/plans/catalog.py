@@ -178,26 +178,18 @@ def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bonded_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as molecules: lines are atoms, neighbouring line numbers are bonded."""
-    lines = table(spark, sf_dir, "lineitem")
-    atoms = lines.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_linestatus").alias("element"), F.min("l_returnflag").alias("flag")
-    )
-    atoms = materialise(
-        atoms.select(
-            F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").alias("serial"), "element", "flag"
-        ),
-        "atoms",
-    )
-    kind = F.when(F.col("flag") == "A", "1").when(F.col("flag") == "N", "2").otherwise("ar")
-    ahead = atoms.select("mol_id", (F.col("serial") - 1).alias("a"), F.col("serial").alias("b"))
-    bonds = (
-        atoms.select("mol_id", F.col("serial").alias("a"), kind.alias("btype"))
-        .join(ahead, ["mol_id", "a"])
-        .select("mol_id", F.col("a").alias("bond_id"), "a", "b", "btype")
+def bonded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as molecules of one row: all their lines, numbered, are atoms and neighbours are bonded."""
+    line = F.struct("l_linenumber", "l_linestatus", "l_returnflag")
+    grouped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("mol_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    atom = lambda x, i: F.struct((i + 1).alias("serial"), x["l_linestatus"].alias("element"))
+    kind = lambda x: F.when(x["l_returnflag"] == "A", "1").when(x["l_returnflag"] == "N", "2").otherwise("ar")
+    bond = lambda x, i: F.struct((i + 1).alias("a"), (i + 2).alias("b"), kind(x).alias("btype"))
+    return grouped.select(
+        "mol_id",
+        F.transform("lines", atom).alias("atoms"),
+        F.transform(F.slice("lines", 1, F.size("lines") - 1), bond).alias("bonds"),
     )
-    return atoms.select("mol_id", "serial", "element"), bonds
 
 
 def _bit_text(words: str = "words", width: int = 2 * WIDTH) -> Column:
@@ -234,7 +226,7 @@ def train_base_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine, other = (_space(f(spark, sf_dir), "chem") for f in (base, labelled))
-    stats = similarity.similarity_stats(similarity.similarity_pairs(mine, other, keep_zero=True), mine)
+    stats = similarity.similarity_stats(mine, other)
     return stats.select("name", F.round("max_sim", 6).alias("max_sim"), F.round("avg_sim", 6).alias("avg_sim"))
 
 
@@ -249,10 +241,8 @@ def lower_triangle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blended_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir)
-    first, second = (similarity.distance_pairs(_space(rows, s)) for s in ("chem", "contacts"))
-    blended = similarity.combine_similarity(first, second, 0.5)
-    return blended.select("a", "b", F.round("dist", 6).alias("dist"))
+    vectors = compounds(spark, sf_dir).select("ord", "name", F.col("chem").alias("words"), F.col("contacts").alias("words2"))
+    return similarity.blended_pairs(vectors, 0.5).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
 def concat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,10 +274,11 @@ def mean_similarity_top_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolated_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.similarity_pairs(
-        _space(labelled(spark, sf_dir), "chem"), _space(base(spark, sf_dir), "chem"), keep_zero=True
+    """Per class the best matches of each member: 150 percent of the base over the class size, 10 at least."""
+    mine = _space(base(spark, sf_dir), "chem")
+    return similarity.isolated_top(
+        _space(labelled(spark, sf_dir), "chem"), mine, _class_members(spark, sf_dir), 150, mine.count()
     )
-    return similarity.isolated_top(pairs, _class_members(spark, sf_dir), 2)
 
 
 # --- geometry
@@ -385,8 +376,10 @@ def _class_pattern(kind: int) -> Query:
     return query
 
 
-def _net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _net_scores(spark: SparkSession, sf_dir: str, chosen: DataFrame | None = None) -> DataFrame:
     vectors = _space(base(spark, sf_dir), "contacts")
+    if chosen is not None:  # nobody asks for the scores of others
+        vectors = vectors.join(chosen.select("name"), "name", "left_semi")
     return patterns.net_scores(patterns.pattern_scores(vectors, _pattern(spark, sf_dir)))
 
 
@@ -420,9 +413,9 @@ def bit_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- trees and the screen
 
 
-def _tree(spark: SparkSession, sf_dir: str, space: str, linkage: str = "weighted") -> DataFrame:
+def _tree(spark: SparkSession, sf_dir: str, space: str, linkage: str = "weighted", **how: int) -> DataFrame:
     leaves = _space(labelled(spark, sf_dir), space)
-    return clustering.cluster_vectors(leaves.withColumn("tree", F.lit(0)), linkage)
+    return clustering.cluster_vectors(leaves.withColumn("tree", F.lit(0)), linkage, **how)
 
 
 def _merges(spark: SparkSession, clades: DataFrame) -> DataFrame:
@@ -430,23 +423,28 @@ def _merges(spark: SparkSession, clades: DataFrame) -> DataFrame:
     return merges.select("node", "left", "right", "size", F.round("height", 6).alias("height"))
 
 
-def tree_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merges(spark, _tree(spark, sf_dir, "contacts"))
+def tree_merges(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
+    return _merges(spark, _tree(spark, sf_dir, "contacts", **how))
 
 
-def tree_merges_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merges(spark, _tree(spark, sf_dir, "chem", "average"))
+def tree_merges_by_size(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
+    return _merges(spark, _tree(spark, sf_dir, "chem", "average", **how))
 
 
-def clades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir, "contacts").select("node", "name")
+def clades(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
+    return _tree(spark, sf_dir, "contacts", **how).select("node", "name")
 
 
-def yes_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clustering.positive_clades(_tree(spark, sf_dir, "contacts"), 70)
+def yes_clades(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
+    found = clustering.positive_clades(_tree(spark, sf_dir, "contacts", **how), 70)
     return found.select("node", F.round("share", 6).alias("share"), "size")
 
 
+def _in_rounds(query: Callable[..., DataFrame], **how: int) -> Query:
+    """A tree query by rounds of mutual nearest neighbours over its pair table, whatever its size."""
+    return lambda spark, sf_dir: query(spark, sf_dir, local_leaves=1, **how)
+
+
 def clade_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     _members, found = screening.clade_candidates(
         _space(labelled(spark, sf_dir), "chem"), _space(base(spark, sf_dir), "chem"), 75, 2
@@ -454,16 +452,16 @@ def clade_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("subset", "name", F.round("avg_sim", 6).alias("avg_sim"))
 
 
-def concatenated_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def concatenated_tree(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
     rows = labelled(spark, sf_dir)
     chem = _space(rows.withColumn("name", F.concat("name", F.lit("_x"))), "chem")
-    tree = jobs.concatenated_tree(chem, _space(rows, "contacts"), WIDTH, WIDTH)
+    tree = jobs.concatenated_tree(chem, _space(rows, "contacts"), WIDTH, WIDTH, **how)
     return _merges(spark, tree)
 
 
-def blended_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blended_tree(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
     rows = labelled(spark, sf_dir)
-    return _merges(spark, jobs.blended_tree(_space(rows, "chem"), _space(rows, "contacts"), 0.5))
+    return _merges(spark, jobs.blended_tree(_space(rows, "chem"), _space(rows, "contacts"), 0.5, **how))
 
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,7 +491,7 @@ def _records(spark: SparkSession, sf_dir: str, chosen: DataFrame, shown: int | N
     )
     return screening.report_records(
         chosen,
-        _net_scores(spark, sf_dir),
+        _net_scores(spark, sf_dir, chosen),
         _space(mine, "chem"),
         _space(train, "chem"),
         _space(mine, "contacts"),
@@ -584,6 +582,18 @@ def docking_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def docking_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses written as PDBQT files, two for every ligand, collected: first pose of each, numbered."""
+    source, out = scratch_path(spark, "poses"), scratch_path(spark, "collected")
+    models = pdbqt_models(spark, sf_dir)
+    second = models.select((F.col("model_no") + 1_000_000_000).alias("model_no"), "ligand", F.slice("lines", 1, 3).alias("lines"))
+    text_sinks.write_models(models.unionByName(second), source, ["model_no"])
+    placed = materialise(records.with_place(pdbqt.read_pdbqt(spark, source)), "placed")
+    first = docking.first_pose(placed.select("ligand", "ord", "lines"), order="ord")
+    text_sinks.write_models(first, out, ["ligand"])
+    return pdbqt.read_pdbqt(spark, out).select("ligand", F.size("lines").alias("lines"))
+
+
 def first_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("ligand"), F.col("event_id").alias("model_no"), "value"
@@ -598,19 +608,21 @@ def last_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.last_by_name(rows)
 
 
+def _named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files' molecules with their name in the key, so that nothing is joined back to them."""
+    return mol2_files(spark, sf_dir).withColumn("mol_id", F.struct("mol_id", "name"))
+
+
 def mol2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    molecules = mol2_files(spark, sf_dir)
-    atoms = mol2.read_atoms(molecules).join(molecules.select("mol_id", "name"), "mol_id")
+    atoms = mol2.read_atoms(_named_files(spark, sf_dir))
     return atoms.select(
-        "name", "serial", "atom_name", *(F.round(c, 6).alias(c) for c in AXES),
+        "mol_id.name", "serial", "atom_name", *(F.round(c, 6).alias(c) for c in AXES),
         "sybyl_type", "resnum", "resname", "charge", "element", "radius",
     )
 
 
 def mol2_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    molecules = mol2_files(spark, sf_dir)
-    bonds = mol2.read_bonds(molecules).join(molecules.select("mol_id", "name"), "mol_id")
-    return bonds.select("name", "bond_id", "a", "b", "btype")
+    return mol2.read_bonds(_named_files(spark, sf_dir)).select("mol_id.name", "bond_id", "a", "b", "btype")
 
 
 def skip_and_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -667,7 +679,7 @@ def path_and_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.path_parts(url)["stem"].alias("stem"),
         tx.path_parts(url)["extension"].alias("extension"),
         F.array_join(tx.tokens(url, "/?&=."), "|").alias("tokens"),
-        tx.first_identifier(F.substring(url, 8, 1000)).alias("identifier"),
+        tx.first_identifier(F.substring(url, 8, 2147483647)).alias("identifier"),
         tx.lenient_double(url).alias("number"),
         tx.lenient_int(url).alias("whole"),
         tx.ascii_lower(url).alias("lowered"),
@@ -693,8 +705,8 @@ def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def circular_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms, bonds = bonded_orders(spark, sf_dir)
-    return fingerprints.circular_bits(atoms, bonds)
+    found = fingerprints.record_fingerprints(bonded_orders(spark, sf_dir), ["mol_id"])
+    return fingerprints.unpack_bits(found, 1024, ["mol_id"])
 
 
 QUERIES: dict[str, Query] = {
@@ -728,6 +740,12 @@ QUERIES: dict[str, Query] = {
     "tree_merges_by_size": tree_merges_by_size,
     "clades": clades,
     "yes_clades": yes_clades,
+    "tree_merges_rounds": _in_rounds(tree_merges, block_rows=64),
+    "tree_merges_by_size_rounds": _in_rounds(tree_merges_by_size, block_rows=64),
+    "clades_rounds": _in_rounds(clades, block_rows=64),
+    "yes_clades_rounds": _in_rounds(yes_clades, block_rows=64),
+    "concatenated_tree_rounds": _in_rounds(concatenated_tree, block_rows=64),
+    "blended_tree_rounds": _in_rounds(blended_tree),
     "clade_candidates": clade_candidates,
     "concatenated_tree": concatenated_tree,
     "blended_tree": blended_tree,
@@ -742,6 +760,7 @@ QUERIES: dict[str, Query] = {
     "docking_modes": docking_modes,
     "docking_results_table": docking_results_table,
     "docking_stream": docking_stream,
+    "docking_collection": docking_collection,
     "first_pose": first_pose,
     "last_duplicate": last_duplicate,
     "mol2_roundtrip": mol2_roundtrip,

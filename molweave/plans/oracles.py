@@ -317,8 +317,9 @@ def _mix(a: str, b: str) -> str:
 
 _CIRCULAR = f"""
 atom AS (
-  SELECT l_orderkey AS mol, CAST(l_linenumber AS BIGINT) AS serial, min(l_linestatus) AS element, min(l_returnflag) AS flag
-  FROM lineitem GROUP BY ALL),
+  SELECT l_orderkey AS mol, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus, l_returnflag) AS BIGINT) AS serial,
+         l_linestatus AS element, l_returnflag AS flag
+  FROM lineitem),
 bond AS (
   SELECT a.mol, a.serial AS a, b.serial AS b, CASE a.flag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS code
   FROM atom a JOIN atom b ON b.mol = a.mol AND b.serial = a.serial + 1),
@@ -431,8 +432,8 @@ SQL: dict[str, str] = {
     + "SELECT v.ord, concat_ws(chr(9), v.name, p.cells) AS line FROM v LEFT JOIN (SELECT a_ord, "
     f"string_agg(printf('%.4f', 1 - sim), chr(9) ORDER BY b_ord) AS cells FROM ({_pairs('con')}) GROUP BY a_ord) p ON p.a_ord = v.ord",
     "blended_similarity": _with(_COMPOUNDS)
-    + f"SELECT x.a, x.b, round(((1 - x.sim) + (1 - y.sim) * 0.5) / 1.5, 6) AS dist FROM ({_pairs('chem', _LABELLED)}) x "
-    f"JOIN ({_pairs('con', _LABELLED)}) y USING (a_ord, b_ord)",
+    + f"SELECT x.a, x.b, round(((1 - x.sim) + (1 - y.sim) * 0.5) / 1.5, 6) AS dist FROM ({_pairs('chem')}) x "
+    f"JOIN ({_pairs('con')}) y USING (a_ord, b_ord)",
     "concat_fingerprint": _with(_COMPOUNDS, _JOINED.format(where=""))
     + _joined_text("'any_' || CAST(c.ord AS VARCHAR) || '_' || CAST(c.label_id AS VARCHAR)"),
     "concat_by_exact_id": _with(_COMPOUNDS, "joined AS (SELECT ord, CAST(chem AS HUGEINT) | (CAST(con AS HUGEINT) << 32) AS words FROM v)")
@@ -445,9 +446,13 @@ SQL: dict[str, str] = {
     )
     + "SELECT subset, name, round(avg_sim, 6) AS avg_sim FROM (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY avg_sim DESC, name) AS rk "
     f"FROM mean), nb WHERE rk <= {_cut(10)}",
-    "isolated_top": _with(_COMPOUNDS)
-    + f"SELECT DISTINCT subset, name FROM (SELECT CAST(t.label_id AS BIGINT) AS subset, b.name, row_number() OVER (PARTITION BY t.name "
-    f"ORDER BY {_sim('t.chem', 'b.chem')} DESC, b.name) AS rk FROM v t, v b WHERE t.label_id <= 1 AND b.label_id > 1) WHERE rk <= 10",
+    "isolated_top": _with(
+        _COMPOUNDS,
+        "amount AS (SELECT label_id, greatest(10, CAST(floor(CAST(150 / 100.0 AS DOUBLE) * (SELECT count(*) FROM v WHERE label_id > 1) / count(*)) AS BIGINT)) AS n "
+        "FROM v WHERE label_id <= 1 GROUP BY label_id)",
+    )
+    + f"SELECT DISTINCT subset, name FROM (SELECT CAST(t.label_id AS BIGINT) AS subset, n, b.name, row_number() OVER (PARTITION BY t.name "
+    f"ORDER BY {_sim('t.chem', 'b.chem')} DESC, b.name) AS rk FROM v t JOIN amount a ON a.label_id = t.label_id, v b WHERE b.label_id > 1) WHERE rk <= n",
     "box_filter_bounds": _with(_ATOMS)
     + "SELECT mol_id, round(min(x), 6) AS minx, round(max(x), 6) AS maxx, round(min(y), 6) AS miny, round(max(y), 6) AS maxy, "
     f"round(min(z), 6) AS minz, round(max(z), 6) AS maxz FROM atoms WHERE {_IN_BOX} GROUP BY mol_id",
@@ -548,6 +553,7 @@ SQL: dict[str, str] = {
     "docking_modes": _with(_LOGS) + "SELECT ligand, mode, energy, rmsd_lb, rmsd_ub FROM modes",
     "docking_results_table": _with(_LOGS) + 'SELECT "Name" AS ligand, "1_Energy" AS energy FROM summary',
     "docking_stream": _with(_LOGS) + "SELECT * FROM summary",
+    "docking_collection": "SELECT 'mol_' || CAST(vec_id AS VARCHAR) AS ligand, CAST(22 AS INTEGER) AS lines FROM embeddings",
     "first_pose": "SELECT user_id AS ligand, min(event_id) AS model_no, arg_min(value, event_id) AS value FROM events GROUP BY user_id",
     "last_duplicate": "SELECT user_id AS name, max(event_id) AS ord, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "mol2_roundtrip": _with(_ATOMS)
@@ -586,3 +592,6 @@ FROM (SELECT *, CASE WHEN p_size > 25 THEN 'YES_' ELSE 'not_' END || CAST(p_part
     "circular_fingerprint": _with(_CIRCULAR)
     + "SELECT DISTINCT mol AS mol_id, CAST(hash % 1024 AS INTEGER) AS bit FROM (SELECT mol, hash FROM r0 UNION ALL SELECT mol, hash FROM kept)",
 }
+
+# the same trees by the other way of building them
+SQL |= {f"{name}_rounds": SQL[name] for name in ("tree_merges", "tree_merges_by_size", "clades", "yes_clades", "concatenated_tree", "blended_tree")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,33 @@ def rejected_atoms(molecules: DataFrame) -> DataFrame:
     return _atom_lines(molecules).where(~F.col("good")).select("mol_id", "line_no", "line")
 
 
+def with_sections(molecules: DataFrame) -> DataFrame:
+    """Add ``atoms array<struct<serial, element>>`` and ``bonds array<struct<a, b, btype>>`` to every molecule.
+
+    Both sections are cut from the same row, so a file is read once and nothing is joined back.
+    """
+
+    def words(start: str, end: str) -> Column:
+        section = F.substring_index(F.split_part("block", F.lit(start), F.lit(2)), end, 1)
+        spaced = F.slice(F.split(F.regexp_replace(section, r"[ \t\r]+", " "), "\n"), 2, 2147483647)
+        return F.filter(F.transform(spaced, lambda line: F.split(F.trim(line), " ")), lambda t: F.get(t, F.lit(0)) != "")
+
+    def item(t: Column, i: int, kind: str) -> Column:
+        return F.get(t, F.lit(i)).try_cast(kind)
+
+    numbers = {0: "int", 2: "double", 3: "double", 4: "double", 6: "int", 8: "double"}
+    whole = lambda t: reduce(Column.__and__, (item(t, i, k).isNotNull() for i, k in numbers.items()))
+    atom = lambda t: F.struct(item(t, 0, "int").alias("serial"), element_of_type(F.get(t, F.lit(5))).alias("element"))
+    bond = lambda t: F.struct(item(t, 1, "int").alias("a"), item(t, 2, "int").alias("b"), F.get(t, F.lit(3)).alias("btype"))
+    full = lambda t: item(t, 0, "int").isNotNull() & item(t, 1, "int").isNotNull() & item(t, 2, "int").isNotNull() & (F.size(t) > 3)
+    return molecules.withColumns(
+        {
+            "atoms": F.transform(F.filter(words(ATOM, BOND), whole), atom),
+            "bonds": F.transform(F.filter(words(BOND, SECTION), full), bond),
+        }
+    )
+
+
 def read_bonds(molecules: DataFrame) -> DataFrame:
     """Bond rows ``mol_id, bond_id, a, b, btype``."""
     return (

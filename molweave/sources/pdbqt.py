@@ -10,31 +10,38 @@ from molweave.sources.records import read_records
 
 NAME_MARK = "REMARK  Name = "
 END_MARK = "ENDMDL"
+#: what a record without lines consists of: the rest of the end mark's line, MODEL lines, a last line break
+BLANK = r"(?s)\A(?:[ ]*(?:\n|\z)|ENDMDL[^\n]*(?:\n|\z))?(?:MODEL[^\n]*(?:\n|\z))*\z"
 
 
 def _model_lines(value: Column) -> Column:
     """Lines of one record without ``MODEL`` lines and without the rest of the ``ENDMDL`` line."""
-    kept = F.filter(
+    every = F.filter(
         lines(value),
-        lambda line, i: ~line.startswith("MODEL") & ~((i == 0) & (F.trim(line) == "")),
+        lambda line, i: ~line.startswith("MODEL") & ~((i == 0) & (F.trim(line) == "")) & ~((i == 0) & line.startswith(END_MARK)),
     )
-    # a final line break leaves one empty piece, which is no line
-    last_empty = F.element_at(kept, -1) == ""
-    return F.when((F.size(kept) > 0) & last_empty, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+
+    def cut(kept: Column) -> Column:
+        # a final line break leaves one empty piece, which is no line
+        last_empty = F.get(kept, F.size(kept) - 1) == ""
+        return F.when((F.size(kept) > 0) & last_empty, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+
+    # a one-element transform binds the lines, which are cut once however often they are used
+    return F.transform(F.array(every), cut)[0]
 
 
 def read_pdbqt(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per model: place columns, ``ligand`` and ``lines``. Empty models are dropped."""
-    # a file may begin with the end mark, hence the second filter below
+    # a file may begin with the end mark, whose line is no line of a model either
     records = read_records(spark, path, "\n" + END_MARK).withColumn(
         "value", F.replace("value", F.lit("\r"), F.lit(""))
     )
     named = F.filter("lines", lambda line: line.startswith(NAME_MARK) & (F.length(line) > len(NAME_MARK)))
     name = F.substring(F.try_element_at(named, F.lit(-1)), len(NAME_MARK) + 1, 2147483647)
     return (
-        records.withColumn("lines", _model_lines(F.col("value")))
-        .withColumn("lines", F.filter("lines", lambda line, i: ~((i == 0) & line.startswith(END_MARK))))
-        .where(F.size("lines") > 0)
+        # a text with anything but blank lines and MODEL lines has lines; asking the text keeps the split out of the filter
+        records.where(~F.col("value").rlike(BLANK))
+        .withColumn("lines", _model_lines(F.col("value")))
         .select(
             "src_file",
             "block_start",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from molweave.session import materialise
+
 
 def read_records(
     spark: SparkSession, path: str | list[str], separator: str | None = None
@@ -30,8 +32,11 @@ ORDER = ("src_file", "block_start", "rec_id")
 def file_order(df: DataFrame, column: str = "ord") -> DataFrame:
     """Add a dense number in file order (by file name, then position), starting at 0.
 
-    Only one row per input split goes through a window; the records themselves are not sorted.
+    Only one row per input split goes through a window; the records themselves are not sorted. They are
+    written once, so that splits and records come from the same read of the files: a second one may be
+    cut into other splits.
     """
+    df = materialise(df, "records")
     # record numbers are consecutive inside a split as long as no rows were filtered in between
     splits = df.groupBy("src_file", "block_start").agg(
         F.min("rec_id").alias("_first"), F.count("*").alias("_rows")

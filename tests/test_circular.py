@@ -1,6 +1,6 @@
 import random
 
-from molweave.operators.fingerprints import circular_bits, circular_environments, circular_fingerprints
+from molweave.operators.fingerprints import circular_bits, circular_environments, circular_fingerprints, record_fingerprints
 
 ATOM, BOND = "mol_id long, serial int, element string", "mol_id long, a int, b int, btype string"
 
@@ -52,3 +52,16 @@ def test_environments(spark):
     assert {(r["mol_id"], r["round"]): r["count"] for r in found} == {(1, 0): 3, (1, 1): 3, (2, 0): 1}
     packed = circular_fingerprints(atoms, bonds).where("mol_id = 2").first()["words"]
     assert len(packed) == 16 and sum(bin(w % (1 << 64)).count("1") for w in packed) == 1
+
+
+def test_records_give_what_tables_give(spark):
+    molecules = [random_molecule(s, s, n) for s, n in ((1, 3), (2, 12), (3, 30))]
+    molecules[2][1].extend([(3, 4, 4, "1"), (3, 5, 99, "1"), (3, 1, 2, "ar"), (3, 1, 2, "ar")])
+    molecules.append(([(4, 7, "C"), (4, 7, "N"), (4, 8, "Cl")], []))
+    atoms = spark.createDataFrame([a for m in molecules for a in m[0]], ATOM)
+    bonds = spark.createDataFrame([b for m in molecules for b in m[1]], BOND)
+    want = {r["mol_id"]: r["words"] for r in circular_fingerprints(atoms, bonds).collect()}
+    kind = "mol_id long, atoms array<struct<serial: int, element: string>>, bonds array<struct<a: int, b: int, btype: string>>"
+    records = [(a[0][0], [x[1:] for x in a], [x[1:] for x in b]) for a, b in molecules]
+    got = {r["mol_id"]: r["words"] for r in record_fingerprints(spark.createDataFrame(records, kind), ["mol_id"]).collect()}
+    assert got == want

@@ -94,26 +94,36 @@ def test_mean_and_top(spark, left, right, block_rows):
     assert rows(top, "subset", "name") == sorted(expect, key=str)
 
 
-def test_isolated(spark, left, right, monkeypatch):
-    members = spark.createDataFrame([(1, "train1"), (1, "train5"), (2, "train3")], "subset long, name string")
-    pairs = sim.similarity_pairs(right, left, keep_zero=True)
+@pytest.mark.parametrize("block_rows", [4096, 8])
+@pytest.mark.parametrize("percent", [2, 60])
+def test_isolated(spark, left, right, percent, block_rows):
+    members = [(1, "train1"), (1, "train5"), (2, "train3"), (3, "train1")]
     by_name = {b[1]: b[2] for b in RIGHT}
     want = set()
-    for s, m in members.collect():
+    for s, m in members:
+        amount = max(10, int(percent / 100 * len(LEFT) / sum(x == s for x, _ in members)))
         ranked = sorted((-tanimoto(a[2], by_name[m]), a[1]) for a in LEFT)
-        want |= {(s, n) for _, n in ranked[:10]}
-    assert set(rows(sim.isolated_top(pairs, members, 2))) == want
-    monkeypatch.setattr(sim, "GROUP_LIMIT", 5)
-    assert set(rows(sim.isolated_top(pairs, members, 2))) == want
-
-
-def test_stats_and_blend(spark, left):
-    pairs = spark.createDataFrame([("base0", "x", 0.5), ("base0", "y", 0.25)], "left_name string, right_name string, sim double")
-    got = {r["name"]: (r["max_sim"], r["avg_sim"]) for r in sim.similarity_stats(pairs, left).collect()}
-    assert got["base0"] == (0.5, 0.375) and got["base7"] == (0.0, 0.0)
-    one = spark.createDataFrame([("b", "a", 0.2)], "a string, b string, dist double")
-    two = spark.createDataFrame([("b", "a", 0.8)], "a string, b string, dist double")
-    assert sim.combine_similarity(one, two, 0.5).first()["dist"] == (0.2 + 0.8 * 0.5) / 1.5
+        want |= {(s, n) for _, n in ranked[:amount]}
+    df = spark.createDataFrame(members, "subset long, name string")
+    assert set(rows(sim.isolated_top(right, left, df, percent, len(LEFT), block_rows=block_rows))) == want
+
+
+@pytest.mark.parametrize("block_rows", [4096, 8])
+def test_stats_and_blend(spark, left, right, block_rows):
+    got = {r["name"]: (r["max_sim"], r["avg_sim"]) for r in sim.similarity_stats(left, right, block_rows=block_rows).collect()}
+    for a in LEFT:
+        found = [tanimoto(a[2], b[2]) for b in RIGHT]
+        assert got[a[1]] == (max(found), pytest.approx(sum(found) / len(found), abs=1e-12))
+    none = sim.similarity_stats(left, right.limit(0), block_rows=block_rows).first()
+    assert (none["max_sim"], none["avg_sim"]) == (0.0, 0.0)
+    both = left.withColumn("words2", F.transform("words", lambda w: w.bitwiseXOR(F.lit(5))))
+    second = {r["name"]: r["words2"] for r in both.collect()}
+    pairs = {(r["a"], r["b"]): r["dist"] for r in sim.blended_pairs(both, 0.5, block_rows=block_rows).collect()}
+    assert len(pairs) == len(LEFT) * (len(LEFT) - 1) // 2
+    names = {a[1]: a[2] for a in LEFT}
+    for (a, b), dist in pairs.items():
+        want = (1 - tanimoto(names[a], names[b]) + (1 - tanimoto(second[a], second[b])) * 0.5) / 1.5
+        assert dist == pytest.approx(want, abs=1e-12)
 
 
 def test_names_lists(spark, left):
