@@ -13,6 +13,8 @@ draw and are computed in place; the others reach their texts by a join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +111,12 @@ def _shaped(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(chars, char), "")
 
 
-def _digits_filled(value: Column, shape: Column, digits: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it: a one-element transform."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _digits_filled(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, in their order, by those of ``digits``."""
     empty = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     step = lambda acc, c: F.when(
@@ -135,17 +142,22 @@ def _card(value: Column, stream: Column) -> Column:
     shaped = F.regexp_replace(_shaped(value, stream), "[^0-9]", "")
     plain = F.regexp_replace(value, "[^0-9]", "")
     body = F.concat(F.substring(plain, 1, 1), F.substring(shaped, F.lit(2), F.length(shaped) - 2))
-    return _digits_filled(value, value, F.concat(body, luhn_digit(body)))
+    whole = _let(body, lambda b: F.concat(b, luhn_digit(b)))
+    return _let(whole, lambda digits: _digits_filled(value, digits))
 
 
 def _iban(value: Column, stream: Column) -> Column:
-    shaped = _shaped(value, stream)
-    body = F.regexp_replace(F.substring(shaped, F.lit(5), F.length(shaped)), " ", "")
     country = F.substring(value, 1, 2)
-    letters = F.filter(F.split(F.concat(body, country, F.lit("00")), ""), lambda c: c != "")
     part = lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string"))
-    rest = F.aggregate(F.filter(F.split(F.array_join(F.transform(letters, part), ""), ""), lambda c: c != ""), F.lit(0), lambda acc, c: (acc * 10 + c.cast("int")) % 97)
-    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(shaped, F.lit(5), F.length(shaped)))
+
+    def checked(shaped: Column) -> Column:
+        body = F.regexp_replace(F.substring(shaped, F.lit(5), F.length(shaped)), " ", "")
+        letters = F.filter(F.split(F.concat(body, country, F.lit("00")), ""), lambda c: c != "")
+        digits = F.filter(F.split(F.array_join(F.transform(letters, part), ""), ""), lambda c: c != "")
+        rest = F.aggregate(digits, F.lit(0), lambda acc, c: (acc * 10 + c.cast("int")) % 97)
+        return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(shaped, F.lit(5), F.length(shaped)))
+
+    return _let(_shaped(value, stream), checked)
 
 
 def _ip(stream: Column) -> Column:
@@ -185,9 +197,9 @@ def _name(value: Column, stream: Column) -> Column:
 
 def surrogate(value: Column, attempt: Column, key: str) -> Column:
     """The surrogate of an entity at a draw. A card number whose check digit is wrong is none and stays."""
-    kind = kind_of(value)
 
-    def drawn(stream: Column) -> Column:
+    def drawn(bound: Column) -> Column:
+        kind, stream = bound["kind"], bound["stream"]
         prefix = r"^\+[0-9]{1,3}(?=[ .(-])"
         phone = F.concat(F.regexp_extract(value, prefix + "|^", 0), _shaped(F.regexp_replace(value, prefix, ""), stream))
         return (
@@ -196,8 +208,8 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
             .when(kind == "name", _name(value, stream)).when(kind == "phone", phone).when(kind == "ssn", _shaped(value, stream)).otherwise(value)
         )
 
-    # a one-element transform binds the stream, so that it is computed once and not at every use
-    return F.transform(F.array(_stream(key, value, attempt, F.length(value) + 8)), drawn)[0]
+    bound = F.struct(kind_of(value).alias("kind"), _stream(key, value, attempt, F.length(value) + 8).alias("stream"))
+    return _let(bound, drawn)
 
 
 def entities_of(text: Column) -> Column:
@@ -206,6 +218,8 @@ def entities_of(text: Column) -> Column:
 
 def replacements(values: DataFrame, key: str) -> DataFrame:
     """(value, attempt, replacement) of distinct values; no two replacements are equal and none is a value."""
+    # few bytes, but many draws: spread over all tasks, which adaptive execution would join into one
+    values = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
     drawn = materialise(values.select("value", F.lit(0).alias("attempt"), surrogate(F.col("value"), F.lit(0), key).alias("replacement")), "surrogates")
     while True:
         first = drawn.groupBy("replacement").agg(F.min(F.struct("attempt", "value")).alias("m"), F.count("*").alias("n"))
