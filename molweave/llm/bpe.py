@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_text, table
-from .words import PieceTable, per_process
+from .words import PieceTable
 
 #: contractions in one recursive query; longer words go on in the next one, so its rows stay bounded
 DEPTH = 48
@@ -208,11 +208,8 @@ def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pa
 
         file, cut = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
-        def load():
-            engine = DuckBpe(file)
-            return engine, PieceTable(WordCutter(regex.compile(cut), engine).encode)
-
-        engine, known = per_process(("duckdb", file, cut), load)
+        engine = DuckBpe(file)
+        known = PieceTable(WordCutter(regex.compile(cut), engine).encode)
 
         def run(texts: list[str | None]) -> list[pa.Array]:
             ids = known.texts([t or "" for t in texts])

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from molweave.session import materialise, scratch_path
 
 from .common import local_path, table
-from .words import PieceTable, lots, per_process, rows_of
+from .words import PieceTable, per_process, rows_of, slices
 
 MAGIC = b"MWDAC1"
 WIDTH = 8
@@ -171,6 +171,8 @@ MANIFEST = T.StructType(
 )
 #: tokens of one file; a document is never cut, so a longer one is a file of its own
 FILE_TOKENS = 16_000_000
+#: distinct pieces (about 150 bytes each) that a Python worker keeps
+TABLE_PIECES = 900_000
 #: characters that are encoded at once
 LOT_CHARS = 4_000_000
 
@@ -192,6 +194,7 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
 
         import public_tokenizers
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -202,8 +205,9 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
 
             model = Tokenizer.from_file(path)
             model.encode_special_tokens = True
-            return PieceTable(lambda new: encode_strings(model, new))
+            return PieceTable(lambda new: encode_strings(model, new), TABLE_PIECES)
 
+        # the table serves all tasks of a Python worker: what it holds depends on the tokenizer alone
         known = per_process(("tokenizers", path), load)
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
@@ -225,9 +229,9 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
         system.create_dir(inside, recursive=True)
         for batch in batches:
             keys = [-(2**63) if k is None else k for k in batch.column(0).to_pylist()]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lot in lots(texts, LOT_CHARS):
-                for key, x in zip(keys[lot], known.texts(texts[lot]), strict=True):
+            texts = batch.column(1).fill_null("")
+            for lot in slices(pc.utf8_length(texts).to_pylist(), LOT_CHARS):
+                for key, x in zip(keys[lot], known.texts(texts.slice(lot.start, lot.stop - lot.start)), strict=True):
                     x = np.append(x, end_id).astype(np.uint32)
                     if names and size + len(x) > FILE_TOKENS:
                         yield flush()

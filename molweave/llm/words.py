@@ -1,7 +1,7 @@
 """Texts put together from a bounded table of encoded pieces, shared by the token operators.
 
 A single space between two visible characters is always a word boundary of the byte-level pattern, and the space
-belongs to the word after it. So a text is cut at its spaces and every distinct piece of a process is encoded once;
+belongs to the word after it. So a text is cut at its spaces and every distinct piece of a task is encoded once;
 texts are then put together from the table by array operations. A text in which a space has another white space
 beside it (or an end of the text) is encoded as a whole. Memory follows the batch and the bounded table.
 """
@@ -12,9 +12,13 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: distinct pieces a process keeps before the table starts anew
-TABLE_PIECES = 900_000
+#: distinct pieces a task keeps before its table starts anew
+TABLE_PIECES = 600_000
+#: marks that often end a piece
+MARKS = ",.;:!?"
 
 
 class PieceTable:
@@ -30,57 +34,83 @@ class PieceTable:
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def add(self, spaced: set[str], alone: set[str]) -> None:
-        """Make new pieces known; a piece at which a text may not be cut gets the number -1."""
+    def add(self, spaced: list[str], alone: list[str]) -> None:
+        """Make new pieces known; a piece at which a text may not be cut gets the number -1.
+
+        One mark after a letter or digit is a word of its own, so "word," is put together from "word" and ",".
+        """
         good = [p for p in spaced if p and p == p.strip()]
         self.after_space.update(dict.fromkeys(spaced, -1))
-        raw = list(alone)
-        if not good and not raw:
+        marked = [p for p in good if p[-1] in MARKS and p[-2:-1].isalnum()]
+        rest = set(good).difference(marked)
+        stems = {p[:-1] for p in marked}
+        plain = list(rest | stems.difference(self.after_space))
+        if not plain and not alone and not marked:
             return
-        sizes, flat = self.encode([" " + p for p in good] + raw)
+        known = {p: self.after_space[p] for p in stems if p not in rest and p in self.after_space}
+        marks = list(MARKS)
+        sizes, flat = self.encode([" " + p for p in plain] + alone + marks)
+        base, n = len(self.starts) - 1, len(plain) + len(alone)
+        at = dict(zip(plain, range(base, base + len(plain)), strict=True)) | known
+        self.after_space.update((p, at[p]) for p in rest)
+        self.alone.update(zip(alone, range(base + len(plain), base + n), strict=True))
+        after = np.cumsum(sizes)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + after[:n]])
+        self.ids = np.concatenate([self.ids, flat[: int(after[n - 1]) if n else 0]])
+        # stems with their mark
+        stem = np.fromiter((at[p[:-1]] for p in marked), np.int64, len(marked))
+        which = np.fromiter(map(MARKS.index, (p[-1] for p in marked)), np.int64, len(marked))
+        width, begin = self.starts[stem + 1] - self.starts[stem], self.starts[stem]
+        tail, tail_at = sizes[n:][which], (after - sizes)[n:][which]
+        size = width + tail
+        end = np.cumsum(size)
+        new = np.arange(int(end[-1]) if len(end) else 0)
+        inside = new - np.repeat(end - size, size)
+        head = inside < np.repeat(width, size)
+        ids = np.empty(len(new), np.int32)
+        ids[head] = self.ids[(np.repeat(begin, size) + inside)[head]]
+        ids[~head] = flat[(np.repeat(tail_at - width, size) + inside)[~head]]
         base = len(self.starts) - 1
-        self.after_space.update(zip(good, range(base, base + len(good)), strict=True))
-        self.alone.update(zip(raw, range(base + len(good), base + len(sizes)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat])
+        self.after_space.update(zip(marked, range(base, base + len(marked)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + end])
+        self.ids = np.concatenate([self.ids, ids])
 
     def numbers(self, spaced: list[str], alone: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of pieces after a space and of pieces at the front of a text."""
+        """The numbers of distinct pieces after a space and of pieces at the front of a text."""
         look = lambda known, pieces: np.fromiter(map(known.get, pieces, repeat(-2)), np.int64, len(pieces))
         index, front = look(self.after_space, spaced), look(self.alone, alone)
-        at, at_front = np.flatnonzero(index == -2), np.flatnonzero(front == -2)
-        new, raw = {spaced[i] for i in at.tolist()}, {alone[i] for i in at_front.tolist()}
+        at = np.flatnonzero(index == -2)
+        new, raw = [spaced[i] for i in at.tolist()], list({p for p, k in zip(alone, front.tolist(), strict=True) if k == -2})
         if len(self.after_space) + len(self.alone) + len(new) + len(raw) > self.limit:
             self.reset()
-            new, raw = set(spaced), set(alone)
-            at, at_front = np.arange(len(spaced)), np.arange(len(alone))
+            new, raw = spaced, list(set(alone))
         if new or raw:
             self.add(new, raw)
-            index[at] = look(self.after_space, [spaced[i] for i in at.tolist()])
-            front[at_front] = look(self.alone, [alone[i] for i in at_front.tolist()])
+            return look(self.after_space, spaced), look(self.alone, alone)
         return index, front
 
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
+    def texts(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of every text."""
-        if not texts:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
             return []
-        cut = [t.split(" ") for t in texts]
-        firsts = [c[0] if c[0] == c[0].strip() else "" for c in cut]
-        for c in cut:
-            c[0] = "."
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        index, front = self.numbers(list(chain.from_iterable(cut)), firsts)
-        heads = np.cumsum(counts) - counts
-        index[heads] = front
-        bad = np.fromiter((not f for f in firsts), bool, len(cut)) | (np.minimum.reduceat(index, heads) < 0)
+        cut = pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        offsets, pieces = offsets - offsets[0], cut.flatten()
+        coded = pieces.dictionary_encode()
+        firsts = [p if p == p.strip() else "" for p in pieces.take(pa.array(offsets[:-1])).to_pylist()]
+        numbers, front = self.numbers(coded.dictionary.to_pylist(), firsts)
+        index = numbers[coded.indices.to_numpy()]
+        index[offsets[:-1]] = front
+        bad = np.fromiter((not f for f in firsts), bool, len(firsts)) | (np.minimum.reduceat(index, offsets[:-1]) < 0)
         index[index < 0] = 0
         begin, size = self.starts[index], self.starts[index + 1] - self.starts[index]
         after = np.cumsum(size)
         flat = self.ids[np.arange(int(after[-1])) - np.repeat(after - size - begin, size)]
-        out = np.split(flat, after[heads + counts - 1][:-1])
+        out = np.split(flat, after[offsets[1:] - 1][:-1])
         whole = np.flatnonzero(bad)
         if len(whole):
-            sizes, flat = self.encode([texts[i] for i in whole])
+            sizes, flat = self.encode([texts[i].as_py() for i in whole.tolist()])
             for i, ids in zip(whole.tolist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 out[i] = ids
         return out
@@ -104,14 +134,19 @@ def per_process(key: tuple, make: Callable[[], object]) -> object:
     return kept[key]
 
 
-def lots(texts: list[str], limit: int) -> list[slice]:
-    """Slices of ``texts`` of about ``limit`` characters each; a longer text is a slice of its own."""
-    out, begin, size = [], 0, 0
-    for i, text in enumerate(texts):
-        if i > begin and size + len(text) > limit:
+def slices(sizes: list[int], limit: int) -> list[slice]:
+    """Slices of rows of about ``limit`` characters together; a longer text is a slice of its own."""
+    out, begin, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > limit:
             out.append(slice(begin, i))
-            begin, size = i, 0
-        size += len(text)
-    if texts:
-        out.append(slice(begin, len(texts)))
+            begin, total = i, 0
+        total += size
+    if sizes:
+        out.append(slice(begin, len(sizes)))
     return out
+
+
+def lots(texts: list[str], limit: int) -> list[slice]:
+    """:func:`slices` of texts."""
+    return slices([len(t) for t in texts], limit)
