@@ -1,7 +1,7 @@
 """Every operator as a query over the test tables.
 
 The tables hold no molecules, so they stand in for them: an embedding is a compound whose first 32
-signs are its contacts and whose last 32 are its chemical bits, its values times 100 are 21 atoms, label 0
+signs are its contacts and whose last 32 are its chemical bits, its first 63 values times 100 are 21 atoms whose charge is the last value, label 0
 is the positive class, label 1 the negative one, and all other labels are base compounds. Docking logs are
 texts made from events, bonded molecules are orders with their lines as atoms.
 """
@@ -104,7 +104,7 @@ def molecule_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
             "sybyl_type": f"concat({kind}, '{'.3' if j % 2 else ''}')",
             "resnum": str(j // 7 + 1),
             "resname": f"'RES{j // 7 + 1}'",
-            "charge": "0.25D",
+            "charge": f"cast(embedding[{3 * ATOMS}] as double)",
         }
         return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
@@ -295,8 +295,8 @@ def box_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_xyz_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = points(spark, sf_dir).withColumns({c: F.floor(c).cast("int") for c in AXES})
-    return text_sinks.xyz_lines(whole, BOX)
+    given = points(spark, sf_dir).withColumns({c: F.round(c, 3) for c in AXES})
+    return text_sinks.xyz_lines(given, BOX)
 
 
 def xyz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -639,6 +639,33 @@ def pdbqt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighed.select("ligand", F.round("mass", 6).alias("mass"))
 
 
+def mass_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mass table of a PDBQT file as the job writes it."""
+    path, out = scratch_path(spark, "pdbqt"), scratch_path(spark, "masses")
+    text_sinks.write_models(pdbqt_models(spark, sf_dir), path, ["model_no"])
+    jobs.mass_job(spark, path, out)
+    saved = spark.read.csv(out, sep="\t", header=True, schema="Ligand string, Mass double")
+    return saved.select("Ligand", F.round("Mass", 6).alias("Mass"))
+
+
+def rejected_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atom lines of the MOL2 files that are no atoms: every seventh one gets a broken number."""
+    broken = lambda a, i: F.when(i % 7 == 6, a.withField("sybyl_type", F.concat(a["sybyl_type"], F.lit(" x ")))).otherwise(a)
+    path = scratch_path(spark, "mol2")
+    molecules = molecule_atoms(spark, sf_dir).withColumn("atoms", F.transform("atoms", broken))
+    text_sinks.mol2_text(_bonded(molecules)).select("text").write.text(path)
+    read = mol2.read_mol2(spark, path).withColumn("mol_id", F.struct("mol_id", "name"))
+    return mol2.rejected_atoms(read).select("mol_id.name", F.col("line_no").cast("int").alias("line_no"))
+
+
+def repeated_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that an element list made of order lines has more than once."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("ord"), F.concat_ws("\t", F.lit("x"), "l_returnflag", "l_linenumber", F.lit("1.5")).alias("line")
+    )
+    return elements.repeated_elements(lines)
+
+
 def numbered_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = text_sinks.numbered_models(pdbqt_models(spark, sf_dir), ["ligand"])
     lines = F.split("text", "\n")
@@ -767,6 +794,9 @@ QUERIES: dict[str, Query] = {
     "mol2_bonds": mol2_bonds,
     "skip_and_first": skip_and_first,
     "pdbqt_roundtrip": pdbqt_roundtrip,
+    "mass_file": mass_file,
+    "rejected_atoms": rejected_atoms,
+    "repeated_elements": repeated_elements,
     "numbered_models": numbered_models,
     "training_names": training_names,
     "long_names": long_names,

@@ -63,7 +63,7 @@ atoms AS (
          CAST(embedding[3 * j + 3] AS DOUBLE) * 100 AS z,
          {_element('label + j')} || CASE WHEN j % 2 = 1 THEN '.3' ELSE '' END AS sybyl_type,
          CAST(j // 7 + 1 AS INTEGER) AS resnum, 'RES' || CAST(j // 7 + 1 AS VARCHAR) AS resname,
-         CAST(0.25 AS DOUBLE) AS charge, {_element('label + j')} AS element,
+         CAST(embedding[64] AS DOUBLE) AS charge, {_element('label + j')} AS element,
          {_radius(_element('label + j'))} AS radius, j
   FROM embeddings, range(0, 21) t(j))
 """
@@ -461,7 +461,7 @@ SQL: dict[str, str] = {
     f"count(*) FILTER (WHERE {_IN_BOX}) < 10 AS too_few FROM points",
     "box_xyz_lines": _with(
         _POINTS,
-        "whole AS (SELECT atom_id, element, CAST(floor(x) AS INTEGER) AS x, CAST(floor(y) AS INTEGER) AS y, CAST(floor(z) AS INTEGER) AS z FROM points)",
+        "whole AS (SELECT atom_id, element, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM points)",
         f"inside AS (SELECT * FROM whole WHERE {_IN_BOX})",
     )
     + "SELECT CAST(-2 AS BIGINT) AS pos, CAST(count(*) AS VARCHAR) AS line FROM inside UNION ALL SELECT -1, 'ProteinBox' UNION ALL "
@@ -565,6 +565,8 @@ SQL: dict[str, str] = {
     + "SELECT name AS ligand, round(sum(coalesce(mass, 0)), 6) AS mass FROM atoms LEFT JOIN el ON symbol = lower(CASE WHEN regexp_matches(substr(atom_name, 1, 2), "
     "'^[A-Z][A-Z]$') THEN substr(element, 1, 1) ELSE regexp_extract(rpad(substr(atom_name, 1, 2), 2, ' '), '[A-Za-z][A-Za-z0-9]*') END) "
     "WHERE j % 5 <> 4 GROUP BY name",
+    "rejected_atoms": "SELECT 'mol_' || CAST(vec_id AS VARCHAR) AS name, CAST(i * 7 AS INTEGER) AS line_no FROM embeddings, range(1, 4) t(i)",
+    "repeated_elements": "SELECT lower(l_returnflag) AS symbol, count(*) AS entries FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     "numbered_models": "SELECT n AS number, 'MODEL ' || CAST(n AS VARCHAR) AS first, 'REMARK  Name = ' || name AS second, CAST(24 AS INTEGER) AS lines FROM "
     "(SELECT 'mol_' || CAST(vec_id AS VARCHAR) AS name, row_number() OVER (ORDER BY 'mol_' || CAST(vec_id AS VARCHAR)) AS n FROM embeddings)",
     "training_names": "SELECT label || '_' || CAST(p_partkey AS VARCHAR) || '_' || regexp_replace(p_name, '[^A-Za-z0-9_|-]', '', 'g') AS name, label FROM "
@@ -593,5 +595,6 @@ FROM (SELECT *, CASE WHEN p_size > 25 THEN 'YES_' ELSE 'not_' END || CAST(p_part
     + "SELECT DISTINCT mol AS mol_id, CAST(hash % 1024 AS INTEGER) AS bit FROM (SELECT mol, hash FROM r0 UNION ALL SELECT mol, hash FROM kept)",
 }
 
-# the same trees by the other way of building them
+# the same numbers by another way
+SQL["mass_file"] = f'SELECT ligand AS "Ligand", mass AS "Mass" FROM ({SQL["pdbqt_roundtrip"]})'
 SQL |= {f"{name}_rounds": SQL[name] for name in ("tree_merges", "tree_merges_by_size", "clades", "yes_clades", "concatenated_tree", "blended_tree")}

@@ -264,6 +264,9 @@ def test_report(spark, tmp_path):
     assert rows(report.read_report(spark, out), "id", "energy") == [("0", -7.5), ("1", -7.5)]
     assert report.read_report(spark, out).where("id = '1'").first()["similarChem"][0]["similarity"] == 50
     assert report.read_report(spark, str(tmp_path / "missing.json")) is None
+    (tmp_path / "broken.json").write_text('{"id": "1", "energy"')
+    assert report.read_report(spark, str(tmp_path / "broken.json")) is None
+    assert report.read_report(spark, str(tmp_path / "broken.json"), one_array=True) is None
 
 
 def test_xyz_of_a_box(spark, tmp_path):
