@@ -124,40 +124,35 @@ class TokenFile:
             yield doc, ids[self.starts[k] : self.starts[k + 1]]
 
 
-def encode_strings(model, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_strings(model, strings: list[str], spaced: int) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and ids of strings by the tokenizers library.
 
-    Strings that begin with a space and hold no carriage return are joined by one, which the byte-level pattern makes
-    a token of its own before a space and a letter, so that many share a call; others are encoded one by one.
+    The first ``spaced`` strings begin with a space and have no other white space at their ends. They are joined by a
+    carriage return, which the byte-level pattern makes a token of its own there, so that many share a call; a lot in
+    which a string holds one itself, and all other strings, are encoded one by one.
     """
     mark = model.encode("\r", add_special_tokens=False).ids
-    fit = [k for k, s in enumerate(strings) if s[:1] == " " and "\r" not in s and s[1:] == s.strip()]
-    sizes = np.zeros(len(strings), np.int64)
-    parts: dict[int, np.ndarray] = {}
-    if len(mark) == 1:
-        lists = [fit[k : k + 4096] for k in range(0, len(fit), 4096)]
-        for own, found in zip(lists, model.encode_batch_fast(["\r".join([strings[k] for k in own]) for own in lists], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.int32)
-            ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
-            if len(ends) == len(own):
-                size = np.diff(ends, prepend=-1) - 1
-                sizes[own] = size
-                parts[own[0]] = ids[ids != mark[0]]
-            else:
-                fit = [k for k in fit if k not in set(own)]
-    else:
-        fit = []
-    rest = np.setdiff1d(np.arange(len(strings)), fit)
-    n, flat = rows_of([e.ids for e in model.encode_batch_fast([strings[k] for k in rest.tolist()], add_special_tokens=False)])
-    sizes[rest] = n
-    out = np.zeros(int(sizes.sum()), np.int32)
-    after = np.cumsum(sizes)
-    joined = np.concatenate([*parts.values(), flat]) if parts else flat
-    order = np.concatenate([np.array(fit, np.int64), rest])
-    size = sizes[order]
-    at = np.arange(len(joined)) - np.repeat(np.cumsum(size) - size, size) + np.repeat((after - sizes)[order], size)
-    out[at] = joined
-    return sizes, out
+    lots = [(k, min(k + 4096, spaced)) for k in range(0, spaced, 4096)]
+    joined = ["\r".join(strings[a:b]) for a, b in lots]
+    good = [len(mark) == 1 and text.count("\r") == b - a - 1 for text, (a, b) in zip(joined, lots, strict=True)]
+    found = iter(model.encode_batch_fast([t for t, g in zip(joined, good, strict=True) if g], add_special_tokens=False))
+    sizes, parts = [], []
+
+    def one_by_one(part: list[str]) -> None:
+        n, flat = rows_of([e.ids for e in model.encode_batch_fast(part, add_special_tokens=False)])
+        sizes.append(n)
+        parts.append(flat)
+
+    for fits, (a, b) in zip(good, lots, strict=True):
+        ids = np.array(next(found).ids, np.int32) if fits else None
+        at = np.append(np.flatnonzero(ids == mark[0]), len(ids)) if fits else ()
+        if len(at) == b - a:
+            sizes.append(np.diff(at, prepend=-1) - 1)
+            parts.append(ids[ids != mark[0]])
+        else:
+            one_by_one(strings[a:b])
+    one_by_one(strings[spaced:])
+    return np.concatenate(sizes), np.concatenate(parts)
 
 
 MANIFEST = T.StructType(
@@ -205,7 +200,7 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
 
             model = Tokenizer.from_file(path)
             model.encode_special_tokens = True
-            return PieceTable(lambda new: encode_strings(model, new), TABLE_PIECES)
+            return PieceTable(lambda new, spaced: encode_strings(model, new, spaced), TABLE_PIECES)
 
         # the table serves all tasks of a Python worker: what it holds depends on the tokenizer alone
         known = per_process(("tokenizers", path), load)

@@ -22,9 +22,13 @@ MARKS = ",.;:!?"
 
 
 class PieceTable:
-    """Ids of pieces. ``encode`` gets a list of strings and returns how many ids each has, and all ids in a row."""
+    """Ids of pieces.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = TABLE_PIECES):
+    ``encode`` gets a list of strings, and how many of its first ones are pieces after a space; it returns how many ids
+    each string has, and all ids in a row.
+    """
+
+    def __init__(self, encode: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], limit: int = TABLE_PIECES):
         self.encode, self.limit = encode, limit
         self.reset()
 
@@ -49,7 +53,7 @@ class PieceTable:
             return
         known = {p: self.after_space[p] for p in stems if p not in rest and p in self.after_space}
         marks = list(MARKS)
-        sizes, flat = self.encode([" " + p for p in plain] + alone + marks)
+        sizes, flat = self.encode([" " + p for p in plain] + alone + marks, len(plain))
         base, n = len(self.starts) - 1, len(plain) + len(alone)
         at = dict(zip(plain, range(base, base + len(plain)), strict=True)) | known
         self.after_space.update((p, at[p]) for p in rest)
@@ -84,9 +88,10 @@ class PieceTable:
         if len(self.after_space) + len(self.alone) + len(new) + len(raw) > self.limit:
             self.reset()
             new, raw = spaced, list(set(alone))
+            at = np.arange(len(spaced))
         if new or raw:
             self.add(new, raw)
-            return look(self.after_space, spaced), look(self.alone, alone)
+            index[at], front = look(self.after_space, new), look(self.alone, alone)
         return index, front
 
     def texts(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
@@ -110,7 +115,7 @@ class PieceTable:
         out = np.split(flat, after[offsets[1:] - 1][:-1])
         whole = np.flatnonzero(bad)
         if len(whole):
-            sizes, flat = self.encode([texts[i].as_py() for i in whole.tolist()])
+            sizes, flat = self.encode([texts[i].as_py() for i in whole.tolist()], 0)
             for i, ids in zip(whole.tolist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 out[i] = ids
         return out

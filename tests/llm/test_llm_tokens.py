@@ -52,7 +52,7 @@ def test_long_words_and_runs(plain):
 
 
 def test_piece_table_restarts(plain):
-    table = PieceTable(lambda new: (np.array([len(plain.encode_ordinary(s)) for s in new]), np.array([i for s in new for i in plain.encode_ordinary(s)], np.int32)), limit=5)
+    table = PieceTable(lambda new, spaced: (np.array([len(plain.encode_ordinary(s)) for s in new]), np.array([i for s in new for i in plain.encode_ordinary(s)], np.int32)), limit=5)
     for text in ["a b c d", "e f g", "", " x", "y ", "a  b", "one\ntwo three", "a b c d"]:
         assert table.texts([text])[0].tolist() == plain.encode_ordinary(text)
 
