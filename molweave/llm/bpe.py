@@ -24,8 +24,10 @@ from .words import PieceTable
 DEPTH = 48
 #: bytes of words in one recursive query
 QUERY_BYTES = 250_000
+#: characters that are encoded at once
+LOT_CHARS = 2_000_000
 #: token rows in one decoding query
-DECODE_TOKENS = 4_000_000
+DECODE_TOKENS = 1_000_000
 
 #: Rows link to the next position, so a step is two hash joins and one aggregation. One pair of a word a step.
 CONTRACT = f"""
@@ -179,7 +181,7 @@ class WordCutter:
     def __init__(self, pattern, engine: DuckBpe):
         self.find, self.engine = pattern.findall, engine
 
-    def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, strings: list[str], spaced: int = 0) -> tuple[np.ndarray, np.ndarray]:
         cut = [self.find(s) for s in strings]
         words = [w for x in cut for w in x]
         index = {w: k for k, w in enumerate(dict.fromkeys(words))}
@@ -222,7 +224,7 @@ def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pa
 
         return run
 
-    return map_text(df, text, OUTPUT, make, keep)
+    return map_text(df, text, OUTPUT, make, keep, LOT_CHARS)
 
 
 OUTPUT = T.StructType(

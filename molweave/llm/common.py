@@ -11,14 +11,10 @@ from pyspark.sql.types import StructType
 from .words import lots
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: bytes.translate table and Column form of "lower-case A-Z and nothing else"
+#: bytes.translate table that lower-cases A-Z and nothing else
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +31,21 @@ def local_path(path: str) -> tuple:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system, as Spark keeps Python workers for other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def map_text(df: DataFrame, text: str, outputs: StructType, make: Callable[[], Callable], keep: list[str] | None = None, chars: int = 4_000_000) -> DataFrame:
     """``df`` with columns computed from whole texts, in lots of about ``chars`` characters (longer texts alone).
 
@@ -57,5 +68,7 @@ def map_text(df: DataFrame, text: str, outputs: StructType, make: Callable[[], C
                 arrays = apply(texts[part])
                 rest = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*(rest.column(i + 1) for i in range(len(kept))), *arrays], names=kept + names)
+        del apply
+        give_back()
 
     return source.mapInArrow(run, schema)

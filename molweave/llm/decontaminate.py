@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from molweave.session import materialise
 
-from .common import LOWER_BYTES, lower_ascii, table
+from .common import LOWER_BYTES, give_back, table
 
 WINDOW = 10
 #: words of one segment; a longer document is a segment of its own
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 500_000
 #: bytes of benchmark text that one search takes
 QUERY_BYTES = 8_000_000
 #: fixed pattern of a word, over lower-cased bytes
@@ -83,6 +83,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
                 size += len(words) + 1
         if names:
             yield from _segment(number, names, texts)
+        del names, texts
+        give_back()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     return materialise(source.mapInArrow(run, INDEX), "postings")

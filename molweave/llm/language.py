@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, map_text, table
+from .common import give_back, id_remainder, map_text, table
 
 #: labelled documents (about, at most) from which a model is fitted
 SAMPLE = 20_000
@@ -27,7 +27,7 @@ LONGEST = 5
 #: occurrences below which a word counts as unseen
 LEAST = 3
 #: words whose scores a task keeps
-CACHE = 300_000
+CACHE = 200_000
 #: pattern of a word: letters only
 LETTERS = r"[^\W\d_]+"
 NO_LANGUAGE = "und"
@@ -71,6 +71,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 for k in range(0, len(items), 50_000):
                     part = items[k : k + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array([g for g, _ in part], pa.string()), pa.array([name] * len(part), pa.string()), pa.array([t for _, t in part], pa.int64())], names=["n", "gram", "lang", "times"])
+        words.clear()
+        give_back()
 
     counts = source.select(text, F.col(lang).cast("string")).mapInArrow(count, schema).groupBy("n", "gram", "lang").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST)
     top = counts.orderBy(F.desc("times"), "n", "gram", "lang").limit(rows).toPandas()
