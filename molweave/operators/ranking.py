@@ -12,8 +12,6 @@ from molweave.session import materialise
 _BUCKETS = 1024
 # up to this many rows a plain window is as good as a range partitioning
 SMALL_ROWS = 200_000
-# Spark cuts groups ahead of the shuffle for rank limits up to this (its default threshold)
-GROUP_LIMIT = 1000
 
 
 def last_by_name(df: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:

@@ -20,7 +20,8 @@ def write_distance_matrix(vectors: DataFrame, path: str, pairs: DataFrame | None
 
 def numbered_models(models: DataFrame, order: list[str]) -> DataFrame:
     """``number, text``: each model between its ``MODEL`` and ``ENDMDL`` lines, numbered from 1."""
-    ranked = exact_rank(models, [], [F.asc(c) for c in order], "number")
+    # the texts are range-partitioned and never meet in one task, however few they are
+    ranked = exact_rank(models, [], [F.asc(c) for c in order], "number", small_rows=0)
     head = F.concat(F.lit("MODEL "), F.col("number").cast("string"))
     text = F.array_join(F.concat(F.array(head), F.col("lines"), F.array(F.lit("ENDMDL"))), "\n")
     return ranked.select("number", text.alias("text"))
