@@ -8,7 +8,7 @@ an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molweave.llm.bpe import bpe_roundtrip
@@ -28,17 +28,24 @@ def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
 
 
+def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` with its columns named like an operator's outputs out of the way, and how to get all columns back."""
+    away = {c: f"__in_{c}" for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(away), {c: F.col(away.get(c, c)).alias(c) for c in docs.columns}
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language stay; a missing ``lang`` is filled in. Texts that are null or have no letter go."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    found = predict(docs.withColumns({"__text": F.col("text")}), model, "__text", docs.columns)
-    lang = F.coalesce("lang", "lang_pred").alias("lang")
-    return found.where(F.col("lang_pred") != NO_LANGUAGE).select(*(lang if c == "lang" else c for c in docs.columns))
+    free, back = _aside(docs, ("lang_pred", "score"))
+    back["lang"] = F.coalesce("lang", "lang_pred").alias("lang")
+    return predict(free, model).where(F.col("lang_pred") != NO_LANGUAGE).select(*(back[c] for c in docs.columns))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the row of the smallest id stays (null ids last, then any one of equal rows)."""
-    coded = fingerprints(docs.withColumns({"__text": F.col("text")}), "__text", docs.columns)
+    free, back = _aside(docs, ("simhash", "__row"))
+    coded = fingerprints(free)
     # rows are numbered in the written table, so that every later read sees the same numbers
     coded = materialise(coded.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     rows = coded.select("__row", "simhash", "doc_id")
@@ -48,7 +55,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     least = rows.groupBy(F.col("simhash").alias("fp")).agg(F.min(first).alias("first")).join(near, "fp")
     kept = least.groupBy("component").agg(F.min("first").alias("first"))
     dropped = rows.select("__row").join(kept.select(F.col("first.row").alias("__row")), "__row", "left_anti")
-    return _without(coded, materialise(dropped, "dropped"), "__row").select(*docs.columns)
+    return _without(coded, materialise(dropped, "dropped"), "__row").select(*back.values())
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,15 +67,18 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts becomes surrogates; ``n_chars`` follows the new text."""
-    clean = replace_pii(docs)
-    return clean.select(*(F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns))
+    free, back = _aside(docs, ("n_entities", "kinds"))
+    if "n_chars" in back:
+        back["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return replace_pii(free).select(*back.values())
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian unsigned 32-bit) and whether they decode to its text."""
     kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded", "exact")]
-    coded = bpe_roundtrip(docs.withColumn("__utf8", F.col("text").cast("binary")), keep=[*kept, "__utf8"])
-    return coded.select(*kept, "n_tokens", "ids", (F.coalesce("__utf8", F.lit(b"")) == F.col("decoded")).alias("exact"))
+    text = F.coalesce("text", F.lit(""))
+    coded = bpe_roundtrip(docs.withColumn("__sha", F.sha2(text, 256)), keep=[*kept, "__sha"])
+    return coded.select(*kept, "n_tokens", "ids", (F.col("__sha") == F.sha2("decoded", 256)).alias("exact"))
 
 
 STAGES = [

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .words import lots
+from .words import slices
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z and nothing else
@@ -55,19 +55,22 @@ def map_text(df: DataFrame, text: str, outputs: StructType, make: Callable[[], C
     """
     names = [f.name for f in outputs]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(F.col(text).alias("__text"), *kept)
+    # a text that is passed on travels once
+    place = kept.index(text) if text in kept else len(kept)
+    source = df.select(*kept, *([] if text in kept else [F.col(text).alias("__text")]))
     schema = StructType([source.schema[c] for c in kept] + list(outputs))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         apply = make()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in lots([t or "" for t in texts], chars):
-                arrays = apply(texts[part])
+            sizes = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_pylist()
+            for part in slices(sizes, chars):
                 rest = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*(rest.column(i + 1) for i in range(len(kept))), *arrays], names=kept + names)
+                arrays = apply(rest.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(len(kept))), *arrays], names=kept + names)
         del apply
         give_back()
 

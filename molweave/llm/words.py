@@ -150,8 +150,3 @@ def slices(sizes: list[int], limit: int) -> list[slice]:
     if sizes:
         out.append(slice(begin, len(sizes)))
     return out
-
-
-def lots(texts: list[str], limit: int) -> list[slice]:
-    """:func:`slices` of texts."""
-    return slices([len(t) for t in texts], limit)
