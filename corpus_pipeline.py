@@ -22,6 +22,18 @@ from molweave.session import materialise
 SEND_ROWS = 4_000_000
 
 
+#: documents of one Arrow batch, and characters that the last stage encodes at once: workers and executors of five
+#: stages share their memory
+BATCH_ROWS, LOT_CHARS = 1_000, 500_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session, unless it has a setting of its own."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in the one-column table ``dropped``."""
     few = dropped.count() <= SEND_ROWS
@@ -36,6 +48,7 @@ def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, dict[str
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language stay; a missing ``lang`` is filled in. Texts that are null or have no letter go."""
+    _small_batches(spark)
     model = fit(docs.select("doc_id", "text", "lang"))
     free, back = _aside(docs, ("lang_pred", "score"))
     back["lang"] = F.coalesce("lang", "lang_pred").alias("lang")
@@ -44,6 +57,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the row of the smallest id stays (null ids last, then any one of equal rows)."""
+    _small_batches(spark)
     free, back = _aside(docs, ("simhash", "__row"))
     coded = fingerprints(free)
     # rows are numbered in the written table, so that every later read sees the same numbers
@@ -60,6 +74,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go; equal rows share the decision."""
+    _small_batches(spark)
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     hit = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__key").where("n_hit > 0").select("__key").distinct()
     return _without(keyed, materialise(hit, "contaminated"), "__key").select(*docs.columns)
@@ -76,8 +91,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian unsigned 32-bit) and whether they decode to its text."""
     kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded", "exact")]
+    _small_batches(spark)
     text = F.coalesce("text", F.lit(""))
-    coded = bpe_roundtrip(docs.withColumn("__sha", F.sha2(text, 256)), keep=[*kept, "__sha"])
+    coded = bpe_roundtrip(docs.withColumn("__sha", F.sha2(text, 256)), keep=[*kept, "__sha"], lot_chars=LOT_CHARS)
     return coded.select(*kept, "n_tokens", "ids", (F.col("__sha") == F.sha2("decoded", 256)).alias("exact"))
 
 

@@ -195,12 +195,12 @@ class WordCutter:
         return np.diff(np.concatenate([[0], after])[counts], prepend=0), ids
 
 
-def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: list[str] | None = None, lot_chars: int = LOT_CHARS) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (bytes of the decoded ids).
 
     ``path`` is a file of base64 tokens and ranks, ``pattern`` cuts texts into words; the defaults are the public
     50k vocabulary and its pattern. Null and empty texts have no tokens and decode to no bytes. Texts of any length
-    are encoded whole. Repeated rows give repeated results, an empty table an empty one; input columns named like an
+    are encoded whole; a task encodes about ``lot_chars`` characters of text at once. Repeated rows give repeated results, an empty table an empty one; input columns named like an
     output are replaced.
     """
 
@@ -224,7 +224,7 @@ def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pa
 
         return run
 
-    return map_text(df, text, OUTPUT, make, keep, LOT_CHARS)
+    return map_text(df, text, OUTPUT, make, keep, lot_chars)
 
 
 OUTPUT = T.StructType(

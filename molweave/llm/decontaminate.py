@@ -184,7 +184,12 @@ def _search_segment(rows: pa.Table, queries: Queries, slop: int) -> pa.Table:
 
 
 def _searcher(sent, slop: int):
-    return lambda rows: _search_segment(rows, sent.value, slop)
+    def run(rows):
+        found = _search_segment(rows, sent.value, slop)
+        give_back()
+        return found
+
+    return run
 
 
 def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, slop: int = 0, query_bytes: int = QUERY_BYTES) -> DataFrame:
