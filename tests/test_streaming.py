@@ -1,5 +1,7 @@
 from conftest import rows
 
+from molweave.plans import jobs
+from molweave.sources import pdbqt
 from molweave.streaming import intake
 from test_sources import GOOD
 
@@ -38,3 +40,18 @@ def test_first_log_of_a_ligand_stays(spark, tmp_path):
 
     assert fold("logs1", a="-1.0", b="-2.0") == [("a", -1.0), ("b", -2.0)]
     assert fold("logs2", a="-9.0", d="-4.0") == [("a", -1.0), ("b", -2.0), ("d", -4.0)]
+
+
+def test_docking_collection(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "poses").mkdir()
+    for name, energy in (("a", "-1.0"), ("b", "-2.0")):
+        log(tmp_path / "logs", name, energy)
+        models = [f"MODEL {i}\nREMARK  Name = {name}\nROOT {name}{i}\nENDMDL" for i in (1, 2, 3)]
+        (tmp_path / "poses" / f"{name}.pdbqt").write_text("\n".join(models) + "\n")
+    summary, collected = str(tmp_path / "summary"), str(tmp_path / "collected")
+    jobs.docking_collection_job(spark, str(tmp_path / "logs"), str(tmp_path / "poses"), summary, collected)
+    table = spark.read.csv(summary, sep="\t", header=True)
+    assert rows(table, "Name") == [("a",), ("b",)]
+    kept = {r["ligand"]: r["lines"][-1] for r in pdbqt.read_pdbqt(spark, collected).collect()}
+    assert kept == {"a": "ROOT a1", "b": "ROOT b1"}
