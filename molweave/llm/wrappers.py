@@ -6,9 +6,10 @@ token that only one side has becomes optional, a run of like elements becomes a
 differs becomes a slot. Every task folds its pages of a host into one wrapper before anything is shuffled, so a host
 of any size sends one row per task; a second step aligns those. All pages take part.
 
-A slot is main text if it lies in the host's content region and in no boilerplate element. The region is the
-wrapper's article or main element, else the element that holds most of the text that varies between pages. Pages are
-then matched with their host's wrapper and the texts of main slots are returned, block by block.
+A slot is main text if it lies in the page's content region and in no boilerplate element. The region is every article
+of the page, whatever its class and place, else every main, else the element that holds most of the text that varies
+between the host's pages, else (a host with other templates) the page's own element with most text. Pages are then
+matched with their host's wrapper and the texts of main slots are returned, block by block.
 """
 
 from __future__ import annotations
@@ -221,10 +222,27 @@ def is_boilerplate(key: str) -> bool:
     return False
 
 
-def region_of(items: list) -> tuple[str, ...]:
-    """The path of the content region: article or main, else where most varying text is."""
-    named: list[tuple[int, tuple]] = []
+def _article(key: str) -> str | None:
+    """``article`` or ``main`` for an element that holds the content by its name or role."""
+    tag = key.split("|")[0]
+    return tag if tag in ("article", "main") else "main" if "|role=main" in key else None
+
+
+#: elements that are parts of a content region and none themselves
+PARTS = INLINE | frozenset("p li td tr h1 h2 h3 h4 h5 h6 html".split())
+
+
+def _densest(mass: dict[tuple, int], everything: int) -> tuple[str, ...] | None:
+    """The deepest element that still holds most of the text."""
+    good = [p for p, n in mass.items() if 2 * n > everything]
+    return max(good, key=lambda p: (len(p), mass[p])) if good else None
+
+
+def region_of(items: list) -> tuple[str, ...] | None:
+    """The path where most varying text of a host is; None if some of its pages have an article or main: what they
+    share with the others is too wide, so the others go by their own texts."""
     mass: dict[tuple, int] = {}
+    named: list[tuple] = []
 
     def walk(items: list, path: tuple) -> int:
         total = 0
@@ -234,32 +252,32 @@ def region_of(items: list) -> tuple[str, ...]:
             elif not is_boilerplate(x[KEY]):
                 here = (*path, x[KEY])
                 inside = walk(x[ITEMS], here)
-                tag = x[KEY].split("|")[0]
-                if tag in ("article", "main") or "|role=main" in x[KEY]:
-                    named.append((inside, here))
-                elif tag not in INLINE and tag not in ("p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "html"):
-                    mass[here] = inside
+                if _article(x[KEY]):
+                    named.append(here)
+                elif x[KEY].split("|")[0] not in PARTS:
+                    mass[here] = mass.get(here, 0) + inside
                 total += inside
         return total
 
     everything = walk(items, ())
-    if named:
-        # an article inside main is the region, main itself if articles are missing
-        articles = [n for n in named if n[1][-1].split("|")[0] == "article"] or named
-        return max(articles, key=lambda n: (n[0], -len(n[1])))[1]
-    # the deepest element that still holds most of what varies
-    good = [p for p, n in mass.items() if 2 * n > everything]
-    return max(good, key=lambda p: (len(p), mass[p])) if good else ()
+    return None if named else _densest(mass, everything)
 
 
-def extract(page: Element, items: list, region: tuple[str, ...]) -> str:
+def extract(page: Element, items: list, region: tuple[str, ...] | None) -> str:
     """The main text of a page: its tokens matched with the wrapper, texts of main slots in blocks.
 
-    An element the wrapper lacks is an optional one of the same wrapper and judged by where it stands.
+    The region is every article of the page (one with a class or id such as `comment` only if there is no other), else every main, else the host's ``region`` if it occurs in the page, else the page's own element with most
+    of the text, else the page. An element the wrapper lacks is an optional one of the same wrapper.
     """
-    blocks: list[list[str]] = [[]]
+    blocks: list[tuple[tuple, list[str]]] = [((), [])]
+    known: dict[str, bool] = {}
 
-    def match(element: Element, items: list, depth: int, on_path: bool, within: bool) -> None:
+    def is_known_boilerplate(key: str) -> bool:
+        if key not in known:
+            known[key] = is_boilerplate(key)
+        return known[key]
+
+    def match(element: Element, items: list, path: tuple) -> None:
         at = 0
         for child in element.children:
             key = "#" if isinstance(child, str) else child.key
@@ -269,34 +287,43 @@ def extract(page: Element, items: list, region: tuple[str, ...]) -> str:
             if found is not None:
                 at = found
             if key == "#":
-                if within:
-                    blocks[-1].append(child)
+                blocks[-1][1].append(child)
                 continue
             if child.tag == "br":
-                if within:
-                    blocks[-1].append(" ")
+                blocks[-1][1].append(" ")
                 continue
             if is_known_boilerplate(key):
                 continue
-            forward = on_path and depth < len(region) and key == region[depth]
-            inside = within or (forward and depth + 1 == len(region))
-            block = child.tag not in INLINE
-            if block:
-                blocks.append([])
-            match(child, items[found][ITEMS] if found is not None else [], depth + 1, forward, inside)
-            if block:
-                blocks.append([])
-
-    known: dict[str, bool] = {}
-
-    def is_known_boilerplate(key: str) -> bool:
-        if key not in known:
-            known[key] = is_boilerplate(key)
-        return known[key]
-
-    match(page, items, 0, True, not region)
-    texts = (" ".join(entities.unescape("".join(b)).split()) for b in blocks if b)
-    return "\n".join(t for t in texts if t)
+            if child.tag in INLINE and not _article(key):
+                match(child, items[found][ITEMS] if found is not None else [], path)
+                continue
+            blocks.append(((*path, key), []))
+            match(child, items[found][ITEMS] if found is not None else [], (*path, key))
+            blocks.append((path, []))
+
+    match(page, items, ())
+    texts = [(path, text) for path, parts in blocks if parts and (text := " ".join(entities.unescape("".join(parts)).split()))]
+    above: dict[tuple, list[tuple]] = {}
+    for path, _ in texts:
+        if path not in above:
+            above[path] = [path[:k] for k in range(1, len(path) + 1)]
+    held = {p for paths in above.values() for p in paths}
+    named: dict[tuple[str, bool], set] = {}
+    for p in held:
+        if kind := _article(p[-1]):
+            named.setdefault((kind, any(MARKS.fullmatch(w) for m in p[-1].split("|")[1:] for w in m.partition("=")[2].split())), set()).add(p)
+    chosen = next((named[k] for k in (("article", False), ("article", True), ("main", False), ("main", True)) if k in named), None)
+    if chosen is None and region in held:
+        chosen = {region}
+    if chosen is None:
+        mass: dict[tuple, int] = {}
+        for path, text in texts:
+            for p in above[path]:
+                if p[-1].split("|")[0] not in PARTS:
+                    mass[p] = mass.get(p, 0) + len(text)
+        own = _densest(mass, sum(len(text) for _, text in texts))
+        chosen = {own} if own else None
+    return "\n".join(text for path, text in texts if chosen is None or any(p in chosen for p in above[path]))
 
 
 def host_of(url: Column) -> Column:

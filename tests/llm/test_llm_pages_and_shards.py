@@ -30,6 +30,17 @@ def test_main_text(spark):
     assert [got[k] for k in range(8)] == [want, "Other\nText", want, want, "", "", "bare words only", ("yes " * 30).strip()]
 
 
+def test_hosts_of_mixed_templates(spark):
+    article = "<html><body class='%s'><div class='wrap'><article class='post tag-%s'><p>%s</p></article></div></body></html>"
+    bodies = [article % ("a", "news", "News of the day"), article % ("a", "sport", "Results of the match"), article % ("b", "news", "A body of another class")]
+    bodies += ["<html><body><div class='page'><div class='text'><p>No article here, but some paragraphs</p><p>of plain text</p></div><div>x</div></div></body></html>"]
+    bodies += ["<html><body><main><p>Only main</p></main></body></html>"]
+    bodies += ["<html><body><article class='one tag-social'><p>First part</p></article><div><article class='two'><p>Second part</p></article></div><article class='comment'>No</article></body></html>"]
+    got = run(spark, [(f"https://mixed.example/{i}", b) for i, b in enumerate(bodies)])
+    want = ["News of the day", "Results of the match", "A body of another class", "No article here, but some paragraphs\nof plain text", "Only main", "First part\nSecond part"]
+    assert [got[k] for k in range(len(want))] == want
+
+
 def test_wrapper_has_groups_options_and_slots():
     a = generalise(parse("<div><p>x</p><p>y</p><i>same</i></div>"))
     b = generalise(parse("<div><p>z</p><hr><i>same</i></div>"))
