@@ -3,13 +3,15 @@
 A wrapper is a union-free regular expression over the token stream of a host's pages: elements in order, each
 possibly optional or repeated, with constant texts and text slots. Pages are aligned with it one after the other: a
 token that only one side has becomes optional, a run of like elements becomes a repeated group, and a text that
-differs becomes a slot. Every task folds its pages of a host into one wrapper before anything is shuffled, so a host
+differs becomes a slot. A repeated text may be both: it keeps the texts that it holds in every page. Every task folds its pages of a host into one wrapper before anything is shuffled, so a host
 of any size sends one row per task; a second step aligns those. All pages take part.
 
 A slot is main text if it lies in the page's content region and in no boilerplate element. The region is every article
 of the page, whatever its class and place, else every main, else the element that holds most of the text that varies
 between the host's pages, else (a host with other templates) the page's own element with most text. Pages are then
-matched with their host's wrapper and the texts of main slots are returned, block by block.
+matched with their host's wrapper and the texts of main slots are returned, block by block: a block of constant texts
+only is part of the template and left out, if the wrapper saw it in ``FEW`` different pages or more. A page whose region
+holds nothing else keeps them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -43,6 +47,8 @@ BOILERPLATE = frozenset("head nav footer aside form button select dialog menu ti
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|menu|nav\w*|sidebar|breadcrumb\w*|footer|header|masthead|comment\w*|replies|reply|respond|disqus|share|social|related|newsletter|subscribe|signup|login|widget)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu alert dialog".split())
 
+#: different pages (by their text outside boilerplate) that must share a text before it counts as constant
+FEW = 3
 #: items of a repeated group at most
 PERIOD = 4
 #: item pairs up to which two sequences are aligned by their longest common sequence
@@ -119,18 +125,45 @@ def parse(page: str | None) -> Element:
     return root
 
 
-# A wrapper item: [key, optional, repeated, constant, chars, pages, items]; key "#" is a text. ``constant`` is a hash of a text
-# that all pages share, or None for a slot.
+# A wrapper item: [key, optional, repeated, constant, chars, pages, items]; key "#" is a text. ``constant`` is the set of
+# hashes of texts that all pages with this item hold in it, or None for a slot; ``pages`` names up to ``FEW`` of them.
 KEY, OPTIONAL, REPEATED, CONSTANT, CHARS, PAGES, ITEMS = range(7)
 
+# How items meet: in one page, from two sets of pages, or as neighbours of one wrapper.
+PAGE, PAGE_SETS, NEIGHBOURS = range(3)
 
-def _merge(x: list, y: list) -> list:
+
+def _hash(words: str) -> int:
+    return int.from_bytes(blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def _forget(item: list) -> None:
+    """Make slots of all texts of an item."""
+    item[CONSTANT] = None
+    for x in item[ITEMS]:
+        _forget(x)
+
+
+def _merge(x: list, y: list, how: int) -> list:
     """One item for two of the same key."""
-    constant = x[CONSTANT] if x[CONSTANT] == y[CONSTANT] else None
-    return [x[KEY], x[OPTIONAL] or y[OPTIONAL], x[REPEATED] or y[REPEATED], constant, x[CHARS] + y[CHARS], x[PAGES] + y[PAGES], align(x[ITEMS], y[ITEMS])]
+    if how == NEIGHBOURS:  # what only some pages have is not shared by those of the other
+        for one in (x, y):
+            if one[OPTIONAL]:
+                _forget(one)
+    a, b = x[CONSTANT] or (), y[CONSTANT] or ()
+    if len(a) < len(b):
+        a, b = b, a
+    if how == PAGE_SETS:
+        constant = {h for h in b if h in a}
+    else:
+        constant = a
+        if b:
+            constant |= b
+    pages = x[PAGES] if x[PAGES] == y[PAGES] else sorted({*x[PAGES], *y[PAGES]})[:FEW]
+    return [x[KEY], x[OPTIONAL] or y[OPTIONAL], x[REPEATED] or y[REPEATED], constant or None, x[CHARS] + y[CHARS], pages, align(x[ITEMS], y[ITEMS], how)]
 
 
-def _collapse(items: list) -> list:
+def _collapse(items: list, how: int) -> list:
     """Runs of like items, and of like groups of up to ``PERIOD`` items, become repeated ones."""
     out: list = []
     for item in items:
@@ -140,7 +173,7 @@ def _collapse(items: list) -> list:
             shrunk = False
             for p in range(1, min(PERIOD, len(out) // 2) + 1):
                 if all(out[-k][KEY] == out[-k - p][KEY] for k in range(1, p + 1)):
-                    last = [_merge(x, y) for x, y in zip(out[-2 * p : -p], out[-p:], strict=True)]
+                    last = [_merge(x, y, how) for x, y in zip(out[-2 * p : -p], out[-p:], strict=True)]
                     for x in last:
                         x[REPEATED] = True
                     out[-2 * p :] = last
@@ -149,27 +182,42 @@ def _collapse(items: list) -> list:
     return out
 
 
-def generalise(element: Element) -> list:
-    """The items of one page's element."""
+def _identity(page: Element) -> int:
+    """A hash of the texts outside boilerplate: copies of a page say nothing about its host."""
+    found = 0
+    stack = [page]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str):
+                found = crc32(" ".join(child.split()).encode("utf-8", "surrogatepass"), found)
+            elif not is_boilerplate(child.key):
+                stack.append(child)
+    return found
+
+
+def generalise(element: Element, page: int | None = None) -> list:
+    """The items of one page's element; ``page`` is the page's identity, taken from the element if it is the page."""
+    page = _identity(element) if page is None else page
     items = []
     for child in element.children:
         if isinstance(child, str):
             words = " ".join(child.split())
             if words:
-                items.append(["#", False, False, crc32(words.encode("utf-8", "surrogatepass")), len(words), 1, []])
+                items.append(["#", False, False, {_hash(words)}, len(words), [page], []])
         else:
-            items.append([child.key, False, False, 0, 0, 1, generalise(child)])
-    return _collapse(items)
+            items.append([child.key, False, False, None, 0, [], generalise(child, page)])
+    return _collapse(items, PAGE)
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, how: int = PAGE_SETS) -> list:
     """One regular expression for both: their longest common sequence of items, everything else optional.
 
     Above ``CELLS`` pairs of items the next match from the front is taken instead of the longest sequence.
     """
+    inside = PAGE if how == PAGE else NEIGHBOURS
     keys_a, keys_b = [x[KEY] for x in a], [x[KEY] for x in b]
     if keys_a == keys_b:
-        return _collapse([_merge(x, y) for x, y in zip(a, b, strict=True)])
+        return _collapse([_merge(x, y, how) for x, y in zip(a, b, strict=True)], inside)
     n, m = len(a), len(b)
     pairs: list = []
     i = j = 0
@@ -205,12 +253,13 @@ def align(a: list, b: list) -> list:
         pairs += [(a[k], None) for k in range(i, n)]
     out = []
     for x, y in pairs:
-        one = _merge(x, y) if x is not None and y is not None else x or y
+        one = _merge(x, y, how) if x is not None and y is not None else x or y
         one[OPTIONAL] = one[OPTIONAL] or x is None or y is None
         out.append(one)
-    return _collapse(out)
+    return _collapse(out, inside)
 
 
+@lru_cache(1 << 14)
 def is_boilerplate(key: str) -> bool:
     tag, *marks = key.split("|")
     if tag in BOILERPLATE:
@@ -248,7 +297,7 @@ def region_of(items: list) -> tuple[str, ...] | None:
         total = 0
         for x in items:
             if x[KEY] == "#":
-                total += x[CHARS] if x[CONSTANT] is None or x[PAGES] == 1 else 0
+                total += x[CHARS] if x[CONSTANT] is None else 0
             elif not is_boilerplate(x[KEY]):
                 here = (*path, x[KEY])
                 inside = walk(x[ITEMS], here)
@@ -263,48 +312,57 @@ def region_of(items: list) -> tuple[str, ...] | None:
     return None if named else _densest(mass, everything)
 
 
-def extract(page: Element, items: list, region: tuple[str, ...] | None) -> str:
-    """The main text of a page: its tokens matched with the wrapper, texts of main slots in blocks.
+def known_constants(items: list) -> dict:
+    """{key: (hashes of constant texts, the same for what is below)} of a wrapper; items of one key and parent are one."""
+    out: dict[str, tuple[set, dict]] = {}
+    by_key: dict[str, list] = {}
+    for x in items:
+        by_key.setdefault(x[KEY], []).append(x)
+    for key, same in by_key.items():
+        below = known_constants([y for x in same for y in x[ITEMS]])
+        constant = {h for x in same for h in x[CONSTANT] or ()}
+        if constant or below:
+            out[key] = constant, below
+    return out
+
 
-    The region is every article of the page (one with a class or id such as `comment` only if there is no other), else every main, else the host's ``region`` if it occurs in the page, else the page's own element with most
-    of the text, else the page. An element the wrapper lacks is an optional one of the same wrapper.
-    """
-    blocks: list[tuple[tuple, list[str]]] = [((), [])]
-    known: dict[str, bool] = {}
+def extract(page: Element, constants: dict, region: tuple[str, ...] | None) -> str:
+    """The main text of a page: its tokens matched with the wrapper's, texts of main slots in blocks.
 
-    def is_known_boilerplate(key: str) -> bool:
-        if key not in known:
-            known[key] = is_boilerplate(key)
-        return known[key]
+    The region is every article of the page (one with a class or id such as `comment` only if there is no other), else
+    every main, else the host's ``region`` if it occurs in the page, else the page's own element with most of the
+    text, else the page. A block goes if all its texts are ``constants`` of their place; an element that the wrapper
+    lacks is an optional one of the same wrapper and has none.
+    """
+    # path, texts, whether one of them is a slot's
+    blocks: list[list] = [[(), [], False]]
+    nothing: tuple[set, dict] = (set(), {})
 
-    def match(element: Element, items: list, path: tuple) -> None:
-        at = 0
+    def match(element: Element, constants: dict, path: tuple) -> None:
+        fixed = constants.get("#", nothing)[0]
         for child in element.children:
-            key = "#" if isinstance(child, str) else child.key
-            found = next((k for k in range(at, len(items)) if items[k][KEY] == key), None)
-            if found is None:  # the next turn of a repeated group
-                found = next((k for k in range(at) if items[k][KEY] == key), None)
-            if found is not None:
-                at = found
-            if key == "#":
+            if isinstance(child, str):
                 blocks[-1][1].append(child)
+                if not blocks[-1][2] and (words := " ".join(child.split())):
+                    blocks[-1][2] = not fixed or _hash(words) not in fixed
                 continue
             if child.tag == "br":
                 blocks[-1][1].append(" ")
                 continue
-            if is_known_boilerplate(key):
+            if is_boilerplate(child.key):
                 continue
-            if child.tag in INLINE and not _article(key):
-                match(child, items[found][ITEMS] if found is not None else [], path)
+            below = constants.get(child.key, nothing)[1]
+            if child.tag in INLINE and not _article(child.key):
+                match(child, below, path)
                 continue
-            blocks.append(((*path, key), []))
-            match(child, items[found][ITEMS] if found is not None else [], (*path, key))
-            blocks.append((path, []))
+            blocks.append([(*path, child.key), [], False])
+            match(child, below, blocks[-1][0])
+            blocks.append([path, [], False])
 
-    match(page, items, ())
-    texts = [(path, text) for path, parts in blocks if parts and (text := " ".join(entities.unescape("".join(parts)).split()))]
+    match(page, constants, ())
+    texts = [(path, text, slot) for path, parts, slot in blocks if parts and (text := " ".join(entities.unescape("".join(parts)).split()))]
     above: dict[tuple, list[tuple]] = {}
-    for path, _ in texts:
+    for path, _, _ in texts:
         if path not in above:
             above[path] = [path[:k] for k in range(1, len(path) + 1)]
     held = {p for paths in above.values() for p in paths}
@@ -317,13 +375,15 @@ def extract(page: Element, items: list, region: tuple[str, ...] | None) -> str:
         chosen = {region}
     if chosen is None:
         mass: dict[tuple, int] = {}
-        for path, text in texts:
+        varying = [t for t in texts if t[2]] or texts
+        for path, text, _ in varying:
             for p in above[path]:
                 if p[-1].split("|")[0] not in PARTS:
                     mass[p] = mass.get(p, 0) + len(text)
-        own = _densest(mass, sum(len(text) for _, text in texts))
+        own = _densest(mass, sum(len(text) for _, text, _ in varying))
         chosen = {own} if own else None
-    return "\n".join(text for path, text in texts if chosen is None or any(p in chosen for p in above[path]))
+    main = [(text, slot) for path, text, slot in texts if chosen is None or any(p in chosen for p in above[path])]
+    return "\n".join([text for text, slot in main if slot] or [text for text, _ in main])
 
 
 def host_of(url: Column) -> Column:
@@ -341,14 +401,33 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                 own = generalise(parse(page.as_py()))
                 found[host] = align(found[host], own) if host in found else own
         for host, items in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(items)])], names=["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(items, default=sorted)])], names=["host", "wrapper"])
+
+    def load(part: str) -> list:
+        items = json.loads(part)
+        stack = [items]
+        while stack:
+            for x in stack.pop():
+                x[CONSTANT] = x[CONSTANT] and set(x[CONSTANT])
+                stack.append(x[ITEMS])
+        return items
+
+    def settle(items: list) -> list:
+        """What too few pages share is no constant."""
+        stack = [items]
+        while stack:
+            for x in stack.pop():
+                if len(x[PAGES]) < FEW:
+                    x[CONSTANT] = None
+                stack.append(x[ITEMS])
+        return items
 
     def join(rows):
         parts = sorted(rows["wrapper"].to_pylist())
-        items = json.loads(parts[0])
+        items = load(parts[0])
         for part in parts[1:]:
-            items = align(items, json.loads(part))
-        return pa.table({"host": rows["host"].slice(0, 1), "wrapper": pa.array([json.dumps(items)])})
+            items = align(items, load(part))
+        return pa.table({"host": rows["host"].slice(0, 1), "wrapper": pa.array([json.dumps(settle(items), default=sorted)])})
 
     schema = "host string, wrapper string"
     return pages.where("html is not null").select("host", "html").mapInArrow(fold, schema).groupBy("host").applyInArrow(join, schema)
@@ -377,7 +456,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", output: st
                     if len(ready) > 1_000:
                         ready.clear()
                     items = json.loads(wrapper) if wrapper else []
-                    ready[wrapper] = items, region_of(items)
+                    ready[wrapper] = known_constants(items), region_of(items)
                 texts.append(extract(parse(page.as_py()), *ready[wrapper]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(texts, pa.string())], names=[*kept, output])
 

@@ -41,6 +41,21 @@ def test_hosts_of_mixed_templates(spark):
     assert [got[k] for k in range(len(want))] == want
 
 
+def test_constant_texts_of_a_host_are_left_out(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Shared line of <b>all</b> pages</p>{1}<p>Join us on <i>every</i> page.</p></article><div>Other {0}</div></body>"
+    body = lambda i: "".join(f"<p>In <b>town {i}</b> part {k} of {i}</p>" + "<ul><li>x{}</li></ul>".format(i) * (i % 2) for k in range(1 + i % 3))
+    rows = [("https://many.example/", page.format(i, body(i))) for i in range(8)]
+    rows += [("https://few.example/", page.format(i, body(i))) for i in range(2)]
+    rows += [("https://copies.example/", page.format(1, body(1)))] * 5 + [("https://same.example/", "<body><article><p>A</p></article><p>%s</p></body>" % i) for i in range(4)]
+    got = run(spark, rows)
+    text = lambda i: [f"Title {i}"] + [x for k in range(1 + i % 3) for x in [f"In town {i} part {k} of {i}"] + [f"x{i}"] * (i % 2)]
+    whole = lambda i: "\n".join([f"Title {i}", "Shared line of all pages", *text(i)[1:], "Join us on every page."])
+    assert [got[i] for i in range(8)] == ["\n".join(text(i)) for i in range(8)]
+    # two pages, or copies of one, are too few to tell; a page of constants only keeps them
+    assert [got[8 + i] for i in range(2)] == [whole(0), whole(1)] and {got[10 + i] for i in range(5)} == {whole(1)}
+    assert [got[15 + i] for i in range(4)] == ["A"] * 4
+
+
 def test_wrapper_has_groups_options_and_slots():
     a = generalise(parse("<div><p>x</p><p>y</p><i>same</i></div>"))
     b = generalise(parse("<div><p>z</p><hr><i>same</i></div>"))
