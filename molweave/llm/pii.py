@@ -7,7 +7,10 @@ of their case and script and digits stay digits; cards keep a right check digit,
 stay addresses; a name gets given or family names of its script and of the gender of the form of address.
 
 Collision checks run over all distinct entities: two entities of one surrogate, or a surrogate that is itself an
-entity of the corpus, are drawn again until every surrogate is new and distinct. Almost all entities need no second
+entity of the corpus, are drawn again until every surrogate is new and distinct. From the third new draw on a surrogate
+grows by one more character a draw (letters of a name or a mailbox, digits of a telephone or social security number, a
+number after an IPv4 address), as the format of a short entity may have fewer surrogates than the corpus has entities;
+cards, IBANs and access keys have over 10^10 of each format and never grow. Almost all entities need no second
 draw and are computed in place; the others reach their texts by a join.
 """
 
@@ -23,6 +26,8 @@ from molweave.session import materialise
 from .common import table
 
 KEY = "change-me"
+#: new draws that keep the format of an entity; later ones add a character each
+SAME_FORM = 2
 
 #: fixed values: forms of address by gender, as words of a pattern
 MALE = "Mr|Mister|Herr|Señor|Monsieur|Signor|Господин|Κύριος"
@@ -58,7 +63,7 @@ ACCESS_KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
+PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])(?=\+(?:[ .-]?[0-9]){7})\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
 NAME = rf"(?=[{INITIALS}])(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?"
 #: an entity begins where no Latin letter or digit stands before it, which settles most places at once; earlier
@@ -111,6 +116,13 @@ def _shaped(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(chars, char), "")
 
 
+def _grown(value: Column, stream: Column, attempt: Column, letters: str | Column) -> Column:
+    """The characters that a late draw adds: none up to draw ``SAME_FORM``, then one more each time."""
+    pool = F.lit(letters) if isinstance(letters, str) else letters
+    pick = lambda i: F.substring(pool, F.pmod(_number(stream, F.length(value) + 3 + i), F.length(pool)) + 1, F.lit(1))
+    return F.when(attempt > SAME_FORM, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - SAME_FORM, F.lit(1))), pick), "")).otherwise("")
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it: a one-element transform."""
     return F.transform(F.array(value), body)[0]
@@ -165,12 +177,13 @@ def _ip(stream: Column) -> Column:
     return F.concat_ws(".", *(o.cast("string") for o in octets))
 
 
-def _email(value: Column, stream: Column) -> Column:
+def _email(value: Column, stream: Column, attempt: Column) -> Column:
     """Local part and host labels in their shape; the last label stays."""
-    return F.concat(_shaped(F.regexp_replace(value, r"\.[A-Za-z]+$", ""), stream), F.regexp_extract(value, r"\.[A-Za-z]+$", 0))
+    more = _grown(value, stream, attempt, ALPHABETS[1][2])
+    return F.concat(more, _shaped(F.regexp_replace(value, r"\.[A-Za-z]+$", ""), stream), F.regexp_extract(value, r"\.[A-Za-z]+$", 0))
 
 
-def _name(value: Column, stream: Column) -> Column:
+def _name(value: Column, stream: Column, attempt: Column) -> Column:
     """The form of address, then names of its gender and script; a second name becomes a family name."""
     title = F.regexp_extract(value, r"^\S+", 0)
     names = F.split(F.substring(value, F.length(title) + 2, F.length(value)), " ")
@@ -191,7 +204,7 @@ def _name(value: Column, stream: Column) -> Column:
     alone = F.size(names) == 1
     letters = F.when(script == "latin", "aeiounrst").when(script == "cyrillic", "аеионрсту").otherwise("αεινορστυ")
     tail = lambda at: F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + 3)), lambda i: F.substring(letters, F.pmod(_number(stream, i), F.lit(9)) + 1, F.lit(1))), "")
-    last = F.concat(pick("last", 1), tail(2))
+    last = F.concat(pick("last", 1), tail(2), _grown(value, stream, attempt, letters))
     return F.when(alone, F.concat_ws(" ", title, last)).otherwise(F.concat_ws(" ", title, pick(None, 0), last))
 
 
@@ -201,14 +214,15 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     def drawn(bound: Column) -> Column:
         kind, stream = bound["kind"], bound["stream"]
         prefix = r"^\+[0-9]{1,3}(?=[ .(-])"
-        phone = F.concat(F.regexp_extract(value, prefix + "|^", 0), _shaped(F.regexp_replace(value, prefix, ""), stream))
+        digits = _grown(value, stream, attempt, ALPHABETS[0][2])
+        phone = F.concat(F.regexp_extract(value, prefix + "|^", 0), _shaped(F.regexp_replace(value, prefix, ""), stream), digits)
         return (
-            F.when(kind == "email", _email(value, stream)).when(kind == "key", F.concat(F.substring(value, 1, 4), _shaped(F.substring(value, 5, 16), stream)))
-            .when(kind == "iban", _iban(value, stream)).when(kind == "ip", _ip(stream)).when(kind == "card", _card(value, stream))
-            .when(kind == "name", _name(value, stream)).when(kind == "phone", phone).when(kind == "ssn", _shaped(value, stream)).otherwise(value)
+            F.when(kind == "email", _email(value, stream, attempt)).when(kind == "key", F.concat(F.substring(value, 1, 4), _shaped(F.substring(value, 5, 16), stream)))
+            .when(kind == "iban", _iban(value, stream)).when(kind == "ip", F.concat(_ip(stream), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(""))).when(kind == "card", _card(value, stream))
+            .when(kind == "name", _name(value, stream, attempt)).when(kind == "phone", phone).when(kind == "ssn", F.concat(_shaped(value, stream), digits)).otherwise(value)
         )
 
-    bound = F.struct(kind_of(value).alias("kind"), _stream(key, value, attempt, F.length(value) + 8).alias("stream"))
+    bound = F.struct(kind_of(value).alias("kind"), _stream(key, value, attempt, F.length(value) + 8 + attempt).alias("stream"))
     return _let(bound, drawn)
 
 

@@ -77,6 +77,20 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_more_entities_than_surrogates_of_their_form(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{a}@{b}.co" for a in letters for b in letters]  # all 676 of them are real
+    got = one(spark, texts)
+    new = {got[i]["text"] for i in range(len(texts))}
+    assert len(new) == len(texts) and not new & set(texts) and all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in new)
+    values = spark.createDataFrame([(v,) for v in ("Mr Smith", "+1234567", "123-45-6789", "1.2.3.4")], "value string")
+    for attempt, more in ((2, 0), (3, 1), (5, 3)):
+        new = [r[0] for r in values.select(pii.surrogate(F.col("value"), F.lit(attempt), "k")).collect()]
+        assert re.fullmatch(r"\+\d{7}" + r"\d" * more, new[1]) and re.fullmatch(r"\d{3}-\d\d-\d{4}" + r"\d" * more, new[2])
+        assert new[3].count(".") == 3 + bool(more)
+    assert one(spark, ["+12345 and +1 23 45"])[0]["n_entities"] == 0 and one(spark, ["+1234567"])[0]["kinds"] == ["phone"]
+
+
 def test_edge_cases(spark, edge):
     got = replace_pii(edge)
     assert got.count() == edge.count() and replace_pii(edge.limit(0)).count() == 0
