@@ -1,12 +1,14 @@
 """Personal data replaced by keyed surrogates (operator 10), in built-in functions only.
 
 One pattern finds e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, US social security
-numbers, IBANs, access keys and names after a form of address. An entity becomes a surrogate of its own type that a
-secret key and its value determine, so the same entity has the same surrogate in every document. Letters stay letters
+numbers, IBANs, access keys and names after a form of address, and in the same document repeats of these names without
+it. An entity becomes a surrogate of its own type that a secret key and its parts determine, so the same entity has the
+same surrogate in every document, however it is written: a mailbox counts in lower case, a telephone number, card or
+IBAN without its separators, and given and family name are drawn apart, without title and possessive. Letters stay letters
 of their case and script and digits stay digits; cards keep a right check digit, IBANs right check digits, addresses
 stay addresses; a name gets given or family names of its script and of the gender of the form of address.
 
-Collision checks run over all distinct entities: two entities of one surrogate, or a surrogate that is itself an
+Collision checks run over all distinct parts: two of one surrogate, or a surrogate that is itself an
 entity of the corpus, are drawn again until every surrogate is new and distinct. From the third new draw on a surrogate
 grows by one more character a draw (letters of a name or a mailbox, digits of a telephone or social security number, a
 number after an IPv4 address), as the format of a short entity may have fewer surrogates than the corpus has entities;
@@ -72,12 +74,12 @@ PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join([EMAIL, ACCESS_KEY, IBAN, IP, SSN, PH
 
 
 def kind_of(value: Column) -> Column:
-    """The type of a match; null for a number that only looks like a card."""
+    """The type of a match or part; null for a number that only looks like a card."""
     plain = F.regexp_replace(value, "[^0-9]", "")
     card = luhn_digit(F.substring(plain, F.lit(1), F.length(plain) - 1)) == F.substring(plain, -1, 1)
     full = lambda p: value.rlike(f"^(?:{p})$")
     return (
-        F.when(value.contains("@"), "email").when(value.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "key").when(value.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
+        F.when(value.contains("@"), "email").when(value.startswith("tel:"), "phone").when(value.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "key").when(value.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
         .when(value.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").when(value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(full(PHONE), "phone").when(value.rlike("^[0-9]"), F.when(card, "card")).otherwise("name")
     )
@@ -128,13 +130,22 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _digits_filled(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced, in their order, by those of ``digits``."""
+def _filled(shape: Column, characters: Column, kind: str) -> Column:
+    """``shape`` with its characters of the class ``kind`` replaced, in order, by ``characters``; the rest of these follows."""
     empty = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     step = lambda acc, c: F.when(
-        c.rlike("[0-9]"), F.struct(F.concat(acc["out"], F.substring(digits, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))
+        c.rlike(kind), F.struct(F.concat(acc["out"], F.substring(characters, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))
     ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at")))
-    return F.aggregate(F.filter(F.split(shape, ""), lambda c: c != ""), empty, step)["out"]
+    done = F.aggregate(F.filter(F.split(shape, ""), lambda c: c != ""), empty, step)
+    return _let(done, lambda d: F.concat(d["out"], F.substring(characters, d["at"], F.length(characters))))
+
+
+def _cased(shape: Column, lower: Column) -> Column:
+    """``lower`` with capitals where ``shape`` has them, both read from their ends."""
+    more = F.length(lower) - F.length(shape)
+    chars = F.filter(F.split(lower, ""), lambda c: c != "")
+    capital = lambda i: (i >= more) & F.substring(shape, i - more + 1, F.lit(1)).rlike("[A-Z]")
+    return F.when(shape == F.lower(shape), lower).otherwise(F.array_join(F.transform(chars, lambda c, i: F.when(capital(i), F.upper(c)).otherwise(c)), ""))
 
 
 def luhn_digit(digits: Column) -> Column:
@@ -151,11 +162,9 @@ def luhn_digit(digits: Column) -> Column:
 
 
 def _card(value: Column, stream: Column) -> Column:
-    shaped = F.regexp_replace(_shaped(value, stream), "[^0-9]", "")
-    plain = F.regexp_replace(value, "[^0-9]", "")
-    body = F.concat(F.substring(plain, 1, 1), F.substring(shaped, F.lit(2), F.length(shaped) - 2))
-    whole = _let(body, lambda b: F.concat(b, luhn_digit(b)))
-    return _let(whole, lambda digits: _digits_filled(value, digits))
+    """A card number without separators."""
+    body = F.concat(F.substring(value, 1, 1), F.substring(_shaped(value, stream), F.lit(2), F.length(value) - 2))
+    return _let(body, lambda b: F.concat(b, luhn_digit(b)))
 
 
 def _iban(value: Column, stream: Column) -> Column:
@@ -183,39 +192,80 @@ def _email(value: Column, stream: Column, attempt: Column) -> Column:
     return F.concat(more, _shaped(F.regexp_replace(value, r"\.[A-Za-z]+$", ""), stream), F.regexp_extract(value, r"\.[A-Za-z]+$", 0))
 
 
-def _name(value: Column, stream: Column, attempt: Column) -> Column:
-    """The form of address, then names of its gender and script; a second name becomes a family name."""
-    title = F.regexp_extract(value, r"^\S+", 0)
-    names = F.split(F.substring(value, F.length(title) + 2, F.length(value)), " ")
-    bare = F.regexp_replace(title, r"\.$", "")
-    gender = F.when(bare.rlike(f"^(?:{MALE})$"), "m").when(bare.rlike(f"^(?:{FEMALE})$"), "f").otherwise("n")
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-
-    def pick(kind: str | None, at: int) -> Column:
-        out = F.lit(None).cast("string")
-        for s, lists in NAMES.items():
-            for g in ("m", "f", "n") if kind is None else (kind,):
-                here = (script == s) & (gender == g) if kind is None else script == s
-                pool = F.split(F.lit(",".join(lists[g])), ",")
-                out = F.when(here, pool[F.pmod(_number(stream, F.lit(at)), F.lit(len(lists[g])))]).otherwise(out)
-        return out
+TITLE = rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
+POSSESSIVE = "(?:['’]s?|-)+$"
+
+
+def _names(value: Column) -> Column:
+    """The one or two names of a match, without title and possessive."""
+    return F.split(F.regexp_replace(F.regexp_replace(value, TITLE, ""), POSSESSIVE, ""), " ")
+
 
-    # letters follow the family name, so that distinct persons can stay distinct
-    alone = F.size(names) == 1
+def _gender(value: Column) -> Column:
+    return F.when(value.rlike(rf"^(?:{MALE})\.? "), "m").when(value.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("n")
+
+
+def _name(part: Column, stream: Column, attempt: Column) -> Column:
+    """A family name, or a given name after its gender, of the same script."""
+    script = F.when(part.rlike(r"\p{IsCyrillic}"), "cyrillic").when(part.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    gender = F.regexp_extract(part, "^([mfn]) ", 1)
     letters = F.when(script == "latin", "aeiounrst").when(script == "cyrillic", "аеионрсту").otherwise("αεινορστυ")
-    tail = lambda at: F.array_join(F.transform(F.sequence(F.lit(at), F.lit(at + 3)), lambda i: F.substring(letters, F.pmod(_number(stream, i), F.lit(9)) + 1, F.lit(1))), "")
-    last = F.concat(pick("last", 1), tail(2), _grown(value, stream, attempt, letters))
-    return F.when(alone, F.concat_ws(" ", title, last)).otherwise(F.concat_ws(" ", title, pick(None, 0), last))
+    first = F.lit(None).cast("string")
+    for s, lists in NAMES.items():
+        for g, names in lists.items():
+            pool = F.split(F.lit(",".join(names)), ",")
+            first = F.when((script == s) & (gender == ("" if g == "last" else g)), pool[F.pmod(_number(stream, F.lit(0)), F.lit(len(names)))]).otherwise(first)
+    # letters follow a family name, and a given name drawn again, so that distinct persons can stay distinct
+    tail = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(5)), lambda i: F.substring(letters, F.pmod(_number(stream, i), F.lit(9)) + 1, F.lit(1))), "")
+    last = F.concat(first, F.when((gender == "") | (attempt > 0), tail).otherwise(""), _grown(part, stream, attempt, letters))
+    return F.when(gender == "", last).otherwise(F.concat_ws(" ", gender, last))
+
+
+#: fixed pattern: a plus sign and the country code after it
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def parts_of(value: Column, gender: Column) -> Column:
+    """What surrogates are drawn for: the parts of a match in one form, however it is written; none if it stays."""
+
+    def split(kind: Column) -> Column:
+        names = _names(value)
+        given = F.concat_ws(" ", gender, names[0])
+        return (
+            F.when(kind == "email", F.array(F.lower(value))).when(kind == "phone", F.array(F.concat(F.lit("tel:"), F.regexp_replace(value, "[^0-9+]", ""))))
+            .when(kind == "card", F.array(F.regexp_replace(value, "[^0-9]", ""))).when(kind == "iban", F.array(F.regexp_replace(value, " ", "")))
+            .when(kind == "name", F.when(F.size(names) > 1, F.array(given, names[1])).otherwise(F.array(names[0])))
+            .when(kind.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
+        )
+
+    return _let(kind_of(value), split)
+
+
+def written(value: Column, parts: Column) -> Column:
+    """The surrogates of a match's parts in the form of the match."""
+
+    def form(kind: Column) -> Column:
+        digits = F.regexp_replace(parts[0], "[^0-9]", "")
+        name = F.concat(
+            F.regexp_extract(value, TITLE, 0), F.when(F.size(parts) > 1, F.concat(F.substring(parts[0], F.lit(3), F.length(parts[0])), F.lit(" "), parts[1])).otherwise(parts[0]),
+            F.regexp_extract(value, POSSESSIVE, 0),
+        )
+        return (
+            F.when(F.size(parts) == 0, value).when(kind == "email", _cased(value, parts[0])).when(kind.isin("phone", "card"), _filled(value, digits, "[0-9]"))
+            .when(kind == "iban", _filled(value, parts[0], "[^ ]")).when(kind == "name", name).otherwise(parts[0])
+        )
+
+    return _let(kind_of(value), form)
 
 
 def surrogate(value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity at a draw. A card number whose check digit is wrong is none and stays."""
+    """The surrogate of a part at a draw. A card number whose check digit is wrong is none and stays."""
 
     def drawn(bound: Column) -> Column:
         kind, stream = bound["kind"], bound["stream"]
-        prefix = r"^\+[0-9]{1,3}(?=[ .(-])"
         digits = _grown(value, stream, attempt, ALPHABETS[0][2])
-        phone = F.concat(F.regexp_extract(value, prefix + "|^", 0), _shaped(F.regexp_replace(value, prefix, ""), stream), digits)
+        number = F.substring(value, F.lit(5), F.length(value))
+        phone = F.concat(F.lit("tel:"), F.regexp_extract(number, COUNTRY + "|^", 0), _shaped(F.regexp_replace(number, COUNTRY, ""), stream), digits)
         return (
             F.when(kind == "email", _email(value, stream, attempt)).when(kind == "key", F.concat(F.substring(value, 1, 4), _shaped(F.substring(value, 5, 16), stream)))
             .when(kind == "iban", _iban(value, stream)).when(kind == "ip", F.concat(_ip(stream), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(""))).when(kind == "card", _card(value, stream))
@@ -226,8 +276,24 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     return _let(bound, drawn)
 
 
-def entities_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), 0), F.array().cast("array<string>"))
+def entities_of(text: Column, pattern: Column | str = PATTERN) -> Column:
+    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, 0), F.array().cast("array<string>"))
+
+
+def pattern_of(titled: Column) -> Column:
+    """The pattern of a document: repeats of its titled names without the title are found too, the whole name first."""
+    names = F.transform(titled, _names)
+    whole = F.transform(F.filter(names, lambda n: F.size(n) > 1), lambda n: F.array_join(n, " "))
+    family = F.transform(names, lambda n: F.element_at(n, -1))
+    # longer ones first, as the first alternative that fits is taken
+    bare = F.array_join(F.reverse(F.array_sort(F.array_distinct(F.concat(whole, family)))), "|")
+    return F.when(F.size(titled) > 0, F.concat(F.lit(PATTERN[:-1] + r"|(?<!\p{L})(?:"), bare, F.lit(r")(?!\p{L}))"))).otherwise(F.lit(PATTERN))
+
+
+def _gender_in(value: Column, titled: Column) -> Column:
+    """The gender of a name: by a Mr, Mrs and so on before the same names in the document, else none."""
+    same = F.filter(titled, lambda t: F.array_join(_names(t), " ") == F.array_join(_names(value), " "))
+    return F.coalesce(F.filter(F.transform(same, _gender), lambda g: g != "n")[0], F.lit("n"))
 
 
 def replacements(values: DataFrame, key: str) -> DataFrame:
@@ -254,20 +320,25 @@ def replace_pii(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     rows get equal results; an empty table gives an empty one; input columns named like an added one are replaced.
     """
     kept = [c for c in df.columns if c not in ("n_entities", "kinds")]
-    # written once: the pattern runs over every text a single time, and the draws below read the entities alone
-    found = materialise(df.select(*kept, entities_of(F.col(text)).alias("__found")), "entities")
-    values = found.select(F.explode("__found").alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(kind_of(F.col("value")).isNotNull())
+    # written once: the pattern runs over every text a single time (again where it has names), and the draws below read the entities alone
+    found = df.select(*kept, entities_of(F.col(text)).alias("__found"))
+    found = found.withColumn("__titled", F.array_distinct(F.filter("__found", lambda v: v.rlike(TITLE))))
+    found = found.withColumn("__pattern", pattern_of(F.col("__titled")))
+    found = found.withColumn("__found", F.when(F.size("__titled") > 0, entities_of(F.col(text), F.col("__pattern"))).otherwise(F.col("__found")))
+    parts = F.transform("__found", lambda v: parts_of(v, F.when(F.size("__titled") > 0, _gender_in(v, F.col("__titled"))).otherwise("n")))
+    found = materialise(found.withColumn("__parts", parts), "entities")
+    values = found.select(F.explode(F.flatten("__parts")).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     redrawn = replacements(values, key).where("attempt > 0").select("value", "replacement")
     if redrawn.isEmpty():
-        rewritten = F.transform("__found", lambda v: surrogate(v, F.lit(0), key))
+        new_part = lambda p: surrogate(p, F.lit(0), key)
     else:
-        # texts that hold a redrawn entity get their own small map, by the hash of the text
-        holds = found.select(F.sha2(text, 256).alias("__text"), F.explode(F.array_distinct("__found")).alias("value")).distinct()
+        # texts that hold a redrawn part get their own small map, by the hash of the text
+        holds = found.select(F.sha2(text, 256).alias("__text"), F.explode(F.array_distinct(F.flatten("__parts"))).alias("value")).distinct()
         maps = holds.join(redrawn, "value").groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("__redrawn"))
         found = found.withColumn("__text", F.sha2(text, 256)).join(maps, "__text", "left")
-        rewritten = F.transform("__found", lambda v: F.coalesce(F.col("__redrawn")[v], surrogate(v, F.lit(0), key)))
-    found = found.withColumn("__new", rewritten)
-    pieces = F.split(F.col(text), PATTERN, -1)
+        new_part = lambda p: F.coalesce(F.col("__redrawn")[p], surrogate(p, F.lit(0), key))
+    found = found.withColumn("__new", F.zip_with("__found", "__parts", lambda v, ps: _let(F.transform(ps, new_part), lambda new: written(v, new))))
+    pieces = F.when(F.size("__titled") > 0, F.split(F.col(text), F.col("__pattern"), -1)).otherwise(F.split(F.col(text), PATTERN, -1))
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("__new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     new = F.when(F.size("__found") > 0, joined).otherwise(F.col(text)).alias(text)
     types = F.filter(F.transform("__found", kind_of), lambda k: k.isNotNull())

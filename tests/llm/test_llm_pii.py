@@ -83,14 +83,38 @@ def test_more_entities_than_surrogates_of_their_form(spark):
     got = one(spark, texts)
     new = {got[i]["text"] for i in range(len(texts))}
     assert len(new) == len(texts) and not new & set(texts) and all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in new)
-    values = spark.createDataFrame([(v,) for v in ("Mr Smith", "+1234567", "123-45-6789", "1.2.3.4")], "value string")
+    values = spark.createDataFrame([(v,) for v in ("Smith", "tel:+1234567", "123-45-6789", "1.2.3.4")], "value string")
     for attempt, more in ((2, 0), (3, 1), (5, 3)):
         new = [r[0] for r in values.select(pii.surrogate(F.col("value"), F.lit(attempt), "k")).collect()]
-        assert re.fullmatch(r"\+\d{7}" + r"\d" * more, new[1]) and re.fullmatch(r"\d{3}-\d\d-\d{4}" + r"\d" * more, new[2])
+        assert re.fullmatch(r"tel:\+\d{7}" + r"\d" * more, new[1]) and re.fullmatch(r"\d{3}-\d\d-\d{4}" + r"\d" * more, new[2])
         assert new[3].count(".") == 3 + bool(more)
     assert one(spark, ["+12345 and +1 23 45"])[0]["n_entities"] == 0 and one(spark, ["+1234567"])[0]["kinds"] == ["phone"]
 
 
+def test_coreference_of_other_forms(spark):
+    texts = ["Mr. John Smith and Mr John Smith met Mr Smith; Dr Smith's car. John Smith left, Smith stayed; Smithson too.", "Ms. Smith", "Smith"]
+    texts += ["Jo.Doe@X.org jo.doe@x.org", "+1 (462) 555-7216 or +14625557216", "4111 1111 1111 1111 is 4111-1111-1111-1111", "DE89 3704 0044 0532 0130 00 DE89370400440532013000"]
+    got = one(spark, texts)
+    family = got[1]["text"].split()[1]
+    given = got[0]["text"].split()[1]
+    assert given in pii.NAMES["latin"]["m"] and family != "Smith"
+    assert got[0]["text"] == f"Mr. {given} {family} and Mr {given} {family} met Mr {family}; Dr {family}'s car. {given} {family} left, {family} stayed; Smithson too."
+    assert got[0]["n_entities"] == 6 and got[0]["kinds"] == ["name"] and got[2]["text"] == "Smith"
+    a, b = got[3]["text"].split()
+    assert a.lower() == b and re.fullmatch(r"[A-Z][a-z]\.[A-Z][a-z]{2}@[A-Z]\.org", a)
+    for k, word in ((4, " or "), (5, " is ")):
+        a, b = (re.sub("[^0-9]", "", x) for x in got[k]["text"].split(word))
+        assert a == b and a not in ("14625557216", "4111111111111111")
+    assert got[6]["text"][:27].replace(" ", "") == got[6]["text"][28:] != "DE89370400440532013000"
+
+
+def test_given_names_of_one_family_stay_apart(spark):
+    names = ["Adam", *("Abcdefghijklmnopqrst"[:k] for k in range(3, 18))]  # more than the list holds, one of them in it
+    got = one(spark, [f"Mr {n} Smith" for n in names])
+    new = [got[i]["text"].split()[1] for i in range(len(names))]
+    assert len(set(new)) == len(names) and not set(new) & set(names)
+
+
 def test_edge_cases(spark, edge):
     got = replace_pii(edge)
     assert got.count() == edge.count() and replace_pii(edge.limit(0)).count() == 0
