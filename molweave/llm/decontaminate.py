@@ -93,21 +93,24 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
 class Queries:
     """Windows of some benchmark items over a vocabulary of their own."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         self.terms: dict[str, int] = {}
+        #: item ids, None among them, by their place
+        places: dict[int | None, int] = {}
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         rows: dict[int, list] = {}
         for item, text in items:
             words = [self.terms.setdefault(w.decode("utf-8", "surrogatepass"), len(self.terms)) for w in words_of(text)]
             size = min(window, len(words))
             for k in range(len(words) - size + 1 if size else 0):
-                rows.setdefault(size, []).append((item, *words[k : k + size]))
+                rows.setdefault(size, []).append((places.setdefault(item, len(places)), *words[k : k + size]))
         for size, found in rows.items():
             unique = np.unique(np.array(found, np.int64), axis=0)
             self.by_size[size] = unique[:, 0], unique[:, 1:]
+        self.items = list(places)
 
     def matches(self, ids: np.ndarray, offsets: np.ndarray, positions: np.ndarray, last: int, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(item, start, size): where windows occur. ``ids`` are the terms of this segment, ``positions`` their postings."""
+        """(place of the item, start, size): where windows occur. ``ids`` are the terms of this segment, ``positions`` their postings."""
         count = np.zeros(len(self.terms), np.int64)
         count[ids] = np.diff(offsets)
         begin = np.zeros(len(self.terms), np.int64)
@@ -167,7 +170,7 @@ def _search_segment(rows: pa.Table, queries: Queries, slop: int) -> pa.Table:
         for d, i, s, e in zip(doc[np.concatenate([[0], cut])] if len(doc) else [], np.split(item, cut), np.split(start, cut), np.split(stop, cut), strict=False):
             reach = np.maximum.accumulate(e)
             new = np.flatnonzero(np.concatenate([[True], s[1:] > reach[:-1]]))
-            hits[int(d)] = {"starts": s[new] - bounds[d], "stops": np.append(reach[new[1:] - 1], reach[-1]) - bounds[d], "items": np.unique(i)}
+            hits[int(d)] = {"starts": s[new] - bounds[d], "stops": np.append(reach[new[1:] - 1], reach[-1]) - bounds[d], "items": [queries.items[k] for k in np.unique(i)]}
     sizes = np.diff(bounds) - 1
     segment = rows["segment"][0].as_py()
     column = lambda name, kind: pa.array([hits[k][name] if k in hits else [] for k in range(len(docs))], pa.list_(kind))
@@ -196,10 +199,10 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
     """(doc_id, n_words, starts, stops, items) for every indexed document: merged word intervals and items found.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one; an item without words has
-    none. Benchmarks of any size are searched block after block, ``query_bytes`` of text at a time.
+    none. Items without an id count like one more item, with a null id. Equal rows are searched once. Benchmarks of any size are searched block after block, ``query_bytes`` of text at a time.
     """
     spark = index.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("text is not null").distinct()
     items = materialise(items.withColumn("size", F.octet_length("text")), "benchmark")
     blocks = max(1, -(-(items.agg(F.sum("size")).first()[0] or 0) // query_bytes))
     parts = []

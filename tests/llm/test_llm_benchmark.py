@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from molweave.llm.decontaminate import OP9_SQL, build_index, covered, decontaminate, op9_decontaminate, search
+from molweave.llm.decontaminate import OP9_SQL, Queries, build_index, covered, decontaminate, op9_decontaminate, search
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -60,6 +60,24 @@ def test_empty_tables(spark, edge):
     assert decontaminate(edge.limit(0), spark.createDataFrame(BENCH, "item_id long, text string")).count() == 0
 
 
+def test_items_without_id_and_repeated_items(spark, tmp_path, monkeypatch):
+    docs = [(1, "say alpha beta gamma now"), (2, "one two three"), (3, "nothing"), (4, "alpha beta gamma one two three four five")]
+    bench = [(None, "alpha beta gamma"), (None, "four five"), (7, "one two three")] + [(8, "delta epsilon zeta eta theta")] * 50
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(OP9_SQL)
+    names = [c[0] for c in want.description]
+    got = sorted(map(tuple, op9_decontaminate(spark, str(tmp_path)).select(*names).collect()))
+    assert got == sorted(want.fetchall()) and [r[-1] for r in got] == [True, True, False, True]
+    sizes, plain = [], Queries.__init__
+    monkeypatch.setattr(Queries, "__init__", lambda self, items, window: sizes.append(sum(len(t) for _, t in items)) or plain(self, items, window))
+    found = search(build_index(spark.createDataFrame(docs, "doc_id long, text string")), spark.createDataFrame(bench, "item_id long, text string"), query_bytes=60)
+    assert sum(sizes) == sum(len(t) for _, t in set(bench)) and {r["doc_id"]: set(r["items"]) for r in found.collect()} == {1: {None}, 2: {7}, 3: set(), 4: {None, 7}}
+
+
 def test_op9_against_sql(spark, sf):
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
