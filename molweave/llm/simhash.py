@@ -33,7 +33,8 @@ DISTANCE = 3
 SAMPLE = 20_000
 #: shingles hashed at once
 CHUNK = 1 << 15
-#: partitions of the full distance: about 21 bits each, so value lists stay short up to many millions of fingerprints
+#: partitions of distances up to 5: about 21 bits each, so value lists stay short up to many millions of fingerprints;
+#: wider distances take more and shorter partitions and meet more candidates
 PARTS = 3
 #: values of the largest ball that a fingerprint may probe in one partition
 BALL = 64
@@ -115,6 +116,20 @@ def masks(width: int, radius: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def parts_for(distance: int) -> int:
+    """The fewest partitions, ``PARTS`` at least, whose balls of at most ``BALL`` values reach the distance."""
+    if not 0 <= distance <= 64:
+        raise ValueError(f"a distance between 64-bit fingerprints is 0 to 64, not {distance}")
+
+    def reach(width: int) -> int:
+        return max(t + 1 for t in range(width + 1) if sum(comb(width, r) for r in range(t + 1)) <= BALL)
+
+    # more partitions than distance + 1 would leave some without a probe
+    fewest = min(PARTS, distance + 1)
+    widths = lambda n: [64 // n + (k < 64 % n) for k in range(n)]
+    return next(n for n in range(fewest, 65) if sum(map(reach, widths(n))) > distance)
+
+
 class Plan:
     """Bit groups and the sample's value counts; chooses thresholds for fingerprints."""
 
@@ -157,6 +172,8 @@ class Plan:
                     better = total < now[:, spent]
                     now[better, spent], choice[i, better, spent] = total[better], use
             best = now
+        if not np.isfinite(best[:, units]).all():
+            raise ValueError(f"{parts} partitions with balls of {BALL} values do not reach distance {self.distance}")
         out, left = np.zeros((n, parts), np.int64), np.full(n, units)
         for i in reversed(range(parts)):
             out[:, i] = choice[i, np.arange(n), left] - 1
@@ -216,9 +233,8 @@ def near_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     cut = int(share * (1 << 30))
     sample = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) < cut).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     nodes = fps.select("fp", F.col("fp").alias("grp"))
-    for level in dict.fromkeys((1, distance)):
-        # more partitions than level + 1 would leave some without a probe
-        plan = Plan(sample, n / max(len(sample), 1), min(PARTS, level + 1), level)
+    for level in dict.fromkeys((min(1, distance), distance)):
+        plan = Plan(sample, n / max(len(sample), 1), parts_for(level), level)
         linked = materialise(_links(nodes, plan), "simhash_links")
         groups = nodes.select(F.col("fp").alias("a"), F.col("grp").alias("b")).where("a != b")
         joined = connected_components(linked.unionByName(groups))

@@ -3,11 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from molweave.llm.components import connected_components
 from molweave.llm.embeddings import codes, embedding_groups, op3_embeddings, survivors
-from molweave.llm.simhash import Plan, bit_groups, fingerprint, masks, near_fingerprints, op6_simhash, simhash_groups, values
+from molweave.llm.simhash import Plan, bit_groups, fingerprint, masks, near_fingerprints, op6_simhash, parts_for, simhash_groups, values
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,6 +77,27 @@ def test_links_against_brute_force(spark):
     assert got == groups(signed, near)
 
 
+@pytest.mark.parametrize("distance", [0, 6, 10])
+def test_other_distances_against_brute_force(spark, distance):
+    rng = random.Random(distance)
+    fps = {rng.getrandbits(64) for _ in range(80)}
+    for f in list(fps)[:40]:
+        for bits in (1, 3, 5, 6, 7, 9, 10, 11):
+            fps.add(f ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    got = {r["fp"]: r["component"] for r in near_fingerprints(spark.createDataFrame([(s,) for s in signed], "fp long"), distance).collect()}
+    near = [(a, b) for a in signed for b in signed if a < b and (signed[a] ^ signed[b]).bit_count() <= distance]
+    assert got == groups(signed, near)
+
+
+def test_partitions_reach_every_distance():
+    assert [parts_for(d) for d in (0, 1, 3, 5, 6, 10)] == [1, 2, 3, 3, 4, 6] and parts_for(64) <= 64
+    with pytest.raises(ValueError):
+        parts_for(65)
+    with pytest.raises(ValueError):
+        Plan(np.zeros(0, np.uint64), 1.0, 3, 6).thresholds(np.array([5], np.uint64))
+
+
 def test_simhash_edge_cases(spark, edge):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash_groups(edge).collect()), key=str)
     assert len(got) == edge.count()
