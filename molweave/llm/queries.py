@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .conversations import op11_conversations
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .embeddings import op3_embeddings
 from .language import op5_language
+from .merkle import OP12_SQL, op12_merkle
+from .pieces import op13_pieces
 from .pii import op10_pii
 from .sharding import op8_shards
 from .simhash import op6_simhash
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_conversations": op11_conversations,
+    "op12_merkle": op12_merkle,
+    "op13_pieces": op13_pieces,
 }
 
-SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
+SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL, "op12_merkle": OP12_SQL}

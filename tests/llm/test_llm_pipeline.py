@@ -11,7 +11,7 @@ NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
 
 
