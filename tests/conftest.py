@@ -15,9 +15,3 @@ def spark():
     yield session
     clear_scratch(session)
     session.stop()
-
-
-def rows(df, *columns):
-    """Sorted plain tuples of a small result."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=str)

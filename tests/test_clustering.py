@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from plain import rows
 from pyspark.sql import functions as F
 
 from molweave.operators import clustering as cl

@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from plain import rows
 
 from molweave.functions.geometry import Box
 from molweave.operators import contacts, site

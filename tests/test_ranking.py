@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from plain import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from plain import rows
 from pyspark.sql import functions as F
 
 from molweave.operators.docking import docking_summary, first_pose

@@ -1,4 +1,4 @@
-from conftest import rows
+from plain import rows
 
 from molweave.plans import jobs
 from molweave.sources import pdbqt
