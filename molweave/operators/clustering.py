@@ -7,45 +7,57 @@ The upper slot disappears with its merge, so it names the new inner node.
 
 Trees up to ``LOCAL_LEAVES`` compounds (counted first) are built many at a time, one per task. A larger
 tree grows in rounds over its pair table: every pair that is nearest for both of its clusters merges in
-the same round. Both ways give the same tree: two clusters that are nearest to each other stay so
-whatever merges around them, because a merged cluster is never closer than both of its parts were, and
-it inherits a slot of one of them for ties. Distances are compared on a grid of 2**-40, so that averages
-which differ only in their last binary digits tie in both ways.
-
-The result is one table ``tree, node, kept, left, right, distance, size, ord, name`` with a row per
-inner node and leaf below it. Leaves are numbered ``-1 - ord`` in ``left`` and ``right``.
+the same round, until ``hand_over`` clusters are left, which one task merges. All ways give the same tree:
+two clusters that are nearest to each other stay so whatever merges around them, because a merged cluster
+is never closer than both of its parts were, and it inherits a slot of one of them for ties. Distances are
+compared on a grid of 2**-40, so that averages which differ only in their last binary digits tie.
+
+The result is a tree table ``tree, node, kept, left, right, distance, size, first, place, ord, name`` with one
+row per inner node and one per leaf (``node`` = ``-1 - ord``, the only rows with ``ord`` and ``name``). Leaves
+are numbered from 0 in tree order, a node's leaves are those from ``first`` on, ``size`` of them, and ``place``
+is an inner node's place in post-order. So a clade costs one row however many leaves it has.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molweave.functions.labels import is_positive
 from molweave.operators.blocks import BLOCK_ROWS, bit_matrix, tanimoto
 from molweave.operators.similarity import EMPTY_SIMILARITY, distance_pairs
-from molweave.session import materialise
+from molweave.session import drop_table, materialise, write_scratch
 
 LOCAL_LEAVES = 1024
 GRID = 2.0**40
 LINKAGES = ("weighted", "average")
-CLADES = (
+TREE = (
     "tree bigint, node bigint, kept bigint, left bigint, right bigint, distance double, "
-    "size bigint, ord bigint, name string"
+    "size bigint, first bigint, place bigint, ord bigint, name string"
 )
+MERGES = "tree bigint, round bigint, hi bigint, lo bigint, dist double, size bigint"
+#: tables of pairs that are read together before they are put into one
+SEGMENTS = 4
+#: members of a clade that are looked up from one row
+SPAN = 10_000
+
 
+def merge_order(
+    distances: np.ndarray, linkage: str, sizes: np.ndarray | None = None
+) -> list[tuple[int, int, float]]:
+    """Merges (upper, lower, distance) of one square distance matrix, closest pair first.
 
-def merge_order(distances: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
-    """Merges (upper, lower, distance) of one square distance matrix, closest pair first."""
+    ``sizes`` are the leaves of the clusters to begin with, one each by default.
+    """
     n = len(distances)
     table = np.full((n, n), np.inf)
     on_grid = lambda x: np.floor(x * GRID + 0.5)
     below = np.tril_indices(n, -1)
     table[below] = distances[below]
     order = on_grid(table)
-    sizes = np.ones(n)
+    sizes = np.ones(n) if sizes is None else sizes.astype(float)
     alive = np.ones(n, dtype=bool)
     merges = []
     for _ in range(n - 1):
@@ -71,41 +83,42 @@ def merge_order(distances: np.ndarray, linkage: str) -> list[tuple[int, int, flo
     return merges
 
 
-def _clade_rows(tree: int, ords: np.ndarray, names: pa.Array, merges) -> pa.Table:
-    holds = {i: [i] for i in range(len(ords))}
-    node_of = {i: -1 - int(o) for i, o in enumerate(ords)}
-    out = {k: [] for k in ("node", "kept", "left", "right", "distance", "size", "place")}
+def _tree_rows(tree: int, ords: np.ndarray, names: pa.Array, merges) -> pa.Table:
+    """The tree table of one tree from its merges."""
+    n = len(ords)
+    inside = np.ones(n, dtype=np.int64)
+    node_of = -1 - np.asarray(ords, dtype=np.int64)
+    out = {k: [] for k in ("node", "kept", "left", "right", "distance", "size")}
     for upper, lower, distance in merges:
-        members = holds.pop(upper) + holds[lower]
-        holds[lower] = members
-        node = int(ords[upper])
-        count = len(members)
-        for key, value in (
-            ("node", node),
-            ("kept", int(ords[lower])),
-            ("left", node_of[upper]),
-            ("right", node_of[lower]),
-            ("distance", distance),
-            ("size", count),
-        ):
-            out[key].extend([value] * count)
-        out["place"].extend(members)
-        node_of[lower] = node
-    place = np.asarray(out.pop("place"), dtype=np.int64)
-    ints = {k: pa.array(v, pa.int64()) for k, v in out.items() if k != "distance"}
-    return pa.table(
-        {
-            "tree": pa.array([tree] * len(place), pa.int64()),
-            "node": ints["node"],
-            "kept": ints["kept"],
-            "left": ints["left"],
-            "right": ints["right"],
-            "distance": pa.array(out["distance"], pa.float64()),
-            "size": ints["size"],
-            "ord": pa.array(np.asarray(ords, dtype=np.int64)[place]),
-            "name": names.take(pa.array(place)),
-        }
-    )
+        out["node"].append(int(ords[upper]))
+        out["kept"].append(int(ords[lower]))
+        out["left"].append(int(node_of[upper]))
+        out["right"].append(int(node_of[lower]))
+        out["distance"].append(distance)
+        inside[lower] += inside[upper]
+        out["size"].append(int(inside[lower]))
+        node_of[lower] = ords[upper]
+    # from the root down: where a node's leaves begin, and how many inner nodes come before its own
+    size = dict(zip(out["node"], out["size"], strict=True))
+    begin = {out["node"][-1] if merges else int(node_of[0]): (0, 0)}
+    for node, left, right in zip(*(reversed(out[k]) for k in ("node", "left", "right")), strict=True):
+        first, before = begin[node]
+        width = size.get(left, 1)
+        begin[left] = first, before
+        begin[right] = first + width, before + width - 1
+    leaf = [-1 - int(o) for o in ords]
+    columns = {
+        "node": out["node"] + leaf,
+        **{k: out[k] + [None] * n for k in ("kept", "left", "right", "distance")},
+        "size": out["size"] + [1] * n,
+        "first": [begin[x][0] for x in out["node"] + leaf],
+        "place": [begin[x][1] + size[x] - 2 for x in out["node"]] + [None] * n,
+        "ord": [None] * len(merges) + [int(o) for o in ords],
+        "name": [None] * len(merges) + names.to_pylist(),
+    }
+    kinds = {"distance": pa.float64(), "name": pa.string()}
+    columns = {"tree": [tree] * (len(merges) + n), **columns}
+    return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()})
 
 
 def _split_by_size(leaves: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, bool]:
@@ -118,16 +131,18 @@ def _split_by_size(leaves: DataFrame, limit: int) -> tuple[DataFrame, DataFrame,
     )
 
 
-def cluster_vectors(
+def tree_of_vectors(
     members: DataFrame,
     linkage: str = "weighted",
     empty: float = EMPTY_SIMILARITY,
     local_leaves: int = LOCAL_LEAVES,
     block_rows: int = BLOCK_ROWS,
+    hand_over: int | None = None,
 ) -> DataFrame:
-    """Clade table of every tree in ``members`` (``tree, ord, name, words``).
+    """Tree table of every tree in ``members`` (``tree, ord, name, words``).
 
-    A compound has the same ``ord`` in every tree it belongs to.
+    A compound has the same ``ord`` in every tree it belongs to. Trees above ``local_leaves`` grow in rounds
+    until ``hand_over`` clusters are left (default: ``local_leaves``; 1: to the end).
     """
     _check(linkage)
     leaves = members.select(
@@ -138,44 +153,66 @@ def cluster_vectors(
         table = table.sort_by("ord").combine_chunks()
         bits = bit_matrix(table["words"])
         merges = merge_order(1.0 - tanimoto(bits, bits, empty), linkage)
-        return _clade_rows(
+        return _tree_rows(
             table["tree"][0].as_py(), table["ord"].to_numpy(), table["name"].combine_chunks(), merges
         )
 
     small, large, any_large = _split_by_size(leaves, local_leaves)
     if not any_large:
-        return _rounded(leaves.groupBy("tree").applyInArrow(one_tree, CLADES))
+        return _rounded(leaves.groupBy("tree").applyInArrow(one_tree, TREE))
     # the same compound has the same ord in every tree, so its distances are computed once
     vectors = large.groupBy("ord").agg(F.first("name").alias("name"), F.first("words").alias("words"))
     pairs = distance_pairs(vectors, empty, block_rows)
     in_tree = lambda side: large.select("tree", F.col("ord").alias(side))
     pairs = pairs.join(in_tree("a_ord"), "a_ord").join(in_tree("b_ord"), ["tree", "b_ord"])
-    grown = _grow(large.drop("words"), pairs, linkage)
-    return _rounded(small.groupBy("tree").applyInArrow(one_tree, CLADES).unionByName(grown))
+    grown = _grow(large.drop("words"), pairs, linkage, local_leaves if hand_over is None else hand_over)
+    return _rounded(small.groupBy("tree").applyInArrow(one_tree, TREE).unionByName(grown))
 
 
-def cluster_pairs(
-    leaves: DataFrame, pairs: DataFrame, linkage: str = "weighted", local_leaves: int = LOCAL_LEAVES
+def tree_of_pairs(
+    leaves: DataFrame,
+    pairs: DataFrame,
+    linkage: str = "weighted",
+    local_leaves: int = LOCAL_LEAVES,
+    hand_over: int | None = None,
 ) -> DataFrame:
-    """Clade table of one tree from leaves ``ord, name`` and a full table ``a_ord, b_ord, dist``."""
+    """Tree table of one tree from leaves ``ord, name`` and a full table ``a_ord, b_ord, dist``."""
     _check(linkage)
     count = leaves.count()
     if count > local_leaves:
         tree = F.lit(0).cast("bigint").alias("tree")
-        return _rounded(_grow(leaves.select(tree, "ord", "name"), pairs.select(tree, "*"), linkage))
+        given = leaves.select(tree, F.col("ord").cast("bigint").alias("ord"), "name")
+        grown = _grow(given, pairs.select(tree, "*"), linkage, local_leaves if hand_over is None else hand_over)
+        return _rounded(grown)
 
     def one_tree(leaf: pa.Table, pair: pa.Table) -> pa.Table:
         leaf = leaf.sort_by("ord").combine_chunks()
         ords = leaf["ord"].to_numpy()
-        square = np.full((len(ords), len(ords)), np.inf)
-        i, j = (np.searchsorted(ords, pair[c].to_numpy()) for c in ("a_ord", "b_ord"))
-        square[np.maximum(i, j), np.minimum(i, j)] = pair["dist"].to_numpy()
-        return _clade_rows(0, ords, leaf["name"].combine_chunks(), merge_order(square, linkage))
+        square = _square(ords, pair["a_ord"].to_numpy(), pair["b_ord"].to_numpy(), pair["dist"].to_numpy())
+        return _tree_rows(0, ords, leaf["name"].combine_chunks(), merge_order(square, linkage))
 
     zero = F.lit(0).alias("tree")
     left = leaves.select(F.col("ord").cast("bigint").alias("ord"), "name", zero).groupBy("tree")
     right = pairs.select("a_ord", "b_ord", "dist", zero).groupBy("tree")
-    return _rounded(left.cogroup(right).applyInArrow(one_tree, CLADES))
+    return _rounded(left.cogroup(right).applyInArrow(one_tree, TREE))
+
+
+def _square(slots: np.ndarray, a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Lower triangle of the distances between sorted slots."""
+    square = np.full((len(slots), len(slots)), np.inf)
+    i, j = np.searchsorted(slots, a), np.searchsorted(slots, b)
+    square[np.maximum(i, j), np.minimum(i, j)] = dist
+    return square
+
+
+def cluster_vectors(members: DataFrame, linkage: str = "weighted", *args, **options) -> DataFrame:
+    """:func:`tree_of_vectors` as a clade table."""
+    return clade_table(tree_of_vectors(members, linkage, *args, **options))
+
+
+def cluster_pairs(leaves: DataFrame, pairs: DataFrame, linkage: str = "weighted", **options) -> DataFrame:
+    """:func:`tree_of_pairs` as a clade table."""
+    return clade_table(tree_of_pairs(leaves, pairs, linkage, **options))
 
 
 def _check(linkage: str) -> None:
@@ -183,36 +220,155 @@ def _check(linkage: str) -> None:
         raise ValueError(f"linkage must be one of {LINKAGES}")
 
 
-def _grow(leaves: DataFrame, pairs: DataFrame, linkage: str) -> DataFrame:
-    """Large trees in rounds, all trees in the same rounds.
+class _Pairs:
+    """The distances between living clusters: tables of which only some rows are still valid.
 
-    Each round is written to the shared folder and reads only the one before.
+    A round writes the distances of merged clusters and nothing else. A row is valid if neither of its slots
+    has merged since its table was written; several tables are put into one and their files deleted.
     """
-    pairs = materialise(
+
+    def __init__(self, pairs: DataFrame):
+        self.tables: list[tuple[DataFrame, str, int]] = []
+        self.merges: list[DataFrame] = []
+        self.add(pairs, 0)
+
+    def add(self, pairs: DataFrame, number: int) -> None:
+        self.tables.append((*write_scratch(pairs, "pairs"), number))
+
+    def valid(self) -> DataFrame:
+        parts = []
+        for table, _, number in self.tables:
+            for merges in self._since(number):
+                touched = merges.select("tree", F.explode(F.array("hi", "lo")).alias("slot")).distinct()
+                for side in ("hi", "lo"):
+                    table = table.join(touched.withColumnRenamed("slot", side), ["tree", side], "left_anti")
+            parts.append(table)
+        return _union(parts)
+
+    def _since(self, number: int) -> list[DataFrame]:
+        return [_union(self.merges[number:])] if self.merges[number:] else []
+
+    def merge(self, merges: DataFrame, linkage: str) -> None:
+        changed = _contract(self.valid(), merges, linkage)
+        self.merges.append(merges)
+        self.add(changed, len(self.merges))
+        if len(self.tables) > SEGMENTS:
+            old = self.tables
+            self.tables = [(*write_scratch(self.valid(), "pairs"), len(self.merges))]
+            for table, path, _ in old:
+                drop_table(table.sparkSession, path)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _grow(leaves: DataFrame, pairs: DataFrame, linkage: str, hand_over: int) -> DataFrame:
+    """Large trees in rounds, all trees in the same rounds, until no tree has more than ``hand_over`` clusters."""
+    one = F.lit(1).cast("bigint")
+    pairs = _Pairs(
         pairs.select(
-            "tree", F.greatest("a_ord", "b_ord").alias("hi"), F.least("a_ord", "b_ord").alias("lo"), "dist"
-        ),
-        "pairs",
-    )
-    where = materialise(
-        leaves.select(
             "tree",
-            F.col("ord").cast("bigint").alias("ord"),
-            "name",
-            F.col("ord").cast("bigint").alias("slot"),
-            (-1 - F.col("ord")).cast("bigint").alias("node"),
-            F.lit(1).cast("bigint").alias("size"),
-        ),
-        "slots",
+            F.greatest("a_ord", "b_ord").alias("hi"),
+            F.least("a_ord", "b_ord").alias("lo"),
+            "dist",
+            one.alias("nh"),
+            one.alias("nl"),
+        )
+    )
+    counts = materialise(leaves.groupBy("tree").agg(F.count("*").alias("leaves")), "leaf_counts")
+    done: list[DataFrame] = []
+    while True:
+        gone = counts.select("tree", "leaves", F.lit(0).cast("bigint").alias("merged"))
+        for merges in done:
+            merged = merges.groupBy("tree").agg(F.count("*").alias("merged"))
+            gone = gone.unionByName(merged.select("tree", F.lit(0).cast("bigint").alias("leaves"), "merged"))
+        left = gone.groupBy("tree").agg((F.sum("leaves") - F.sum("merged")).alias("left"))
+        most = left.agg(F.max("left")).first()[0] or 0
+        if most <= max(hand_over, 1):
+            break
+        merges = materialise(_mutual(pairs.valid(), len(done)), "merges")
+        pairs.merge(merges, linkage)
+        done.append(merges)
+    if most > 1:
+        done.append(materialise(_finished(pairs.valid(), linkage, len(done)), "merges"))
+    merges = _described(_union(done)) if done else leaves.sparkSession.createDataFrame([], MERGES)
+    return nested(materialise(merges, "tree"), leaves)
+
+
+def _finished(pairs: DataFrame, linkage: str, number: int) -> DataFrame:
+    """The merges of trees with few clusters left, one task each."""
+
+    def one_tree(rows: pa.Table) -> pa.Table:
+        hi, lo = rows["hi"].to_numpy(), rows["lo"].to_numpy()
+        slots = np.unique(np.concatenate([hi, lo]))
+        sizes = np.ones(len(slots), dtype=np.int64)
+        sizes[np.searchsorted(slots, hi)] = rows["nh"].to_numpy()
+        sizes[np.searchsorted(slots, lo)] = rows["nl"].to_numpy()
+        merges = merge_order(_square(slots, hi, lo, rows["dist"].to_numpy()), linkage, sizes)
+        total = []
+        for upper, lower, _ in merges:
+            sizes[lower] += sizes[upper]
+            total.append(int(sizes[lower]))
+        upper, lower = (np.array([slots[m[k]] for m in merges], dtype=np.int64) for k in (0, 1))
+        return pa.table(
+            {
+                "tree": pa.array([rows["tree"][0].as_py()] * len(merges), pa.int64()),
+                "round": pa.array(range(number, number + len(merges)), pa.int64()),
+                "hi": upper,
+                "lo": lower,
+                "dist": pa.array([m[2] for m in merges], pa.float64()),
+                "size": pa.array(total, pa.int64()),
+            }
+        )
+
+    return pairs.groupBy("tree").applyInArrow(one_tree, MERGES)
+
+
+def nested(merges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Tree table from ``tree, node, kept, left, right, distance, size`` and leaves ``tree, ord, name``.
+
+    A node's first leaf and place are sums over the way up to the root. The ways are halved in every step
+    (pointer jumping), so that a tree of any shape takes as many steps as its depth has binary digits.
+    """
+    sizes = merges.select("tree", F.col("node").alias("left"), F.col("size").alias("_width"))
+    known = merges.join(sizes, ["tree", "left"], "left").withColumn("_width", F.coalesce("_width", F.lit(1).cast("bigint")))
+    zero = F.lit(0).cast("bigint")
+    ways = F.array(
+        F.struct(F.col("left").alias("child"), zero.alias("first"), zero.alias("before")),
+        F.struct(F.col("right").alias("child"), F.col("_width").alias("first"), (F.col("_width") - 1).alias("before")),
     )
-    clades = leaves.sparkSession.createDataFrame([], CLADES)
-    while not pairs.isEmpty():
-        merges = materialise(_described(_mutual(pairs), where), "merges")
-        moved, rows = _apply_merges(where, merges)
-        where = materialise(moved, "slots")
-        clades = clades.unionByName(materialise(rows, "clades"))
-        pairs = materialise(_contract(pairs, merges, linkage), "pairs")
-    return clades
+    links = known.select("tree", F.col("node").alias("up"), F.inline(ways))
+    while True:
+        links = materialise(links, "links")
+        if links.where("up is not null").isEmpty():
+            break
+        above = links.select("tree", F.col("child").alias("up"), F.col("up").alias("_up"), F.col("first").alias("_first"), F.col("before").alias("_before"))
+        links = links.join(above, ["tree", "up"], "left").select(
+            "tree",
+            F.col("_up").alias("up"),
+            "child",
+            (F.col("first") + F.coalesce("_first", zero)).alias("first"),
+            (F.col("before") + F.coalesce("_before", zero)).alias("before"),
+        )
+    place = links.select("tree", F.col("child").alias("node"), "first", "before")
+    inner = merges.join(place, ["tree", "node"], "left").select(
+        "tree", "node", "kept", "left", "right", "distance", "size",
+        F.coalesce("first", zero).alias("first"),
+        (F.coalesce("before", zero) + F.col("size") - 2).alias("place"),
+        F.lit(None).cast("bigint").alias("ord"),
+        F.lit(None).cast("string").alias("name"),
+    )
+    none = F.lit(None).cast("bigint")
+    ends = leaves.withColumn("node", -1 - F.col("ord")).join(place, ["tree", "node"], "left").select(
+        "tree", "node", none.alias("kept"), none.alias("left"), none.alias("right"),
+        F.lit(None).cast("double").alias("distance"), F.lit(1).cast("bigint").alias("size"),
+        F.coalesce("first", zero).alias("first"), none.alias("place"), "ord", "name",
+    )
+    return inner.unionByName(ends)
 
 
 def _on_grid(distance: Column) -> Column:
@@ -224,63 +380,48 @@ def _rounded(clades: DataFrame) -> DataFrame:
     return clades.withColumn("distance", _on_grid(F.col("distance")) / GRID)
 
 
-def _mutual(pairs: DataFrame) -> DataFrame:
-    """Pairs that are the nearest for both of their clusters: ``tree, hi, lo, dist``."""
-    key = F.struct(_on_grid(F.col("dist")).alias("grid"), (-F.col("hi")).alias("hi"), (-F.col("lo")).alias("lo"), "dist")
+def _mutual(pairs: DataFrame, number: int) -> DataFrame:
+    """Pairs that are the nearest for both of their clusters, as the merges of round ``number``."""
+    key = F.struct(
+        _on_grid(F.col("dist")).alias("grid"), (-F.col("hi")).alias("hi"), (-F.col("lo")).alias("lo"),
+        "dist", (F.col("nh") + F.col("nl")).alias("size"), F.col("nh").alias("upper"),
+    )
     ends = pairs.select("tree", F.explode(F.array("hi", "lo")).alias("slot"), key.alias("pair"))
     nearest = ends.groupBy("tree", "slot").agg(F.min("pair").alias("pair"))
-    # the distance itself rides at the end of the key, where it decides nothing
+    # what rides at the end of the key decides nothing
     both = nearest.groupBy("tree", "pair").agg(F.count("*").alias("ends")).where("ends = 2")
     return both.select(
         "tree",
+        F.lit(number).cast("bigint").alias("round"),
         (-F.col("pair.hi")).alias("hi"),
         (-F.col("pair.lo")).alias("lo"),
         F.col("pair.dist").alias("dist"),
+        F.col("pair.size").alias("size"),
     )
 
 
-def _described(merges: DataFrame, where: DataFrame) -> DataFrame:
-    """Add the two parts of each merge: their nodes and sizes."""
-    heads = where.groupBy("tree", "slot").agg(F.max("node").alias("node"), F.max("size").alias("size"))
-    ends = merges.withColumn("slot", F.explode(F.array("hi", "lo"))).join(heads, ["tree", "slot"])
-    upper = F.col("slot") == F.col("hi")
-    return ends.groupBy("tree", "hi", "lo", "dist").agg(
-        F.max(F.when(upper, F.col("node"))).alias("left"),
-        F.max(F.when(~upper, F.col("node"))).alias("right"),
-        F.sum("size").alias("total"),
-        F.max(F.when(upper, F.col("size"))).alias("upper_size"),
-    )
-
-
-def _apply_merges(where: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Move the leaves of merged clusters; also the clade rows of the new nodes."""
-    by_slot = merges.withColumn("slot", F.explode(F.array("hi", "lo")))
-    placed = where.join(by_slot, ["tree", "slot"], "left")
-    changed = F.col("hi").isNotNull()
-    moved = placed.select(
-        "tree",
-        "ord",
-        "name",
-        F.coalesce("lo", "slot").alias("slot"),
-        F.coalesce("hi", "node").alias("node"),
-        F.coalesce("total", "size").alias("size"),
+def _described(merges: DataFrame) -> DataFrame:
+    """Merges as inner nodes: each part is the last earlier merge into its slot, else the leaf of the slot."""
+    none = F.lit(None).cast("bigint")
+    ends = F.array(
+        F.struct(F.col("hi").alias("slot"), none.alias("made"), F.lit(True).alias("upper")),
+        F.struct(F.col("lo").alias("slot"), F.col("hi").alias("made"), F.lit(False).alias("upper")),
     )
-    rows = placed.where(changed).select(
-        "tree",
-        F.col("hi").alias("node"),
-        F.col("lo").alias("kept"),
-        "left",
-        "right",
-        F.col("dist").alias("distance"),
-        F.col("total").alias("size"),
-        "ord",
-        "name",
+    events = merges.select("*", F.inline(ends))
+    earlier = Window.partitionBy("tree", "slot").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.coalesce(F.last("made", ignorenulls=True).over(earlier), -1 - F.col("slot"))
+    found = events.withColumn("part", part)
+    return found.groupBy("tree", F.col("hi").alias("node"), F.col("lo").alias("kept")).agg(
+        F.max(F.when(F.col("upper"), F.col("part"))).alias("left"),
+        F.max(F.when(~F.col("upper"), F.col("part"))).alias("right"),
+        F.max("dist").alias("distance"),
+        F.max("size").alias("size"),
     )
-    return moved, rows
 
 
 def _contract(pairs: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
-    """Distances after a round. Where both clusters of a pair merged, the earlier merge is mixed first."""
+    """New distances after a round, of merged slots only. Where both clusters of a pair merged, the earlier
+    merge is mixed first."""
     # what a slot turns into, whether it is the upper part of its merge, and the merge's place in order
     turn = merges.select(
         "tree",
@@ -291,8 +432,7 @@ def _contract(pairs: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
             _on_grid(F.col("dist")).alias("grid"),
             (-F.col("hi")).alias("h"),
             (-F.col("lo")).alias("l"),
-            F.col("upper_size").alias("u"),
-            F.col("total").alias("t"),
+            F.col("size").alias("t"),
         ).alias("key"),
     ).withColumn("upper", F.col("slot") == F.col("other"))
 
@@ -306,15 +446,17 @@ def _contract(pairs: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
         )
 
     moved = pairs.join(turned("hi"), ["tree", "hi"], "left").join(turned("lo"), ["tree", "lo"], "left")
+    moved = moved.where("hi_into is not null or lo_into is not null")
 
-    def end(side: str) -> Column:
+    def end(side: str, leaves: str) -> Column:
         return F.struct(
             F.coalesce(f"{side}_into", side).alias("slot"),
             F.coalesce(f"{side}_upper", F.lit(False)).alias("upper"),
             F.col(f"{side}_key").alias("key"),
+            F.col(leaves).alias("n"),
         )
 
-    ends = moved.select("tree", end("hi").alias("e1"), end("lo").alias("e2"), "dist").where("e1.slot <> e2.slot")
+    ends = moved.select("tree", end("hi", "nh").alias("e1"), end("lo", "nl").alias("e2"), "dist").where("e1.slot <> e2.slot")
     swap = F.col("e1.slot") > F.col("e2.slot")
     ends = ends.select(
         "tree",
@@ -334,12 +476,15 @@ def _contract(pairs: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
         part(True, True),
         F.max("a.key").alias("a_key"),
         F.max("b.key").alias("b_key"),
+        # a slot that did not merge, and the upper part of one that did
+        *(F.max(F.when(F.col(f"{e}.key").isNull(), F.col(f"{e}.n"))).alias(f"{e}_n") for e in "ab"),
+        *(F.max(F.when(F.col(f"{e}.upper"), F.col(f"{e}.n"))).alias(f"{e}_u") for e in "ab"),
     )
 
     def mix(lower: Column, upper: Column, key: str) -> Column:
         if linkage == "weighted":
             return (upper + lower) / 2
-        size, total = F.col(f"{key}.u").cast("double"), F.col(f"{key}.t").cast("double")
+        size, total = F.col(f"{key[0]}_u").cast("double"), F.col(f"{key}.t").cast("double")
         return (size * upper + (total - size) * lower) / total
 
     d = {k: F.col(k) for k in ("d00", "d01", "d10", "d11")}
@@ -352,7 +497,55 @@ def _contract(pairs: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
         .when(b_merged, mix(d["d00"], d["d01"], "b_key"))
         .otherwise(d["d00"])
     )
-    return parts.select("tree", "hi", "lo", dist.alias("dist"))
+    leaves = [F.coalesce(f"{e}_key.t", f"{e}_n").alias(n) for e, n in (("a", "nh"), ("b", "nl"))]
+    return parts.select("tree", "hi", "lo", dist.alias("dist"), *leaves)
+
+
+# --- reading a tree table
+
+
+def inner_nodes(tree: DataFrame) -> DataFrame:
+    """One row per inner node, to be read in post-order by ``place``: ``tree, node, left, right, distance, height, size, first, place``."""
+    return tree.where("node >= 0").select(
+        "tree", "node", "left", "right", "distance", (F.col("distance") / 2).alias("height"), "size", "first", "place"
+    )
+
+
+def tree_leaves(tree: DataFrame) -> DataFrame:
+    """Leaves in tree order: ``tree, ord, name, pos``."""
+    return tree.where("node < 0").select("tree", "ord", "name", F.col("first").alias("pos"))
+
+
+def positive_nodes(tree: DataFrame, percent: float) -> DataFrame:
+    """Inner nodes whose share of positive leaves is at least ``percent``: ``tree, node, share, size, first``.
+
+    Positives are counted once along the leaves; a node is the difference of two counts.
+    """
+    along = Window.partitionBy("tree").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    counted = tree_leaves(tree).select("tree", "pos", F.sum(is_positive(F.col("name")).cast("bigint")).over(along).alias("upto"))
+    at = lambda pos, name: counted.select("tree", F.col("pos").alias(pos), F.col("upto").alias(name))
+    nodes = tree.where("node >= 0").select("tree", "node", "size", "first")
+    nodes = nodes.withColumns({"_last": F.col("first") + F.col("size") - 1, "_before": F.col("first") - 1})
+    found = nodes.join(at("_last", "_high"), ["tree", "_last"]).join(at("_before", "_low"), ["tree", "_before"], "left")
+    share = (F.col("_high") - F.coalesce("_low", F.lit(0))) / F.col("size").cast("double")
+    found = found.withColumn("share", share).where(F.col("share") >= percent / 100.0)
+    return found.select("tree", "node", "share", "size", "first")
+
+
+def node_members(tree: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Leaves of the chosen inner nodes (``tree, node, first, size``): ``tree, node, ord, name``, a row for each."""
+    last = F.col("first") + F.col("size") - 1
+    spans = chosen.select("tree", "node", last.alias("_last"), F.explode(F.sequence("first", last, F.lit(SPAN).cast("bigint"))).alias("_from"))
+    wanted = spans.select("tree", "node", F.explode(F.sequence("_from", F.least("_last", F.col("_from") + SPAN - 1))).alias("pos"))
+    return wanted.join(tree_leaves(tree), ["tree", "pos"]).select("tree", "node", "ord", "name")
+
+
+def clade_table(tree: DataFrame) -> DataFrame:
+    """``tree, node, kept, left, right, distance, size, ord, name`` with a row per inner node and leaf below it."""
+    inner = tree.where("node >= 0")
+    rest = inner.select("tree", "node", "kept", "left", "right", "distance", "size")
+    members = node_members(tree, inner.select("tree", "node", "first", "size"))
+    return rest.join(members, ["tree", "node"])
 
 
 # --- reading a clade table

@@ -11,7 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molweave.constants import MIN_ISOLATED
 from molweave.functions.geometry import to_distance
 from molweave.functions.text import fixed4
 from molweave.operators.blocks import (
@@ -228,32 +227,6 @@ def top_similar(means: DataFrame, rows: int | DataFrame, percent: float) -> Data
     return top_by_score(counted, by, "avg_sim", "name").drop("cut")
 
 
-def isolated_top(
-    labelled: DataFrame,
-    base: DataFrame,
-    members: DataFrame,
-    percent: float,
-    rows: int,
-    empty: float = EMPTY_SIMILARITY,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Union over the members of a subset of each member's own best base compounds: ``subset, name``.
-
-    A subset of m members takes ``percent`` of the ``rows`` base compounds divided by m from each, 10 at
-    least. The amounts of a member's subsets differ only in where one ranking is cut, so the ranking is
-    made once, as deep as the largest amount; a block hands on that many rows per member.
-    """
-    sizes = members.groupBy("subset").agg(F.count("*").alias("_size"))
-    share = F.floor(F.lit(percent / 100.0 * rows) / F.col("_size")).cast("long")
-    sizes = sizes.select("subset", F.greatest(share, F.lit(MIN_ISOLATED)).alias("_amount"))
-    wanted = members.join(sizes, "subset")
-    deepest = wanted.agg(F.max("_amount")).first()[0] or MIN_ISOLATED
-    compared = labelled.join(members.select("name").distinct(), "name", "left_semi")
-    best = most_similar(compared, base, int(deepest), empty, block_rows)
-    found = wanted.join(best, "name").where(F.col("rank") <= F.col("_amount"))
-    return found.select("subset", F.col("other").alias("name")).distinct()
-
-
 def blended_pairs(
     vectors: DataFrame,
     coefficient: float,

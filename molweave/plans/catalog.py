@@ -19,7 +19,7 @@ from molweave.functions.geometry import AXES, Box, crosses_line, distance, surfa
 from molweave.functions.labels import compound_type, external_id, label_of
 from molweave.functions.report import percent
 from molweave.operators import clustering, contacts, docking, fingerprints, mass, patterns
-from molweave.operators import ranking, similarity, site
+from molweave.operators import ranking, selection, similarity, site
 from molweave.plans import jobs, screening
 from molweave.session import materialise, scratch_path
 from molweave.sinks import tables, text as text_sinks
@@ -30,6 +30,8 @@ WIDTH = 32
 BOX = Box((0.0, 0.0, 0.0), (30.0, 30.0, 30.0))
 SITE_STEP = 0.5
 ATOMS = 21
+#: clusters with which the queries of trees in rounds hand over to one task
+HAND_OVER = 48
 ELEMENT_KINDS = ("C", "N", "O", "S", "H", "F", "P", "Cl", "Br", "Zn")
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -266,17 +268,14 @@ def _class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mean_similarity_top_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = _space(base(spark, sf_dir), "chem")
-    means = similarity.mean_similarity(
-        mine, _space(labelled(spark, sf_dir), "chem"), _class_members(spark, sf_dir)
-    )
-    top = similarity.top_similar(means, mine.count(), 10)
+    top = selection.top_of_members(mine, _space(labelled(spark, sf_dir), "chem"), _class_members(spark, sf_dir), mine.count(), 10)
     return top.select("subset", "name", F.round("avg_sim", 6).alias("avg_sim"))
 
 
 def isolated_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per class the best matches of each member: 150 percent of the base over the class size, 10 at least."""
     mine = _space(base(spark, sf_dir), "chem")
-    return similarity.isolated_top(
+    return selection.isolated_top(
         _space(labelled(spark, sf_dir), "chem"), mine, _class_members(spark, sf_dir), 150, mine.count()
     )
 
@@ -415,11 +414,11 @@ def bit_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tree(spark: SparkSession, sf_dir: str, space: str, linkage: str = "weighted", **how: int) -> DataFrame:
     leaves = _space(labelled(spark, sf_dir), space)
-    return clustering.cluster_vectors(leaves.withColumn("tree", F.lit(0)), linkage, **how)
+    return clustering.tree_of_vectors(leaves.withColumn("tree", F.lit(0)), linkage, **how)
 
 
-def _merges(spark: SparkSession, clades: DataFrame) -> DataFrame:
-    merges = clustering.merges_of(clades)
+def _merges(spark: SparkSession, tree: DataFrame) -> DataFrame:
+    merges = clustering.inner_nodes(tree)
     return merges.select("node", "left", "right", "size", F.round("height", 6).alias("height"))
 
 
@@ -432,17 +431,24 @@ def tree_merges_by_size(spark: SparkSession, sf_dir: str, **how: int) -> DataFra
 
 
 def clades(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
-    return _tree(spark, sf_dir, "contacts", **how).select("node", "name")
+    tree = materialise(_tree(spark, sf_dir, "contacts", **how), "tree")
+    return clustering.node_members(tree, clustering.inner_nodes(tree)).select("node", "name")
+
+
+def clade_table(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
+    """Inner nodes in post-order with their interval of leaves: one row each."""
+    nodes = clustering.inner_nodes(_tree(spark, sf_dir, "contacts", **how))
+    return nodes.select("place", "node", "left", "right", "first", "size")
 
 
 def yes_clades(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
-    found = clustering.positive_clades(_tree(spark, sf_dir, "contacts", **how), 70)
-    return found.select("node", F.round("share", 6).alias("share"), "size")
+    tree = materialise(_tree(spark, sf_dir, "contacts", **how), "tree")
+    return clustering.positive_nodes(tree, 70).select("node", F.round("share", 6).alias("share"), "size")
 
 
 def _in_rounds(query: Callable[..., DataFrame], **how: int) -> Query:
-    """A tree query by rounds of mutual nearest neighbours over its pair table, whatever its size."""
-    return lambda spark, sf_dir: query(spark, sf_dir, local_leaves=1, **how)
+    """A tree query by rounds of mutual nearest neighbours over its pair table, until few clusters are left."""
+    return lambda spark, sf_dir: query(spark, sf_dir, local_leaves=1, hand_over=HAND_OVER, **how)
 
 
 def clade_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,7 +470,7 @@ def blended_tree(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
     return _merges(spark, jobs.blended_tree(_space(rows, "chem"), _space(rows, "contacts"), 0.5, **how))
 
 
-def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _screened(spark: SparkSession, sf_dir: str, settings: screening.Screen = screening.Screen()) -> DataFrame:
     train, mine = labelled(spark, sf_dir), base(spark, sf_dir)
     return screening.two_level_candidates(
         _space(train, "contacts"),
@@ -472,9 +478,16 @@ def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
         _space(mine, "contacts"),
         _space(mine, "chem"),
         _energies(spark, sf_dir),
+        settings,
     )
 
 
+def isolated_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The screen by each member's own best matches instead of the mean similarity to its clade."""
+    found = _screened(spark, sf_dir, screening.Screen(isolated=True))
+    return found.select("subset", "name", "energy", F.col("rank").cast("int").alias("rank"))
+
+
 def two_level_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _screened(spark, sf_dir).select("subset", "name", "energy", F.col("rank").cast("int").alias("rank"))
 
@@ -767,6 +780,8 @@ QUERIES: dict[str, Query] = {
     "tree_merges_by_size": tree_merges_by_size,
     "clades": clades,
     "yes_clades": yes_clades,
+    "clade_table": clade_table,
+    "clade_table_rounds": _in_rounds(clade_table, block_rows=64),
     "tree_merges_rounds": _in_rounds(tree_merges, block_rows=64),
     "tree_merges_by_size_rounds": _in_rounds(tree_merges_by_size, block_rows=64),
     "clades_rounds": _in_rounds(clades, block_rows=64),
@@ -774,6 +789,7 @@ QUERIES: dict[str, Query] = {
     "concatenated_tree_rounds": _in_rounds(concatenated_tree, block_rows=64),
     "blended_tree_rounds": _in_rounds(blended_tree),
     "clade_candidates": clade_candidates,
+    "isolated_screen": isolated_screen,
     "concatenated_tree": concatenated_tree,
     "blended_tree": blended_tree,
     "two_level_screen": two_level_screen,

@@ -368,7 +368,17 @@ def _similar(space: str, name: str) -> str:
 """
 
 
-def _screen() -> list[str]:
+def _alone(space: str, members: str, key: str, base: str, count: str, percent: float) -> str:
+    """Union of every member's own best: as many as the percentage over the clade's size, 10 at least."""
+    sim = _sim(f"t.{space}", f"b.{space}")
+    return f"""
+SELECT DISTINCT {key}, name FROM (
+  SELECT {', '.join('m.' + k for k in key.split(', '))}, b.name, row_number() OVER (PARTITION BY {', '.join('m.' + k for k in key.split(', '))}, m.name ORDER BY {sim} DESC, b.name) AS rk,
+         greatest(10, CAST(floor(CAST({percent / 100.0!r} AS DOUBLE) * n / m.size) AS BIGINT)) AS amount
+  FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS size FROM {members}) m JOIN v t ON t.name = m.name {base} {count}) WHERE rk <= amount"""
+
+
+def _screen(isolated: bool = False) -> list[str]:
     """Two-level screen; ends in ``screened`` (subset, name, energy, rank)."""
     inner_pairs = (
         "itp AS (SELECT a.tree, greatest(a.ord, b.ord) AS hi, least(a.ord, b.ord) AS lo, 1 - "
@@ -381,8 +391,12 @@ def _screen() -> list[str]:
         "ochosen AS (SELECT node AS subset, ord, name FROM oclade WHERE node IN (SELECT node FROM oyes))",
         "nb AS (SELECT count(*) AS n FROM v WHERE label_id > 1)",
         f"omean AS ({_means('con', 'ochosen')})",
-        "cand AS (SELECT subset AS scope, name FROM (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY avg_sim DESC, name) AS rk "
-        f"FROM omean), nb WHERE rk <= {_cut(60)})",
+        "cand AS (SELECT subset AS scope, name FROM "
+        + (
+            f"({_alone('con', 'ochosen', 'subset', 'JOIN v b ON b.label_id > 1', ', nb', 60)}))"
+            if isolated
+            else f"(SELECT *, row_number() OVER (PARTITION BY subset ORDER BY avg_sim DESC, name) AS rk FROM omean), nb WHERE rk <= {_cut(60)})"
+        ),
         "itl AS (SELECT subset AS tree, ord, name FROM ochosen)",
         inner_pairs,
         *_tree("itp", "itl", prefix="i"),
@@ -393,8 +407,13 @@ def _screen() -> list[str]:
   FROM ichosen m JOIN v t ON t.name = m.name JOIN cand c ON c.scope = m.scope JOIN v b ON b.name = c.name
   GROUP BY m.scope, m.subset, b.name)""",
         "inum AS (SELECT scope, count(*) AS n FROM cand GROUP BY scope)",
-        "iwon AS (SELECT DISTINCT scope, name FROM (SELECT *, row_number() OVER (PARTITION BY scope, subset ORDER BY avg_sim DESC, name) AS rk "
-        f"FROM imean JOIN inum USING (scope)) WHERE rk <= {_cut(75)})",
+        "iwon AS (SELECT DISTINCT scope, name FROM "
+        + (
+            f"({_alone('chem', 'ichosen', 'scope, subset', 'JOIN cand c ON c.scope = m.scope JOIN v b ON b.name = c.name', 'JOIN inum i ON i.scope = m.scope', 75)}))"
+            if isolated
+            else "(SELECT *, row_number() OVER (PARTITION BY scope, subset ORDER BY avg_sim DESC, name) AS rk "
+            f"FROM imean JOIN inum USING (scope)) WHERE rk <= {_cut(75)})"
+        ),
         "screened AS (SELECT scope AS subset, name, energy, CAST(rk AS INTEGER) AS rank FROM (SELECT i.scope, i.name, v.energy, "
         "row_number() OVER (PARTITION BY i.scope ORDER BY v.energy, i.name) AS rk FROM iwon i JOIN v ON v.name = i.name) WHERE rk <= 30)",
     ]
@@ -497,6 +516,19 @@ SQL: dict[str, str] = {
     "tree_merges": _with(_COMPOUNDS, *_one_tree("con"), recursive=True) + _MERGES,
     "tree_merges_by_size": _with(_COMPOUNDS, *_one_tree("chem", "average"), recursive=True) + _MERGES,
     "clades": _with(_COMPOUNDS, *_one_tree("con"), recursive=True) + "SELECT node, name FROM clade",
+    "clade_table": _with(
+        _COMPOUNDS,
+        *_one_tree("con"),
+        f"m AS ({_MERGES})",
+        """
+child AS (SELECT node, "left" AS below, CAST(0 AS BIGINT) AS shift FROM m UNION ALL
+          SELECT a.node, a."right", coalesce(l.size, 1) FROM m a LEFT JOIN m l ON l.node = a."left")""",
+        """
+way AS (SELECT node, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS before FROM m WHERE size = (SELECT max(size) FROM m) UNION ALL
+        SELECT below, first + shift, before + greatest(shift - 1, 0) FROM way JOIN child USING (node))""",
+        recursive=True,
+    )
+    + 'SELECT before + size - 2 AS place, node, "left", "right", first, size FROM m JOIN way USING (node)',
     "yes_clades": _with(_COMPOUNDS, *_one_tree("con"), recursive=True)
     + f"SELECT node, round({_YES}, 6) AS share, count(*) AS size FROM clade GROUP BY node HAVING {_YES} >= 0.7",
     "clade_candidates": _with(
@@ -522,6 +554,7 @@ SQL: dict[str, str] = {
         recursive=True,
     )
     + _MERGES,
+    "isolated_screen": _with(_COMPOUNDS, *_screen(isolated=True), recursive=True) + "SELECT subset, name, energy, rank FROM screened",
     "two_level_screen": _with(_COMPOUNDS, *_screen(), recursive=True) + "SELECT subset, name, energy, rank FROM screened",
     "cluster_best_by_energy": _with(_COMPOUNDS)
     + "SELECT name, energy FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY energy, name) AS rk FROM v WHERE label_id > 1) WHERE rk <= 30",
@@ -597,4 +630,4 @@ FROM (SELECT *, CASE WHEN p_size > 25 THEN 'YES_' ELSE 'not_' END || CAST(p_part
 
 # the same numbers by another way
 SQL["mass_file"] = f'SELECT ligand AS "Ligand", mass AS "Mass" FROM ({SQL["pdbqt_roundtrip"]})'
-SQL |= {f"{name}_rounds": SQL[name] for name in ("tree_merges", "tree_merges_by_size", "clades", "yes_clades", "concatenated_tree", "blended_tree")}
+SQL |= {f"{name}_rounds": SQL[name] for name in ("tree_merges", "tree_merges_by_size", "clades", "yes_clades", "clade_table", "concatenated_tree", "blended_tree")}

@@ -62,9 +62,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the session's intermediate tables. Call it when no result that reads them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_table(spark, session_dir(spark))
+
+
+def write_scratch(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """:func:`materialise`, and the path of the table, for :func:`drop_table`."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that no later result reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -74,7 +86,4 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     recomputation; the table also gives the optimiser true sizes. Unlike ``checkpoint()`` the input
     is computed once.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_scratch(df, name)[0]

@@ -62,6 +62,57 @@ def test_tree_with_ties(spark, linkage, n, seed):
     assert sorted((sorted(n_), d) for n_, d, _ in found.values()) == sorted((sorted(n_), on_grid(d)) for n_, d in want)
 
 
+@pytest.mark.parametrize("linkage", cl.LINKAGES)
+@pytest.mark.parametrize("hand_over", [1, 9, 30])
+def test_rounds_and_hand_over_give_the_same_tree_tables(spark, linkage, hand_over):
+    vectors = leaves(40, 5)
+    data = [(1, *v) for v in vectors] + [(2, *v) for v in vectors if v[0] % 2] + [(3, *v) for v in vectors[:3]] + [(4, *vectors[0])]
+    df = spark.createDataFrame(data, "tree long, ord long, name string, words array<bigint>")
+    local = cl.tree_of_vectors(df, linkage)
+    grown = cl.tree_of_vectors(df, linkage, local_leaves=2, block_rows=9, hand_over=hand_over)
+    assert rows(local) == rows(grown)
+
+
+def test_intervals_are_post_order(spark):
+    vectors = leaves(60, 8)
+    df = spark.createDataFrame([(0, *v) for v in vectors], "tree long, ord long, name string, words array<bigint>")
+    tree = cl.tree_of_vectors(df)
+    nodes = {r["node"]: r for r in cl.inner_nodes(tree).collect()}
+    order = {r["pos"]: r["name"] for r in cl.tree_leaves(tree).collect()}
+    assert sorted(order) == list(range(60)) and tree.count() == 2 * 60 - 1
+    names, met = {-1 - v[0]: {v[1]} for v in vectors}, []
+
+    def walk(node):
+        if node in names:
+            return names[node]
+        below = walk(nodes[node]["left"]) | walk(nodes[node]["right"])
+        met.append(node)
+        return below
+
+    root = max(nodes, key=lambda k: nodes[k]["size"])
+    assert walk(root) == set(order.values())
+    assert [nodes[k]["place"] for k in met] == list(range(59))
+    members = {}
+    for r in cl.node_members(tree, cl.inner_nodes(tree)).collect():
+        members.setdefault(r["node"], set()).add(r["name"])
+    for k, r in nodes.items():
+        assert members[k] == {order[p] for p in range(r["first"], r["first"] + r["size"])} == walk(k)
+    shares = {r["node"]: r["share"] for r in cl.positive_nodes(tree, 50).collect()}
+    share = lambda k: sum(n.startswith("YES") for n in members[k]) / len(members[k])
+    assert shares == {k: share(k) for k in nodes if share(k) >= 0.5}
+
+
+def test_deep_tree_by_pointer_jumping(spark):
+    n = 300
+    merges = [(0, i, 0, -1 - i, i - 1 if i > 1 else -1, float(i), i + 1) for i in range(1, n)]
+    df = spark.createDataFrame(merges, "tree long, node long, kept long, left long, right long, distance double, size long")
+    ends = spark.createDataFrame([(0, i, f"n{i}") for i in range(n)], "tree long, ord long, name string")
+    got = {r["node"]: r for r in cl.nested(df, ends).collect()}
+    # every node has one leaf to the left and the rest to the right
+    assert all((got[i]["first"], got[i]["place"]) == (n - 1 - i, i - 1) for i in range(1, n))
+    assert all(got[-1 - i]["first"] == (n - 1 - i if i else n - 1) for i in range(n))
+
+
 @pytest.mark.parametrize("linkage", cl.LINKAGES)
 def test_rounds_give_the_same_trees(spark, linkage):
     vectors = leaves(40, 5)

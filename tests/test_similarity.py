@@ -5,6 +5,7 @@ from plain import rows
 from pyspark.sql import functions as F
 
 from molweave.operators import fingerprints as fp
+from molweave.operators import selection
 from molweave.operators import similarity as sim
 from molweave.sinks import text as text_sinks
 
@@ -94,9 +95,10 @@ def test_mean_and_top(spark, left, right, block_rows):
     assert rows(top, "subset", "name") == sorted(expect, key=str)
 
 
-@pytest.mark.parametrize("block_rows", [4096, 8])
+@pytest.mark.parametrize("sent_rows", [selection.LABELLED_ROWS, 1])
 @pytest.mark.parametrize("percent", [2, 60])
-def test_isolated(spark, left, right, percent, block_rows):
+def test_isolated(spark, left, right, percent, sent_rows, monkeypatch):
+    monkeypatch.setattr(selection, "LABELLED_ROWS", sent_rows)
     members = [(1, "train1"), (1, "train5"), (2, "train3"), (3, "train1")]
     by_name = {b[1]: b[2] for b in RIGHT}
     want = set()
@@ -105,7 +107,33 @@ def test_isolated(spark, left, right, percent, block_rows):
         ranked = sorted((-tanimoto(a[2], by_name[m]), a[1]) for a in LEFT)
         want |= {(s, n) for _, n in ranked[:amount]}
     df = spark.createDataFrame(members, "subset long, name string")
-    assert set(rows(sim.isolated_top(right, left, df, percent, len(LEFT), block_rows=block_rows))) == want
+    assert set(rows(selection.isolated_top(right, left, df, percent, len(LEFT)))) == want
+
+
+@pytest.mark.parametrize("sent_rows", [selection.LABELLED_ROWS, 1])
+@pytest.mark.parametrize("percent", [0, 3, 29, 100])
+def test_top_of_members(spark, left, right, percent, sent_rows, monkeypatch):
+    monkeypatch.setattr(selection, "LABELLED_ROWS", sent_rows)
+    monkeypatch.setattr(selection, "STEP_CELLS", 100)
+    subsets = {1: ["train1", "train5", "train9"], 2: ["train3", "missing"], 3: [f"train{i}" for i in range(23)], 4: ["train4"], 5: ["missing"]}
+    members = spark.createDataFrame([(s, n) for s, m in subsets.items() for n in m], "subset long, name string")
+    by_name = {b[1]: b[2] for b in RIGHT}
+    want = set()
+    for s, m in subsets.items():
+        mean = lambda a: round(sum(tanimoto(a[2], by_name[n]) for n in m if n in by_name) / len(m), 9)  # noqa: E731, B023
+        ranked = sorted((-mean(a), a[1]) for a in LEFT)
+        # with written scores a subset without any vector has no row
+        want |= {(s, n, -v) for v, n in ranked[: int(percent / 100.0 * 50)] if s != 5 or sent_rows > 1}
+    got = selection.top_of_members(left, right, members, len(LEFT), percent)
+    assert {(s, n, round(v, 9)) for s, n, v in rows(got, "subset", "name", "avg_sim")} == want
+
+
+def test_selection_writes_no_scores(spark, left, right, monkeypatch):
+    written = []
+    monkeypatch.setattr("molweave.operators.ranking.materialise", lambda df, name: written.append(name) or df)
+    members = spark.createDataFrame([(s, f"train{i}") for s in range(9) for i in range(s + 1)], "subset long, name string")
+    assert selection.top_of_members(left, right, members, len(LEFT), 10).count() == 9 * 5
+    assert not written
 
 
 @pytest.mark.parametrize("block_rows", [4096, 8])
