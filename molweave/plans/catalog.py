@@ -19,7 +19,7 @@ from molweave.functions.geometry import AXES, Box, crosses_line, distance, surfa
 from molweave.functions.labels import compound_type, external_id, label_of
 from molweave.functions.report import percent
 from molweave.operators import clustering, contacts, docking, fingerprints, mass, patterns
-from molweave.operators import ranking, selection, similarity, site
+from molweave.operators import ranking, selection, similarity, site, sparse
 from molweave.plans import jobs, screening
 from molweave.session import materialise, scratch_path
 from molweave.sinks import tables, text as text_sinks
@@ -226,6 +226,40 @@ def train_base_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("left_name", "right_name", F.round("sim", 6).alias("sim"))
 
 
+def train_base_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index of the labelled compounds, which is searched outward by bit count."""
+    path = scratch_path(spark, "index")
+    sparse.write_index(_space(labelled(spark, sf_dir), "chem"), path)
+    best = sparse.most_similar_indexed(_space(base(spark, sf_dir), "chem"), sparse.read_index(spark, path), 3)
+    return best.select("name", "other", "rank", F.round("sim", 6).alias("sim"), percent(F.col("sim")).alias("percent"))
+
+
+def _order_vectors(spark: SparkSession, sf_dir: str, chosen: Column | None = None) -> DataFrame:
+    """Different circular fingerprints of orders, 1,024 bits wide: ``ord`` (the first order with it), ``words``."""
+    molecules = bonded_orders(spark, sf_dir)
+    if chosen is not None:
+        kept = table(spark, sf_dir, "orders").where(chosen).select(F.col("o_orderkey").alias("mol_id"))
+        molecules = molecules.join(kept, "mol_id", "left_semi")
+    found = fingerprints.record_fingerprints(molecules, ["mol_id"])
+    return materialise(found.groupBy("words").agg(F.min("mol_id").alias("ord")).select("ord", "words"), "orders")
+
+
+def sparse_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent unfinished orders against all others by postings of 1,024 bits: a summary of each one's row of the matrix."""
+    mine = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
+    pairs = sparse.sparse_pairs(_order_vectors(spark, sf_dir, mine), _order_vectors(spark, sf_dir, ~mine))
+    return pairs.groupBy(F.col("left_ord").alias("ord")).agg(
+        F.count("*").alias("pairs"), F.sum("shared").alias("shared"),
+        F.round(F.max("sim"), 6).alias("max_sim"), F.round(F.sum("sim"), 4).alias("sum_sim"),
+    )
+
+
+def similar_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different order fingerprints with a similarity of 0.6 or more."""
+    pairs = sparse.similar_above(_order_vectors(spark, sf_dir), 0.6)
+    return pairs.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 def similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine, other = (_space(f(spark, sf_dir), "chem") for f in (base, labelled))
     stats = similarity.similarity_stats(mine, other)
@@ -752,6 +786,9 @@ def circular_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "train_base_topk": train_base_topk,
     "train_base_matrix": train_base_matrix,
+    "train_base_topk_indexed": train_base_topk_indexed,
+    "sparse_similarity": sparse_similarity,
+    "similar_above_threshold": similar_above_threshold,
     "similarity_stats": similarity_stats,
     "all_pairs_distance": all_pairs_distance,
     "lower_triangle_rows": lower_triangle_rows,

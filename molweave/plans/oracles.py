@@ -628,6 +628,37 @@ FROM (SELECT *, CASE WHEN p_size > 25 THEN 'YES_' ELSE 'not_' END || CAST(p_part
     + "SELECT DISTINCT mol AS mol_id, CAST(hash % 1024 AS INTEGER) AS bit FROM (SELECT mol, hash FROM r0 UNION ALL SELECT mol, hash FROM kept)",
 }
 
+# fingerprints of orders, and how many bits two of them share
+_ORDER_BITS = f"""
+obit AS MATERIALIZED ({SQL["circular_fingerprint"]}),
+prints AS MATERIALIZED (SELECT mol_id, list(bit ORDER BY bit) AS bits, o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS mine
+                        FROM obit JOIN orders ON o_orderkey = mol_id GROUP BY ALL)
+"""
+
+
+def _shared(left: str, right: str, where: str = "TRUE") -> str:
+    """Pairs that share a bit: l, r, shared, sim."""
+    return f"""
+SELECT l, r, count(*) AS shared, CAST(count(*) AS DOUBLE) / (max(ln) + max(rn) - count(*)) AS sim FROM
+  (SELECT ord AS l, len(bits) AS ln, unnest(bits) AS bit FROM {left}) JOIN (SELECT ord AS r, len(bits) AS rn, unnest(bits) AS bit FROM {right}) USING (bit)
+WHERE {where} GROUP BY l, r"""
+
+
+SQL["sparse_similarity"] = (
+    _with(
+        _ORDER_BITS,
+        "urgent AS (SELECT min(mol_id) AS ord, bits FROM prints WHERE mine GROUP BY bits)",
+        "others AS (SELECT min(mol_id) AS ord, bits FROM prints WHERE NOT mine GROUP BY bits)",
+    )
+    + "SELECT l AS ord, count(*) AS pairs, CAST(sum(shared) AS BIGINT) AS shared, round(max(sim), 6) AS max_sim, round(sum(sim), 4) AS sum_sim "
+    f"FROM ({_shared('urgent', 'others')}) GROUP BY l"
+)
+SQL["similar_above_threshold"] = (
+    _with(_ORDER_BITS, "classes AS (SELECT min(mol_id) AS ord, bits FROM prints GROUP BY bits)")
+    + f"SELECT l AS a, r AS b, round(sim, 6) AS sim FROM ({_shared('classes', 'classes', 'l > r')}) WHERE sim >= 0.6"
+)
+
 # the same numbers by another way
+SQL["train_base_topk_indexed"] = SQL["train_base_topk"]
 SQL["mass_file"] = f'SELECT ligand AS "Ligand", mass AS "Mass" FROM ({SQL["pdbqt_roundtrip"]})'
 SQL |= {f"{name}_rounds": SQL[name] for name in ("tree_merges", "tree_merges_by_size", "clades", "yes_clades", "clade_table", "concatenated_tree", "blended_tree")}
