@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -243,43 +244,113 @@ def circular_environments(atoms: DataFrame, bonds: DataFrame, radius: int = CHEM
     )
 
 
-# --- the same inside one record
+# --- the same inside records, a batch of them as flat arrays
 
 
-def _mix_number(left: int, right: int) -> int:
-    """:func:`_mix` of plain numbers."""
+def _mix_numbers(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """:func:`_mix` of arrays."""
     t = (left * 1000003 + right) % _PRIME
     return ((t * t) % _PRIME * 48271 + t * 16807 + 1) % _PRIME
 
 
-def record_environments(atoms: dict[int, str], bonds: list[tuple[int, int, int]], radius: int) -> list[int]:
-    """Hashes of one molecule's environments: :func:`circular_environments` over ``serial: element`` and
-    bonds ``(a, b, code)``."""
-    near: dict[int, list[tuple[int, int, int]]] = {s: [] for s in atoms}
-    for a, b, code in bonds:
-        if a != b:
-            bond = _mix_number(min(a, b), max(a, b))
-            for end, other in ((a, b), (b, a)):
-                if end in near and other in near:
-                    near[end].append((other, code, bond))
-    state = {}
-    for serial, element in atoms.items():
-        code = ord(element[0]) * 256 + (ord(element[1]) if len(element) > 1 else 0) if element else 0
-        hydrogens = sum(atoms[other] == "H" for other, *_ in near[serial])
-        state[serial] = _mix_number(_mix_number(code, len(near[serial])), hydrogens), frozenset()
-    listed = [h for h, _ in state.values()]
-    found: dict[frozenset, tuple[int, int]] = {}
-    for number in range(1, radius + 1):
-        after = {}
-        for serial, (value, cover) in state.items():
-            if near[serial]:
-                total = sum(_mix_number(code, state[other][0]) for other, code, _ in near[serial]) % _PRIME
-                cover = cover.union(*(state[other][1] | {bond} for other, _, bond in near[serial]))
-                value = _mix_number(value + number, total)
-                found[cover] = min(found.get(cover, (number, value)), (number, value))
-            after[serial] = value, cover
-        state = after
-    return listed + [value for _, value in found.values()]
+def _flat(column: pa.Array, *names: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """Row numbers and fields of a list column's entries that have no null among the fields."""
+    row = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+    entries = column.flatten()
+    fields = [pc.struct_field(entries, n) for n in names]
+    good = np.ones(len(row), dtype=bool)
+    for f in fields:
+        good &= f.is_valid().to_numpy(zero_copy_only=False)
+    return row[good], [f.filter(pa.array(good)) for f in fields]
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by ``keys``, the first one foremost, and where a new group begins in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, new
+
+
+def _atoms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(molecule, serial, element code, is hydrogen) of atoms, ordered; of one serial the larger element counts."""
+    mol, (serial, element) = _flat(column, "serial", "element")
+    coded = element.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    kind = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.array([ord(n[0]) * 256 + (ord(n[1]) if len(n) > 1 else 0) if n else 0 for n in names], dtype=np.int64)
+    serial = serial.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((-rank[kind] if len(names) else kind, serial, mol))
+    mol, serial, kind = mol[order], serial[order], kind[order]
+    first = np.ones(len(mol), dtype=bool)
+    first[1:] = (mol[1:] != mol[:-1]) | (serial[1:] != serial[:-1])
+    kind = kind[first]
+    hydrogen = np.array([n == "H" for n in names], dtype=bool)
+    return mol[first], serial[first], codes[kind], hydrogen[kind] if len(names) else np.zeros(0, dtype=bool)
+
+
+def batch_environments(atoms: pa.Array, bonds: pa.Array, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(molecule, hash) of the environments of a batch: :func:`circular_environments` over list columns
+    ``serial, element`` and ``a, b, code``. The bonds that an environment covers are a bit set."""
+    mol, serial, code, hydrogen = _atoms_of(atoms)
+    owner, ends = _flat(bonds, "a", "b", "code")
+    a, b, kind = (e.to_numpy(zero_copy_only=False).astype(np.int64) for e in ends)
+    # atoms by molecule and serial, in one number
+    low = int(min(serial.min(initial=0), a.min(initial=0), b.min(initial=0)))
+    span = int(max(serial.max(initial=0), a.max(initial=0), b.max(initial=0))) - low + 1
+    known = mol * span + serial - low
+    at_a, at_b = (np.searchsorted(known, owner * span + e - low) for e in (a, b))
+    found = [(i < len(known)) & (known[np.minimum(i, len(known) - 1)] == owner * span + e - low) if len(known) else i < 0 for i, e in ((at_a, a), (at_b, b))]
+    good = (a != b) & found[0] & found[1]
+    owner, a, b, kind, at_a, at_b = (x[good] for x in (owner, a, b, kind, at_a, at_b))
+    # bonds of a molecule numbered by their own hash; equal ones are one
+    bond = _mix_numbers(np.minimum(a, b), np.maximum(a, b))
+    order, new = _groups(owner, bond)
+    group = np.cumsum(new) - 1
+    number = np.empty(len(owner), dtype=np.int64)
+    begins = np.flatnonzero(new)
+    head = owner[order][begins] if len(begins) else np.zeros(0, np.int64)
+    inside = np.arange(len(begins)) - np.searchsorted(head, head)
+    number[order] = inside[group] if len(begins) else 0
+    words = int(number.max(initial=0)) // WORD + 1
+    # every bond in both directions, by receiver
+    to, of = np.concatenate([at_a, at_b]), np.concatenate([at_b, at_a])
+    kind, number = np.concatenate([kind, kind]), np.concatenate([number, number])
+    turn = np.argsort(to, kind="stable")
+    to, of, kind, number = to[turn], of[turn], kind[turn], number[turn]
+    receivers, begin = np.unique(to, return_index=True)
+    own = np.zeros((len(to), words), dtype=np.uint64)
+    own[np.arange(len(to)), number // WORD] = np.left_shift(np.uint64(1), (number % WORD).astype(np.uint64))
+    degree = np.bincount(to, minlength=len(mol))
+    hydrogens = np.bincount(to, weights=hydrogen[of], minlength=len(mol)).astype(np.int64)
+    value = _mix_numbers(_mix_numbers(code, degree), hydrogens)
+    cover = np.zeros((len(mol), words), dtype=np.uint64)
+    listed = [(mol, value)]
+    grown = []
+    for step in range(1, radius + 1):
+        if not len(to):
+            break
+        total = np.add.reduceat(_mix_numbers(kind, value[of]), begin) % _PRIME
+        reach = np.bitwise_or.reduceat(cover[of] | own, begin, axis=0)
+        value, cover = value.copy(), cover.copy()
+        cover[receivers] |= reach
+        value[receivers] = _mix_numbers(value[receivers] + step, total)
+        grown.append((mol[receivers], cover[receivers], np.full(len(receivers), step), value[receivers]))
+    if grown:
+        owners, covers, steps, values = (np.concatenate([g[k] for g in grown]) for k in range(4))
+        order = np.lexsort((values, steps, *covers.T, owners))
+        o, c = owners[order], covers[order]
+        first = np.ones(len(o), dtype=bool)
+        first[1:] = (o[1:] != o[:-1]) | (c[1:] != c[:-1]).any(axis=1)
+        listed.append((o[first], values[order][first]))
+    return np.concatenate([x[0] for x in listed]), np.concatenate([x[1] for x in listed])
+
+
+#: molecules that are worked on at once, and bonds from which a molecule is worked on alone (its bit sets are wide)
+LOT_MOLECULES, WIDE_BONDS = 4096, 512
 
 
 def record_fingerprints(
@@ -294,25 +365,34 @@ def record_fingerprints(
     atom = lambda a: F.struct(a["serial"].cast("int").alias("serial"), a["element"].alias("element"))
     source = records.select(*keep, F.transform("atoms", atom).alias("_atoms"), F.transform("bonds", code).alias("_bonds"))
     schema = StructType([*(source.schema[c] for c in keep), StructField("words", ArrayType(LongType()))])
+    n_words = words_for(width)
 
     def run(batches):
         for batch in batches:
-            packed = []
-            for atoms, bonds in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
-                elements: dict[int, str] = {}
-                for a in atoms or []:
-                    if a["serial"] is not None and a["element"] is not None:
-                        elements[a["serial"]] = max(elements.get(a["serial"], ""), a["element"])
-                pairs = [(b["a"], b["b"], b["code"]) for b in bonds or [] if b["a"] is not None and b["b"] is not None]
-                bits = np.zeros(words_for(width) * WORD, np.uint8)
-                bits[[h % width for h in record_environments(elements, pairs, radius)]] = 1
-                packed.append(np.packbits(bits, bitorder="little").view(np.int64))
-            words = pa.array(packed, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), words], names=schema.names)
+            bonds = pc.fill_null(pc.list_value_length(batch.column(len(keep) + 1)), 0).to_numpy(zero_copy_only=False)
+            for begin, end in _lots(bonds):
+                part = batch.slice(begin, end - begin)
+                mol, hashes = batch_environments(part.column(len(keep)), part.column(len(keep) + 1), radius)
+                bit = hashes % width
+                packed = np.zeros((part.num_rows, n_words), dtype=np.uint64)
+                np.bitwise_or.at(packed, (mol, bit // WORD), np.left_shift(np.uint64(1), (bit % WORD).astype(np.uint64)))
+                words = pa.FixedSizeListArray.from_arrays(pa.array(packed.ravel().view(np.int64)), n_words).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), words], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def _lots(bonds: np.ndarray):
+    """Ranges of rows: many small molecules, or one with many bonds."""
+    begin = 0
+    for at in np.flatnonzero(bonds > WIDE_BONDS).tolist() + [len(bonds)]:
+        for k in range(begin, at, LOT_MOLECULES):
+            yield k, min(k + LOT_MOLECULES, at)
+        if at < len(bonds):
+            yield at, at + 1
+        begin = at + 1
+
+
 def circular_bits(
     atoms: DataFrame, bonds: DataFrame, radius: int = CHEM_RADIUS, width: int = CHEM_WIDTH
 ) -> DataFrame:

@@ -629,6 +629,70 @@ def docking_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def first_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First logs by the stateful intake, from text files in two lots with a restart between them.
+
+    A user is a ligand. Its first event's log comes in the first lot unless that event is a signup, its last event's
+    log in the second.
+    """
+    from molweave.streaming.intake import append_summary, stream_first_logs
+
+    out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "offsets")
+    ends = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.min(F.struct("event_id", "event_type")).alias("first"), F.max("event_id").alias("last")
+    )
+    texts = log_texts(spark, sf_dir).withColumn("event_id", F.substring("ligand", 5, 20).cast("bigint"))
+    named = lambda who, at: who.select(F.concat(F.lit("lig_"), F.col("user_id").cast("string"), F.lit("_out.log")).alias("name"), at.alias("event_id"))
+    lots = (
+        named(ends.where("first.event_type <> 'signup'"), F.col("first.event_id")),
+        named(ends, F.col("last")),
+    )
+    folder = scratch_path(spark, "logs")
+    for number, lot in enumerate(lots):
+        text_sinks.write_texts(lot.join(texts, "event_id"), f"{folder}/lot{number}")
+        append_summary(stream_first_logs(spark, f"{folder}/*"), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def first_pose_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First poses by the stateful intake: PDBQT files of two lots, the second with other poses of the same ligands."""
+    from molweave.streaming.intake import append_table, stream_first_poses
+
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("poses", "stream", "offsets"))
+    models = pdbqt_models(spark, sf_dir)
+    for number, lot in enumerate((models, models.withColumn("lines", F.slice("lines", 1, 3)))):
+        text_sinks.write_models(lot, f"{folder}/lot{number}", ["model_no"])
+        append_table(stream_first_poses(spark, f"{folder}/*"), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("ligand", F.size("lines").alias("lines"), F.get("lines", F.lit(1)).alias("second"))
+
+
+def xyz_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecules written as XYZ files, one each of every label's first, read back."""
+    line = F.transform("atoms", lambda a: F.concat_ws("\t", a["sybyl_type"], a["x"].cast("string"), a["y"].cast("string"), a["z"].cast("string")))
+    body = F.array_join(F.concat(F.array(F.size("atoms").cast("string"), F.col("name")), line), "\n")
+    first = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("mol_id"))
+    texts = molecule_atoms(spark, sf_dir).join(first, "mol_id").select(F.concat("name", F.lit(".xyz")).alias("name"), body.alias("value"))
+    folder = scratch_path(spark, "xyz")
+    text_sinks.write_texts(texts, folder)
+    atoms = xyz.read_xyz(spark, folder)
+    return atoms.select(tx.path_parts(F.col("src_file"))["stem"].alias("name"), "line_no", "element", *(F.round(c, 6).alias(c) for c in AXES))
+
+
+def score_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score table as the screening job writes it, read back."""
+    path = scratch_path(spark, "scores")
+    tables.write_scores(_net_scores(spark, sf_dir), _energies(spark, sf_dir), path)
+    saved = spark.read.csv(path, sep="\t", header=True, schema="Id string, Score double, Energy double")
+    return saved.select("Id", F.round("Score", 6).alias("Score"), "Energy")
+
+
+def distance_matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance matrix of the labelled compounds as it is written, with its count line."""
+    path = scratch_path(spark, "matrix")
+    text_sinks.write_distance_matrix(_space(labelled(spark, sf_dir), "contacts"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def docking_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poses written as PDBQT files, two for every ligand, collected: first pose of each, numbered."""
     source, out = scratch_path(spark, "poses"), scratch_path(spark, "collected")
@@ -840,6 +904,11 @@ QUERIES: dict[str, Query] = {
     "docking_modes": docking_modes,
     "docking_results_table": docking_results_table,
     "docking_stream": docking_stream,
+    "first_log_stream": first_log_stream,
+    "first_pose_stream": first_pose_stream,
+    "xyz_files": xyz_files,
+    "score_file": score_file,
+    "distance_matrix_file": distance_matrix_file,
     "docking_collection": docking_collection,
     "first_pose": first_pose,
     "last_duplicate": last_duplicate,

@@ -628,6 +628,30 @@ FROM (SELECT *, CASE WHEN p_size > 25 THEN 'YES_' ELSE 'not_' END || CAST(p_part
     + "SELECT DISTINCT mol AS mol_id, CAST(hash % 1024 AS INTEGER) AS bit FROM (SELECT mol, hash FROM r0 UNION ALL SELECT mol, hash FROM kept)",
 }
 
+SQL["first_log_stream"] = (
+    _with(
+        _LOGS,
+        "ends AS (SELECT user_id, min(event_id) AS first, max(event_id) AS last, arg_min(event_type, event_id) AS kind FROM events GROUP BY user_id)",
+        "picked AS (SELECT 'lig_' || user_id AS who, 'lig_' || CASE WHEN kind <> 'signup' THEN first ELSE last END AS log FROM ends)",
+    )
+    + """SELECT who AS "Name", summary.* EXCLUDE ("Name") FROM picked JOIN summary ON summary."Name" = log"""
+)
+SQL["first_pose_stream"] = _with(_ATOMS) + (
+    "SELECT name AS ligand, CAST(22 AS INTEGER) AS lines, 'ATOM  ' || lpad('1', 5, ' ') || ' ' || rpad(atom_name, 4, ' ') || ' UNK A  0     ' || "
+    "printf('%8.3f%8.3f%8.3f', x, y, z) || '  0.00  0.00    +0.000 ' || rpad(substr(atom_name, 1, 2), 2, ' ') AS second FROM atoms WHERE j = 0"
+)
+SQL["xyz_files"] = _with(_ATOMS) + (
+    "SELECT name, CAST(j + 2 AS INTEGER) AS line_no, element, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM atoms "
+    "WHERE mol_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)"
+)
+SQL["score_file"] = SQL["net_score"]
+SQL["distance_matrix_file"] = (
+    _with(_COMPOUNDS)
+    + "SELECT CAST(count(*) AS VARCHAR) AS line FROM v WHERE label_id <= 1 UNION ALL "
+    "SELECT concat_ws(chr(9), v.name, p.cells) FROM v LEFT JOIN (SELECT a_ord, "
+    f"string_agg(printf('%.4f', 1 - sim), chr(9) ORDER BY b_ord) AS cells FROM ({_pairs('con', _LABELLED)}) GROUP BY a_ord) p ON p.a_ord = v.ord WHERE label_id <= 1"
+)
+
 # fingerprints of orders, and how many bits two of them share
 _ORDER_BITS = f"""
 obit AS MATERIALIZED ({SQL["circular_fingerprint"]}),

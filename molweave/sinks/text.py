@@ -31,6 +31,30 @@ def write_models(models: DataFrame, path: str, order: list[str]) -> None:
     numbered_models(models, order).orderBy("number").select("text").write.text(path)
 
 
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Write ``name, value`` rows as files of their own below ``path``, which tasks reach by a pyarrow file system.
+
+    A file appears under its name when it is complete; a task that runs again writes the same files again.
+    """
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        system.create_dir(root)
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write((value or "").encode())
+                system.move(part, f"{root}/{name}")
+            yield batch.slice(0, 0)
+
+    texts.select("name", "value").mapInArrow(run, "name string, value string").write.format("noop").mode("overwrite").save()
+
+
 def xyz_lines(atoms: DataFrame, box: Box, title: str = "ProteinBox") -> DataFrame:
     """``pos, line`` of the atoms in a box as XYZ text; ``atoms`` needs ``atom_id`` for their order."""
     inside = box_atoms(atoms, box)

@@ -30,23 +30,18 @@ def _model_lines(value: Column) -> Column:
     return F.transform(F.array(every), cut)[0]
 
 
+def models_in(records: DataFrame) -> DataFrame:
+    """``records`` whose ``value`` is the text between two end marks, with ``ligand`` and ``lines`` instead. Empty models go."""
+    records = records.withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
+    named = F.filter("lines", lambda line: line.startswith(NAME_MARK) & (F.length(line) > len(NAME_MARK)))
+    name = F.substring(F.try_element_at(named, F.lit(-1)), len(NAME_MARK) + 1, 2147483647)
+    # a text with anything but blank lines and MODEL lines has lines; asking the text keeps the split out of the filter
+    full = records.where(~F.col("value").rlike(BLANK)).withColumn("lines", _model_lines(F.col("value")))
+    return full.withColumn("ligand", F.coalesce(name, F.lit(""))).drop("value")
+
+
 def read_pdbqt(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per model: place columns, ``ligand`` and ``lines``. Empty models are dropped."""
     # a file may begin with the end mark, whose line is no line of a model either
-    records = read_records(spark, path, "\n" + END_MARK).withColumn(
-        "value", F.replace("value", F.lit("\r"), F.lit(""))
-    )
-    named = F.filter("lines", lambda line: line.startswith(NAME_MARK) & (F.length(line) > len(NAME_MARK)))
-    name = F.substring(F.try_element_at(named, F.lit(-1)), len(NAME_MARK) + 1, 2147483647)
-    return (
-        # a text with anything but blank lines and MODEL lines has lines; asking the text keeps the split out of the filter
-        records.where(~F.col("value").rlike(BLANK))
-        .withColumn("lines", _model_lines(F.col("value")))
-        .select(
-            "src_file",
-            "block_start",
-            F.monotonically_increasing_id().alias("rec_id"),
-            F.coalesce(name, F.lit("")).alias("ligand"),
-            "lines",
-        )
-    )
+    models = models_in(read_records(spark, path, "\n" + END_MARK))
+    return models.select("src_file", "block_start", F.monotonically_increasing_id().alias("rec_id"), "ligand", "lines")

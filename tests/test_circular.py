@@ -58,6 +58,10 @@ def test_records_give_what_tables_give(spark):
     molecules = [random_molecule(s, s, n) for s, n in ((1, 3), (2, 12), (3, 30))]
     molecules[2][1].extend([(3, 4, 4, "1"), (3, 5, 99, "1"), (3, 1, 2, "ar"), (3, 1, 2, "ar")])
     molecules.append(([(4, 7, "C"), (4, 7, "N"), (4, 8, "Cl")], []))
+    # more bonds than a word has bits, more than are worked on together, negative and far serials
+    molecules += [random_molecule(5, 5, 90), random_molecule(6, 6, 700), random_molecule(7, 7, 6)]
+    molecules[-1][0].extend([(7, -5, "H"), (7, 2_000_000_000, "H")])
+    molecules[-1][1].extend([(7, -5, 1, "1"), (7, 2_000_000_000, 1, "am"), (7, 2, -5, "x")])
     atoms = spark.createDataFrame([a for m in molecules for a in m[0]], ATOM)
     bonds = spark.createDataFrame([b for m in molecules for b in m[1]], BOND)
     want = {r["mol_id"]: r["words"] for r in circular_fingerprints(atoms, bonds).collect()}
@@ -65,3 +69,11 @@ def test_records_give_what_tables_give(spark):
     records = [(a[0][0], [x[1:] for x in a], [x[1:] for x in b]) for a, b in molecules]
     got = {r["mol_id"]: r["words"] for r in record_fingerprints(spark.createDataFrame(records, kind), ["mol_id"]).collect()}
     assert got == want
+
+
+def test_records_without_content(spark):
+    kind = "mol_id long, atoms array<struct<serial: int, element: string>>, bonds array<struct<a: int, b: int, btype: string>>"
+    rows = [(1, None, None), (2, [], []), (3, [(None, "C"), (1, None)], [(1, 2, "1"), (None, 1, "1")]), (4, [(1, "")], None)]
+    got = {r["mol_id"]: sum(bin(w % (1 << 64)).count("1") for w in r["words"]) for r in record_fingerprints(spark.createDataFrame(rows, kind), ["mol_id"]).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert record_fingerprints(spark.createDataFrame([], kind), ["mol_id"]).count() == 0

@@ -34,12 +34,42 @@ def test_first_log_of_a_ligand_stays(spark, tmp_path):
         (tmp_path / folder).mkdir()
         for name, energy in energies.items():
             log(tmp_path / folder, name, energy)
-        stream = intake.stream_docking_logs(spark, f"{tmp_path}/logs*")
-        intake.append_first_logs(stream, out, seen).awaitTermination()
-        return rows(spark.read.parquet(f"{out}/batch=*"), "Name", "1_Energy")
+        # a new query from the same checkpoint: what it knows comes from the state store
+        intake.append_summary(intake.stream_first_logs(spark, f"{tmp_path}/logs*"), out, seen).awaitTermination()
+        return rows(spark.read.parquet(out), "Name", "1_Energy")
 
     assert fold("logs1", a="-1.0", b="-2.0") == [("a", -1.0), ("b", -2.0)]
     assert fold("logs2", a="-9.0", d="-4.0") == [("a", -1.0), ("b", -2.0), ("d", -4.0)]
+    assert fold("logs3", a="-9.5", d="-9.9") == [("a", -1.0), ("b", -2.0), ("d", -4.0)]
+
+
+def test_earliest_log_of_a_lot(spark, tmp_path):
+    import os
+
+    for k, (folder, energy) in enumerate((("logs1", "-3.0"), ("logs2", "-1.0"), ("logs3", "-2.0"))):
+        (tmp_path / folder).mkdir()
+        log(tmp_path / folder, "a", energy)
+        # the second folder's log is the oldest
+        os.utime(tmp_path / folder / "a_out.log", (1_700_000_000 + (k - 1) ** 2 * 60, 1_700_000_000 + (k - 1) ** 2 * 60))
+    out = str(tmp_path / "out")
+    intake.append_summary(intake.stream_first_logs(spark, f"{tmp_path}/logs*"), out, str(tmp_path / "seen")).awaitTermination()
+    assert rows(spark.read.parquet(out), "Name", "1_Energy") == [("a", -1.0)]
+
+
+def test_first_pose_of_a_ligand_stays(spark, tmp_path):
+    out, seen = str(tmp_path / "out"), str(tmp_path / "seen")
+    model = lambda name, text: f"MODEL 1\nREMARK  Name = {name}\nROOT {text}\nENDMDL"
+
+    def fold(file, *models):
+        (tmp_path / "poses").mkdir(exist_ok=True)
+        (tmp_path / "poses" / file).write_text("\n".join(models) + "\n")
+        intake.append_table(intake.stream_first_poses(spark, f"{tmp_path}/poses"), out, seen).awaitTermination()
+        return {r["ligand"]: r["lines"][-1] for r in spark.read.parquet(out).collect()}
+
+    assert fold("one.pdbqt", model("a", "a1"), model("a", "a2"), model("b", "b1")) == {"a": "ROOT a1", "b": "ROOT b1"}
+    assert fold("two.pdbqt", model("c", "c1"), model("b", "b2"), model("c", "c2")) == {"a": "ROOT a1", "b": "ROOT b1", "c": "ROOT c1"}
+    # empty and blank files bring nothing
+    assert fold("three.pdbqt", "", "MODEL 2", "ENDMDL") == {"a": "ROOT a1", "b": "ROOT b1", "c": "ROOT c1"}
 
 
 def test_docking_collection(spark, tmp_path):
