@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_text, table
-from .words import PieceTable
+from .words import TABLE_PIECES, PieceTable, per_process
 
 #: contractions in one recursive query; longer words go on in the next one, so its rows stay bounded
 DEPTH = 48
@@ -26,31 +26,41 @@ DEPTH = 48
 QUERY_BYTES = 250_000
 #: characters that are encoded at once
 LOT_CHARS = 2_000_000
+#: pieces (about 150 bytes each) that a Python worker keeps in the query, which has its executors for itself
+PIECES = 1_200_000
 #: token rows in one decoding query
 DECODE_TOKENS = 1_000_000
 
-#: Rows link to the next position, so a step is two hash joins and one aggregation. One pair of a word a step.
+#: Rows link to the next position and hold its id and the rank of the pair. A step contracts one pair of a word; only the
+#: contracted row and the one before it look a new pair up.
 CONTRACT = f"""
 WITH RECURSIVE steps AS (
-  SELECT word, pos, id, next, 0 AS step FROM tokens
+  SELECT t.word, t.pos, t.id, t.next, n.id AS id2, m.rank, 0 AS step
+  FROM tokens t LEFT JOIN tokens n ON n.pos = t.next LEFT JOIN merges m ON m.pair = (t.id::BIGINT << 32) | n.id
   UNION ALL
-  (WITH pairs AS MATERIALIZED (
-     SELECT l.word, l.pos, l.id, l.next, r.next AS after, l.step, m.rank
-     FROM steps l LEFT JOIN steps r ON r.pos = l.next
-     LEFT JOIN merges m ON m.pair = (l.id::BIGINT << 32) | r.id WHERE l.step < {DEPTH}),
-   best AS (
-     SELECT word, min((rank::BIGINT << 32) | pos) AS first, arg_min(next, (rank::BIGINT << 32) | pos) AS gone
-     FROM pairs WHERE rank IS NOT NULL GROUP BY word)
-   SELECT word, pos, CASE WHEN pos = first & 4294967295 THEN rank ELSE id END,
-     CASE WHEN pos = first & 4294967295 THEN after ELSE next END, step + 1
-   FROM pairs JOIN best USING (word) WHERE pos <> gone)
+  (WITH best AS (
+     SELECT word, min((rank::BIGINT << 32) | pos) AS key, arg_min(next, (rank::BIGINT << 32) | pos) AS gone
+     FROM steps WHERE rank IS NOT NULL AND step < {DEPTH} GROUP BY word),
+   pair AS (
+     SELECT b.word, (b.key & 4294967295)::INT AS first, (b.key >> 32)::INT AS made, b.gone, g.next, g.id2
+     FROM steps g JOIN best b ON g.pos = b.gone),
+   moved AS (
+     SELECT s.word, s.pos, CASE WHEN s.pos = p.first THEN p.made ELSE s.id END AS id,
+       CASE WHEN s.pos = p.first THEN p.next ELSE s.next END AS next,
+       CASE WHEN s.pos = p.first THEN p.id2 WHEN s.next = p.first THEN p.made ELSE s.id2 END AS id2,
+       s.rank, s.step + 1 AS step, s.pos = p.first OR s.next IS NOT DISTINCT FROM p.first AS changed
+     FROM steps s JOIN pair p ON s.word = p.word WHERE s.pos <> p.gone)
+   SELECT word, pos, s.id, next, id2, CASE WHEN changed THEN m.rank ELSE s.rank END, step
+   FROM moved s LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN (s.id::BIGINT << 32) | s.id2 ELSE -1 END)
 )
 SELECT word, pos, id, step FROM steps JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step)
 ORDER BY pos
 """
 
 #: The same for long words: a step contracts every pair of the smallest rank, leftmost first and without overlap.
-#: In a merge table, what a contraction newly makes adjacent has a larger rank, so the order stays the same.
+#: That is one contraction after the other as long as none of them makes a pair of smaller rank adjacent before its equals
+#: are done. Such a pair would be a token that was given its rank before one of its halves had one; the vocabulary was
+#: learned by contractions, so a token's rank is above those of the two halves it is put together from here.
 CONTRACT_LONG = f"""
 WITH RECURSIVE steps AS (
   SELECT word, pos, id, 0 AS step FROM tokens
@@ -89,7 +99,7 @@ class DuckBpe:
         import duckdb
 
         ranks = load_ranks(path)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         vocabulary = pa.table({"token": pa.array(list(ranks), pa.binary()), "id": pa.array(list(ranks.values()), pa.int32())})
         self.con.register("v", vocabulary)
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
@@ -182,7 +192,8 @@ class WordCutter:
         self.find, self.engine = pattern.findall, engine
 
     def encode(self, strings: list[str], spaced: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self.find(s) for s in strings]
+        # a space and letters are one word
+        cut = [[s] if k < spaced and s.isascii() and s[1:].isalpha() else self.find(s) for k, s in enumerate(strings)]
         words = [w for x in cut for w in x]
         index = {w: k for k, w in enumerate(dict.fromkeys(words))}
         sizes, flat = self.engine.encode(list(index))
@@ -195,11 +206,12 @@ class WordCutter:
         return np.diff(np.concatenate([[0], after])[counts], prepend=0), ids
 
 
-def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: list[str] | None = None, lot_chars: int = LOT_CHARS) -> DataFrame:
+def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: list[str] | None = None, lot_chars: int = LOT_CHARS, pieces: int = TABLE_PIECES) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (bytes of the decoded ids).
 
     ``path`` is a file of base64 tokens and ranks, ``pattern`` cuts texts into words; the defaults are the public
-    50k vocabulary and its pattern. Null and empty texts have no tokens and decode to no bytes. Texts of any length
+    50k vocabulary and its pattern, with which a Python worker keeps the pieces it met for its later tasks. With another
+    pattern every text is cut as a whole. Null and empty texts have no tokens and decode to no bytes. Texts of any length
     are encoded whole; a task encodes about ``lot_chars`` characters of text at once. Repeated rows give repeated results, an empty table an empty one; input columns named like an
     output are replaced.
     """
@@ -210,11 +222,20 @@ def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pa
 
         file, cut = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
-        engine = DuckBpe(file)
-        known = PieceTable(WordCutter(regex.compile(cut), engine).encode)
+        def load() -> tuple[DuckBpe, WordCutter, PieceTable]:
+            engine = DuckBpe(file)
+            cutter = WordCutter(regex.compile(cut), engine)
+            return engine, cutter, PieceTable(cutter.encode, pieces)
+
+        engine, cutter, known = per_process(("bpe", file, cut, pieces), load)
 
         def run(texts: list[str | None]) -> list[pa.Array]:
-            ids = known.texts([t or "" for t in texts])
+            whole = [t or "" for t in texts]
+            if cut == public_tokenizers.PATTERN:
+                ids = known.texts(whole)
+            else:  # only of the default pattern it is known where a text may be cut
+                sizes, flat = cutter.encode(whole)
+                ids = np.split(flat, np.cumsum(sizes)[:-1])
             decoded = engine.decode(ids)
             return [
                 pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
@@ -233,7 +254,7 @@ OUTPUT = T.StructType(
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_roundtrip(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    coded = bpe_roundtrip(table(spark, sf_dir, "documents"), keep=["doc_id"], pieces=PIECES)
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

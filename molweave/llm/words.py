@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: distinct pieces a task keeps before its table starts anew
+#: distinct pieces a table keeps; a full one goes on with those met more than once
 TABLE_PIECES = 600_000
 #: marks that often end a piece
 MARKS = ",.;:!?"
@@ -37,6 +37,25 @@ class PieceTable:
         self.alone: dict[str, int] = {}
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.met = np.zeros(0, bool)
+
+    def shrink(self) -> None:
+        """Keep the pieces met again since the last time, if they are not too many."""
+        kept = np.flatnonzero(self.met)
+        if len(kept) > self.limit // 2:
+            self.reset()
+            return
+        place = np.full(len(self.met), -1)
+        place[kept] = np.arange(len(kept))
+        size, begin = np.diff(self.starts)[kept], self.starts[kept]
+        after = np.cumsum(size)
+        self.ids = self.ids[np.arange(int(after[-1]) if len(after) else 0) - np.repeat(after - size - begin, size)]
+        self.starts = np.concatenate([[0], after]).astype(np.int64)
+        places = place.tolist()
+        for name in ("after_space", "alone"):
+            known = getattr(self, name)
+            setattr(self, name, {p: places[k] for p, k in known.items() if k >= 0 and places[k] >= 0})
+        self.met = np.zeros(len(kept), bool)
 
     def add(self, spaced: list[str], alone: list[str]) -> None:
         """Make new pieces known; a piece at which a text may not be cut gets the number -1.
@@ -83,15 +102,19 @@ class PieceTable:
         """The numbers of distinct pieces after a space and of pieces at the front of a text."""
         look = lambda known, pieces: np.fromiter(map(known.get, pieces, repeat(-2)), np.int64, len(pieces))
         index, front = look(self.after_space, spaced), look(self.alone, alone)
-        at = np.flatnonzero(index == -2)
-        new, raw = [spaced[i] for i in at.tolist()], list({p for p, k in zip(alone, front.tolist(), strict=True) if k == -2})
-        if len(self.after_space) + len(self.alone) + len(new) + len(raw) > self.limit:
-            self.reset()
-            new, raw = spaced, list(set(alone))
-            at = np.arange(len(spaced))
+        for found in (index, front):
+            self.met[found[found >= 0]] = True
+        for make_room in (self.shrink, self.reset, None):
+            at = np.flatnonzero(index == -2)
+            new, raw = [spaced[i] for i in at.tolist()], list({p for p, k in zip(alone, front.tolist(), strict=True) if k == -2})
+            if make_room is None or len(self.after_space) + len(self.alone) + len(new) + len(raw) <= self.limit:
+                break
+            make_room()
+            index, front = look(self.after_space, spaced), look(self.alone, alone)
         if new or raw:
             self.add(new, raw)
             index[at], front = look(self.after_space, new), look(self.alone, alone)
+        self.met = np.concatenate([self.met, np.zeros(len(self.starts) - 1 - len(self.met), bool)])
         return index, front
 
     def texts(self, texts: list[str] | pa.Array) -> list[np.ndarray]:

@@ -51,6 +51,39 @@ def test_long_words_and_runs(plain):
         assert got.tolist() == plain._encode_single_piece(word)
 
 
+def test_long_words_of_late_halves(plain):
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    # tokens that can be cut into two tokens which both have larger ranks
+    late = [t for t, r in ranks.items() if any(ranks.get(t[:k], -1) > r and ranks.get(t[k:], -1) > r for k in range(1, len(t))) and t.decode("utf-8", "ignore").encode() == t]
+    rng = np.random.default_rng(2)
+    words = ["".join(late[i].decode() for i in rng.integers(0, len(late), 30)) for _ in range(200)]
+    sizes, flat = DuckBpe(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode(words)
+    for word, got in zip(words, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == plain._encode_single_piece(word)
+
+
+def test_other_pattern_encodes_whole_texts(edge):
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    lines = tiktoken.Encoding("lines", pat_str=".+|\n", mergeable_ranks=ranks, special_tokens={})
+    small = edge.where("length(text) < 1000 or text is null")
+    for r in bpe_roundtrip(small, pattern=".+|\n").select("text", "ids").collect():
+        assert bytes(r["ids"]) == u4(lines.encode_ordinary(r["text"] or ""))
+
+
+def test_full_table_keeps_what_is_met_again(plain):
+    asked = []
+
+    def encode(new, spaced):
+        asked.extend(new)
+        return np.array([len(plain.encode_ordinary(s)) for s in new]), np.array([i for s in new for i in plain.encode_ordinary(s)], np.int32)
+
+    table, rng = PieceTable(encode, limit=60), np.random.default_rng(3)
+    for k in range(200):
+        text = "the often " + " ".join(f"rare{i}, x" for i in rng.integers(0, 500, 5)) + " met word."
+        assert table.texts([text])[0].tolist() == plain.encode_ordinary(text)
+    assert asked.count(" often") < 10 < sum(a.startswith(" rare") for a in asked)
+
+
 def test_piece_table_restarts(plain):
     table = PieceTable(lambda new, spaced: (np.array([len(plain.encode_ordinary(s)) for s in new]), np.array([i for s in new for i in plain.encode_ordinary(s)], np.int32)), limit=5)
     for text in ["a b c d", "e f g", "", " x", "y ", "a  b", "one\ntwo three", "a b c d"]:
