@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molweave.constants import CONTACT_CUTOFF, MIN_BOX_ATOMS
 from molweave.functions.geometry import AXES, Box, distance
 from molweave.operators.fingerprints import pack_bits
+from molweave.session import materialise
 
 # neighbour cells of up to this many site atoms are sent to every task (about 27 * 60 bytes each)
 SITE_BROADCAST_ROWS = 50_000
@@ -80,6 +83,57 @@ def contact_pairs(
     return joined.select(*(f"m.{c}" for c in keep), "s.bit")
 
 
+def _around(site: DataFrame, size: float) -> DataFrame:
+    """Site atoms listed in their own cube of ``size`` and the 26 around it."""
+    listed = site.select("bit", *AXES, *_cells(size))
+    for cell in (f"cell_{c}" for c in AXES):
+        listed = listed.withColumn("_step", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(cell, F.col(cell) + F.col("_step"))
+    return listed.drop("_step")
+
+
+def nearest_site_atoms(
+    atoms: DataFrame,
+    site: DataFrame,
+    by: tuple[str, ...] = ("mol_id",),
+    size: float = CONTACT_CUTOFF,
+    broadcast_rows: int = SITE_BROADCAST_ROWS,
+) -> DataFrame:
+    """The site atom nearest to any atom of every molecule, however far: ``by columns, bit, distance``.
+
+    A molecule first looks into the cubes around its atoms. What lies outside is farther away than a cube is wide, so a
+    distance up to that is the smallest; molecules without one go on with cubes of twice the width. Of equally near
+    site atoms the smaller bit counts. Molecules without a finite atom, and all of them if the site is empty, are left out.
+    """
+    finite = lambda: reduce(Column.__and__, (F.abs(c) < float("inf") for c in AXES))
+    waiting, site = atoms.where(finite()).select(*by, *AXES), site.where(finite())
+    few = site.limit(broadcast_rows + 1).count()
+    found: list[DataFrame] = []
+    while few:
+        listed, placed = _around(site, size), waiting.select(*by, *AXES, *_cells(size))
+        on = [f"cell_{c}" for c in AXES]
+        if few <= broadcast_rows:
+            listed = F.broadcast(listed)
+        else:
+            placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*by, *AXES), F.lit(SPREAD)))
+            listed = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+            on = [*on, "_salt"]
+        same = reduce(Column.__and__, (F.col(f"m.{c}") == F.col(f"s.{c}") for c in on))
+        # the left join keeps molecules that meet nothing; a task sends one row per molecule
+        met = placed.alias("m").join(listed.alias("s"), same, "left")
+        near = F.when(F.col("s.bit").isNotNull(), F.struct(distance("m", "s").alias("distance"), F.col("s.bit").alias("bit")))
+        best = materialise(met.groupBy(*(F.col(f"m.{c}").alias(c) for c in by)).agg(F.min(near).alias("near")), "nearest")
+        sure = F.coalesce(F.col("near.distance") <= size, F.lit(False))
+        found.append(best.where(sure).select(*by, "near.bit", "near.distance"))
+        rest = best.where(~sure).select(*by)
+        if rest.isEmpty():
+            break
+        waiting = materialise(waiting.join(rest, list(by), "left_semi"), "waiting")
+        size *= 2
+    if not found:
+        return waiting.limit(0).select(*by, F.lit(0).alias("bit"), F.lit(0.0).alias("distance"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def contact_fingerprints(
     atoms: DataFrame,
     site: DataFrame,

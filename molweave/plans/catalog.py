@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ from molweave.functions.report import percent
 from molweave.operators import clustering, contacts, docking, fingerprints, mass, patterns
 from molweave.operators import ranking, selection, similarity, site, sparse
 from molweave.plans import jobs, screening
+from molweave.plans.counts import RunCounts
 from molweave.session import materialise, scratch_path
-from molweave.sinks import tables, text as text_sinks
+from molweave.sinks import atoms as atom_sinks
+from molweave.sinks import committed, tables
+from molweave.sinks import text as text_sinks
 from molweave.sources import docking_log, docking_results, elements, mol2, pdbqt, records, report
 from molweave.sources import training, xyz
 
@@ -323,6 +328,57 @@ def box_filter_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("mol_id", *(F.round(f"{n}{c}", 6).alias(f"{n}{c}") for n in ("min", "max") for c in AXES))
 
 
+def nearest_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest distance of every molecule to the site, and the site atom it leads to."""
+    found = contacts.nearest_site_atoms(_exploded(molecule_atoms(spark, sf_dir)), _site(spark, sf_dir))
+    return found.select("mol_id", "bit", F.round("distance", 6).alias("distance"))
+
+
+def box_atoms_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms in a box from a table stored along a space-filling curve."""
+    path = scratch_path(spark, "atoms")
+    atom_sinks.write_atom_table(_exploded(molecule_atoms(spark, sf_dir)).select("mol_id", "serial", *AXES), path, 1 << 16)
+    return atom_sinks.read_box(spark, path, BOX).select("mol_id", "serial", *(F.round(c, 6).alias(c) for c in AXES))
+
+
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of protein, box and site atoms and of molecules, observed while site and fingerprints are made."""
+    counts, every = RunCounts(), F.count(F.lit(1))
+    atoms = counts.watch(points(spark, sf_dir), protein_atoms=every, box_atoms=F.count_if(BOX.contains()))
+    scored = materialise(site.sweep_scores(atoms, BOX, SITE_STEP), "scores")
+    where = materialise(counts.watch(site.select_site(scored), site_atoms=every), "site")
+    packed = contacts.contact_fingerprints(_exploded(molecule_atoms(spark, sf_dir)), where, max(1, where.count()))
+    materialise(counts.watch(packed, molecules=every), "contacts")
+    return counts.table(spark)
+
+
+def committed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance matrix with its count line as a committed output: a write of which a task fails shows nothing, the
+    next one all."""
+    path = scratch_path(spark, "matrix")
+    vectors = materialise(_space(labelled(spark, sf_dir), "contacts"), "vectors")
+    lines = similarity.lower_triangle_lines(vectors, similarity.distance_pairs(vectors)).orderBy("ord")
+    last = vectors.agg(F.max("ord")).first()[0]
+    broken = F.when(F.col("ord") == last, F.raise_error(F.lit("a task fails"))).otherwise(F.col("line"))
+    try:
+        committed.write_committed(lines.select(broken.alias("line")), path, count_line=True)
+    except (PySparkException, Py4JJavaError):
+        pass
+    if committed.committed_parts(path) is not None:
+        raise AssertionError("a failed write must not show")
+    committed.write_committed(lines.select("line"), path, count_line=True)
+    return committed.read_committed(spark, path)
+
+
+def committed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered models as a committed output: numbers must follow one another over all parts."""
+    path = scratch_path(spark, "models")
+    numbered = text_sinks.numbered_models(pdbqt_models(spark, sf_dir), ["ligand"]).orderBy("number")
+    committed.write_committed(numbered.select("number", F.col("text").alias("line")), path)
+    models = pdbqt.read_pdbqt(spark, committed.committed_parts(path))
+    return models.select("ligand", F.size("lines").alias("lines"))
+
+
 def box_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.box_quality(points(spark, sf_dir), BOX)
 
@@ -862,6 +918,11 @@ QUERIES: dict[str, Query] = {
     "mean_similarity_top_percent": mean_similarity_top_percent,
     "isolated_top": isolated_top,
     "box_filter_bounds": box_filter_bounds,
+    "nearest_site": nearest_site,
+    "box_atoms_stored": box_atoms_stored,
+    "run_counts": run_counts,
+    "committed_matrix": committed_matrix,
+    "committed_models": committed_models,
     "box_quality": box_quality,
     "box_xyz_lines": box_xyz_lines,
     "xyz_parse": xyz_parse,

@@ -652,6 +652,18 @@ SQL["distance_matrix_file"] = (
     f"string_agg(printf('%.4f', 1 - sim), chr(9) ORDER BY b_ord) AS cells FROM ({_pairs('con', _LABELLED)}) GROUP BY a_ord) p ON p.a_ord = v.ord WHERE label_id <= 1"
 )
 
+SQL["committed_matrix"] = SQL["distance_matrix_file"]
+SQL["committed_models"] = SQL["docking_collection"]
+SQL["nearest_site"] = _with(_POINTS, _ATOMS, _SITE) + (
+    "SELECT mol_id, arg_min(bit, (d, bit)) AS bit, round(min(d), 6) AS distance FROM (SELECT a.mol_id, s.bit, "
+    "sqrt(pow(a.x - s.x, 2) + pow(a.y - s.y, 2) + pow(a.z - s.z, 2)) AS d FROM atoms a, site s) GROUP BY mol_id"
+)
+SQL["box_atoms_stored"] = _with(_ATOMS) + f"SELECT mol_id, serial, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM atoms WHERE {_IN_BOX}"
+SQL["run_counts"] = _with(_POINTS) + (
+    f"SELECT count(*) AS protein_atoms, count(*) FILTER (WHERE {_IN_BOX}) AS box_atoms, count(*) FILTER (WHERE {_IN_BOX}) < 10 AS too_few, "
+    f"20 * count(*) FILTER (WHERE {_IN_BOX}) // 100 AS site_atoms, (SELECT count(*) FROM embeddings) AS molecules FROM points"
+)
+
 # fingerprints of orders, and how many bits two of them share
 _ORDER_BITS = f"""
 obit AS MATERIALIZED ({SQL["circular_fingerprint"]}),
