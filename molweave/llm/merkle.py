@@ -1,12 +1,13 @@
 """Merkle manifest of a dataset, proved by a recursive query (operator 12).
 
-Every row is a leaf; per source, each three consecutive nodes become their parent until one is left, and the subroots
-are joined to one root in the same way. Built levels are stored as node rows that hold the way to the node four levels
+Every row is a leaf; per source, every three consecutive nodes become their parent until one is left, and the subroots
+are joined to one root in the same way. Built levels are stored as node rows that hold the way to the node seven levels
 up: for each level the siblings to the left and to the right, and a link to the ancestor. A recursive query starts at
 the (possibly tampered) leaves, follows the links to the root, appends the siblings and folds the hash.
 
-Ranks come from range-partitioned keys, never from one group per source; a group of the build holds 81 nodes at most.
-The recursion joins with nodes above the leaves only, one for 81 leaves.
+Ranks come from range-partitioned keys, never from one group per source; a group of the build holds
+2,187 nodes at most. Leaves take their own link before the recursion, which so joins with one node row for 2,187 leaves and
+shuffles every leaf as few times as links lead to the root.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import table
 from .sharding import ranked
 
 #: children of a node, levels that one link climbs
-ARITY, CLIMB = 3, 4
+ARITY, CLIMB = 3, 7
 BLOCK = ARITY**CLIMB
 #: tree number of the tree over subroots, and of what is above the root
 TOP, ABOVE = -1, -2
@@ -44,40 +45,54 @@ def _levels(n: Column) -> Column:
     return out
 
 
+def _at(level: Column, place: Column) -> Column:
+    """A digest of the level, empty beyond its end."""
+    return F.coalesce(F.get(level, place), F.lit(""))
+
+
 def _parents(level: Column) -> Column:
     """The digests of the runs of ``level``."""
     runs = F.sequence(F.lit(0), F.ceil(F.size(level) / ARITY).cast("int") - 1)
-    return F.transform(runs, lambda r: F.sha2(F.array_join(F.slice(level, r * ARITY + 1, F.lit(ARITY)), ""), 256))
+    return F.transform(runs, lambda r: F.sha2(F.concat(*(_at(level, r * ARITY + k) for k in range(ARITY))), 256))
 
 
 def _sides(level: Column, at: Column) -> Column:
     """Digests left and right of place ``at`` (0-based) in its run, as bytes."""
-    inside = (at % ARITY).cast("int")
-    run = (at - inside).cast("int")
-    joined = lambda begin, length: F.unhex(F.array_join(F.slice(level, begin, length), ""))
-    return F.struct(joined(run + 1, inside).alias("left"), joined(run + inside + 2, F.lit(ARITY - 1) - inside).alias("right"))
+    inside = F.pmod(at, F.lit(ARITY))
+    run = at - inside
+    left = F.concat(*(F.when(inside > k, F.get(level, run + k)).otherwise("") for k in range(ARITY - 1)))
+    right = F.concat(*(F.when(inside < k, _at(level, run + k)).otherwise("") for k in range(1, ARITY)))
+    return F.struct(F.unhex(left).alias("left"), F.unhex(right).alias("right"))
 
 
 def _block(nodes: DataFrame) -> DataFrame:
-    """Rows of ``nodes`` (tree, idx, n, hash) with ``steps`` up to the block's top, and the digest ``top`` of that."""
+    """Rows of ``nodes`` (tree, idx, n, hash and what a node carries) with ``steps`` up to the block's top instead of n and
+    hash, and the digest ``top`` of that."""
     block = F.floor(F.col("idx") / BLOCK).cast("long")
-    rows = F.array_sort(F.collect_list(F.struct("idx", "hash")))
-    # one row per block of 81 nodes at most
+    carried = [c for c in nodes.columns if c not in ("tree", "idx", "n", "hash")]
+    rows = F.array_sort(F.collect_list(F.struct("idx", "hash", *carried)))
+    # one row per block of 2,187 nodes at most
     out = nodes.groupBy("tree", block.alias("block")).agg(F.max("n").alias("n"), rows.alias("rows"))
     out = out.withColumn("high", _levels(F.col("n"))).withColumn("level0", F.col("rows.hash"))
     for k in range(CLIMB):
         level = F.col(f"level{k}")
         out = out.withColumn(f"level{k + 1}", F.when(F.col("high") > k, _parents(level)).otherwise(level))
-    row = F.posexplode("rows").alias("place", "row")
-    out = out.select("tree", "block", "n", "high", *(f"level{k}" for k in range(CLIMB)), F.col(f"level{CLIMB}")[0].alias("top"), row)
-    steps = F.array(*(_sides(F.col(f"level{k}"), F.floor(F.col("place") / ARITY**k).cast("int")) for k in range(CLIMB)))
-    return out.select("tree", "block", "n", "top", F.col("row.idx").alias("idx"), F.slice(steps, F.lit(1), F.col("high")).alias("steps"))
+    levels = [F.col(f"level{k}") for k in range(CLIMB)]
+
+    def row(place: Column) -> Column:
+        steps = F.array(*(_sides(level, F.floor(place / ARITY**k).cast("int")) for k, level in enumerate(levels)))
+        kept = [F.get("rows", place)[c].alias(c) for c in ("idx", *carried)]
+        return F.struct(*kept, F.slice(steps, F.lit(1), F.col("high")).alias("steps"))
+
+    # levels stay inside their row: only what a node needs leaves it
+    made = F.transform(F.sequence(F.lit(0), F.size("rows") - 1), row)
+    return out.select("tree", "block", "n", F.col(f"level{CLIMB}")[0].alias("top"), F.inline(made))
 
 
 def build(leaves: DataFrame, most: int, end: tuple[Column, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(leaf rows, node rows above them, tops) of trees over ``leaves`` (tree, idx, n, hash), ``n`` being a tree's leaves.
 
-    ``most`` is the largest ``n``. Node rows are (tree, stage, idx, steps, up_tree, up_stage, up_idx); the last node
+    ``most`` is the largest ``n``. Leaf rows keep other columns of ``leaves``. Node rows are (tree, stage, idx, steps, up_tree, up_stage, up_idx); the last node
     of a tree links to stage 0 of ``end``, a tree and an index. ``tops`` is (tree, hash).
     """
     stages, tops, nodes, stage = [], [], leaves, 0
@@ -87,7 +102,7 @@ def build(leaves: DataFrame, most: int, end: tuple[Column, Column]) -> tuple[Dat
         link = lambda here, up, done=done: F.when(done, here).otherwise(up)
         stages.append(
             blocks.select(
-                "tree", F.lit(stage).alias("stage"), "idx", "steps",
+                *(c for c in blocks.columns if c not in ("block", "n", "top")), F.lit(stage).alias("stage"),
                 link(end[0], F.col("tree")).cast("long").alias("up_tree"), link(F.lit(0), F.lit(stage + 1)).alias("up_stage"),
                 link(end[1], F.col("block")).cast("long").alias("up_idx"),
             )
@@ -99,7 +114,8 @@ def build(leaves: DataFrame, most: int, end: tuple[Column, Column]) -> tuple[Dat
         nodes = first.where(~done).select("tree", F.col("block").alias("idx"), F.ceil(F.col("n") / BLOCK).alias("n"), F.col("top").alias("hash"))
         most, stage = -(-most // BLOCK), stage + 1
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    above = union(stages[1:]) if stages[1:] else stages[0].limit(0)
+    kinds = ("tree", "stage", "idx", "steps", "up_tree", "up_stage", "up_idx")
+    above = union(stages[1:]) if stages[1:] else stages[0].select(*kinds).limit(0)
     return stages[0], above, union(tops)
 
 
@@ -150,16 +166,16 @@ def manifest(df: DataFrame, leaf: Column, tampered: Column | None = None, key: s
     join = lambda left, right, on: left.join(F.broadcast(right) if count <= 100_000 else right, on)
     numbered = join(rows, sources, F.col("src").eqNullSafe(F.col("__src")))
     numbered = materialise(numbered.select("doc", "key", "leaf", "folded", "tree", (F.col("rank") - 1).alias("idx"), "n"), "numbered")
-    low, nodes, subroots = build(numbered.select("tree", "idx", "n", F.col("leaf").alias("hash")), most, (F.lit(TOP), F.col("tree")))
+    # leaves carry what the climb needs, so that their steps are not joined back
+    leaves = numbered.select("tree", "idx", "n", F.col("leaf").alias("hash"), "doc", "folded")
+    low, nodes, subroots = build(leaves, most, (F.lit(TOP), F.col("tree")))
     trees = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(count).cast("long").alias("n"), "hash")
     high, higher, roots = build(trees, count, (F.lit(ABOVE), F.lit(0)))
     root = roots.first()["hash"] if count else None
     # a leaf follows its own link here, so that the recursion joins with higher nodes only
-    at = ["tree", "idx"]
-    start = numbered.select("doc", "folded", *at).join(low.drop("stage"), at)
     hops = F.aggregate("steps", F.col("folded"), lambda h, s: digest(F.lower(F.hex(s["left"])), h, F.lower(F.hex(s["right"]))))
     proof = F.aggregate("steps", F.lit(b""), lambda p, s: F.concat(p, s["left"], s["right"]))
-    start = start.select("doc", "up_tree", "up_stage", "up_idx", hops.alias("folded"), proof.alias("proof"))
+    start = low.select("doc", "up_tree", "up_stage", "up_idx", hops.alias("folded"), proof.alias("proof"))
     climbed = climb(start, materialise(nodes.unionByName(high).unionByName(higher), "nodes"))
     named = join(numbered.drop("folded"), subroots.withColumnRenamed("hash", "subroot"), "tree")
     out = named.join(climbed, "doc")
