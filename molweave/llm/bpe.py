@@ -225,7 +225,7 @@ def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pa
         def load() -> tuple[DuckBpe, WordCutter, PieceTable]:
             engine = DuckBpe(file)
             cutter = WordCutter(regex.compile(cut), engine)
-            return engine, cutter, PieceTable(cutter.encode, pieces)
+            return engine, cutter, PieceTable(cutter.encode, pieces, keep=True)
 
         engine, cutter, known = per_process(("bpe", file, cut, pieces), load)
 

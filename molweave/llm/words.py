@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: distinct pieces a table keeps; a full one goes on with those met more than once
+#: distinct pieces a table keeps before it makes room
 TABLE_PIECES = 600_000
 #: marks that often end a piece
 MARKS = ",.;:!?"
@@ -25,11 +25,11 @@ class PieceTable:
     """Ids of pieces.
 
     ``encode`` gets a list of strings, and how many of its first ones are pieces after a space; it returns how many ids
-    each string has, and all ids in a row.
+    each string has, and all ids in a row. A full table starts anew, or with ``keep`` from the pieces met again.
     """
 
-    def __init__(self, encode: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], limit: int = TABLE_PIECES):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], limit: int = TABLE_PIECES, keep: bool = False):
+        self.encode, self.limit, self.keep = encode, limit, keep
         self.reset()
 
     def reset(self) -> None:
@@ -102,9 +102,10 @@ class PieceTable:
         """The numbers of distinct pieces after a space and of pieces at the front of a text."""
         look = lambda known, pieces: np.fromiter(map(known.get, pieces, repeat(-2)), np.int64, len(pieces))
         index, front = look(self.after_space, spaced), look(self.alone, alone)
-        for found in (index, front):
-            self.met[found[found >= 0]] = True
-        for make_room in (self.shrink, self.reset, None):
+        if self.keep:
+            for found in (index, front):
+                self.met[found[found >= 0]] = True
+        for make_room in (self.shrink, self.reset, None) if self.keep else (self.reset, None):
             at = np.flatnonzero(index == -2)
             new, raw = [spaced[i] for i in at.tolist()], list({p for p, k in zip(alone, front.tolist(), strict=True) if k == -2})
             if make_room is None or len(self.after_space) + len(self.alone) + len(new) + len(raw) <= self.limit:
@@ -114,7 +115,8 @@ class PieceTable:
         if new or raw:
             self.add(new, raw)
             index[at], front = look(self.after_space, new), look(self.alone, alone)
-        self.met = np.concatenate([self.met, np.zeros(len(self.starts) - 1 - len(self.met), bool)])
+        if self.keep:
+            self.met = np.concatenate([self.met, np.zeros(len(self.starts) - 1 - len(self.met), bool)])
         return index, front
 
     def texts(self, texts: list[str] | pa.Array) -> list[np.ndarray]:

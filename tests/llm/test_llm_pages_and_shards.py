@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from molweave.llm.sharding import op8_shards, stratified_shards, write_shards
-from molweave.llm.wrappers import CONSTANT, ITEMS, KEY, OPTIONAL, REPEATED, align, generalise, main_text, op7_main_text, parse
+from molweave.llm import wrappers
+from molweave.llm.wrappers import BELOW, FIXED, ITEMS, KEY, OPTIONAL, REPEATED, add_places, align, boilerplate, generalise, main_text, matched, op7_main_text, parse, places_of
 from molweave.session import scratch_path
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
@@ -57,16 +58,83 @@ def test_constant_texts_of_a_host_are_left_out(spark):
 
 
 def test_wrapper_has_groups_options_and_slots():
-    a = generalise(parse("<div><p>x</p><p>y</p><i>same</i></div>"))
-    b = generalise(parse("<div><p>z</p><hr><i>same</i></div>"))
-    (div,) = align(a, b)
+    pages = [parse("<div><p>x</p><p>y</p><i>same</i></div>"), parse("<div><p>z</p><hr><i>same</i></div>")]
+    (div,) = align(*map(generalise, pages))
     keys = {x[KEY]: x for x in div[ITEMS]}
     assert keys["p"][REPEATED] and keys["hr"][OPTIONAL] and not keys["i"][OPTIONAL]
-    assert keys["i"][ITEMS][0][CONSTANT] is not None and keys["p"][ITEMS][0][CONSTANT] is None
+    places = add_places(*(places_of(p, boilerplate(p)) for p in pages))[BELOW]["div"][BELOW]
+    assert len(places["i"][FIXED]) == 1 and not places["p"][FIXED]
     (group,) = generalise(parse("<div>" + "<h2>a</h2><p>b</p>" * 500 + "</div>"))
     assert [x[KEY] for x in group[ITEMS]] == ["h2", "p"]
 
 
+def test_alignment_is_the_same_at_any_size(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    for n, m in [(0, 0), (0, 5), (1, 1), (30, 40), (60, 7)]:
+        a, b = ([rng.choice("abcdef") for _ in range(k)] for k in (n, m))
+        whole = matched(a, b)
+        monkeypatch.setattr(wrappers, "CELLS", 0)
+        assert matched(a, b) == whole
+        monkeypatch.undo()
+        assert [i for i, _ in whole if i is not None] == list(range(n)) and [j for _, j in whole if j is not None] == list(range(m))
+        assert all(a[i] == b[j] for i, j in whole if i is not None and j is not None)
+
+
+STORY = "<p>A story of some length, told in one go.</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='content with-sidebar'><p>story</p></div>", "story"),
+        ("<div class='has-banner'><article><p>story</p></article></div>", "story"),
+        ("<div class='page no-sidebar'><main><p>story</p></main></div>", "story"),
+        ("<div class='sidebar'><article><p>story</p></article></div><div class='sidebar'>no</div>", "story"),
+        (f"<div class='menu'>{STORY}</div><div class='menu'><a>x</a></div>", "A story of some length, told in one go."),
+        (f"<article>{STORY}<div class='share-price'>12.50</div><h2 class='menu-title'>Soups</h2></article>", "A story of some length, told in one go.\n12.50\nSoups"),
+        (f"<article>{STORY}<div class='pull-quote social'>A quote</div><div class='share-bar'>Share</div><div class='ad top'>Buy</div></article>", "A story of some length, told in one go.\nA quote"),
+        (f"<article>{STORY}<section class='comments area'><article class='comment'><p>{'I think so too. ' * 30}</p></article></section></article>", "A story of some length, told in one go."),
+        (f"<article>{STORY}</article><ol class='comment-list'><li><article><p>{'me too ' * 50}</p></article></ol>", "A story of some length, told in one go."),
+        (f"<article><header><h1>Head</h1></header>{STORY}<nav>n</nav><aside>a</aside><form>f</form></article>", "Head\nA story of some length, told in one go."),
+        ("<article>" + "<div>" * 150 + "<p>deep</p><nav>Menu</nav><p>down</p>" + "</div>" * 150 + "<p>end</p></article><p>after</p>", "deep\ndown\nend"),
+        ("<div>" * 150 + "<article><p>deep</p></article>" + "</div>" * 150 + "<div>after the article there is some more text</div>", "deep"),
+    ],
+)
+def test_ordinary_pages(spark, page, text):
+    assert run(spark, [("https://a.example/", page)])[0] == text
+
+
+def test_headings_that_pages_share_stay(spark):
+    page = "<body><nav>Menu</nav><article><h1>{0}</h1><h2>Ingredients</h2><ul><li>{0} water</ul><h2>Method</h2><p>Cook {1} minutes</p><table><tr><th>Time</th><td>{1}</td></tr></table><p>Rate this recipe</p></article></body>"
+    names = ["Soup", "Tea", "Stew", "Rice", "Punch"]
+    got = run(spark, [(f"https://cook.example/{i}", page.format(n, i)) for i, n in enumerate(names)])
+    assert [got[i] for i in range(5)] == [f"{n}\nIngredients\n{n} water\nMethod\nCook {i} minutes\nTime\n{i}" for i, n in enumerate(names)]
+
+
+def test_texts_do_not_depend_on_how_pages_are_dealt(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for host in range(25):
+        for k in range(12):
+            blocks = [rng.choice([f"<p>Line {rng.randrange(4)}</p>", "<ul><li>a<li>b</ul>", f"<div class='x{rng.randrange(3)}'><p>Part {rng.randrange(9)}</p></div>", "<hr>", f"<p>{k} of {host}</p>"]) for _ in range(rng.randrange(1, 7))]
+            rows.append((host * 100 + k, f"https://h{host}.example/{k}", f"<body><div>{''.join(blocks)}</div><div>foot</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [{r["page_id"]: r["text"] for r in main_text(df.repartition(n, F.rand(n))).collect()} for n in (1, 3, 5)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
+
+
+def test_large_wrappers_meet_pages_in_a_join(spark, monkeypatch):
+    rows = [(i, f"https://h{i % 3}.example/", PAGE % f"<article><p>Text {i}</p><p>Join us</p></article>", "h", "w") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string")
+    sent = sorted(map(tuple, main_text(df).collect()))
+    monkeypatch.setattr(wrappers, "SEND_BYTES", 0)
+    assert sorted(map(tuple, main_text(df).collect())) == sent
+    assert [r[1:] for r in sent][0] == ("https://h0.example/", "h", "w", "Text 0") and main_text(df).columns == ["page_id", "url", "host", "wrapper", "text"]
+
+
 @pytest.mark.parametrize("page", ["<div>" * 5000 + "x", "<" * 5000, "<p class='" + "a" * 5000 + "<p>x", "<article>" + "<h2>a</h2><p>b</p>" * 3000, "&#0; &bad; <a b=c <p>", "<script>never closed"])
 def test_broken_pages_do_not_crash(spark, page):
     assert run(spark, [("https://a.example/", page)])[0] is not None

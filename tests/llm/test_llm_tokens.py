@@ -77,15 +77,16 @@ def test_full_table_keeps_what_is_met_again(plain):
         asked.extend(new)
         return np.array([len(plain.encode_ordinary(s)) for s in new]), np.array([i for s in new for i in plain.encode_ordinary(s)], np.int32)
 
-    table, rng = PieceTable(encode, limit=60), np.random.default_rng(3)
+    table, rng = PieceTable(encode, limit=60, keep=True), np.random.default_rng(3)
     for k in range(200):
         text = "the often " + " ".join(f"rare{i}, x" for i in rng.integers(0, 500, 5)) + " met word."
         assert table.texts([text])[0].tolist() == plain.encode_ordinary(text)
     assert asked.count(" often") < 10 < sum(a.startswith(" rare") for a in asked)
 
 
-def test_piece_table_restarts(plain):
-    table = PieceTable(lambda new, spaced: (np.array([len(plain.encode_ordinary(s)) for s in new]), np.array([i for s in new for i in plain.encode_ordinary(s)], np.int32)), limit=5)
+@pytest.mark.parametrize("keep", [False, True])
+def test_piece_table_restarts(plain, keep):
+    table = PieceTable(lambda new, spaced: (np.array([len(plain.encode_ordinary(s)) for s in new]), np.array([i for s in new for i in plain.encode_ordinary(s)], np.int32)), limit=5, keep=keep)
     for text in ["a b c d", "e f g", "", " x", "y ", "a  b", "one\ntwo three", "a b c d"]:
         assert table.texts([text])[0].tolist() == plain.encode_ordinary(text)
 
