@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 64 << 20
@@ -162,7 +163,7 @@ def _numbers(chunks: int):
 
 
 def _cogrouped(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
-    names = [part.strip().split()[0] for part in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(l_rows: pa.Table, r_rows: pa.Table) -> pa.Table:
         parts = list(_stepped(kernel, l_rows, r_rows))

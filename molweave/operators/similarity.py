@@ -305,14 +305,50 @@ def keep_present(candidates: DataFrame, other: DataFrame) -> DataFrame:
     return candidates.join(other.select("name").distinct(), "name", "left_semi")
 
 
-def lower_triangle_lines(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+def _fragments(vectors: DataFrame, empty: float, block_rows: int) -> DataFrame:
+    """Matrix cells as ``ord, cells``: one row per compound and block, with the distances (``%.4f``) to the block's earlier
+    compounds in order."""
+
+    def cells(rows: pa.Table, others: pa.Table, dist: np.ndarray) -> pa.Table:
+        mine, theirs = rows["ord"].to_numpy(), others["ord"].to_numpy()
+        order = np.argsort(theirs, kind="stable")
+        count = np.searchsorted(theirs[order], mine)
+        inside = np.arange(len(order))[None, :] < count[:, None]
+        text = pa.array(list(map("%.4f".__mod__, dist[:, order][inside].tolist())), pa.string())
+        place = np.broadcast_to(theirs[order], inside.shape)[inside]
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.StructArray.from_arrays([pa.array(place, pa.int64()), text], ["o", "d"])
+        )
+        return pa.table({"ord": pa.array(mine, pa.int64()), "cells": lists}).filter(pa.array(count > 0))
+
+    def kernel(l: pa.Table, r: pa.Table) -> pa.Table:
+        dist = 1.0 - _similarity(l, r, empty)
+        parts = [cells(l, r, dist)]
+        if not same_block(l):
+            parts.append(cells(r, l, dist.T))
+        return pa.concat_tables(parts)
+
+    rows = vectors.select(F.col("ord").cast("bigint").alias("ord"), "words")
+    return block_apply_self(rows, kernel, "ord bigint, cells array<struct<o: bigint, d: string>>", block_rows)
+
+
+def lower_triangle_lines(
+    vectors: DataFrame, pairs: DataFrame | None = None, empty: float = EMPTY_SIMILARITY, block_rows: int = PAIR_ROWS
+) -> DataFrame:
     """Matrix lines ``ord, line``: the name, then one ``%.4f`` distance per earlier compound.
 
-    One line holds one distance per earlier compound by definition of the format; use the pair table
+    A block hands on one row per compound with its part of the line; ``pairs`` are distances to be used instead, a row
+    each. One line holds one distance per earlier compound by definition of the format; use the pair table
     itself where that is too wide.
     """
-    cell = F.struct(F.col("b_ord").alias("o"), fixed4(F.col("dist")).alias("d"))
-    cells = pairs.groupBy(F.col("a_ord").alias("ord")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    if pairs is None:
+        grouped = _fragments(vectors, empty, block_rows).groupBy("ord").agg(F.collect_list("cells").alias("parts"))
+        # a compound that met one block only has its cells in order
+        whole = F.when(F.size("parts") == 1, F.col("parts")[0]).otherwise(F.array_sort(F.flatten("parts")))
+        cells = grouped.select("ord", whole.alias("cells"))
+    else:
+        cell = F.struct(F.col("b_ord").alias("o"), fixed4(F.col("dist")).alias("d"))
+        cells = pairs.groupBy(F.col("a_ord").alias("ord")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     values = F.coalesce(F.col("cells.d"), F.array().cast("array<string>"))
     return (
         vectors.select("name", "ord")

@@ -278,7 +278,7 @@ def all_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lower_triangle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _space(compounds(spark, sf_dir), "contacts")
-    return similarity.lower_triangle_lines(vectors, similarity.distance_pairs(vectors))
+    return similarity.lower_triangle_lines(vectors)
 
 
 def blended_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,7 +357,7 @@ def committed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     next one all."""
     path = scratch_path(spark, "matrix")
     vectors = materialise(_space(labelled(spark, sf_dir), "contacts"), "vectors")
-    lines = similarity.lower_triangle_lines(vectors, similarity.distance_pairs(vectors)).orderBy("ord")
+    lines = similarity.lower_triangle_lines(vectors).orderBy("ord")
     last = vectors.agg(F.max("ord")).first()[0]
     broken = F.when(F.col("ord") == last, F.raise_error(F.lit("a task fails"))).otherwise(F.col("line"))
     try:

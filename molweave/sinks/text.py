@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from molweave.functions.geometry import Box
 from molweave.operators.contacts import box_atoms
 from molweave.operators.ranking import exact_rank
-from molweave.operators.similarity import distance_pairs, lower_triangle_lines
+from molweave.operators.similarity import lower_triangle_lines
 
 
 def write_distance_matrix(vectors: DataFrame, path: str, pairs: DataFrame | None = None) -> None:
     """Lower-triangular distance matrix: the number of compounds, then one line per compound."""
-    lines = lower_triangle_lines(vectors, distance_pairs(vectors) if pairs is None else pairs)
+    lines = lower_triangle_lines(vectors, pairs)
     head = vectors.agg(F.count("*").cast("string").alias("line")).select(F.lit(-1).alias("ord"), "line")
     head.unionByName(lines).orderBy("ord").select("line").write.text(path)
 

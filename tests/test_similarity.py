@@ -200,3 +200,13 @@ def test_distance_matrix_file(spark, left, tmp_path):
     for i, a in enumerate(LEFT):
         want.append("\t".join([a[1]] + ["%.4f" % (1 - tanimoto(a[2], b[2])) for b in LEFT[:i]]))
     assert text == "\n".join(want) + "\n"
+
+
+@pytest.mark.parametrize("block_rows", [4096, 8])
+def test_matrix_lines_from_blocks(spark, left, block_rows):
+    want = []
+    for i, a in enumerate(LEFT):
+        want.append((a[0], "\t".join([a[1], *(f"{1 - tanimoto(a[2], b[2]):.4f}" for b in LEFT[:i])])))
+    assert rows(sim.lower_triangle_lines(left, block_rows=block_rows)) == sorted(want, key=str)
+    assert rows(sim.lower_triangle_lines(left, sim.distance_pairs(left))) == sorted(want, key=str)
+    assert sim.lower_triangle_lines(left.limit(0)).count() == 0
