@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from molweave.llm.bpe import bpe_roundtrip
 from molweave.llm.decontaminate import decontaminate
 from molweave.llm.language import NO_LANGUAGE, fit, predict
-from molweave.llm.pii import replace_pii
+from molweave.llm.pii import QUERY_KEY, replace_pii
 from molweave.llm.simhash import fingerprints, near_fingerprints
 from molweave.session import materialise
 
@@ -22,6 +22,9 @@ from molweave.session import materialise
 SEND_ROWS = 4_000_000
 
 
+#: the setting of the session that holds the key of surrogates; without it they are drawn with the query's public one
+KEY_SETTING = "spark.molweave.surrogateKey"
+
 #: documents of one Arrow batch, and characters that the last stage encodes at once: workers and executors of five
 #: stages share their memory
 BATCH_ROWS, LOT_CHARS = 1_000, 500_000
@@ -47,9 +50,14 @@ def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, dict[str
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language stay; a missing ``lang`` is filled in. Texts that are null or have no letter go."""
+    """Documents with a language stay; a missing ``lang`` is filled in. Texts that are null or have no letter go.
+
+    Where no row names a language, nothing is learned: texts with a letter stay and ``lang`` stays missing.
+    """
     _small_batches(spark)
     model = fit(docs.select("doc_id", "text", "lang"))
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     free, back = _aside(docs, ("lang_pred", "score"))
     back["lang"] = F.coalesce("lang", "lang_pred").alias("lang")
     return predict(free, model).where(F.col("lang_pred") != NO_LANGUAGE).select(*(back[c] for c in docs.columns))
@@ -81,11 +89,11 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts becomes surrogates; ``n_chars`` follows the new text."""
+    """Personal data in texts becomes surrogates; ``n_chars`` follows the new text. The session names the key."""
     free, back = _aside(docs, ("n_entities", "kinds"))
     if "n_chars" in back:
         back["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return replace_pii(free).select(*back.values())
+    return replace_pii(free, spark.conf.get(KEY_SETTING, QUERY_KEY)).select(*back.values())
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,11 +46,11 @@ def give_back() -> None:
         pass
 
 
-def map_text(df: DataFrame, text: str, outputs: StructType, make: Callable[[], Callable], keep: list[str] | None = None, chars: int = 4_000_000) -> DataFrame:
+def map_text(df: DataFrame, text: str, outputs: StructType, make: Callable[[], Callable], keep: list[str] | None = None, chars: int = 4_000_000, arrow: bool = False) -> DataFrame:
     """``df`` with columns computed from whole texts, in lots of about ``chars`` characters (longer texts alone).
 
     ``make()`` runs once in every task and returns a function from a list of texts (None for null) to one Arrow
-    array per field of ``outputs``. ``keep`` names the input columns to pass on (default: all). Columns of the
+    array per field of ``outputs``; with ``arrow`` it gets an Arrow array of texts instead. ``keep`` names the input columns to pass on (default: all). Columns of the
     input named like an output are replaced. Nothing is shuffled.
     """
     names = [f.name for f in outputs]
@@ -69,7 +69,7 @@ def map_text(df: DataFrame, text: str, outputs: StructType, make: Callable[[], C
             sizes = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_pylist()
             for part in slices(sizes, chars):
                 rest = batch.slice(part.start, part.stop - part.start)
-                arrays = apply(rest.column(place).to_pylist())
+                arrays = apply(rest.column(place) if arrow else rest.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(len(kept))), *arrays], names=kept + names)
         del apply
         give_back()

@@ -2,7 +2,8 @@
 
 A word the model knows is scored by its log frequency in every language. Any other word falls back to its longest
 known character n-grams, five characters first and single characters last. Scores of words are made relative to
-the best language and summed over the text.
+the best language and summed over the text. Texts are cut into words by Arrow, and every different word of a lot is
+looked up once.
 """
 
 from __future__ import annotations
@@ -12,25 +13,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import give_back, id_remainder, map_text, table
 
-#: labelled documents (about, at most) from which a model is fitted
-SAMPLE = 20_000
-#: words and n-grams (with their language) that a model holds at most; the most frequent stay
+#: labelled documents of each language (about, at most) from which a model is fitted
+SAMPLE = 5_000
+#: words and n-grams that a model holds at most, dealt over its languages; of each language the most frequent stay
 MODEL_ROWS = 200_000
+#: languages that a model learns at most; the most frequent stay
+LANGUAGES = 1_000
 #: longest n-gram
 LONGEST = 5
 #: occurrences below which a word counts as unseen
 LEAST = 3
 #: words whose scores a task keeps
 CACHE = 200_000
-#: pattern of a word: letters only
-LETTERS = r"[^\W\d_]+"
+#: scores (words times languages) that are summed at once
+CELLS = 4_000_000
+#: what stands between words; a word is a letter and the letters and combining marks after it
+BETWEEN = r"[^\p{L}\p{M}]+"
 NO_LANGUAGE = "und"
+#: characters whose words are looked up at once
+LOT_CHARS = 2_000_000
 
 OUTPUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -40,25 +48,54 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[k : k + n] for k in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
-def sample_rows(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of ``key``; all rows of a smaller table."""
-    n = df.count()
-    return df if n <= bound else df.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words of some texts in lower case, the words of all texts in a row by their place among them, and how
+    many each text has."""
+    cut = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), BETWEEN)
+    coded = cut.flatten().dictionary_encode()
+    # marks without a letter before them are no part of a word
+    words = [w if w[:1].isalpha() else _from_letter(w) for w in coded.dictionary.to_pylist()]
+    index = coded.indices.to_numpy()
+    good = np.array([bool(w) for w in words], dtype=bool)[index] if len(words) else np.zeros(0, bool)
+    counts = np.add.reduceat(good.astype(np.int64), cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()) if len(texts) else np.zeros(0, np.int64)
+    return words, index[good].astype(np.int64), counts
+
+
+def _from_letter(word: str) -> str:
+    return next((word[k:] for k, c in enumerate(word) if c.isalpha()), "")
+
+
+def sample_rows(df: DataFrame, key: str, lang: str, bound: int) -> DataFrame:
+    """About ``bound`` rows of each language at most, chosen by a hash of ``key``; all rows of a smaller one."""
+    counts = df.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__n"))
+    # a bounded number of languages, so a small table
+    counts = counts.orderBy(F.desc("__n"), "__lang").limit(LANGUAGES)
+    share = F.lit(bound).cast("double") / F.col("__n")
+    kept = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)
+    return df.join(F.broadcast(counts), F.col(lang) == F.col("__lang")).where(kept).drop("__lang", "__n")
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, rows: int = MODEL_ROWS) -> dict:
-    """A model of bounded size from at most about ``sample`` rows with text and language."""
-    source = sample_rows(labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), key, sample)
+    """A model of bounded size from at most about ``sample`` rows of each language with text and language.
+
+    Sample and size are dealt by language, so a small language is learned beside a large one. Rows without text or
+    language teach nothing; without any the model knows no language.
+    """
+    given = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    source = sample_rows(given.where("text is not null and lang is not null"), "key", "lang", sample)
     schema = "n int, gram string, lang string, times long"
 
     def count(batches: Iterator) -> Iterator:
-        import re
-
-        find = re.compile(LETTERS).findall
         words: dict[str, Counter] = {}
         for batch in batches:
-            for one, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(name, Counter()).update(find(one.as_py().lower()))
+            langs = batch.column(1).dictionary_encode()
+            for k, name in enumerate(langs.dictionary.to_pylist()):
+                found, index, _ = words_of(batch.column(0).filter(pc.equal(langs.indices, k)))
+                times = np.bincount(index, minlength=len(found)).tolist()
+                seen = words.setdefault(name, Counter())
+                for word, n in zip(found, times, strict=True):
+                    if n:
+                        seen[word] += n
         for name, seen in words.items():
             found = {0: seen}
             for n in range(1, LONGEST + 1):
@@ -74,8 +111,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         words.clear()
         give_back()
 
-    counts = source.select(text, F.col(lang).cast("string")).mapInArrow(count, schema).groupBy("n", "gram", "lang").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST)
-    top = counts.orderBy(F.desc("times"), "n", "gram", "lang").limit(rows).toPandas()
+    counts = source.select("text", "lang").mapInArrow(count, schema).groupBy("n", "gram", "lang").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST)
+    # the rank filter cuts every language in its tasks before it is shuffled
+    order = Window.partitionBy("lang").orderBy(F.desc("times"), "n", "gram")
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    n_langs = max(1, given.where("text is not null").select("lang").where("lang is not null").distinct().limit(LANGUAGES).count())
+    top = ranked.where(F.col("rank") <= max(1, rows // n_langs)).drop("rank").toPandas()
+    top = top.sort_values(["times", "n", "gram", "lang"], ascending=[False, True, True, True])
     langs = sorted(set(top["lang"]))
     at = {name: k for k, name in enumerate(langs)}
     table: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
@@ -91,10 +133,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 class Scorer:
     def __init__(self, model: dict):
-        import re
-
         self.langs, self.table = model["langs"], model["table"]
-        self.find = re.compile(LETTERS).findall
         self.reset()
 
     def reset(self) -> None:
@@ -112,12 +151,12 @@ class Scorer:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs), np.float32)
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """The mean score of every language over the words."""
-        new = list(set(words).difference(self.index))
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Rows of scores for different words."""
+        new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > CACHE:
             self.reset()
-            new = list(set(words))
+            new = words
         if new:
             base = len(self.index)
             self.index.update(zip(new, range(base, base + len(new)), strict=True))
@@ -126,18 +165,37 @@ class Scorer:
                 grown[:base] = self.rows[:base]
                 self.rows = grown
             self.rows[base : base + len(new)] = [self.word(w) for w in new]
-        index = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        return self.rows[index].mean(0, dtype=np.float64)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = self.find((text or "").lower())
-        if not words or not self.langs:
-            return NO_LANGUAGE, 0.0
-        total = self.scores(words)
-        best = int(np.argmax(total))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of texts."""
+        found, index, counts = words_of(texts)
+        names, scores = [NO_LANGUAGE] * len(texts), np.zeros(len(texts))
+        if not self.langs or not len(index):
+            return names, scores
+        # an empty piece is no word but has a place
+        number = self.numbers(list(dict.fromkeys(found)))
+        place = {w: n for w, n in zip(dict.fromkeys(found), number.tolist(), strict=True)}
+        rows = np.fromiter((place[w] for w in found), np.int64, len(found))[index]
+        some = np.flatnonzero(counts)
+        ends = np.cumsum(counts[some])
+        total = np.zeros((len(some), len(self.langs)))
+        begin, step = 0, max(1, CELLS // len(self.langs))
+        while begin < len(rows):
+            # texts may go on in the next part
+            part = self.rows[rows[begin : begin + step]]
+            first, last = np.searchsorted(ends, begin, "right"), np.searchsorted(ends, min(begin + step, len(rows)) - 1, "right")
+            starts = np.maximum(np.append(0, ends)[first : last + 1], begin) - begin
+            total[first : last + 1] += np.add.reduceat(part, starts, axis=0, dtype=np.float64)
+            begin += step
+        mean = total / counts[some][:, None]
+        best = mean.argmax(1)
         # words are not independent: their number counts by its square root
-        odds = np.exp((total - total[best]) * np.sqrt(len(words)))
-        return self.langs[best], float(1 / odds.sum())
+        odds = np.exp((mean - mean[np.arange(len(some)), best][:, None]) * np.sqrt(counts[some])[:, None])
+        scores[some] = 1 / odds.sum(1)
+        for k, b in zip(some.tolist(), best.tolist(), strict=True):
+            names[k] = self.langs[b]
+        return names, scores
 
 
 def predict(df: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -149,13 +207,13 @@ def predict(df: DataFrame, model: dict, text: str = "text", keep: list[str] | No
     def make():
         scorer = Scorer(sent.value)
 
-        def run(texts):
-            found = [scorer.predict(t) for t in texts]
-            return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+        def run(texts: pa.Array) -> list[pa.Array]:
+            names, scores = scorer.predict(texts)
+            return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
         return run
 
-    return map_text(df, text, OUTPUT, make, keep)
+    return map_text(df, text, OUTPUT, make, keep, LOT_CHARS, arrow=True)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

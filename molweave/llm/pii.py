@@ -27,7 +27,8 @@ from molweave.session import materialise
 
 from .common import table
 
-KEY = "change-me"
+#: the key of the registered query, whose texts are made up; real data need a secret of their own
+QUERY_KEY = "change-me"
 #: new draws that keep the format of an entity; later ones add a character each
 SAME_FORM = 2
 
@@ -67,7 +68,10 @@ IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])(?=\+(?:[ .-]?[0-9]){7})\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
-NAME = rf"(?=[{INITIALS}])(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?"
+TITLES = f"(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\\.? )+"
+#: a capital and what follows it, with capitals inside after a mark or after small letters (O’Neil, Jones-Lee, McDonald)
+WORD = r"\p{Lu}(?:[\p{Ll}\p{M}]|['’-](?=\p{L})\p{Lu}?|(?<=\p{Ll})\p{Lu}(?=\p{Ll}))+"
+NAME = rf"(?=[{INITIALS}])(?<!\p{{L}}){TITLES}{WORD}(?: {WORD})?"
 #: an entity begins where no Latin letter or digit stands before it, which settles most places at once; earlier
 #: alternatives win at the same place
 PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join([EMAIL, ACCESS_KEY, IBAN, IP, SSN, PHONE, CARD, NAME]) + ")"
@@ -192,17 +196,18 @@ def _email(value: Column, stream: Column, attempt: Column) -> Column:
     return F.concat(more, _shaped(F.regexp_replace(value, r"\.[A-Za-z]+$", ""), stream), F.regexp_extract(value, r"\.[A-Za-z]+$", 0))
 
 
-TITLE = rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
+TITLE = f"^{TITLES}"
 POSSESSIVE = "(?:['’]s?|-)+$"
 
 
 def _names(value: Column) -> Column:
-    """The one or two names of a match, without title and possessive."""
+    """The one or two names of a match, without titles and possessive."""
     return F.split(F.regexp_replace(F.regexp_replace(value, TITLE, ""), POSSESSIVE, ""), " ")
 
 
 def _gender(value: Column) -> Column:
-    return F.when(value.rlike(rf"^(?:{MALE})\.? "), "m").when(value.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("n")
+    among = lambda titles: value.rlike(rf"^(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.? )*(?:{titles})\.? ")
+    return F.when(among(MALE), "m").when(among(FEMALE), "f").otherwise("n")
 
 
 def _name(part: Column, stream: Column, attempt: Column) -> Column:
@@ -313,12 +318,15 @@ def replacements(values: DataFrame, key: str) -> DataFrame:
         drawn = materialise(drawn.join(again.select("value"), "value", "left_anti").unionByName(redrawn), "surrogates")
 
 
-def replace_pii(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def replace_pii(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with its texts rewritten and ``n_entities`` (bigint) and ``kinds`` (sorted distinct types) added.
 
+    ``key`` is a secret: who has it can tell which surrogate an entity gets. It must not be empty.
     Null texts stay null and hold no entity, empty texts stay empty, texts of any length are read whole. Repeated
     rows get equal results; an empty table gives an empty one; input columns named like an added one are replaced.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     kept = [c for c in df.columns if c not in ("n_entities", "kinds")]
     # written once: the pattern runs over every text a single time (again where it has names), and the draws below read the entities alone
     found = df.select(*kept, entities_of(F.col(text)).alias("__found"))
@@ -347,4 +355,4 @@ def replace_pii(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY).select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))

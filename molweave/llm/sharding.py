@@ -73,7 +73,12 @@ def stratified_shards(df: DataFrame, key: str = "doc_id", source: str = "source"
 
 
 def write_shards(df: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the rows of ``df`` (with unique keys) below ``path``, a folder per shard, in slot order."""
+    """Write the rows of ``df`` below ``path``, a folder per shard, in slot order.
+
+    A row finds its shard by its key, so null and repeated keys are refused before anything is written.
+    """
+    if not placed.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} must be unique and not null")
     rows = df.join(placed.select(key, "shard", "slot"), key)
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 

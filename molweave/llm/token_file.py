@@ -124,6 +124,32 @@ class TokenFile:
             yield doc, ids[self.starts[k] : self.starts[k + 1]]
 
 
+def word_model(tokenizer):
+    """The library's model for words that a byte-level pattern leaves whole, or None if the tokenizer treats them otherwise."""
+    model = tokenizer.model
+    for word in ("the", "Zq", "internationalisation", "aB", "x"):
+        if tokenizer.encode(f" {word}", add_special_tokens=False).ids != [t.id for t in model.tokenize(f"\u0120{word}")]:
+            return None
+    return model
+
+
+def encode_pieces(tokenizer, words, strings: list[str], spaced: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of strings: a space and ASCII letters are one word and go to ``words`` (:func:`word_model`)
+    directly, all others the whole way."""
+    plain = [k for k in range(spaced if words else 0) if strings[k].isascii() and strings[k][1:].isalpha()]
+    if not plain:
+        return encode_strings(tokenizer, strings, spaced)
+    alone = np.ones(len(strings), bool)
+    alone[plain] = False
+    rest = np.flatnonzero(alone)
+    found = [rows_of([[t.id for t in words.tokenize("\u0120" + strings[k][1:])] for k in plain])]
+    found.append(encode_strings(tokenizer, [strings[k] for k in rest.tolist()], int((rest < spaced).sum())))
+    sizes = np.empty(len(strings), np.int64)
+    sizes[plain], sizes[rest] = found[0][0], found[1][0]
+    owner = np.concatenate([np.repeat(plain, found[0][0]), np.repeat(rest, found[1][0])])
+    return sizes, np.concatenate([found[0][1], found[1][1]])[np.argsort(owner, kind="stable")]
+
+
 def encode_strings(model, strings: list[str], spaced: int) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and ids of strings by the tokenizers library.
 
@@ -200,7 +226,8 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
 
             model = Tokenizer.from_file(path)
             model.encode_special_tokens = True
-            return PieceTable(lambda new, spaced: encode_strings(model, new, spaced), TABLE_PIECES)
+            words = word_model(model)
+            return PieceTable(lambda new, spaced: encode_pieces(model, words, new, spaced), TABLE_PIECES)
 
         # the table serves all tasks of a Python worker: what it holds depends on the tokenizer alone
         known = per_process(("tokenizers", path), load)

@@ -189,6 +189,14 @@ def test_shard_files(spark, sf):
     assert spark.read.parquet(path).groupBy("shard").count().count() == 3 and spark.read.parquet(path).count() == docs.count()
 
 
+@pytest.mark.parametrize("ids", [[1, 2, None], [1, 2, 2]])
+def test_shard_files_need_keys(spark, ids):
+    docs = spark.createDataFrame([(i, "s", "t") for i in ids], "doc_id long, source string, text string")
+    path = scratch_path(spark, "shards")
+    with pytest.raises(ValueError):
+        write_shards(docs, stratified_shards(docs, shards=2), path)
+
+
 def test_op8_whole_table(spark, sf):
     import zlib
 

@@ -22,7 +22,7 @@ CLEAN = ["plain prose without anything", "version 1.2.3 of 2024", "4111111111111
 
 def one(spark, texts, **more):
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
-    return {r["doc_id"]: r for r in replace_pii(df, **more).collect()}
+    return {r["doc_id"]: r for r in replace_pii(df, **{"key": "k", **more}).collect()}
 
 
 def test_types_keep_their_form(spark):
@@ -115,9 +115,28 @@ def test_given_names_of_one_family_stay_apart(spark):
     assert len(set(new)) == len(names) and not set(new) & set(names)
 
 
+def test_whole_names_are_replaced(spark):
+    texts = ["Mr McDonald left", "Mrs Jones-Lee left", "Mr O’Neil left", "Prof. Dr. Müller left", "Frau Prof. Anna-Lena MacArthur’s car", "Herr D'Angelo, D'Angelo"]
+    got = one(spark, texts)
+    whole = r"[A-Z][a-z]+"
+    forms = [rf"Mr {whole} left", rf"Mrs {whole} left", rf"Mr {whole} left", rf"Prof\. Dr\. {whole} left", rf"Frau Prof\. {whole} {whole}’s car", rf"Herr ({whole}), \1"]
+    for i, form in enumerate(forms):
+        assert re.fullmatch(form, got[i]["text"]) and got[i]["kinds"] == ["name"], got[i]["text"]
+    assert got[4]["text"].split()[2] in pii.NAMES["latin"]["f"]
+    left = {"McDonald", "Donald", "Jones", "Lee", "Neil", "Müller", "Anna", "Lena", "MacArthur", "Angelo"}
+    assert not left & set(re.findall(r"\w+", " ".join(got[i]["text"] for i in range(6))))
+
+
+def test_a_key_is_demanded(spark):
+    with pytest.raises(ValueError):
+        one(spark, ["x"], key="")
+    with pytest.raises(TypeError):
+        replace_pii(spark.createDataFrame([("x",)], "text string"))
+
+
 def test_edge_cases(spark, edge):
-    got = replace_pii(edge)
-    assert got.count() == edge.count() and replace_pii(edge.limit(0)).count() == 0
+    got = replace_pii(edge, "k")
+    assert got.count() == edge.count() and replace_pii(edge.limit(0), "k").count() == 0
     assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(r["doc_id"], r["text"]) for r in edge.collect()}
     long = "x@y.org " * 20_000
     assert one(spark, [long])[0]["n_entities"] == 20_000

@@ -47,6 +47,12 @@ def test_decisions(spark, sf):
         assert r["exact"] and bytes(r["ids"]) == np.array(plain.encode_ordinary(texts[r["doc_id"]]["text"]), "<u4").tobytes()
 
 
+def test_language_stage_without_labels(spark, sf):
+    rows = [(1, "some words", None), (2, "12 \u00bd", None), (3, None, None), (4, "", None), (5, "\u0436", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, sf).collect()) == [1, 5]
+
+
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert 0 < got.count() <= spark.read.parquet(f"{sf}/documents.parquet").count() and got.where("not exact").count() == 0

@@ -26,8 +26,58 @@ def test_language_without_labels(spark):
 
 def test_language_sample_is_bounded(spark):
     many = spark.range(5000).selectExpr("id AS doc_id", "'abc' AS text", "'en' AS lang")
-    assert 300 < language.sample_rows(many, "doc_id", 500).count() < 700
-    assert language.sample_rows(many, "doc_id", 5000).count() == 5000
+    assert 300 < language.sample_rows(many, "doc_id", "lang", 500).count() < 700
+    assert language.sample_rows(many, "doc_id", "lang", 5000).count() == 5000
+    few = spark.range(50).selectExpr("id AS doc_id", "'abc' AS text", "'fy' AS lang")
+    kept = {r["lang"]: r["count"] for r in language.sample_rows(many.unionByName(few), "doc_id", "lang", 500).groupBy("lang").count().collect()}
+    assert kept["fy"] == 50 and 300 < kept["en"] < 700
+
+
+def test_rare_language_beside_a_hot_one(spark):
+    rng = random.Random(8)
+    syllables = {"hot": ["ka", "lo", "mi", "ten", "ra", "su"], "rare": ["vry", "gho", "zhe", "quo", "xip", "wug"]}
+    text = lambda kind: " ".join("".join(rng.choices(syllables[kind], k=rng.randint(2, 4))) for _ in range(40))
+    rows = [(i, text("hot"), "hot") for i in range(3000)] + [(5000 + i, text("rare"), "rare") for i in range(50)]
+    # a model too small for the hot language's words alone
+    model = fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=400)
+    assert sum(len(t) for t in model["table"].values()) <= 400
+    asked = spark.createDataFrame([(i, text("rare" if i % 2 else "hot")) for i in range(40)], "doc_id long, text string")
+    assert all(r["lang_pred"] == ("rare" if r["doc_id"] % 2 else "hot") for r in predict(asked, model).collect())
+
+
+def test_words_are_letters_and_their_marks():
+    texts = ["Ab cd", None, "", "x\u00b2 \u00bd \u2167 \u2460 123", "\u0301a\u0301b \u0301", "\u0939\u093f\u0928\u094d\u0926\u0940 \u0928", "a_b-c", "  "]
+    import pyarrow as pa
+
+    words, index, counts = language.words_of(pa.array(texts, pa.string()))
+    flat, out = [words[i] for i in index.tolist()], []
+    for n in counts.tolist():
+        out.append(flat[:n])
+        flat = flat[n:]
+    assert out == [["ab", "cd"], [], [], ["x"], ["a\u0301b"], ["\u0939\u093f\u0928\u094d\u0926\u0940", "\u0928"], ["a", "b", "c"], []] and not flat
+
+
+def test_numbers_and_marks_have_no_language(spark):
+    model = fit_language(spark.createDataFrame([(1, "one two three", "en")] * 5, "doc_id long, text string, lang string"))
+    texts = ["\u00b2", "\u00bd", "\u2167", "\u2460", "\u0301", "12", None, "", "\u00b2x"]
+    got = predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == dict.fromkeys(range(8), "und") | {8: "en"}
+
+
+def test_scores_do_not_depend_on_lots(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    table = {n: {} for n in range(6)}
+    table[1] = {c: np.array([rng.random(), rng.random(), rng.random()], np.float32) for c in "abcdefgh"}
+    model = {"langs": ["x", "y", "z"], "table": table}
+    texts = pa.array([" ".join(rng.choices("abcdefgh", k=rng.randint(0, 30))) for _ in range(200)])
+    names, scores = language.Scorer(model).predict(texts)
+    monkeypatch.setattr(language, "CELLS", 21)
+    monkeypatch.setattr(language, "CACHE", 3)
+    again, others = language.Scorer(model).predict(texts)
+    assert names == again and np.allclose(scores, others, atol=1e-12)
 
 
 def test_op5_held_out(spark):

@@ -9,7 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from molweave.llm.bpe import DuckBpe, bpe_roundtrip, load_ranks, op4_bpe
-from molweave.llm.token_file import TokenFile, encode_levels, file_bytes, op2_token_file, read_token_files, write_token_files
+from molweave.llm.token_file import TokenFile, encode_levels, encode_pieces, file_bytes, op2_token_file, read_token_files, word_model, write_token_files
 from molweave.llm.words import PieceTable
 from molweave.session import scratch_path
 
@@ -62,6 +62,18 @@ def test_long_words_of_late_halves(plain):
         assert got.tolist() == plain._encode_single_piece(word)
 
 
+def test_pieces_the_short_and_the_whole_way(library):
+    words = word_model(library)
+    assert words is not None
+    strings = [" the", " Zebra", " thhestin", " naïve", " don't", " word,", " 12ab", " a\rb", " x", "front", "", "two words", ",", " ünï"]
+    for spaced in (0, 9):
+        sizes, flat = encode_pieces(library, words, strings, spaced)
+        want = [library.encode(s, add_special_tokens=False).ids for s in strings]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    lower = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert word_model(lower) is None
+
+
 def test_other_pattern_encodes_whole_texts(edge):
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     lines = tiktoken.Encoding("lines", pat_str=".+|\n", mergeable_ranks=ranks, special_tokens={})
