@@ -2,7 +2,8 @@
 
 Tasks write their lines into a staging folder of the write and report what they wrote. Only when all have, the driver
 moves the parts to their names, adds a count line where one is asked for, checks model numbers, and at last puts a
-manifest in place that names the parts. A reader goes by the manifest, so a failed or repeated write shows nothing.
+manifest in place that names the parts. A reader goes by the manifest, so a failed or repeated write shows nothing. A
+task that outlives an aborted write may leave a file in that write's staging folder, which nobody reads.
 """
 
 from __future__ import annotations
