@@ -123,33 +123,50 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     table: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
     for n, gram, name, times in zip(top["n"].tolist(), top["gram"].tolist(), top["lang"].tolist(), top["times"].tolist(), strict=True):
         table[n].setdefault(gram, np.zeros(len(langs)))[at[name]] = times
-    for found in table.values():
+    # n-grams and words point to the rows of one matrix
+    index: dict[int, dict[str, int]] = {n: {} for n in table}
+    scores: list[np.ndarray] = []
+    for n, found in table.items():
         total = sum(found.values()) + 1.0 if found else None
         for gram, seen in found.items():
             logs = np.log((seen + 0.5) / (total + 0.5 * len(found)))
-            found[gram] = (logs - logs.max()).astype(np.float32)
-    return {"langs": langs, "table": table}
+            index[n][gram] = len(scores)
+            scores.append(logs - logs.max())
+    return {"langs": langs, "table": index, "rows": np.array(scores, np.float32).reshape(len(scores), len(langs))}
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, self.table = model["langs"], model["table"]
+        self.langs, self.table, self.known = model["langs"], model["table"], model["rows"]
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.langs)), np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.table[0].get(word)
-        if known is not None:
-            return known
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words: their own, else the mean of their longest known n-grams, else zeros."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        whole = np.fromiter((self.table[0].get(w, -1) for w in words), np.int64, len(words))
+        out[whole >= 0] = self.known[whole[whole >= 0]]
+        left = np.flatnonzero(whole < 0).tolist()
+        for n in range(LONGEST, 0, -1):
             seen = self.table[n]
-            found = [seen[g] for g in grams(word, n) if g in seen]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+            flat: list[int] = []
+            sizes, who, still = [], [], []
+            for i in left:
+                found = [seen[g] for g in grams(words[i], n) if g in seen] if n <= len(words[i]) + 2 else []
+                if found:
+                    flat += found
+                    sizes.append(len(found))
+                    who.append(i)
+                else:
+                    still.append(i)
+            if who:
+                size = np.array(sizes)
+                out[who] = np.add.reduceat(self.known[flat], np.cumsum(size) - size, axis=0) / size[:, None]
+            left = still
+        return out
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Rows of scores for different words."""
@@ -164,7 +181,7 @@ class Scorer:
                 grown = np.zeros((max(2 * len(self.rows), base + len(new), 1024), len(self.langs)), np.float32)
                 grown[:base] = self.rows[:base]
                 self.rows = grown
-            self.rows[base : base + len(new)] = [self.word(w) for w in new]
+            self.rows[base : base + len(new)] = self.scores(new)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:

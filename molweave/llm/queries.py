@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .conversations import op11_conversations
 from .decontaminate import OP9_SQL, op9_decontaminate
-from .embeddings import op3_embeddings
+from .embeddings import OP3_SQL, op3_embeddings
 from .language import op5_language
 from .merkle import OP12_SQL, op12_merkle
 from .pieces import op13_pieces
@@ -36,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_pieces": op13_pieces,
 }
 
-SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL, "op12_merkle": OP12_SQL}
+SQL: dict[str, str] = {"op3_embeddings": OP3_SQL, "op9_decontaminate": OP9_SQL, "op12_merkle": OP12_SQL}

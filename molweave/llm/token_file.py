@@ -124,25 +124,43 @@ class TokenFile:
             yield doc, ids[self.starts[k] : self.starts[k + 1]]
 
 
+#: letters below this one (Latin, Greek, Cyrillic) are letters in every version of Unicode in use
+LETTERS_TO = "\u0530"
+#: how a byte-level vocabulary writes bytes: visible ones as themselves, the others as characters from 256 on, in order
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_VISIBLE))}
+
+
+def signs(piece: str) -> str:
+    """A string as a byte-level vocabulary writes it."""
+    return piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+
+
+def is_word(piece: str) -> bool:
+    """A space and letters, which a byte-level pattern leaves whole."""
+    word = piece[1:]
+    return word.isalpha() and (word.isascii() or max(word) < LETTERS_TO)
+
+
 def word_model(tokenizer):
     """The library's model for words that a byte-level pattern leaves whole, or None if the tokenizer treats them otherwise."""
     model = tokenizer.model
-    for word in ("the", "Zq", "internationalisation", "aB", "x"):
-        if tokenizer.encode(f" {word}", add_special_tokens=False).ids != [t.id for t in model.tokenize(f"\u0120{word}")]:
+    for word in (" the", " Zq", " internationalisation", " aB", " x", " naïve", " Übermaß", " слово", " λόγος"):
+        if tokenizer.encode(word, add_special_tokens=False).ids != [t.id for t in model.tokenize(signs(word))]:
             return None
     return model
 
 
 def encode_pieces(tokenizer, words, strings: list[str], spaced: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and ids of strings: a space and ASCII letters are one word and go to ``words`` (:func:`word_model`)
-    directly, all others the whole way."""
-    plain = [k for k in range(spaced if words else 0) if strings[k].isascii() and strings[k][1:].isalpha()]
+    """Sizes and ids of strings: a space and letters are one word and go to ``words`` (:func:`word_model`) directly, all
+    others the whole way."""
+    plain = [k for k in range(spaced if words else 0) if is_word(strings[k])]
     if not plain:
         return encode_strings(tokenizer, strings, spaced)
     alone = np.ones(len(strings), bool)
     alone[plain] = False
     rest = np.flatnonzero(alone)
-    found = [rows_of([[t.id for t in words.tokenize("\u0120" + strings[k][1:])] for k in plain])]
+    found = [rows_of([[t.id for t in words.tokenize(signs(strings[k]))] for k in plain])]
     found.append(encode_strings(tokenizer, [strings[k] for k in rest.tolist()], int((rest < spaced).sum())))
     sizes = np.empty(len(strings), np.int64)
     sizes[plain], sizes[rest] = found[0][0], found[1][0]

@@ -62,7 +62,7 @@ class PieceTable:
 
         One mark after a letter or digit is a word of its own, so "word," is put together from "word" and ",".
         """
-        good = [p for p in spaced if p and p == p.strip()]
+        good = [p for p in spaced if p and not p[0].isspace() and not p[-1].isspace()]
         self.after_space.update(dict.fromkeys(spaced, -1))
         marked = [p for p in good if p[-1] in MARKS and p[-2:-1].isalnum()]
         rest = set(good).difference(marked)
@@ -136,8 +136,10 @@ class PieceTable:
         index[index < 0] = 0
         begin, size = self.starts[index], self.starts[index + 1] - self.starts[index]
         after = np.cumsum(size)
-        flat = self.ids[np.arange(int(after[-1])) - np.repeat(after - size - begin, size)]
-        out = np.split(flat, after[offsets[1:] - 1][:-1])
+        # places in 32 bits, as a lot and the table are far smaller
+        flat = self.ids[np.arange(int(after[-1]), dtype=np.int32) - np.repeat((after - size - begin).astype(np.int32), size)]
+        ends = after[offsets[1:] - 1].tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         whole = np.flatnonzero(bad)
         if len(whole):
             sizes, flat = self.encode([texts[i].as_py() for i in whole.tolist()], 0)

@@ -69,9 +69,8 @@ def test_scores_do_not_depend_on_lots(monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(2)
-    table = {n: {} for n in range(6)}
-    table[1] = {c: np.array([rng.random(), rng.random(), rng.random()], np.float32) for c in "abcdefgh"}
-    model = {"langs": ["x", "y", "z"], "table": table}
+    table = {n: {} for n in range(6)} | {1: {c: k for k, c in enumerate("abcdefgh")}}
+    model = {"langs": ["x", "y", "z"], "table": table, "rows": np.array([[rng.random() for _ in range(3)] for _ in range(8)], np.float32)}
     texts = pa.array([" ".join(rng.choices("abcdefgh", k=rng.randint(0, 30))) for _ in range(200)])
     names, scores = language.Scorer(model).predict(texts)
     monkeypatch.setattr(language, "CELLS", 21)
