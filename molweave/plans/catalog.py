@@ -35,8 +35,6 @@ WIDTH = 32
 BOX = Box((0.0, 0.0, 0.0), (30.0, 30.0, 30.0))
 SITE_STEP = 0.5
 ATOMS = 21
-#: clusters with which the queries of trees in rounds hand over to one task
-HAND_OVER = 48
 ELEMENT_KINDS = ("C", "N", "O", "S", "H", "F", "P", "Cl", "Br", "Zn")
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -537,8 +535,12 @@ def yes_clades(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
 
 
 def _in_rounds(query: Callable[..., DataFrame], **how: int) -> Query:
-    """A tree query by rounds of mutual nearest neighbours over its pair table, until few clusters are left."""
-    return lambda spark, sf_dir: query(spark, sf_dir, local_leaves=1, hand_over=HAND_OVER, **how)
+    """A tree query by rounds of mutual nearest neighbours over its pair table, until half of the clusters are left."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, local_leaves=1, hand_over=labelled(spark, sf_dir).count() // 2, **how)
+
+    return run
 
 
 def clade_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
