@@ -38,7 +38,7 @@ CELLS = 4_000_000
 BETWEEN = r"[^\p{L}\p{M}]+"
 NO_LANGUAGE = "und"
 #: characters whose words are looked up at once
-LOT_CHARS = 2_000_000
+LOT_CHARS = 500_000
 
 OUTPUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
