@@ -28,7 +28,7 @@ KEY_SETTING = "spark.molweave.surrogateKey"
 #: documents of one Arrow batch, and characters that the last stage encodes at once: workers and executors of five
 #: stages share their memory
 BATCH_ROWS, LOT_CHARS = 1_000, 500_000
-#: pieces that a worker of the last stage keeps
+#: pieces that a task of the last stage holds
 PIECES = 300_000
 
 
@@ -103,7 +103,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded", "exact")]
     _small_batches(spark)
     text = F.coalesce("text", F.lit(""))
-    coded = bpe_roundtrip(docs.withColumn("__sha", F.sha2(text, 256)), keep=[*kept, "__sha"], lot_chars=LOT_CHARS, pieces=PIECES)
+    coded = bpe_roundtrip(docs.withColumn("__sha", F.sha2(text, 256)), keep=[*kept, "__sha"], lot_chars=LOT_CHARS, pieces=PIECES, kept=False)
     return coded.select(*kept, "n_tokens", "ids", (F.col("__sha") == F.sha2("decoded", 256)).alias("exact"))
 
 

@@ -206,12 +206,13 @@ class WordCutter:
         return np.diff(np.concatenate([[0], after])[counts], prepend=0), ids
 
 
-def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: list[str] | None = None, lot_chars: int = LOT_CHARS, pieces: int = TABLE_PIECES) -> DataFrame:
+def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: list[str] | None = None, lot_chars: int = LOT_CHARS, pieces: int = TABLE_PIECES, kept: bool = True) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (bytes of the decoded ids).
 
     ``path`` is a file of base64 tokens and ranks, ``pattern`` cuts texts into words; the defaults are the public
-    50k vocabulary and its pattern, with which a Python worker keeps the pieces it met for its later tasks. With another
-    pattern every text is cut as a whole. Null and empty texts have no tokens and decode to no bytes. Texts of any length
+    50k vocabulary and its pattern. A Python worker keeps the pieces it met for its later tasks, unless ``kept`` is False:
+    where executors run other Python stages too, more workers than cores may be alive. With another pattern every text
+    is cut as a whole. Null and empty texts have no tokens and decode to no bytes. Texts of any length
     are encoded whole; a task encodes about ``lot_chars`` characters of text at once. Repeated rows give repeated results, an empty table an empty one; input columns named like an
     output are replaced.
     """
@@ -227,7 +228,7 @@ def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, pa
             cutter = WordCutter(regex.compile(cut), engine)
             return engine, cutter, PieceTable(cutter.encode, pieces, keep=True)
 
-        engine, cutter, known = per_process(("bpe", file, cut, pieces), load)
+        engine, cutter, known = per_process(("bpe", file, cut, pieces), load) if kept else load()
 
         def run(texts: list[str | None]) -> list[pa.Array]:
             whole = [t or "" for t in texts]
