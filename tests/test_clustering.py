@@ -1,12 +1,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from plain import rows
 from pyspark.sql import functions as F
 
 from molweave.operators import clustering as cl
-from molweave.operators.similarity import distance_pairs
+from molweave.operators import growth
+from molweave.operators.similarity import blended_pairs, distance_pairs
 from test_similarity import packed, tanimoto
 
 
@@ -155,3 +157,55 @@ def test_positive_clades(spark):
         assert sorted(r["node"] for r in cl.positive_clades(tree, percent).collect()) == want
     chosen = cl.positive_clades(tree, 60)
     assert cl.clade_members(tree, chosen).count() == 6
+
+
+@pytest.mark.parametrize("linkage", cl.LINKAGES)
+def test_large_trees_write_no_pairs_and_bound_the_last_task(spark, linkage, monkeypatch):
+    vectors = leaves(24, 11)
+    # copies of one vector, which would merge one by one, and empty ones
+    vectors += [(24 + i, f"not_{24 + i}", vectors[3][2]) for i in range(5)] + [(29 + i, f"YES_{29 + i}", [0]) for i in range(3)]
+    df = spark.createDataFrame([(1, *v) for v in vectors], "tree long, ord long, name string, words array<bigint>")
+    local = cl.tree_of_vectors(df, linkage)
+
+    def no_pairs(*args):
+        raise AssertionError("pairs must not be written")
+
+    asked = []
+    monkeypatch.setattr(cl, "distance_pairs", no_pairs)
+    monkeypatch.setattr(cl, "LOCAL_LEAVES", 12)
+    monkeypatch.setattr(cl, "grow", lambda *a: asked.append(a[-1]) or growth.grow(*a))
+    grown = cl.tree_of_vectors(df, linkage, local_leaves=2, hand_over=30)
+    assert rows(local) == rows(grown)
+    assert asked == [12]
+
+
+def test_tree_of_blends_is_the_tree_of_blended_pairs(spark):
+    data = [(*v, w[2]) for v, w in zip(leaves(18, 13), leaves(18, 14), strict=True)]
+    df = spark.createDataFrame(data, "ord long, name string, words array<bigint>, words2 array<bigint>")
+    want = cl.tree_of_pairs(df.select("ord", "name"), blended_pairs(df, 0.5))
+    assert rows(cl.tree_of_blends(df, 0.5, local_leaves=2, hand_over=5)) == rows(want)
+
+
+@pytest.mark.parametrize("linkage", cl.LINKAGES)
+def test_tiles_of_any_size_give_the_same_distances(linkage, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(1, 2**40, (60, 1))
+    rounds, alive, size = [], np.arange(60), np.ones(60)
+    for _ in range(4):
+        pairs = np.sort(rng.permutation(alive)[: len(alive) // 2 * 2].reshape(-1, 2), axis=1)
+        lo, hi = pairs.T
+        size[lo] += size[hi]
+        rounds.append((hi, lo, size[hi].copy(), size[lo].copy()))
+        alive = np.setdiff1d(alive, hi)
+    from_vectors = growth._Clusters(vectors, rounds, lambda a, b: cl._distance(a, b, 1.0), linkage)
+
+    def whole(limit):
+        parts = from_vectors.parts(from_vectors.slots, limit)
+        return np.vstack([np.hstack([from_vectors.between(a, b) for b in parts]) for a in parts])
+
+    want = whole(1000)
+    assert want.shape == (len(alive), len(alive))
+    assert np.array_equal(want, want.T)
+    for cells in (1, 7, 300):
+        monkeypatch.setattr(growth, "CELLS", cells)
+        assert np.array_equal(whole(10), want)
