@@ -13,9 +13,9 @@ from molweave.operators.similarity import lower_triangle_lines
 
 def write_distance_matrix(vectors: DataFrame, path: str, pairs: DataFrame | None = None) -> None:
     """Lower-triangular distance matrix: the number of compounds, then one line per compound."""
-    lines = lower_triangle_lines(vectors, pairs)
+    lines = lower_triangle_lines(vectors, pairs, ordered=True)
     head = vectors.agg(F.count("*").cast("string").alias("line")).select(F.lit(-1).alias("ord"), "line")
-    head.unionByName(lines).orderBy("ord").select("line").write.text(path)
+    head.unionByName(lines).select("line").write.text(path)
 
 
 def numbered_models(models: DataFrame, order: list[str]) -> DataFrame:

@@ -210,3 +210,21 @@ def test_matrix_lines_from_blocks(spark, left, block_rows):
     assert rows(sim.lower_triangle_lines(left, block_rows=block_rows)) == sorted(want, key=str)
     assert rows(sim.lower_triangle_lines(left, sim.distance_pairs(left))) == sorted(want, key=str)
     assert sim.lower_triangle_lines(left.limit(0)).count() == 0
+
+
+def test_matrix_lines_are_made_without_a_shuffle_of_cells(spark, left, monkeypatch):
+    def no_blocks(*args):
+        raise AssertionError("cells must not be shuffled")
+
+    by_blocks = sim._fragments
+    monkeypatch.setattr(sim, "_fragments", no_blocks)
+    monkeypatch.setattr(sim, "LINE_CELLS", 40)
+    got = sim.lower_triangle_lines(left, ordered=True)
+    assert [r["ord"] for r in got.collect()] == sorted(r["ord"] for r in left.collect())
+    # vectors too large to be sent, and numbers that repeat, go by blocks
+    monkeypatch.setattr(sim, "_fragments", by_blocks)
+    twice = left.unionByName(left.limit(3))
+    assert sim._whole_lines(twice, 1.0, False) is None
+    monkeypatch.setattr(sim, "SENT_ROWS", 0)
+    assert sim._whole_lines(left, 1.0, False) is None
+    assert rows(sim.lower_triangle_lines(left, block_rows=7)) == rows(got)
