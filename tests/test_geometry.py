@@ -6,7 +6,7 @@ from plain import rows
 
 from molweave.functions.geometry import Box
 from molweave.operators import contacts, site
-from molweave.operators.fingerprints import unpack_bits
+from molweave.operators.fingerprints import bit_text, unpack_bits
 
 POINT = "atom_id long, x double, y double, z double, radius double"
 
@@ -125,3 +125,31 @@ def test_box_reaches_the_scan(spark, tmp_path):
     # the plan text cuts the list of pushed filters short
     assert "PushedFilters" in plan and "LessThanOrEqual(x,1.5)" in plan
     assert "radius" not in plan
+
+
+def test_contacts_meet_the_site_without_a_row_per_pair(spark):
+    where = spark.createDataFrame([(i % 70, *a[1:4]) for i, a in enumerate(random_atoms(90, 9, 3))] + [(70, None, 0.0, 0.0), (None, 0.0, 0.0, 0.0)], "bit int, x double, y double, z double")
+    atoms = [(f"m{a[0] % 9}", a[0] % 2, *a[1:4]) for a in random_atoms(200, 12, 4)] + [(None, 1, 0.0, 0.0, 0.0), ("free", None, 900.0, 0.0, 0.0), ("free", 3, None, 0.0, math.nan)]
+    # atoms of a molecule are spread over partitions, and the last ones are there twice
+    ligand = spark.createDataFrame(atoms + atoms[-9:], "name string, part int, x double, y double, z double").repartition(5)
+    by = ("name", "part")
+    found = contacts.contact_pairs(ligand, where, 4.5, by, once=True)
+    assert rows(found) == rows(contacts.contact_pairs(ligand, where, 4.5, by, broadcast_rows=5).distinct())
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    packed, salted = (contacts.contact_fingerprints(ligand, where, 71, 4.5, by, broadcast_rows=n) for n in (1000, 5))
+    assert rows(packed) == rows(salted)
+    assert "Join" not in packed._jdf.queryExecution().optimizedPlan().toString()
+    text = {(r["name"], r["part"]): r["bits"] for r in bit_text(packed, by, 71).collect()}
+    bits = {key: "" for key in text} | {}
+    for name, part, bit in sorted(map(tuple, unpack_bits(packed, 71, list(by)).collect()), key=lambda r: r[2]):
+        bits[name, part] += f",{bit}" if bits[name, part] else str(bit)
+    assert text == bits and text["free", 3] == ""
+
+
+def test_nearest_of_sent_site_is_that_of_the_join(spark):
+    where = spark.createDataFrame([(i, *a[1:4]) for i, a in enumerate(random_atoms(50, 9, 7) * 2)] + [(None, 0.0, 0.0, 0.0)], "bit int, x double, y double, z double")
+    far = [(f"m{a[0]}", *(v + 40.0 * (a[0] % 5) for v in a[1:4])) for a in random_atoms(60, 30, 8)]
+    ligand = spark.createDataFrame(far * 2 + [(None, 1.0, 2.0, 3.0)], "name string, x double, y double, z double").repartition(6)
+    near, joined = (contacts.nearest_site_atoms(ligand, where, ("name",), broadcast_rows=n) for n in (1000, 5))
+    assert rows(near) == rows(joined)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
