@@ -5,7 +5,7 @@ from plain import rows
 from pyspark.sql import functions as F
 
 from molweave.operators import fingerprints as fp
-from molweave.operators import selection
+from molweave.operators import blocks, selection
 from molweave.operators import similarity as sim
 from molweave.sinks import text as text_sinks
 
@@ -228,3 +228,18 @@ def test_matrix_lines_are_made_without_a_shuffle_of_cells(spark, left, monkeypat
     monkeypatch.setattr(sim, "SENT_ROWS", 0)
     assert sim._whole_lines(left, 1.0, False) is None
     assert rows(sim.lower_triangle_lines(left, block_rows=7)) == rows(got)
+
+
+@pytest.mark.parametrize("sent_rows", [1 << 20, 3])
+def test_pairs_meet_a_sent_side_without_a_shuffle_of_pairs(spark, left, right, sent_rows, monkeypatch):
+    monkeypatch.setattr(blocks, "SENT_ROWS", sent_rows)
+    both = left.withColumn("words2", F.reverse("words"))
+    for found, want in (
+        (sim.similarity_pairs(left, right, block_rows=8, digits=3), sim.similarity_pairs(left, right).withColumn("sim", F.round("sim", 3))),
+        (sim.distance_pairs(left, block_rows=8, digits=3), sim.distance_pairs(left).withColumns({c: F.round(c, 3) for c in ("sim", "dist")})),
+        (sim.blended_pairs(both, 0.5, block_rows=8, digits=3), sim.blended_pairs(both, 0.5).withColumn("dist", F.round("dist", 3))),
+    ):
+        assert rows(found) == rows(want)
+        assert ("CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()) == (sent_rows == 3)
+    best = [sim.most_similar(left, right, 3, block_rows=n) for n in (8, 4096)]
+    assert rows(best[0]) == rows(best[1])
