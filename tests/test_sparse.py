@@ -4,6 +4,7 @@ import pytest
 from plain import rows
 from pyspark.sql import functions as F
 
+from molweave.plans import catalog
 from molweave.operators import similarity as sim
 from molweave.operators import sparse
 from molweave.session import scratch_path
@@ -114,3 +115,14 @@ def test_index_search_of_nothing(spark):
     some = spark.createDataFrame(prints(3, 1), VECTOR)
     assert sparse.most_similar_indexed(some, sparse.read_index(spark, path), 3).count() == 0
     assert sparse.most_similar_indexed(some.limit(0), sparse.read_index(spark, path), 3).count() == 0
+
+
+def test_equal_orders_are_fingerprinted_once(spark, tmp_path, monkeypatch):
+    lines = [(o, n, "F" if o % 2 else "O", "A" if n == 2 else "N") for o in range(20) for n in (1, 2, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    given = []
+    made = catalog.fingerprints.record_fingerprints
+    monkeypatch.setattr(catalog.fingerprints, "record_fingerprints", lambda df, *rest: given.append(df.count()) or made(df, *rest))
+    found = catalog._order_vectors(spark, str(tmp_path))
+    assert given == [2]
+    assert sorted(r["ord"] for r in found.collect()) == [0, 1]
