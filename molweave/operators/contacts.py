@@ -104,11 +104,18 @@ def _xyz(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     return np.stack([table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table[c].to_numpy() for c in AXES], axis=1).astype(np.float64)
 
 
+def _plain(column: pa.Array) -> list[pa.Array]:
+    """A key column as columns of plain values: a struct as its fields, a list as text."""
+    if pa.types.is_struct(column.type):
+        return [column.is_null(), *(part for field in column.flatten() for part in _plain(field))]
+    return [pa.array(list(map(repr, column.to_pylist())), pa.string())] if pa.types.is_nested(column.type) else [column]
+
+
 def _molecules(batch: pa.RecordBatch, by: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The first row of every molecule of a batch, and the molecule of every row."""
     code = np.zeros(batch.num_rows, dtype=np.int64)
-    for c in by:
-        found = batch.column(c).dictionary_encode(null_encoding="encode")
+    for column in (part for c in by for part in _plain(batch.column(c))):
+        found = column.dictionary_encode(null_encoding="encode")
         code = code * len(found.dictionary) + found.indices.to_numpy(zero_copy_only=False)
         code = np.unique(code, return_inverse=True)[1]
     _, first, code = np.unique(code, return_index=True, return_inverse=True)

@@ -153,3 +153,10 @@ def test_nearest_of_sent_site_is_that_of_the_join(spark):
     near, joined = (contacts.nearest_site_atoms(ligand, where, ("name",), broadcast_rows=n) for n in (1000, 5))
     assert rows(near) == rows(joined)
     assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_molecules_may_be_named_by_a_struct(spark):
+    where = spark.createDataFrame([(i, *a[1:4]) for i, a in enumerate(random_atoms(30, 9, 3))], "bit int, x double, y double, z double")
+    ligand = spark.createDataFrame([((a[0] % 4, "m"), *a[1:4]) for a in random_atoms(40, 9, 4)] + [(None, 0.0, 0.0, 0.0)], "mol struct<id: long, name: string>, x double, y double, z double")
+    packed, salted = (contacts.contact_fingerprints(ligand, where, 30, 4.5, ("mol",), broadcast_rows=n) for n in (1000, 5))
+    assert rows(packed) == rows(salted) and packed.count() == 5
