@@ -30,6 +30,14 @@ def test_exact_rank(spark, scored, small_rows):
     assert ranks == list(range(1, 901))
 
 
+@pytest.mark.parametrize("small_rows", [10_000, 0])
+def test_exact_rank_keeps_groups_without_a_key(spark, scored, small_rows):
+    order = [F.desc("score"), F.asc("name")]
+    some = scored.withColumn("g", F.when(F.col("g") > 1, F.col("g")))
+    want = some.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert rows(ranking.exact_rank(some, ["g"], order, small_rows=small_rows), "g", "name", "rank") == rows(want, "g", "name", "rank")
+
+
 @pytest.mark.parametrize("small_rows", [10_000, 0])
 def test_top_by_score(spark, scored, small_rows, monkeypatch):
     monkeypatch.setattr(ranking.exact_rank, "__defaults__", ("rank", small_rows))
