@@ -95,6 +95,13 @@ def test_mean_and_top(spark, left, right, block_rows):
     assert rows(top, "subset", "name") == sorted(expect, key=str)
 
 
+@pytest.mark.parametrize("small_rows", [10_000, 0])
+def test_isolated_by_chunks(spark, left, right, small_rows, monkeypatch):
+    monkeypatch.setattr(selection.exact_rank, "__defaults__", ("rank", small_rows))
+    df = spark.createDataFrame([(1, "train1"), (1, "train5"), (2, "train3")], "subset long, name string")
+    assert selection.isolated_top(right, left, df, 2, len(LEFT)).groupBy("subset").count().where("count >= 10").count() == 2
+
+
 @pytest.mark.parametrize("sent_rows", [selection.LABELLED_ROWS, 1])
 @pytest.mark.parametrize("percent", [2, 60])
 def test_isolated(spark, left, right, percent, sent_rows, monkeypatch):
@@ -128,6 +135,29 @@ def test_top_of_members(spark, left, right, percent, sent_rows, monkeypatch):
     assert {(s, n, round(v, 9)) for s, n, v in rows(got, "subset", "name", "avg_sim")} == want
 
 
+@pytest.mark.parametrize("dense", [selection.DENSE, 0])
+@pytest.mark.parametrize("percent", [3, 29])
+def test_once_per_scope(spark, left, right, percent, dense, monkeypatch):
+    monkeypatch.setattr(selection, "DENSE", dense)
+    monkeypatch.setattr(selection, "STEP_CELLS", 100)
+    written = []
+    monkeypatch.setattr(selection, "materialise", lambda df, name: written.append(name) or df)
+    places = spark.createDataFrame([(f"train{(7 * i + s) % 23}", s, i) for s in (4, 9) for i in range(20)], "name string, scope long, pos long")
+    spans = [(s, k, k, k % 5 + 1) for s in (4, 9) for k in range(0, 15, 3)]
+    spans = spark.createDataFrame(spans, "scope long, subset long, first long, size long")
+    # a scope that nobody asks for, one listed twice, and none
+    scopes = F.when(F.col("ord") % 5 == 0, F.array(F.lit(9), F.lit(4), F.lit(9))).when(F.col("ord") % 5 == 1, F.expr("cast(array() as array<long>)"))
+    base = left.withColumn("scopes", scopes.otherwise(F.array(F.lit(77), F.lit(4), F.lit(None))).cast("array<long>"))
+    counts = base.select(F.explode(F.array_distinct("scopes")).alias("scope")).groupBy("scope").agg(F.count("*").alias("n"))
+    every = selection.top_in_intervals(base, right, places, spans, counts, percent)
+    union = selection.top_in_intervals(base, right, places, spans, counts, percent, once_per_scope=True)
+    assert written == ["near", "near"]
+    assert rows(union) == rows(every.select("scope", "name").distinct())
+    n = {r["scope"]: r["n"] for r in counts.collect()}
+    sizes = {(r["scope"], r["subset"]): r["count"] for r in every.groupBy("scope", "subset").count().collect()}
+    assert sizes == {(s, k): c for s in (4, 9) for k in range(0, 15, 3) if (c := int(percent / 100.0 * n[s]))}
+
+
 def test_selection_writes_no_scores(spark, left, right, monkeypatch):
     written = []
     monkeypatch.setattr("molweave.operators.ranking.materialise", lambda df, name: written.append(name) or df)
