@@ -85,3 +85,15 @@ def test_docking_collection(spark, tmp_path):
     assert rows(table, "Name") == [("a",), ("b",)]
     kept = {r["ligand"]: r["lines"][-1] for r in pdbqt.read_pdbqt(spark, collected).collect()}
     assert kept == {"a": "ROOT a1", "b": "ROOT b1"}
+
+
+def test_a_lot_is_listed_by_few_tasks(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    log(tmp_path / "logs", "a", "-1.0")
+    before = spark.conf.get(intake.LISTING_TASKS)
+    stream = intake.stream_first_logs(spark, str(tmp_path / "logs"))
+    assert int(stream.sparkSession.conf.get(intake.LISTING_TASKS)) == 2 * spark.sparkContext.defaultParallelism
+    # settings that were made while the session ran hold, and the caller's are left alone
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        assert stream.sparkSession.conf.get(key) == spark.conf.get(key)
+    assert spark.conf.get(intake.LISTING_TASKS) == before
