@@ -98,10 +98,27 @@ def test_mean_and_top(spark, left, right, block_rows):
 @pytest.mark.parametrize("small_rows", [10_000, 0])
 def test_isolated_by_chunks(spark, left, right, small_rows, monkeypatch):
     monkeypatch.setattr(selection.exact_rank, "__defaults__", ("rank", small_rows))
+    monkeypatch.setattr(selection, "_best_of_each", lambda *a: None)
     df = spark.createDataFrame([(1, "train1"), (1, "train5"), (2, "train3")], "subset long, name string")
     assert selection.isolated_top(right, left, df, 2, len(LEFT)).groupBy("subset").count().where("count >= 10").count() == 2
 
 
+def test_isolated_ranks_in_one_step(spark, left, right, monkeypatch):
+    df = spark.createDataFrame([(1, "train1"), (1, "train5"), (2, "train3"), (3, "train1"), (3, "missing")], "subset long, name string")
+    by_interval = rows(selection.isolated_top(right, left, df.withColumn("scope", F.lit(1).cast("long")), 60, len(LEFT)).drop("scope"))
+    assert by_interval
+
+    def no_rows(*args):
+        raise AssertionError("a row per member and base compound must not be ranked")
+
+    monkeypatch.setattr(selection, "_above_cuts", no_rows)
+    monkeypatch.setattr(selection, "exact_rank", no_rows)
+    for cells in (1, 10**6):
+        monkeypatch.setattr(selection, "MEMBER_CELLS", cells)
+        assert rows(selection.isolated_top(right, left, df, 60, len(LEFT))) == by_interval
+    assert rows(selection.isolated_top(right, left.limit(0), df, 60, 0)) == []
+
+
 @pytest.mark.parametrize("sent_rows", [selection.LABELLED_ROWS, 1])
 @pytest.mark.parametrize("percent", [2, 60])
 def test_isolated(spark, left, right, percent, sent_rows, monkeypatch):
