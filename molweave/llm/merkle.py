@@ -3,15 +3,18 @@
 Every row is a leaf; per source, every three consecutive nodes become their parent until one is left, and the subroots
 are joined to one root in the same way. Built levels are stored as node rows that hold the way to the node seven levels
 up: for each level the siblings to the left and to the right, and a link to the ancestor. A recursive query starts at
-the (possibly tampered) leaves, follows the links to the root, appends the siblings and folds the hash.
+the (possibly tampered) leaves, follows the links to the root, appends the siblings and folds the hashes.
 
 Ranks come from range-partitioned keys, never from one group per source; a group of the build holds
-2,187 nodes at most. Leaves take their own link before the recursion, which so joins with one node row for 2,187 leaves and
-shuffles every leaf as few times as links lead to the root.
+2,187 nodes at most. The leaves of a group share every link above it, so they climb as one row: their folded digests side
+by side, and the siblings above the group once. Digests travel as bytes, a leaf's own siblings are made again from its group when the
+proof is hashed, and node rows are sent to the tasks, so that a link costs 32 bytes per leaf.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ ARITY, CLIMB = 3, 7
 BLOCK = ARITY**CLIMB
 #: tree number of the tree over subroots, and of what is above the root
 TOP, ABOVE = -1, -2
+#: node rows that are sent to the tasks
+SENT_NODES = 50_000
 
 
 def digest(*parts: Column) -> Column:
@@ -65,84 +70,113 @@ def _sides(level: Column, at: Column) -> Column:
     return F.struct(F.unhex(left).alias("left"), F.unhex(right).alias("right"))
 
 
-def _block(nodes: DataFrame) -> DataFrame:
-    """Rows of ``nodes`` (tree, idx, n, hash and what a node carries) with ``steps`` up to the block's top instead of n and
-    hash, and the digest ``top`` of that."""
-    block = F.floor(F.col("idx") / BLOCK).cast("long")
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """Blocks of ``nodes`` (tree, idx, n, hash and what a node carries): ``tree, block, n`` and the nodes in order as ``rows``."""
     carried = [c for c in nodes.columns if c not in ("tree", "idx", "n", "hash")]
     rows = F.array_sort(F.collect_list(F.struct("idx", "hash", *carried)))
     # one row per block of 2,187 nodes at most
-    out = nodes.groupBy("tree", block.alias("block")).agg(F.max("n").alias("n"), rows.alias("rows"))
-    out = out.withColumn("high", _levels(F.col("n"))).withColumn("level0", F.col("rows.hash"))
+    return nodes.groupBy("tree", F.floor(F.col("idx") / BLOCK).cast("long").alias("block")).agg(F.max("n").alias("n"), rows.alias("rows"))
+
+
+def _raised(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with the digests of their levels as text, the number ``high`` of levels to the block's top, and its digest ``top``."""
+    out = blocks.withColumn("high", _levels(F.col("n"))).withColumn("level0", F.transform("rows", lambda r: F.lower(F.hex(r["hash"]))))
     for k in range(CLIMB):
         level = F.col(f"level{k}")
         out = out.withColumn(f"level{k + 1}", F.when(F.col("high") > k, _parents(level)).otherwise(level))
-    levels = [F.col(f"level{k}") for k in range(CLIMB)]
+    return out.withColumn("top", F.unhex(F.col(f"level{CLIMB}")[0]))
+
+
+def _steps(place: Column) -> Column:
+    """The siblings of the node at ``place`` of a raised block, level by level up to the block's top."""
+    steps = F.array(*(_sides(F.col(f"level{k}"), F.floor(place / ARITY**k).cast("int")) for k in range(CLIMB)))
+    return F.slice(steps, F.lit(1), F.col("high"))
+
+
+def _places() -> Column:
+    """The places in a block; levels stay inside their row: only what a node needs leaves it."""
+    return F.sequence(F.lit(0), F.size("rows") - 1)
+
+
+def _folded(steps: Column, start: Column) -> Column:
+    """The digest ``start`` led up along ``steps``, as bytes."""
+    text = lambda b: F.lower(F.hex(b))
+    return F.aggregate(steps, start, lambda h, s: F.unhex(digest(text(s["left"]), text(h), text(s["right"]))))
 
-    def row(place: Column) -> Column:
-        steps = F.array(*(_sides(level, F.floor(place / ARITY**k).cast("int")) for k, level in enumerate(levels)))
-        kept = [F.get("rows", place)[c].alias(c) for c in ("idx", *carried)]
-        return F.struct(*kept, F.slice(steps, F.lit(1), F.col("high")).alias("steps"))
 
-    # levels stay inside their row: only what a node needs leaves it
-    made = F.transform(F.sequence(F.lit(0), F.size("rows") - 1), row)
-    return out.select("tree", "block", "n", F.col(f"level{CLIMB}")[0].alias("top"), F.inline(made))
+def _siblings(steps: Column, start: Column) -> Column:
+    """``start`` followed by the siblings of ``steps``."""
+    return F.aggregate(steps, start, lambda p, s: F.concat(p, s["left"], s["right"]))
 
 
-def build(leaves: DataFrame, most: int, end: tuple[Column, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(leaf rows, node rows above them, tops) of trees over ``leaves`` (tree, idx, n, hash), ``n`` being a tree's leaves.
+def build(leaves: DataFrame, most: int, end: tuple[Column, Column]) -> tuple[list[DataFrame], DataFrame]:
+    """(blocks of every stage, tops) of trees over ``leaves`` (tree, idx, n, hash as bytes), ``n`` being a tree's leaves.
 
-    ``most`` is the largest ``n``. Leaf rows keep other columns of ``leaves``. Node rows are (tree, stage, idx, steps, up_tree, up_stage, up_idx); the last node
-    of a tree links to stage 0 of ``end``, a tree and an index. ``tops`` is (tree, hash).
+    ``most`` is the largest ``n``. Blocks are (tree, stage, block, n, rows, up_tree, up_stage, up_idx), the first ones of leaves, whose
+    ``rows`` keep other columns of ``leaves``; the last block of a tree links to stage 0 of ``end``, a tree and an index. ``tops`` is (tree, hash).
     """
     stages, tops, nodes, stage = [], [], leaves, 0
     while True:
-        blocks = materialise(_block(nodes), f"merkle{stage}")
+        blocks = materialise(_grouped(nodes), f"merkle{stage}")
+        raised = materialise(_raised(blocks).select("tree", "block", "n", "top"), f"tops{stage}")
         done = F.col("n") <= BLOCK
         link = lambda here, up, done=done: F.when(done, here).otherwise(up)
         stages.append(
             blocks.select(
-                *(c for c in blocks.columns if c not in ("block", "n", "top")), F.lit(stage).alias("stage"),
+                "tree", F.lit(stage).alias("stage"), "block", "n", "rows",
                 link(end[0], F.col("tree")).cast("long").alias("up_tree"), link(F.lit(0), F.lit(stage + 1)).alias("up_stage"),
                 link(end[1], F.col("block")).cast("long").alias("up_idx"),
             )
         )
-        first = blocks.where(F.col("idx") == F.col("block") * BLOCK)
-        tops.append(first.where(done).select("tree", F.col("top").alias("hash")))
+        tops.append(raised.where(done).select("tree", F.col("top").alias("hash")))
         if most <= BLOCK:
             break
-        nodes = first.where(~done).select("tree", F.col("block").alias("idx"), F.ceil(F.col("n") / BLOCK).alias("n"), F.col("top").alias("hash"))
+        nodes = raised.where(~done).select("tree", F.col("block").alias("idx"), F.ceil(F.col("n") / BLOCK).alias("n"), F.col("top").alias("hash"))
         most, stage = -(-most // BLOCK), stage + 1
-    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    kinds = ("tree", "stage", "idx", "steps", "up_tree", "up_stage", "up_idx")
-    above = union(stages[1:]) if stages[1:] else stages[0].select(*kinds).limit(0)
-    return stages[0], above, union(tops)
+    return stages, _union(tops)
 
 
-#: {start} holds leaves after their own link, {nodes} the stored nodes above them
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def node_rows(stages: list[DataFrame]) -> DataFrame:
+    """Node rows of blocks: (tree, stage, idx, steps, up_tree, up_stage, up_idx)."""
+
+    def rows(blocks: DataFrame) -> DataFrame:
+        made = F.transform(_places(), lambda at: F.struct(F.get("rows", at)["idx"].alias("idx"), _steps(at).alias("steps")))
+        return _raised(blocks).select("tree", "stage", "up_tree", "up_stage", "up_idx", F.inline(made))
+
+    return _union([rows(blocks) for blocks in stages])
+
+
+#: {start} holds blocks of leaves after their own link, {nodes} the stored nodes above them
 CLIMB_SQL = """
-WITH RECURSIVE climb(doc, tree, stage, idx, folded, proof) AS (
-  SELECT doc, up_tree, up_stage, up_idx, folded, proof FROM {start}
+WITH RECURSIVE climb(leaf_tree, block, tree, stage, idx, folded, proof) AS (
+  SELECT tree, block, up_tree, up_stage, up_idx, folded, X'' FROM {start}
   UNION ALL
-  SELECT c.doc, n.up_tree, n.up_stage, n.up_idx,
-    aggregate(n.steps, c.folded, (acc, s) -> sha2(concat(lower(hex(s.left)), acc, lower(hex(s.right))), 256)),
+  SELECT %s c.leaf_tree, c.block, n.up_tree, n.up_stage, n.up_idx,
+    transform(c.folded, f -> aggregate(n.steps, f, (acc, s) -> unhex(sha2(concat(lower(hex(s.left)), lower(hex(acc)), lower(hex(s.right))), 256)))),
     concat(c.proof, aggregate(n.steps, X'', (acc, s) -> concat(acc, s.left, s.right)))
   FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.stage = n.stage AND c.idx = n.idx
 )
-SELECT doc, folded, sha2(lower(hex(proof)), 256) AS proof_sha256 FROM climb WHERE tree = {above}
+SELECT leaf_tree AS tree, block, folded, proof FROM climb WHERE tree = {above}
 """
 
 
 def climb(start: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc, folded, proof_sha256) of every leaf, by the recursive query; the result is written before it is returned.
+    """(tree, block, folded, proof) of every block of leaves, by the recursive query: the digests that its leaves lead to at
+    the root, and the siblings above the block. The result is written before it is returned.
 
-    The number of rows of a recursion has no limit here, as every leaf adds one per link; the setting is put back.
+    Up to 50,000 nodes (counted, about 450 bytes each) are sent to the tasks, more are shuffled. The number of rows of a recursion has no
+    limit here, as every block adds one per link; the setting is put back.
     """
     spark, name = start.sparkSession, "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(name)
+    query = CLIMB_SQL % ("/*+ BROADCAST(n) */" if nodes.count() <= SENT_NODES else "")
     spark.conf.set(name, "-1")
     try:
-        return materialise(spark.sql(CLIMB_SQL, start=start, nodes=nodes, above=ABOVE), "climb")
+        return materialise(spark.sql(query, start=start, nodes=nodes, above=ABOVE), "climb")
     finally:
         spark.conf.set(name, before)
 
@@ -154,34 +188,43 @@ def manifest(df: DataFrame, leaf: Column, tampered: Column | None = None, key: s
     a source ascend by ``key``, nulls first, repeated keys by digest; a null source is a source, the first one. Repeated
     rows are leaves of their own, an empty table gives an empty result. Only digests and keys are moved, never texts.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("src"), leaf.alias("leaf"), (leaf if tampered is None else tampered).alias("folded"))
-    order = [F.col(c).asc_nulls_first() for c in ("key", "leaf", "folded")]
-    rows = ranked(rows, ["src"], order, "rank")
-    # a number of its own for every row, the same in all later reads
-    rows = materialise(rows.withColumn("doc", F.monotonically_increasing_id()), "leaves")
+    tampered = leaf if tampered is None else tampered
+    # empty bytes stand for a leaf that was not tampered with
+    same = F.octet_length("folded") == 0
+    rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("src"), leaf.alias("leaf"), tampered.alias("folded"))
+    rows = rows.select("key", "src", F.unhex("leaf").alias("hash"), F.when(F.col("leaf") == F.col("folded"), F.lit(b"")).otherwise(F.unhex("folded")).alias("folded"))
+    whole = F.when(same, F.col("hash")).otherwise(F.col("folded"))
+    rows = ranked(rows, ["src"], [c.asc_nulls_first() for c in (F.col("key"), F.col("hash"), whole)], "rank")
     totals = rows.groupBy("src").agg(F.count("*").alias("n"))
     sources = materialise(ranked(totals, [], [F.col("src").asc_nulls_first()], "place"), "sources")
     sources = sources.select(F.col("src").alias("__src"), "n", (F.col("place") - 1).alias("tree"))
     most, count = sources.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
     join = lambda left, right, on: left.join(F.broadcast(right) if count <= 100_000 else right, on)
-    numbered = join(rows, sources, F.col("src").eqNullSafe(F.col("__src")))
-    numbered = materialise(numbered.select("doc", "key", "leaf", "folded", "tree", (F.col("rank") - 1).alias("idx"), "n"), "numbered")
-    # leaves carry what the climb needs, so that their steps are not joined back
-    leaves = numbered.select("tree", "idx", "n", F.col("leaf").alias("hash"), "doc", "folded")
-    low, nodes, subroots = build(leaves, most, (F.lit(TOP), F.col("tree")))
+    leaves = join(rows, sources, F.col("src").eqNullSafe(F.col("__src")))
+    leaves = leaves.select("tree", (F.col("rank") - 1).alias("idx"), "n", "hash", "key", "folded")
+    (low, *higher), subroots = build(leaves, most, (F.lit(TOP), F.col("tree")))
     trees = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(count).cast("long").alias("n"), "hash")
-    high, higher, roots = build(trees, count, (F.lit(ABOVE), F.lit(0)))
-    root = roots.first()["hash"] if count else None
-    # a leaf follows its own link here, so that the recursion joins with higher nodes only
-    hops = F.aggregate("steps", F.col("folded"), lambda h, s: digest(F.lower(F.hex(s["left"])), h, F.lower(F.hex(s["right"]))))
-    proof = F.aggregate("steps", F.lit(b""), lambda p, s: F.concat(p, s["left"], s["right"]))
-    start = low.select("doc", "up_tree", "up_stage", "up_idx", hops.alias("folded"), proof.alias("proof"))
-    climbed = climb(start, materialise(nodes.unionByName(high).unionByName(higher), "nodes"))
-    named = join(numbered.drop("folded"), subroots.withColumnRenamed("hash", "subroot"), "tree")
-    out = named.join(climbed, "doc")
+    top, roots = build(trees, count, (F.lit(ABOVE), F.lit(0)))
+    root = F.lit(bytes(roots.first()["hash"]).hex() if count else None).cast("string")
+    # leaves follow their own link here, so that the recursion joins with higher nodes only
+    given = lambda at: F.get("rows", at)["folded"]
+    begin = lambda at: F.when(F.octet_length(given(at)) == 0, F.get("rows", at)["hash"]).otherwise(given(at))
+    hops = F.transform(_places(), lambda at: _folded(_steps(at), begin(at)))
+    start = _raised(low).select("tree", "block", "up_tree", "up_stage", "up_idx", hops.alias("folded"))
+    climbed = climb(start, materialise(node_rows([*higher, *top]), "nodes"))
+    named = join(low.select("tree", "block", "n", "rows"), subroots.withColumnRenamed("hash", "subroot"), "tree")
+
+    def proved(at: Column) -> Column:
+        row, proof = F.get("rows", at), F.concat(_siblings(_steps(at), F.lit(b"")), F.col("proof"))
+        return F.struct(
+            row["key"].alias("key"), F.lower(F.hex(row["hash"])).alias("leaf"), F.lower(F.hex(F.get("folded", at))).alias("folded"),
+            digest(F.lower(F.hex(proof))).alias("proof_sha256"),
+        )
+
+    out = _raised(named.join(climbed, ["tree", "block"])).select(F.lower(F.hex("subroot")).alias("subroot"), F.inline(F.transform(_places(), proved)))
     return out.select(
-        F.col("key").alias(key), "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof_sha256",
-        F.col("folded").alias("folded_root"), (F.col("folded") == F.lit(root)).alias("verified"),
+        F.col("key").alias(key), "leaf", "subroot", root.alias("root"), "proof_sha256",
+        F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"),
     )
 
 

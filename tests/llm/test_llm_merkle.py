@@ -1,12 +1,15 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from molweave.llm import merkle
 from molweave.llm.merkle import OP12_SQL, coded, digest, manifest, op12_merkle
+from molweave.session import session_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, leaf string, root string, doc string, tree string, n string"
 
@@ -75,6 +78,21 @@ def test_nothing_tampered(spark):
     assert out.where("verified").count() == out.count() == 300
 
 
+def test_scratch_per_leaf(spark):
+    size = lambda: sum(f.stat().st_size for f in Path(session_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    before, leaf = size(), digest(coded(F.col("doc_id")))
+    out = manifest(spark.range(12_000).selectExpr("id doc_id", "'a' source"), leaf, F.when(F.col("doc_id") % 2 == 0, digest(F.lit("x"))).otherwise(leaf))
+    # a leaf is dealt, grouped and climbs as a few digests; its siblings are not written for each leaf
+    assert (size() - before) / 12_000 < 300
+    assert out.where("verified").count() == 6000
+
+
+def test_nodes_that_are_not_sent(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(merkle, "SENT_NODES", 0)
+    rows = [(1000 * k + i, f"s{k}", "en", i, f"{i}\n{k}") for k, size in enumerate([2300, 5, 1]) for i in range(size)]
+    assert made(spark, rows, tmp_path) == expected(rows)
+
+
 def test_empty_table(spark, tmp_path):
     assert made(spark, [], tmp_path) == []
 
