@@ -46,8 +46,8 @@ TREE = (
 )
 #: tables of pairs that are read together before they are put into one
 SEGMENTS = 4
-#: members of a clade that are looked up from one row
-SPAN = 10_000
+#: leaves that stand side by side in one row, from which the members of clades are listed
+SPAN = 1024
 
 
 def merge_order(
@@ -625,11 +625,28 @@ def positive_nodes(tree: DataFrame, percent: float) -> DataFrame:
 
 
 def node_members(tree: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Leaves of the chosen inner nodes (``tree, node, first, size``): ``tree, node, ord, name``, a row for each."""
-    last = F.col("first") + F.col("size") - 1
-    spans = chosen.select("tree", "node", last.alias("_last"), F.explode(F.sequence("first", last, F.lit(SPAN).cast("bigint"))).alias("_from"))
-    wanted = spans.select("tree", "node", F.explode(F.sequence("_from", F.least("_last", F.col("_from") + SPAN - 1))).alias("pos"))
-    return wanted.join(tree_leaves(tree), ["tree", "pos"]).select("tree", "node", "ord", "name")
+    """Leaves of the chosen inner nodes (``tree, node, first, size``): ``tree, node, ord, name``, a row for each.
+
+    Leaves stand side by side in blocks of ``SPAN`` places; a node meets the blocks that it covers, and its members are
+    listed in the task that holds a block. So what is shuffled is a row per node and block, not one per member, and
+    members of deep trees, whose number grows with the square of the leaves, are listed by all tasks, block by block.
+    """
+    block = lambda pos: F.floor(pos / SPAN).cast("bigint")
+    held = tree_leaves(tree).groupBy("tree", block(F.col("pos")).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("pos", "ord", "name"))).alias("_leaves"))
+    low, high = F.get("_leaves", F.lit(0))["pos"], F.element_at("_leaves", -1)["pos"]
+    # compounds that share an ``ord`` share a place and leave others empty
+    places = F.size(F.array_distinct(F.col("_leaves")["pos"]))
+    held = held.withColumns({"_low": low, "_high": high, "_plain": (places == F.size("_leaves")) & (high - low + 1 == F.size("_leaves"))})
+    spans = chosen.select("tree", "node", F.col("first").alias("_first"), (F.col("first") + F.col("size") - 1).alias("_last"))
+    spans = spans.select("*", F.explode(F.sequence(block(F.col("_first")), block(F.col("_last")))).alias("_block"))
+    # partitions of a given number stay apart though they look small here, and a merge join keeps them
+    parts = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = spans.repartition(parts, "tree", "_block").join(held.hint("merge"), ["tree", "_block"])
+    begin = F.greatest("_first", "_low")
+    many = F.greatest(F.least("_last", "_high") - begin + 1, F.lit(0))
+    inside = F.when(F.col("_plain"), F.slice("_leaves", (begin - F.col("_low") + 1).cast("int"), many.cast("int")))
+    inside = inside.otherwise(F.filter("_leaves", lambda leaf: leaf["pos"].between(F.col("_first"), F.col("_last"))))
+    return met.select("tree", "node", F.inline(inside)).select("tree", "node", "ord", "name")
 
 
 def clade_table(tree: DataFrame) -> DataFrame:

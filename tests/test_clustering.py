@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from molweave.operators import clustering as cl
 from molweave.operators import growth
 from molweave.operators.similarity import blended_pairs, distance_pairs
+from molweave.session import materialise
 from test_similarity import packed, tanimoto
 
 
@@ -150,6 +151,33 @@ def test_tree_properties(spark):
     assert all(a <= b or b <= a or not a & b for a in sets for b in sets)
 
 
+def test_members_are_listed_where_their_block_is(spark):
+    n = 5 * cl.SPAN + 7
+    leaf = spark.range(n).selectExpr("0L tree", "-1 - id node", "cast(null as bigint) size", "id first", "id ord", "concat('m', id) name")
+    ends = [(3, 4), (0, n), (cl.SPAN - 1, 2), (cl.SPAN, cl.SPAN), (n - 1, 1), (10, 3 * cl.SPAN), (2 * cl.SPAN, n - 2 * cl.SPAN)]
+    inner = spark.createDataFrame([(0, k, size, first, None, None) for k, (first, size) in enumerate(ends)], "tree long, node long, size long, first long, ord long, name string")
+    tree = materialise(leaf.unionByName(inner).coalesce(1))
+    found = cl.node_members(tree, tree.where("node >= 0")).select("*", F.spark_partition_id().alias("task")).collect()
+    want = sorted((0, k, i, f"m{i}") for k, (first, size) in enumerate(ends) for i in range(first, first + size))
+    assert sorted((r["tree"], r["node"], r["ord"], r["name"]) for r in found) == want
+    # one task per block, and not one for all: no row per member is dealt
+    tasks = {}
+    for r in found:
+        tasks.setdefault(r["ord"] // cl.SPAN, set()).add(r["task"])
+    assert {len(t) for t in tasks.values()} == {1} and len(set().union(*tasks.values())) > 1
+
+
+def test_members_that_share_a_place(spark):
+    places = [0, 0, 2, 3, 3, 3, 6, cl.SPAN + 1, cl.SPAN + 1, cl.SPAN + 2]
+    data = [(0, -1 - k, None, at, k, f"m{k}") for k, at in enumerate(places)]
+    ends = [(0, 1), (0, 2), (1, 1), (2, 3), (3, cl.SPAN), (4, cl.SPAN - 4), (cl.SPAN, 2), (5, 2 * cl.SPAN)]
+    data += [(0, k, size, first, None, None) for k, (first, size) in enumerate(ends)]
+    tree = spark.createDataFrame(data, "tree long, node long, size long, first long, ord long, name string")
+    found = cl.node_members(tree, tree.where("node >= 0")).select("node", "ord").collect()
+    want = sorted((k, i) for k, (first, size) in enumerate(ends) for i, at in enumerate(places) if first <= at < first + size)
+    assert sorted(map(tuple, found)) == want
+
+
 def test_positive_clades(spark):
     data = [(0, node, f"{label}_{i}", i) for node, labels in {1: "yyy", 2: "yn", 3: "nn", 4: "yyn"}.items() for i, label in enumerate({"y": "Yes", "n": "not"}[c] for c in labels)]
     tree = spark.createDataFrame(data, "tree long, node long, name string, ord long")
