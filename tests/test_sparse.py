@@ -40,6 +40,36 @@ def test_sparse_pairs_are_the_dense_ones(spark, unit, tile, hot):
     assert len(got) < 40 * 60
 
 
+@pytest.mark.parametrize("unit, tile", [(sparse.UNIT, sparse.TILE), (50, 7), (1, 1000)])
+@pytest.mark.parametrize("most", [4, 14])
+def test_sparse_pairs_summed_where_they_are_counted(spark, unit, tile, most):
+    left, right = (spark.createDataFrame(prints(n, seed, width=1088, most=most), VECTOR) for n, seed in ((40, 1), (60, 2)))
+    pairs = sparse.sparse_pairs(left, right, unit=unit, tile=tile).collect()
+    want = {}
+    for p in pairs:
+        n, shared, best, total = want.get(p["left_ord"], (0, 0, 0.0, 0.0))
+        want[p["left_ord"]] = n + 1, shared + p["shared"], max(best, p["sim"]), total + p["sim"]
+    got = {r[0]: tuple(r[1:]) for r in sparse.sparse_pairs(left, right, unit=unit, tile=tile, summary=True).collect()}
+    assert got.keys() == want.keys() and want
+    assert all(got[k][:3] == want[k][:3] and got[k][3] == pytest.approx(want[k][3]) for k in want)
+
+
+def test_sparse_pairs_that_all_meet_are_not_shuffled(spark):
+    """Vectors that share a bit meet in blocks; no posting is dealt, no pair leaves the task that counts it."""
+    left, right = (spark.createDataFrame(prints(n, seed), VECTOR) for n, seed in ((300, 1), (400, 2)))
+    found = sparse.sparse_pairs(left, right, summary=True)
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Window" not in plan
+    assert found.count() > 200
+
+
+def test_sparse_pairs_of_repeated_numbers_are_counted_as_one(spark):
+    left = spark.createDataFrame([(1, "a", [3]), (1, "b", [12]), (2, "c", [15])], VECTOR)
+    right = spark.createDataFrame([(7, "x", [15])], VECTOR)
+    assert rows(sparse.sparse_pairs(left, right), "left_ord", "shared") == rows(sparse.sparse_pairs(left, right, unit=1), "left_ord", "shared")
+    assert {(r["left_ord"], r["shared"]) for r in sparse.sparse_pairs(left, right).collect()} == {(1, 4), (2, 4)}
+
+
 def test_sparse_units():
     work = [(0, 100, 100), (1, 1000, 1000), (2, 10, 10), (3, 100, 99)]
     units = sparse._units(work, (10**6, 10**6), 10_000, 10)
