@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from plain import rows
 from pyspark.sql import functions as F
@@ -290,3 +291,17 @@ def test_pairs_meet_a_sent_side_without_a_shuffle_of_pairs(spark, left, right, s
         assert ("CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()) == (sent_rows == 3)
     best = [sim.most_similar(left, right, 3, block_rows=n) for n in (8, 4096)]
     assert rows(best[0]) == rows(best[1])
+
+
+@pytest.mark.parametrize("empty", [1.0, 0.0, -20.0])
+def test_matrix_lines_put_together_from_texts(empty, monkeypatch):
+    rng = random.Random(4)
+    words = np.array([[rng.choice([0, rng.getrandbits(60)]), rng.choice([0, rng.getrandbits(20)])] for _ in range(60)], dtype=np.uint64)
+    sizes = np.bitwise_count(words).sum(1, dtype=np.int32)
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    for limit in (sim.LINE_TEXTS, 1):
+        monkeypatch.setattr(sim, "LINE_TEXTS", limit)
+        texts = sim._Texts(128, empty)
+        for k in range(60):
+            want = "\t".join("%.4f" % d for d in (1.0 - sim.tanimoto(bits[[k]], bits[:k], empty)).ravel())
+            assert texts.line(words[k], words[:k], sizes[:k]) == (want or None)
