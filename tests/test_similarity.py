@@ -1,4 +1,6 @@
 import random
+from decimal import ROUND_HALF_UP, Decimal
+
 
 import numpy as np
 import pytest
@@ -293,6 +295,31 @@ def test_pairs_meet_a_sent_side_without_a_shuffle_of_pairs(spark, left, right, s
     assert rows(best[0]) == rows(best[1])
 
 
+@pytest.mark.parametrize("digits", [None, 3, 6])
+def test_pairs_as_lists_are_those_of_the_kernel(spark, digits, monkeypatch):
+    """A right side that is sent hands pairs on as lists; the way by chunks gives the same rows, repeated and missing ``ord`` too."""
+    rng = random.Random(3)
+    kind = "name string, ord long, words array<bigint>, words2 array<bigint>"
+    data = [(f"m{i}" if i % 11 else None, i // 2 if i % 13 else None, [rng.choice([0, 1, 2, 5, rng.getrandbits(40)])], [rng.getrandbits(8)]) for i in range(150)]
+    df = spark.createDataFrame(data, kind)
+
+    def found():
+        pairs = sim.similarity_pairs(df, df.limit(90), block_rows=16, digits=digits)
+        every = sim.similarity_pairs(df, df.limit(90), block_rows=16, digits=digits, keep_zero=True)
+        return [rows(f) for f in (pairs, every, sim.distance_pairs(df, block_rows=16, digits=digits), sim.blended_pairs(df, 0.5, block_rows=16, digits=digits))]
+
+    sent = found()
+    assert "Generate" in sim.distance_pairs(df, block_rows=16, digits=digits)._jdf.queryExecution().toString()
+    monkeypatch.setattr(blocks, "SENT_ROWS", 20)
+    assert sent == found() and all(sent) and len(sent[0]) < len(sent[1]) == 150 * 90
+
+
+def test_half_up_is_that_of_decimals():
+    values = np.array([0.0000005, 0.0000015, 0.1234565, 0.1234575, 1.0000005, 0.5, 2 / 3, 1 / 3, 0.0, -0.1234565, 0.2999995, 1.0])
+    want = [float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-6), ROUND_HALF_UP)) for v in values.tolist()]
+    assert sim._half_up(values, 6).tolist() == want
+
+
 @pytest.mark.parametrize("empty", [1.0, 0.0, -20.0])
 def test_matrix_lines_put_together_from_texts(empty, monkeypatch):
     rng = random.Random(4)
