@@ -1,5 +1,6 @@
 import math
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -237,3 +238,32 @@ def test_tiles_of_any_size_give_the_same_distances(linkage, monkeypatch):
     for cells in (1, 7, 300):
         monkeypatch.setattr(growth, "CELLS", cells)
         assert np.array_equal(whole(10), want)
+
+
+@pytest.mark.parametrize("linkage", ["weighted", "average"])
+@pytest.mark.parametrize("known", [1, 3, 16])
+def test_known_near_clusters_are_not_asked_for_again(linkage, known, monkeypatch):
+    """Rounds that carry near clusters on find the merges of one matrix, and ask for fewer clusters than have lost their nearest one."""
+    monkeypatch.setattr(growth, "KNOWN", known)
+    monkeypatch.setattr(growth, "TILE", 32)
+    rng = np.random.default_rng(known)
+    words = np.unique(rng.integers(0, 1 << 12, 200))[:, None]
+    words = words[rng.permutation(len(words))]
+    want = cl.merge_order(cl._distance(words, words, 1.0), linkage)
+    tree = growth._Tree(0, np.arange(len(words)), words, np.ones(len(words), dtype=bool), linkage)
+    turn = asked = lost = 0
+    while tree.left() > 1:
+        clusters = growth._Clusters(tree.vectors, tree.rounds, partial(cl._distance, empty=1.0), linkage)
+        others = clusters.parts(clusters.slots, 40)
+        for part in clusters.parts(tree.asked, 24):
+            tree.told(*clusters.nearest(part, others))
+        near = tree.near.copy()
+        tree.merge(turn)
+        turn += 1
+        slots = np.flatnonzero(tree.alive)
+        moved = np.isin(np.arange(len(tree.alive)), np.concatenate(tree.done[-1][1:3]))
+        asked, lost = asked + len(tree.asked), lost + int((moved[slots] | moved[near[slots]]).sum())
+    merges = tree.merges()
+    got = {(h, l): d for h, l, d in zip(*(merges[c].to_pylist() for c in ("hi", "lo", "dist")), strict=True)}
+    assert got == pytest.approx({(h, l): d for h, l, d in want})
+    assert asked <= lost and (known < 16 or asked < 0.8 * lost)
