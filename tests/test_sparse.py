@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from plain import rows
 from pyspark.sql import functions as F
@@ -102,6 +103,24 @@ def test_similar_above_checks_few_pairs(spark):
     assert table.where("a is not null").count() > 100 and checked < n * (n - 1) / 2 / 20
 
 
+@pytest.mark.parametrize("rows_at_once", [1, 7, 256])
+def test_checked_tiles_are_brute_force(rows_at_once, monkeypatch):
+    """A tile's pairs and the number checked do not depend on how many rows meet at a time; nor is a row looked at alone."""
+    monkeypatch.setattr(sparse, "CHECK_ROWS", rows_at_once)
+    calls, counted = [], sparse._shared_bits
+    monkeypatch.setattr(sparse, "_shared_bits", lambda a, b: calls.append(len(a)) or counted(a, b))
+    data = [(o, w) for o, _, w in prints(90, 9, width=128, least=3) if 1 << 7 & w[0]]
+    n = [sum(bin(x % (1 << 64)).count("1") for x in w) for _, w in data]
+    tile = pa.table({"bit": [7] * len(data), "n": n, "band": [0] * len(data), "ord": [o for o, _ in data], "words": [w for _, w in data], "own": [0] * len(data)})
+    found = sparse._checked_pairs(0.3)(tile, tile)
+    got = {(a, b): s for a, b, s in zip(*(found[c].to_pylist() for c in ("a", "b", "sim")), strict=True) if a is not None}
+    earlier = lambda a, b: (a[0] & b[0]) & 127
+    want = {(p, q): tanimoto(a, b, 0.0) for p, a in data for q, b in data if p > q and not earlier(a, b) and tanimoto(a, b, 0.0) >= 0.3}
+    sizes = [(a, b) for i, a in enumerate(n) for b in n[:i] if min(a, b) >= 0.3 * max(a, b) - 1e-9]
+    assert got == want and want and found["checked"].to_pylist()[-1] == len(sizes)
+    assert sum(calls) == len(data) and len(calls) == -(-len(data) // rows_at_once)
+
+
 def test_similar_above_edges(spark):
     none = spark.createDataFrame([], VECTOR)
     assert sparse.similar_above(none, 0.8).count() == 0
